@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
 _ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
@@ -11,6 +11,16 @@ _ISO_T = r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?Z?$"
 _ISO_FULL = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([+-]\d{2}:\d{2}|Z)?)?$"
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row, however often they are used later.
+
+    The optimizer inlines plain projections into every later use, filters
+    included, which repeats costly parsing. A one-element generator is a
+    boundary it does not cross.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+
+
 def _naive(value: Column) -> Column:
     return value.cast("timestamp_ntz")
 
@@ -93,20 +103,21 @@ def infer_provider(consumed_service: Column, service_name: Column) -> Column:
 
 
 def _pairs(text: Column) -> Column:
-    """'k:v,k:v' to entries; of equal keys the last one stays."""
-    entries = F.transform(
-        F.filter(F.split(text, ","), lambda pair: pair.contains(":")),
-        lambda pair: F.struct(
-            F.trim(F.substring_index(pair, ":", 1)).alias("key"),
-            F.trim(F.regexp_replace(pair, r"^[^:]*:", "")).alias("value"),
-        ),
-    )
-    return F.filter(
-        entries,
-        lambda entry, i: ~F.exists(
-            F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == entry["key"]
-        ),
-    )
+    """'k:v,k:v' to a map; of equal keys the last one stays.
+
+    The text is cleaned up with regular expressions, which stay in generated
+    code; array functions with lambdas are interpreted per element.
+    """
+    steps = [
+        (r"\s*,\s*", ","),
+        (r"(^|,)[^,:]*(?=,|$)", ""),                      # parts without a colon
+        (r"(^|,)([^,:]*?)\s*:\s*", "$1$2:"),              # blanks around the first colon of a part
+        (r"(^|,)([^,:]*):[^,]*(?=,(?:.*,)?\2:)", ""),     # earlier parts of a key that occurs again
+        (r"^,+", ""),
+    ]
+    for pattern, replacement in steps:
+        text = F.regexp_replace(text, pattern, replacement)
+    return F.when(text != "", F.str_to_map(text, F.lit(","), F.lit(":"))).otherwise(empty_tags())
 
 
 def empty_tags() -> Column:
@@ -118,8 +129,8 @@ def parse_tags(value: Column) -> Column:
     text = F.trim(value)
     return (
         F.when(text.isNull() | (text == ""), empty_tags())
-        .when(text.startswith("{"), F.coalesce(F.from_json(text, "map<string,string>"), F.map_from_entries(_pairs(text))))
-        .otherwise(F.map_from_entries(_pairs(text)))
+        .when(text.startswith("{"), F.coalesce(F.from_json(text, "map<string,string>"), _pairs(text)))
+        .otherwise(_pairs(text))
     )
 
 

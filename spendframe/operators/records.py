@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.parsing import canonical_provider, empty_tags, parse_iso, parse_number
+from ..functions.parsing import canonical_provider, computed_once, empty_tags, parse_iso, parse_number
 from ..schema import CURRENCIES, PROVIDERS, REQUIRED_FIELDS
 
 _TEXT_DEFAULTS = {
@@ -44,8 +44,11 @@ def with_validation(records: DataFrame) -> DataFrame:
     Number and date fields may be text or typed. Infinite amounts are not
     numbers here: one of them would spoil every sum it takes part in.
     """
-    cost, quantity = _number(records, "cost"), _number(records, "usage_quantity")
-    start, end = _moment(records, "usage_start_date"), _moment(records, "usage_end_date")
+    staged = computed_once(records, {
+        "__cost": _number(records, "cost"), "__quantity": _number(records, "usage_quantity"),
+        "__start": _moment(records, "usage_start_date"), "__end": _moment(records, "usage_end_date"),
+    })
+    cost, quantity, start, end = (F.col(name) for name in ("__cost", "__quantity", "__start", "__end"))
     finite = cost.isNotNull() & ~F.isnan(cost) & (F.abs(cost) < F.lit(9e10))
     quantity_given = F.col("usage_quantity").isNotNull() if "usage_quantity" in records.columns else F.lit(False)
     currency = F.coalesce(F.col("currency"), F.lit("USD")) if "currency" in records.columns else F.lit("USD")
@@ -69,7 +72,7 @@ def with_validation(records: DataFrame) -> DataFrame:
     error = F.when(*rules[0])
     for failed, message in rules[1:]:
         error = error.when(failed, message)
-    return records.withColumn("error", error)
+    return computed_once(staged, {"error": error}).drop("__cost", "__quantity", "__start", "__end")
 
 
 def build_records(valid: DataFrame, created_at: str | None = None) -> DataFrame:

@@ -137,7 +137,7 @@ def s6_aws_response(spark, sf_dir):
 
 
 @query("S7_gcp_export", f"""WITH {COSTS}
-SELECT strftime(usage_start_date, '%Y-%m-%d') AS date, service_name AS service, 'gcp' AS provider, {money(total('cost'))} AS cost
+SELECT strftime(usage_start_date, '%Y-%m-%d') AS date, service_name AS service, 'gcp' AS provider, CAST({total('cost')} AS DOUBLE) AS cost
 FROM costs WHERE usage_start_date >= TIMESTAMP '2000-03-01' AND usage_start_date < TIMESTAMP '2001-03-01' GROUP BY 1, 2""")
 def s7_gcp_export(spark, sf_dir):
     export = lineitem_costs(spark, sf_dir, ["usage_start_date", "service_name", "cost"]).select(
@@ -146,7 +146,7 @@ def s7_gcp_export(spark, sf_dir):
     )
     mapped = exports.map_gcp_export(export, "2000-03-01", "2001-03-01")
     return mapped.select(
-        F.date_format("date", "yyyy-MM-dd").alias("date"), "service", "provider", fixed_col("cost").alias("cost")
+        F.date_format("date", "yyyy-MM-dd").alias("date"), "service", "provider", fixed_col("cost", 4).alias("cost")
     )
 
 
@@ -221,7 +221,7 @@ def _generic_raw(spark, sf_dir) -> DataFrame:
 
 
 _GENERIC = f"""SELECT cost_id AS row_id,
-    CASE WHEN l_linenumber % 2 = 0 THEN 'aws' WHEN l_linenumber = 3 THEN 'azure'
+    CASE WHEN l_linenumber % 2 = 0 THEN 'aws' WHEN l_linenumber = 3 THEN 'azure' WHEN l_linenumber = 5 THEN 'other'
          WHEN service_name LIKE 'Azure%' THEN 'azure' WHEN service_name LIKE 'Amazon%' THEN 'aws' ELSE 'other' END AS provider,
     CASE WHEN l_linenumber <> 5 THEN service_name END AS service_name,
     CASE WHEN l_linenumber NOT IN (4, 6) THEN CAST(CAST(cost AS DECIMAL(20,4)) AS DOUBLE) END AS cost,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.parsing import (
-    empty_tags, infer_provider, merge_tags, parse_date, parse_epoch, parse_money, parse_number, parse_tags,
+    computed_once, empty_tags, infer_provider, merge_tags, parse_date, parse_epoch, parse_money, parse_number, parse_tags,
 )
 from .billing_exports import read_text_csv
 from .headers import quoted, resolve
@@ -64,30 +64,38 @@ def parse_records(raw: DataFrame) -> DataFrame:
             return parse_epoch(F.col(quoted(mapping[field])))
         return parse_date(text(field))
 
-    service, cost = text("service_name"), parse_money(text("cost"))
-    start, end = moment("usage_start_date"), moment("usage_end_date")
-    group = text("resource_group")
-    group_tag = F.when(group.isNotNull(), F.create_map(F.lit("resource_group"), group)).otherwise(empty_tags())
+    service, group = text("service_name"), text("resource_group")
+    values = {
+        "provider": F.lower(F.coalesce(text("provider"), infer_provider(text("consumed_service"), service))),
+        "service_name": service,
+        "cost_text": text("cost"),
+        "cost": parse_money(text("cost")),
+        "usage_start_date": moment("usage_start_date"),
+        "end_date": moment("usage_end_date"),
+        "group_tag": F.when(group.isNotNull(), F.create_map(F.lit("resource_group"), group)).otherwise(empty_tags()),
+        "row_tags": parse_tags(text("tags")),
+    }
+    staged = computed_once(raw, {f"__{name}": value for name, value in values.items()})
     passthrough = [F.col(quoted(c)) for c in raw.columns if c == "row_id"]
-    parsed = raw.select(
+    parsed = staged.select(
         *passthrough,
-        F.lower(F.coalesce(text("provider"), infer_provider(text("consumed_service"), service))).alias("provider"),
+        F.col("__provider").alias("provider"),
         text("cloud_account_id").alias("cloud_account_id"),
-        service.alias("service_name"),
+        F.col("__service_name").alias("service_name"),
         text("resource_id").alias("resource_id"),
         text("region").alias("region"),
         parse_number(text("usage_quantity")).alias("usage_quantity"),
         text("usage_unit").alias("usage_unit"),
-        text("cost").isNull().alias("__no_cost"),
-        cost.alias("cost"),
+        "__cost_text",
+        F.col("__cost").alias("cost"),
         F.upper(text("currency")).alias("currency"),
-        start.alias("usage_start_date"),
-        F.coalesce(end, start).alias("usage_end_date"),
-        merge_tags(group_tag, parse_tags(text("tags"))).alias("tags"),
+        F.col("__usage_start_date").alias("usage_start_date"),
+        F.coalesce("__end_date", "__usage_start_date").alias("usage_end_date"),
+        merge_tags(F.col("__group_tag"), F.col("__row_tags")).alias("tags"),
     )
     checks = [
         ("service_name", F.col("service_name").isNull(), "Missing or empty service name"),
-        ("cost", F.col("__no_cost"), "Missing cost value"),
+        ("cost", F.col("__cost_text").isNull(), "Missing cost value"),
         ("cost", F.col("cost").isNull(), "Invalid numeric value"),
         ("usage_start_date", F.col("usage_start_date").isNull(), "Missing or invalid start date"),
     ]
@@ -95,7 +103,7 @@ def parse_records(raw: DataFrame) -> DataFrame:
     for name, failed, message in checks:
         field = F.when(failed, name) if field is None else field.when(failed, name)
         error = F.when(failed, message) if error is None else error.when(failed, message)
-    return parsed.withColumn("error_field", field).withColumn("error", error).drop("__no_cost")
+    return parsed.withColumn("error_field", field).withColumn("error", error).drop("__cost_text")
 
 
 def split_records(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
