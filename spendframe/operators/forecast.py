@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import exact_sum, fixed, money, ratio
-from .summaries import top_services
+from .summaries import top_of_totals
 
 ALL_SERVICES = "__all__"
 SERIES = ["user_id", "series"]
@@ -42,7 +42,7 @@ def forecast_series(costs: DataFrame, top: int | None = None) -> DataFrame:
     both = both.groupBy("user_id", "series", "day").agg(F.sum("total").alias("total"))
     if top is None:
         return both
-    kept = top_services(costs, top).select("user_id", F.col("service_name").alias("series"))
+    kept = top_of_totals(daily, top).select("user_id", F.col("service_name").alias("series"))
     overall = both.where(F.col("series") == ALL_SERVICES)
     return overall.unionByName(both.where(F.col("series") != ALL_SERVICES).join(kept, SERIES, "left_semi"))
 
@@ -384,10 +384,10 @@ def forecast_metrics(joined: DataFrame, keys: list[str]) -> DataFrame:
     error = F.col("predicted") - F.col("actual")
     return joined.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("points"),
-        fixed(F.avg(F.abs(error)), 4).alias("mae"),
-        fixed(F.sqrt(F.avg(error * error)), 4).alias("rmse"),
-        fixed(F.avg(F.when(F.col("actual") != 0, F.abs(error / F.col("actual")))) * 100.0, 4).alias("mape"),
-        fixed(ratio(F.sum(error), F.sum("actual")) * 100.0, 4).alias("bias_pct"),
+        fixed(F.avg(F.abs(error)), 2).alias("mae"),
+        fixed(F.sqrt(F.avg(error * error)), 2).alias("rmse"),
+        fixed(F.avg(F.when(F.col("actual") != 0, F.abs(error / F.col("actual")))) * 100.0, 2).alias("mape"),
+        fixed(ratio(F.sum(error), F.sum("actual")) * 100.0, 2).alias("bias_pct"),
         fixed(F.avg(F.when(F.col("actual").between(F.col("lower"), F.col("upper")), 1.0).otherwise(0.0)) * 100.0, 2)
         .alias("coverage_pct"),
     )

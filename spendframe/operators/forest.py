@@ -22,7 +22,7 @@ SEED = 42
 MIN_CONTAMINATION = 0.05
 MAX_CONTAMINATION = 0.15
 # ----------------------------------------------------------------------------
-_TREES_PER_TASK_GROUP = 20
+_TREES_PER_TASK_GROUP = 10
 _OVERSAMPLE = 3
 Z_FEATURES = [f"z_{name}" for name in FEATURES]
 _EULER = 0.5772156649015329
@@ -92,19 +92,17 @@ def train_trees(
 ) -> DataFrame:
     """Node table of the forest of every model; ``scaled`` needs ``train_rows`` per model."""
     share = F.least(F.lit(1.0), F.lit(float(_OVERSAMPLE * sample)) / F.col("train_rows"))
-
-    def draw(tree):
-        return F.pmod(F.xxhash64(F.col(key), F.col(row_key).cast("string"), tree, F.lit(seed)), F.lit(1 << 31))
-
-    candidate = F.filter(
-        F.sequence(F.lit(1), F.lit(trees)), lambda tree: draw(tree) / F.lit(float(1 << 31)) < share
-    )
+    draw = F.pmod(F.xxhash64("row_hash", "tree"), F.lit(1 << 31))
     position = F.row_number().over(Window.partitionBy(key, "tree").orderBy("draw", row_key))
+    # every pair of row and tree is dropped again by the hash test in the same
+    # stage; only about three samples' worth of rows per tree is shuffled
     samples = (
-        scaled.select(key, row_key, *Z_FEATURES, F.explode(candidate).alias("tree"))
-        .withColumn("draw", draw(F.col("tree")))
+        scaled.withColumn("row_hash", F.xxhash64(F.col(key), F.col(row_key).cast("string"), F.lit(seed)))
+        .select(key, row_key, *Z_FEATURES, "row_hash", share.alias("share"), F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
+        .withColumn("draw", draw).where(F.col("draw") < F.col("share") * F.lit(float(1 << 31)))
         .withColumn("position", position).where(F.col("position") <= sample)
         .withColumn("tree_group", F.floor((F.col("tree") - 1) / F.lit(_TREES_PER_TASK_GROUP)))
+        .drop("row_hash", "share", "draw")
     )
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +114,9 @@ def train_trees(
             grown.append({"model_key": model, "tree": int(tree), "sample_rows": len(rows), **nodes})
         return pd.DataFrame(grown)
 
-    return samples.drop("draw").groupBy(key, "tree_group").applyInPandas(grow, TREE_SCHEMA)
+    # growing is processor-bound, so the small input must not be merged into few tasks
+    tasks = int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return samples.repartition(tasks, key, "tree_group").groupBy(key, "tree_group").applyInPandas(grow, TREE_SCHEMA)
 
 
 def score(rows: DataFrame, trees: DataFrame, key: str = "category", spread: int = 8) -> DataFrame:
@@ -133,7 +133,7 @@ def score(rows: DataFrame, trees: DataFrame, key: str = "category", spread: int
 
     def apply(points: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
         if points.empty or forest.empty:
-            return pd.DataFrame({name: [] for name in names})
+            return pd.DataFrame({name: pd.Series([], dtype=object) for name in names})
         matrix = points[Z_FEATURES].to_numpy(dtype=float)
         total = np.zeros(len(matrix))
         for tree in forest.sort_values("tree").to_dict("records"):

@@ -146,15 +146,20 @@ def distinct_values(costs: DataFrame, by: list[str], field: str) -> DataFrame:
     return values.withColumn("distinct_count", F.count(F.lit(1)).over(Window.partitionBy(*by)))
 
 
-def top_services(costs: DataFrame, limit: int = 5) -> DataFrame:
-    """The tenant's ``limit`` most expensive services."""
+def top_of_totals(totals: DataFrame, limit: int = 5) -> DataFrame:
+    """The tenant's ``limit`` most expensive services, from exact partial totals."""
     order = Window.partitionBy("user_id").orderBy(F.desc("total"), "service_name")
     return (
-        service_totals(costs).withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= limit).select("user_id", "service_name", "total", "rank")
+        totals.groupBy("user_id", "service_name").agg(F.sum("total").alias("total"))
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     )
 
 
+def top_services(costs: DataFrame, limit: int = 5) -> DataFrame:
+    """The tenant's ``limit`` most expensive services."""
+    return top_of_totals(service_totals(costs), limit)
+
+
 def costs_of_top_services(costs: DataFrame, limit: int = 5) -> DataFrame:
     """Cost rows of the tenant's most expensive services."""
     return costs.join(top_services(costs, limit).select("user_id", "service_name"), ["user_id", "service_name"], "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import budgets, forecast
 from ..operators.filters import select_for_forecast
+from ..session import cut_lineage
 
 
 def detailed_forecast(
@@ -34,6 +35,8 @@ def track_budgets(requests: DataFrame, costs: DataFrame, as_of: str, model: str
     """Status of every valid budget; ``model=None`` leaves the projection at 0."""
     tracked = budgets.with_period(budgets.valid_budgets(requests), as_of)
     daily = budgets.scope_daily(costs)
+    if model is not None:
+        daily = cut_lineage(daily)  # spend and forecast both read it: scan the costs once
     spent = budgets.budget_spend(tracked, daily)
     if model is not None:
         spent = budgets.budget_projection(spent, daily, as_of, model)

@@ -51,7 +51,8 @@ def fetch(
 
 def train_model(training: DataFrame, trees: int = forest.TREES, seed: int = forest.SEED, spread: int = 1) -> dict[str, DataFrame]:
     """Forest of every category from (date, service, cost) rows: trees, scaler and offsets."""
-    rows = features.training_features(training)
+    # one small row set per category and day feeds scaler, trees and offsets: read the costs once
+    rows = cut_lineage(features.training_features(training))
     table = features.scaler(rows)
     scaled = features.scale(rows, table)
     # the trees feed the offsets and every later scoring: grow them once
