@@ -39,6 +39,8 @@ def mean_path(size):
 def grow_tree(points: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
     """One isolation tree as parallel node lists; a leaf has feature -1 and its path length."""
     limit = int(np.ceil(np.log2(max(len(points), 2))))
+    leaf_path = mean_path(np.arange(len(points) + 1))
+    chance = rng.random((2 * len(points) + 1, 2))  # one feature and one position draw per node
     nodes: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "path": []}
 
     def add(feature: int, threshold: float, path: float) -> int:
@@ -46,22 +48,24 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
             nodes[name].append(value)
         return len(nodes["feature"]) - 1
 
-    pending = [(np.arange(len(points)), 0, None, "")]
+    pending = [(np.arange(len(points)), 0, -1, "")]
     while pending:
         rows, depth, parent, side = pending.pop()
         block = points[rows]
         low, high = block.min(axis=0), block.max(axis=0)
         splittable = np.flatnonzero(high > low)
         if depth >= limit or len(rows) <= 1 or len(splittable) == 0:
-            node = add(-1, 0.0, depth + float(mean_path(len(rows))))
+            node = add(-1, 0.0, depth + float(leaf_path[len(rows)]))
         else:
-            feature = int(rng.choice(splittable))
-            threshold = float(rng.uniform(low[feature], high[feature]))
+            pick, place = chance[len(nodes["feature"])]
+            feature = int(splittable[int(pick * len(splittable))])
+            cut = low[feature] + place * (high[feature] - low[feature])
+            threshold = float(min(cut, np.nextafter(high[feature], low[feature])))
             node = add(feature, threshold, 0.0)
             goes_left = block[:, feature] <= threshold
             pending.append((rows[~goes_left], depth + 1, node, "right"))
             pending.append((rows[goes_left], depth + 1, node, "left"))
-        if parent is not None:
+        if parent >= 0:
             nodes[side][parent] = node
     return nodes
 
@@ -91,13 +95,14 @@ def train_trees(
     trees: int = TREES, sample: int = SAMPLE, seed: int = SEED,
 ) -> DataFrame:
     """Node table of the forest of every model; ``scaled`` needs ``train_rows`` per model."""
+    tasks = int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = F.least(F.lit(1.0), F.lit(float(_OVERSAMPLE * sample)) / F.col("train_rows"))
     draw = F.pmod(F.xxhash64("row_hash", "tree"), F.lit(1 << 31))
     position = F.row_number().over(Window.partitionBy(key, "tree").orderBy("draw", row_key))
     # every pair of row and tree is dropped again by the hash test in the same
     # stage; only about three samples' worth of rows per tree is shuffled
     samples = (
-        scaled.withColumn("row_hash", F.xxhash64(F.col(key), F.col(row_key).cast("string"), F.lit(seed)))
+        scaled.repartition(tasks).withColumn("row_hash", F.xxhash64(F.col(key), F.col(row_key).cast("string"), F.lit(seed)))
         .select(key, row_key, *Z_FEATURES, "row_hash", share.alias("share"), F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
         .withColumn("draw", draw).where(F.col("draw") < F.col("share") * F.lit(float(1 << 31)))
         .withColumn("position", position).where(F.col("position") <= sample)
@@ -114,8 +119,7 @@ def train_trees(
             grown.append({"model_key": model, "tree": int(tree), "sample_rows": len(rows), **nodes})
         return pd.DataFrame(grown)
 
-    # growing is processor-bound, so the small input must not be merged into few tasks
-    tasks = int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # growing is processor-bound, so the small groups must not be merged into few tasks
     return samples.repartition(tasks, key, "tree_group").groupBy(key, "tree_group").applyInPandas(grow, TREE_SCHEMA)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_costs, queries_ingest, queries_models  # noqa: F401 - imported to register their queries
+from . import queries_costs, queries_ingest, queries_models, queries_streaming  # noqa: F401 - imported to register their queries
 from .registry import ORACLES, QUERIES
 
 

@@ -305,21 +305,18 @@ def a11_job(spark, sf_dir):
 
 # --- alerts --------------------------------------------------------------------
 
-def _alert_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    fired = table(spark, sf_dir, "events").select(
-        "user_id", F.col("event_type").alias("service_name"), F.col("ts").alias("alert_at")
-    )
+def alert_users(spark, sf_dir) -> DataFrame:
+    """``customer`` as users with alert settings of every kind."""
     key = F.col("c_custkey")
-    users = table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer").select(
         key.alias("user_id"), F.when(key % 11 != 0, F.concat(F.col("c_name"), F.lit("@example.com"))).alias("email"),
         F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("email_alerts_enabled"),
         (key % 2 == 0).alias("email_notifications"),
         F.when(key % 5 != 0, (key % 7) * 1440).cast("int").alias("email_alert_cooldown_minutes"),
     )
-    return fired, users
 
 
-@query("A12_alert_selection", """WITH users AS (SELECT c_custkey AS user_id,
+A12_SQL = """WITH users AS (SELECT c_custkey AS user_id,
     CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN c_custkey % 7 * 1440 ELSE 10 END * 60000000 AS pause FROM customer
     WHERE c_custkey % 11 <> 0 AND (c_custkey % 3 = 0 OR (c_custkey % 3 = 2 AND c_custkey % 2 = 0))),
 lists AS (SELECT user_id, event_type AS service_name, pause, list_sort(list(DISTINCT epoch_us(ts))) AS times
@@ -327,9 +324,15 @@ lists AS (SELECT user_id, event_type AS service_name, pause, list_sort(list(DIST
 folded AS (SELECT user_id, service_name, list_reduce(list_transform(times, lambda t: [t]),
     lambda sent, t: CASE WHEN t[1] - sent[-1] >= pause THEN list_concat(sent, t) ELSE sent END) AS sent FROM lists),
 flat AS (SELECT user_id, service_name, unnest(sent) AS us FROM folded)
-SELECT user_id, service_name, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S') AS alert_at FROM flat""")
+SELECT user_id, service_name, strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S') AS alert_at FROM flat"""
+
+
+@query("A12_alert_selection", A12_SQL)
 def a12_alerts(spark, sf_dir):
-    return alerts.select_alerts(*_alert_inputs(spark, sf_dir)).withColumn(
+    fired = table(spark, sf_dir, "events").select(
+        "user_id", F.col("event_type").alias("service_name"), F.col("ts").alias("alert_at")
+    )
+    return alerts.select_alerts(fired, alert_users(spark, sf_dir)).withColumn(
         "alert_at", F.date_format("alert_at", "yyyy-MM-dd HH:mm:ss")
     )
 
@@ -499,7 +502,7 @@ def f12_cards(spark, sf_dir):
 j AS (SELECT user_id, series, cost AS actual, lag(cost, 7) OVER (PARTITION BY user_id, series ORDER BY date) AS predicted FROM points),
 k AS (SELECT *, predicted * 0.8::DOUBLE AS lower, predicted * 1.2::DOUBLE AS upper FROM j WHERE predicted IS NOT NULL)
 SELECT user_id, series, count(*) AS points, {fixed('avg(abs(predicted - actual))', 2)} AS mae,
-       {fixed('sqrt(avg((predicted - actual) * (predicted - actual)))', 1)} AS rmse,
+       {fixed('sqrt(avg((predicted - actual) * (predicted - actual)))', 2)} AS rmse,
        {fixed('avg(CASE WHEN actual <> 0 THEN abs((predicted - actual) / actual) END) * 100', 2)} AS mape,
        {fixed('sum(predicted - actual) / sum(actual) * 100', 2)} AS bias_pct,
        {fixed('avg(CASE WHEN actual BETWEEN lower AND upper THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100', 2)} AS coverage_pct
