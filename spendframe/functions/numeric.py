@@ -65,3 +65,18 @@ def share_pct(part: Column, whole: Column, digits: int = 2) -> Column:
     """Rounded percentage of a whole; 0 when the whole is not positive."""
     total = whole.cast("double")
     return F.when(total > 0, fixed(part.cast("double") / total * F.lit(100.0), digits)).otherwise(F.lit(0.0))
+
+
+def carried_max(column: str, *carried: str) -> Column:
+    """Maximum of a column of an aggregate that is also used whole elsewhere in the query.
+
+    Without the carried columns the optimizer would prune them from this use,
+    the two aggregates underneath would differ, and the costs would be scanned
+    twice. With them both are the same and the shuffle is reused.
+    """
+    return F.max(F.struct(column, *carried))[column]
+
+
+def carried_min(column: str, *carried: str) -> Column:
+    """Minimum with the same purpose as :func:`carried_max`."""
+    return F.min(F.struct(column, *carried))[column]

@@ -8,7 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-DEFAULT_COOLDOWN_MINUTES = 10  # fixed value
+from ..functions.numeric import carried_max
+
+# --- fixed values -----------------------------------------------------------
+DEFAULT_COOLDOWN_MINUTES = 10
+DEFAULT_NAME = "Cloud Service"
+# ----------------------------------------------------------------------------
 
 
 def wanted_alerts(alerts: DataFrame, users: DataFrame) -> DataFrame:
@@ -18,7 +23,8 @@ def wanted_alerts(alerts: DataFrame, users: DataFrame) -> DataFrame:
     settings = users.where(F.col("email").isNotNull() & (F.col("email") != "") & enabled).select(
         "user_id", (minutes.cast("bigint") * F.lit(60_000_000)).alias("cooldown_us")
     )
-    return alerts.join(settings, "user_id")
+    named = alerts.where(F.col("alert_at").isNotNull()).withColumn("service_name", F.coalesce("service_name", F.lit(DEFAULT_NAME)))
+    return named.join(settings, "user_id")
 
 
 def _sessions(alerts: DataFrame) -> DataFrame:
@@ -34,7 +40,7 @@ def _sessions(alerts: DataFrame) -> DataFrame:
         .groupBy(*key, "us").agg(F.max("cooldown_us").alias("cooldown_us"))
         .withColumn("day", F.floor(F.col("us") / F.lit(86_400_000_000)))
     )
-    days = times.groupBy(*key, "day").agg(F.max("us").alias("day_last"))
+    days = times.groupBy(*key, "day").agg(carried_max("us", "cooldown_us").alias("day_last"))
     by_day = Window.partitionBy(*key).orderBy("day")
     edges = days.withColumn("last_before", F.lag("day_last").over(by_day)).drop("day_last")
     inside = Window.partitionBy(*key, "day").orderBy("us")
@@ -67,18 +73,32 @@ def select_alerts(alerts: DataFrame, users: DataFrame) -> DataFrame:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, allowed = None, 0
         for batch in batches:
-            keep = np.zeros(len(batch), dtype=bool)
-            edges = np.flatnonzero((batch[key] != batch[key].shift()).any(axis=1).to_numpy())
+            if batch.empty:
+                continue
+            names = [batch[column].to_numpy() for column in key]
             times, pauses = batch["us"].to_numpy(), batch["cooldown_us"].to_numpy()
-            for begin, end in zip(edges, [*edges[1:], len(batch)]):
-                name = tuple(batch[key].iloc[begin])
-                if name != current:
-                    current, allowed = name, times[begin]
-                at = begin + np.searchsorted(times[begin:end], allowed)
+            changed = np.zeros(len(batch), dtype=bool)
+            for values in names:
+                changed[1:] |= values[1:] != values[:-1]
+            keep = changed.copy()  # the first alert of a burst always goes out
+            begins = np.flatnonzero(changed)
+            edges = np.concatenate([[0], begins, [len(batch)]])
+            keep[0] = tuple(values[0] for values in names) != current
+            longer = np.flatnonzero(np.diff(edges) > 1)
+            for piece in sorted({0, *longer.tolist()}):
+                begin, end = edges[piece], edges[piece + 1]
+                at = begin
+                if keep[begin]:
+                    allowed = times[begin] + pauses[begin]
+                    at = begin + 1
+                at += np.searchsorted(times[at:end], allowed)
                 while at < end:
                     keep[at] = True
                     allowed = times[at] + pauses[at]
-                    at = begin + np.searchsorted(times[begin:end], allowed)
+                    at += np.searchsorted(times[at:end], allowed)
+            if len(edges) > 2 and edges[-1] - edges[-2] == 1:
+                allowed = times[-1] + pauses[-1]
+            current = tuple(values[-1] for values in names)
             yield batch.loc[keep, ["user_id", "service_name", "us"]]
 
     schema = f"user_id {bursts.schema['user_id'].dataType.simpleString()}, service_name string, us bigint"

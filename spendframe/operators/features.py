@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.category import with_category
-from ..functions.numeric import exact_sum
+from ..functions.numeric import carried_max, exact_sum
 
 # --- fixed values -----------------------------------------------------------
 FEATURES = [
@@ -46,8 +46,8 @@ def detection_series(costs: DataFrame, history_days: int = HISTORY_DAYS) -> Data
 
     Series with fewer than 8 days are left out.
     """
-    daily = daily_series(costs.where(F.col("usage_start_date").isNotNull()))
-    latest = daily.groupBy("user_id").agg(F.max("date").alias("latest"))
+    daily = daily_series(costs).where(F.col("date").isNotNull())
+    latest = daily.groupBy("user_id").agg(carried_max("date", "total").alias("latest"))
     recent = daily.join(latest, "user_id").where(F.col("date") >= F.date_sub("latest", history_days))
     size = F.count(F.lit(1)).over(Window.partitionBy("user_id", "service_name"))
     return recent.withColumn("series_rows", size).where(F.col("series_rows") >= MIN_SERIES_ROWS).drop("series_rows")

@@ -36,7 +36,7 @@ def forecast_series(costs: DataFrame, top: int | None = None) -> DataFrame:
     """Exact daily totals of each tenant over all services and per service (or its ``top`` services)."""
     daily = costs.groupBy("user_id", "service_name", F.to_date("usage_start_date").alias("day")).agg(
         exact_sum("cost").alias("total")
-    )
+    ).where(F.col("user_id").isNotNull() & F.col("service_name").isNotNull() & F.col("day").isNotNull())
     series = F.explode(F.array(F.lit(ALL_SERVICES), F.col("service_name")))
     both = daily.select("user_id", series.alias("series"), "day", "total")
     both = both.groupBy("user_id", "series", "day").agg(F.sum("total").alias("total"))
@@ -60,29 +60,34 @@ def resample(series: DataFrame, granularity: str = "daily", as_of: str | None =
     """Calendar buckets from first to last, 0 for gaps, as (keys, date, cost).
 
     With ``as_of`` the last daily bucket is left out when that day is not over.
-    Series with fewer than 2 buckets are left out.
+    Series with fewer than 2 buckets are left out. Every bucket fills the gap up
+    to the next one itself, so no calendar is joined and the input is read once.
     """
     sums = series.groupBy(*keys, bucket_label(F.col("day"), granularity).alias("date")).agg(F.sum("total").alias("total"))
-    step = {"daily": "interval 1 day", "weekly": "interval 7 days", "monthly": "interval 1 month"}[granularity]
-    first, last = F.col("first"), F.col("last")
+    whole = Window.partitionBy(*keys)
+    following = F.lead("date").over(whole.orderBy("date"))
+    first, last = F.min("date").over(whole), F.max("date").over(whole)
     if granularity == "monthly":
-        grid = F.transform(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr(step)), F.last_day)
+        begin, end = F.trunc("date", "month"), F.add_months(F.trunc("following", "month"), -1)
+        run = F.transform(F.sequence(begin, F.coalesce(end, begin), F.expr("interval 1 month")), F.last_day)
+        buckets = F.months_between(F.trunc("last", "month"), F.trunc("first", "month")).cast("int") + 1
     else:
-        grid = F.sequence(first, last, F.expr(step))
-    spine = (
-        sums.groupBy(*keys).agg(F.min("date").alias("first"), F.max("date").alias("last"))
-        .withColumn("grid", grid).withColumn("buckets", F.size("grid"))
-        .select(*keys, "last", "buckets", F.explode("grid").alias("date"))
+        days = 7 if granularity == "weekly" else 1
+        end = F.coalesce(F.date_sub("following", days), F.col("date"))
+        run = F.sequence(F.col("date"), end, F.expr(f"interval {days} day"))
+        buckets = F.floor(F.datediff("last", "first") / F.lit(days)).cast("int") + 1
+    filled = (
+        sums.where(F.col("date").isNotNull())
+        .withColumns({"following": following, "first": first, "last": last})
+        .select(*keys, "total", "last", buckets.alias("buckets"), F.posexplode(run).alias("gap", "bucket"))
     )
     if as_of is not None and granularity == "daily":
         unfinished = (F.col("last") >= F.lit(str(as_of)[:10]).cast("date")) & (F.col("buckets") > 1)
-        spine = spine.where(~(unfinished & (F.col("date") == F.col("last")))).withColumn(
+        filled = filled.where(~(unfinished & (F.col("bucket") == F.col("last")))).withColumn(
             "buckets", F.col("buckets") - F.when(unfinished, 1).otherwise(0)
         )
-    return (
-        spine.where(F.col("buckets") >= 2).join(sums, [*keys, "date"], "left")
-        .select(*keys, "date", F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("cost"))
-    )
+    cost = F.when(F.col("gap") == 0, F.col("total").cast("double")).otherwise(F.lit(0.0))
+    return filled.where(F.col("buckets") >= 2).select(*keys, F.col("bucket").alias("date"), cost.alias("cost"))
 
 
 def clip_outliers(points: DataFrame, keys: list[str] = SERIES) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.category import CATEGORIES, with_category
-from ..functions.numeric import change_pct, exact_sum, fixed, money, ratio, share_pct
+from ..functions.numeric import carried_max, carried_min, change_pct, exact_sum, fixed, money, ratio, share_pct
 from .filters import last_days, moment, month_bounds, select_costs
 
 BREAKDOWN_FIELDS = {
@@ -99,8 +99,10 @@ def _auto_daily(costs, breakdown_by, granularity, month, latest_month, filters)
     if granularity in ("daily", "monthly"):
         label = _day_text("day") if granularity == "daily" else F.col("month")
         return daily.withColumn("period", label)
+    rest = [c for c in daily.columns if c not in ("user_id", "min_date", "last_start")]
     span = daily.groupBy("user_id").agg(
-        F.min("min_date").alias("first_start"), F.max("last_start").alias("final_start")
+        carried_min("min_date", "last_start", *rest).alias("first_start"),
+        carried_max("last_start", "min_date", *rest).alias("final_start"),
     ).select(
         "user_id",
         (F.floor((F.unix_micros(F.col("final_start").cast("timestamp")) - F.unix_micros(F.col("first_start").cast("timestamp")))

@@ -18,8 +18,9 @@ def detailed_forecast(
     Returns points, history, per-service outlook and executive summary.
     """
     picked = select_for_forecast(costs, **(filters or {}))
-    points = forecast.resample(forecast.forecast_series(picked, top), granularity, as_of)
-    predictions = forecast.forecast(points, periods, granularity, model)
+    # five outputs share the points and the fits: read the costs and fit once
+    points = cut_lineage(forecast.resample(forecast.forecast_series(picked, top), granularity, as_of))
+    predictions = cut_lineage(forecast.forecast(points, periods, granularity, model))
     growth = forecast.series_growth(predictions, points)
     summary = forecast.executive_summary(growth, granularity)
     return {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import exact_sum
-from ..functions.parsing import parse_export_date, parse_number
+from ..functions.parsing import computed_once, parse_export_date, parse_number
 from .headers import quoted, resolve
 
 # --- fixed values -----------------------------------------------------------
@@ -82,10 +82,14 @@ def map_export(raw: DataFrame, provider: str) -> DataFrame:
             raise ValueError(
                 f"no '{field}' column for {key}: expected one of {candidates}, found {raw.columns}"
             )
-    return raw.select(
-        parse_export_date(F.col(quoted(columns["date"]))).alias("date"),
+    parsed = computed_once(raw, {
+        "__date": parse_export_date(F.col(quoted(columns["date"]))),
+        "__cost": parse_number(F.col(quoted(columns["cost"]))),
+    })
+    return parsed.select(
+        F.col("__date").alias("date"),
         F.trim(F.col(quoted(columns["service"]))).alias("service"),
-        parse_number(F.col(quoted(columns["cost"]))).alias("cost"),
+        F.col("__cost").alias("cost"),
         F.lit(key).alias("provider"),
     ).na.drop(subset=["date", "cost"])
 

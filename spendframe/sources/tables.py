@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-distribute a scan that has fewer splits than the session has cores.
+
+    A small single-file table would otherwise run everything up to its first
+    shuffle in one task. A table with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def _choice(key: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(value) for value in values]), (key + 1).cast("int"))
 
@@ -35,7 +45,7 @@ def lineitem_costs(
     """``lineitem`` as cost records, joining only the tables the wanted fields need."""
     fields = fields or COST_FIELDS
     wanted = set(fields)
-    costs = table(spark, sf_dir, "lineitem")
+    costs = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     if "user_id" in wanted:
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
         costs = costs.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
