@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import exact_sum, fixed, money
@@ -85,15 +87,45 @@ def scope_daily(costs: DataFrame) -> DataFrame:
     )
 
 
-def budget_spend(budgets: DataFrame, daily: DataFrame) -> DataFrame:
-    """``actual_spend`` of every budget within its period; 0 without costs."""
-    scoped = _scoped(budgets)
-    hits = scoped.select("budget_id", *SCOPE, "period_start", "period_end").join(daily, SCOPE).where(
-        F.col("day").between(F.col("period_start"), F.col("period_end"))
+def _known_periods(as_of: str) -> list[tuple[str, str, str, int]]:
+    """(period, first day, last day, days left after ``as_of``) of the three periods around ``as_of``."""
+    today = date.fromisoformat(str(as_of)[:10])
+    quarter = 3 * ((today.month - 1) // 3) + 1
+    starts = {"monthly": (today.month, 1), "quarterly": (quarter, 3), "annual": (1, 12)}
+    known = []
+    for period, (month, length) in starts.items():
+        after = date(today.year + (month + length - 1) // 12, (month + length - 1) % 12 + 1, 1)
+        last = after - timedelta(days=1)
+        known.append((period, str(date(today.year, month, 1)), str(last), (last - today).days))
+    return known
+
+
+def _unfold(df: DataFrame, columns: list[str], structs: list[Column], keys: list[str]) -> DataFrame:
+    """One row per struct of every row."""
+    return df.select(*keys, F.explode(F.array(*structs)).alias("part")).select(*keys, *[f"part.{c}" for c in columns])
+
+
+def budget_spend(budgets: DataFrame, daily: DataFrame, as_of: str) -> DataFrame:
+    """``actual_spend`` of every budget within its period; 0 without costs.
+
+    At ``as_of`` all budgets of a kind share the same period, so each scope is
+    summed once per kind and a budget meets one row, however many budgets and
+    days a scope has.
+    """
+    sums = [
+        F.sum(F.when(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")), F.col("total"))).alias(period)
+        for period, first, last, _ in _known_periods(as_of)
+    ]
+    names = [period for period, *_ in _known_periods(as_of)]
+    year = _known_periods(as_of)[-1]
+    per_scope = (
+        daily.where(F.col("day").between(F.lit(year[1]).cast("date"), F.lit(year[2]).cast("date"))).groupBy(*SCOPE).agg(*sums)
     )
-    spend = hits.groupBy("budget_id").agg(F.sum("total").alias("spend"))
-    return scoped.join(spend, "budget_id", "left").withColumn(
-        "actual_spend", F.coalesce(F.col("spend").cast("double"), F.lit(0.0))
+    spend = _unfold(per_scope, ["period", "spend"], [
+        F.struct(F.lit(name).alias("period"), F.col(name).cast("double").alias("spend")) for name in names
+    ], SCOPE)
+    return _scoped(budgets).join(spend, [*SCOPE, "period"], "left").withColumn(
+        "actual_spend", F.coalesce("spend", F.lit(0.0))
     ).drop("spend")
 
 
@@ -101,24 +133,27 @@ def budget_projection(spent: DataFrame, daily: DataFrame, as_of: str, model: str
     """``forecasted_remaining``: forecast of the remaining days under the budget's own scope.
 
     Each scope that has a budget is forecast once, from its completed days,
-    and shared by all of its budgets.
+    and summed once per kind of period.
     """
-    today = F.lit(str(as_of)[:10]).cast("date")
-    open_budgets = spent.where(F.col("days_remaining") > 0)
-    history = daily.where(F.col("day") < today).join(open_budgets.select(*SCOPE).distinct(), SCOPE, "left_semi")
-    points = resample(history, "daily", keys=SCOPE)
-    from datetime import date, timedelta
-
-    yesterday = str(date.fromisoformat(str(as_of)[:10]) - timedelta(days=1))
-    ahead = forecast(points, 366, "daily", model, keys=SCOPE, start_after=yesterday)
-    remaining = (
-        open_budgets.select("budget_id", *SCOPE, "days_remaining").join(ahead.select(*SCOPE, "step", "prediction"), SCOPE)
-        .where(F.col("step") <= F.col("days_remaining"))
-        .groupBy("budget_id").agg(money(exact_sum("prediction")).alias("forecasted_remaining"))
-    )
-    return spent.drop("forecasted_remaining").join(remaining, "budget_id", "left").withColumn(
-        "forecasted_remaining", F.coalesce("forecasted_remaining", F.lit(0.0))
+    today = date.fromisoformat(str(as_of)[:10])
+    history = daily.where(F.col("day") < F.lit(str(today)).cast("date")).join(
+        spent.where(F.col("days_remaining") > 0).select(*SCOPE).distinct(), SCOPE, "left_semi"
     )
+    known = _known_periods(as_of)
+    horizon = max(left for *_, left in known)
+    if horizon == 0:  # the last day of the year ends every period
+        return spent.withColumn("forecasted_remaining", F.lit(0.0))
+    points = resample(history, "daily", keys=SCOPE)
+    ahead = forecast(points, horizon, "daily", model, keys=SCOPE, start_after=str(today - timedelta(days=1)))
+    per_scope = ahead.groupBy(*SCOPE).agg(*[
+        exact_sum(F.when(F.col("step") <= left, F.col("prediction"))).alias(period) for period, _, _, left in known
+    ])
+    remaining = _unfold(per_scope, ["period", "remaining"], [
+        F.struct(F.lit(period).alias("period"), money(period).alias("remaining")) for period, *_ in known
+    ], SCOPE)
+    return spent.drop("forecasted_remaining").join(remaining, [*SCOPE, "period"], "left").withColumn(
+        "forecasted_remaining", F.coalesce("remaining", F.lit(0.0))
+    ).drop("remaining")
 
 
 def budget_status(spent: DataFrame) -> DataFrame:

@@ -39,6 +39,13 @@ def in_month(df: DataFrame, month: str | None, column: str = "usage_start_date")
     return df.where((F.col(column) >= moment(df, first, column)) & (F.col(column) < moment(df, following, column)))
 
 
+def in_year(df: DataFrame, as_of, column: str = "usage_start_date") -> DataFrame:
+    """Rows of the calendar year around ``as_of``, half open."""
+    year = int(str(as_of)[:4])
+    first, following = moment(df, f"{year:04d}-01-01", column), moment(df, f"{year + 1:04d}-01-01", column)
+    return df.where((F.col(column) >= first) & (F.col(column) < following))
+
+
 def month_bounds(month: str | None) -> tuple[str, str] | None:
     """First day of the month and of the next one, null for a bad month."""
     year, dash, number = (month or "").partition("-")

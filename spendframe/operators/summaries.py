@@ -141,9 +141,13 @@ def service_totals(costs: DataFrame) -> DataFrame:
 
 
 def distinct_values(costs: DataFrame, by: list[str], field: str) -> DataFrame:
-    """Distinct values of ``field`` per group, as rows with their number per group."""
-    values = costs.groupBy(*by, field).agg(F.count(F.lit(1)).alias("record_count"))
-    return values.withColumn("distinct_count", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    """The distinct values of ``field`` per group, one row each with its record count."""
+    return costs.groupBy(*by, field).agg(F.count(F.lit(1)).alias("record_count"))
+
+
+def distinct_count(costs: DataFrame, by: list[str], field: str) -> DataFrame:
+    """Number of distinct values of ``field`` per group."""
+    return costs.groupBy(*by).agg(F.countDistinct(field).alias("distinct_count"))
 
 
 def top_of_totals(totals: DataFrame, limit: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import budgets, forecast
-from ..operators.filters import select_for_forecast
+from ..operators.filters import in_year, select_for_forecast
 from ..session import cut_lineage
 
 
@@ -35,10 +35,12 @@ def detailed_forecast(
 def track_budgets(requests: DataFrame, costs: DataFrame, as_of: str, model: str | None = "linear") -> DataFrame:
     """Status of every valid budget; ``model=None`` leaves the projection at 0."""
     tracked = budgets.with_period(budgets.valid_budgets(requests), as_of)
+    if model is None:  # without a forecast only the running year matters
+        costs = in_year(costs, as_of)
     daily = budgets.scope_daily(costs)
     if model is not None:
         daily = cut_lineage(daily)  # spend and forecast both read it: scan the costs once
-    spent = budgets.budget_spend(tracked, daily)
+    spent = budgets.budget_spend(tracked, daily, as_of)
     if model is not None:
         spent = budgets.budget_projection(spent, daily, as_of, model)
     return budgets.budget_status(spent)

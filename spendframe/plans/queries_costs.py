@@ -198,14 +198,20 @@ def q10_service_totals(spark, sf_dir):
     return totals.select("user_id", "service_name", money_col("total").alias("total"))
 
 
-@query("Q11_distinct_services", f"""WITH {COSTS}, g AS (
-    SELECT user_id, billing_period, service_name, count(*) AS record_count FROM costs GROUP BY ALL)
-SELECT *, count(*) OVER (PARTITION BY user_id, billing_period) AS distinct_count FROM g""")
+@query("Q11_distinct_services", f"""WITH {COSTS}
+SELECT user_id, billing_period, service_name, count(*) AS record_count FROM costs GROUP BY ALL""")
 def q11_distinct(spark, sf_dir):
     costs = lineitem_costs(spark, sf_dir, ["user_id", "billing_period", "service_name"])
     return summaries.distinct_values(costs, ["user_id", "billing_period"], "service_name")
 
 
+@query("Q11_distinct_accounts", f"""WITH {COSTS}
+SELECT user_id, billing_period, count(DISTINCT cloud_account_id) AS distinct_count FROM costs GROUP BY ALL""")
+def q11_count(spark, sf_dir):
+    costs = lineitem_costs(spark, sf_dir, ["user_id", "billing_period", "cloud_account_id"])
+    return summaries.distinct_count(costs, ["user_id", "billing_period"], "cloud_account_id")
+
+
 @query("J5_top_services_costs", f"""WITH {COSTS}, g AS (SELECT user_id, service_name, {total('cost')} AS t FROM costs GROUP BY ALL),
 top AS (SELECT user_id, service_name FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, service_name) <= 5)
 SELECT user_id, service_name, billing_period, count(*) AS record_count, {money(total('cost'))} AS total_cost

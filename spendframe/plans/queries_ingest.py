@@ -336,13 +336,11 @@ def p9_category(spark, sf_dir):
     return with_category(names)
 
 
-@query("P10_categories_in_use", f"""WITH {COSTS}, s AS (SELECT DISTINCT service_name FROM costs)
-SELECT {category_sql('service_name')} AS category, string_agg(service_name, ',' ORDER BY service_name) AS services FROM s GROUP BY 1""")
+@query("P10_categories_in_use", f"""WITH {COSTS}, s AS (SELECT DISTINCT service_name, {category_sql('service_name')} AS category FROM costs)
+SELECT category, count(*) AS service_count FROM s GROUP BY 1""")
 def p10_categories(spark, sf_dir):
     services = lineitem_costs(spark, sf_dir, ["service_name"]).distinct()
-    return with_category(services).groupBy("category").agg(
-        F.array_join(F.array_sort(F.collect_set("service_name")), ",").alias("services")
-    )
+    return with_category(services).groupBy("category").agg(F.count(F.lit(1)).alias("service_count"))
 
 
 # --- validation and building -----------------------------------------------------

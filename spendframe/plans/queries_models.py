@@ -456,6 +456,62 @@ def _detailed(spark, sf_dir, granularity: str = "daily", periods: int = 30) -> d
     return forecasting.detailed_forecast(_until(_forecast_costs(spark, sf_dir)), AS_OF, periods, granularity)
 
 
+CUT = "2001-05-16"
+
+
+def _repeat_forecast(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(predictions, history): the last 30 days stand in as the forecast of the history before them."""
+    points = _points(spark, sf_dir, "daily")
+    cut = F.lit(CUT).cast("date")
+    predictions = points.where(F.col("date") >= cut).select(
+        "user_id", "series", (F.datediff("date", cut) + 1).alias("step"), "date", F.col("cost").alias("prediction"),
+        (F.col("cost") * 0.8).alias("lower"), (F.col("cost") * 1.2).alias("upper"),
+        fixed_col("cost").alias("trend_value"), F.lit(87.5).alias("confidence"),
+    )
+    return predictions, points.where(F.col("date") < cut)
+
+
+_REPEAT = f"""{_RESAMPLED['daily']}, ahead AS (SELECT user_id, series, {total('cost')} AS tp, count(*) AS periods,
+    {fixed('min_by(cost, date)')} AS f, {fixed('max_by(cost, date)')} AS l FROM points WHERE date >= DATE '{CUT}' GROUP BY 1, 2),
+past AS (SELECT user_id, series, CAST({total(fixed('cost'))} AS DOUBLE) / count(*) AS c FROM points WHERE date < DATE '{CUT}' GROUP BY 1, 2),
+growth AS (SELECT *, {fixed('tp')} AS total_predicted_cost, {fixed('tp')} / periods AS p,
+    CASE WHEN f > 0 AND l > f * 1.05::DOUBLE THEN 'increasing' WHEN f > 0 AND l < f * 0.95::DOUBLE THEN 'decreasing' ELSE 'stable' END AS trend
+    FROM ahead JOIN past USING (user_id, series)),
+g AS (SELECT *, coalesce(CASE WHEN c > 0 THEN (p - c) / c * 100 END, 0) AS g FROM growth)"""
+
+
+@query("F5_trend_of_repeat", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_REPEAT}
+SELECT user_id, series, total_predicted_cost, periods, 87.5::DOUBLE AS confidence_score, trend FROM growth""")
+def f5_repeat(spark, sf_dir):
+    return forecast.forecast_totals(_repeat_forecast(spark, sf_dir)[0])
+
+
+@query("F10_summary_of_repeat", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_REPEAT}
+SELECT user_id, total_predicted_cost, {fixed('g', 1)} AS growth_percentage,
+    CASE WHEN g > 20 THEN 'Critical' WHEN g > 5 THEN 'Warning' WHEN g < -5 THEN 'Good' ELSE 'Stable' END AS status_badge,
+    'Next ' || periods || ' Days' AS period_label, 'Day' AS period_unit, trend, 87.5::DOUBLE AS confidence_score,
+    {fixed('c')} AS current_period_avg, {fixed('p')} AS predicted_period_avg FROM g WHERE series = '__all__'""")
+def f10_repeat(spark, sf_dir):
+    return forecast.executive_summary(forecast.series_growth(*_repeat_forecast(spark, sf_dir))).drop("risk")
+
+
+@query("F11_outlook_of_repeat", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_REPEAT}
+SELECT user_id, series AS service_name, total_predicted_cost, trend, {fixed('g', 1)} AS growth_pct,
+    CASE WHEN g > 15 THEN 'Increasing' WHEN g < -5 THEN 'Decreasing' ELSE 'Stable' END AS status,
+    CASE WHEN g > 15 THEN 'Review resource allocation and scaling policies.' WHEN g < -5 THEN 'Validate if meaningful services were turned off.'
+         ELSE 'Monitor for unexpected spikes.' END AS action_item FROM g WHERE series <> '__all__'""")
+def f11_repeat(spark, sf_dir):
+    return forecast.service_outlook(forecast.series_growth(*_repeat_forecast(spark, sf_dir)))
+
+
+@query("Q26_pivot_of_repeat", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_RESAMPLED['daily']}
+SELECT user_id, strftime(date, '%Y-%m-%d') AS date, {', '.join(f"max(CASE WHEN series = '{name}' THEN {fixed('cost')} END) AS " + chr(34) + name + chr(34) for name in SERVICE_OF_TYPE.values())}
+FROM points WHERE date >= DATE '{CUT}' AND series <> '__all__' GROUP BY 1, 2""")
+def q26_repeat(spark, sf_dir):
+    output = forecast.forecast_output(_repeat_forecast(spark, sf_dir)[0])
+    return forecast.pivot_forecast(output, list(SERVICE_OF_TYPE.values()))
+
+
 @query("F9_detailed_forecast")
 def f9_detailed(spark, sf_dir):
     return _detailed(spark, sf_dir)["forecast"]
@@ -566,7 +622,7 @@ def b2_bounds(spark, sf_dir):
 SELECT budget_id, user_id, scope_type, scope_value, {fixed('actual')} AS actual_spend FROM spent""")
 def b3_spend(spark, sf_dir):
     tracked = budgets.with_period(budgets.valid_budgets(customer_budgets(spark, sf_dir)), AS_OF)
-    spent = budgets.budget_spend(tracked, budgets.scope_daily(lineitem_costs(spark, sf_dir, _BUDGET_FIELDS)))
+    spent = budgets.budget_spend(tracked, budgets.scope_daily(lineitem_costs(spark, sf_dir, _BUDGET_FIELDS)), AS_OF)
     return spent.select("budget_id", "user_id", "scope_type", "scope_value", fixed_col("actual_spend").alias("actual_spend"))
 
 
