@@ -14,8 +14,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.window import WindowSpec
 
 UNITS_PER_CURRENCY = 1e8
-_LIMB_BITS = 20
-_LIMB = 1 << _LIMB_BITS
+_LIMB = 1 << 20
 _UNIT = Decimal("0.00000001")
 
 
@@ -24,15 +23,18 @@ def _as_column(value: Column | str) -> Column:
 
 
 def units(cost: Column | str) -> Column:
-    """Cost in 1e-8 units as bigint."""
+    """Cost in 1e-8 units as bigint; amounts above 9.2e10 count as that."""
     return F.floor(_as_column(cost) * F.lit(UNITS_PER_CURRENCY) + F.lit(0.5))
 
 
 def exact_sum(cost: Column | str, over: WindowSpec | None = None) -> Column:
     """Order-independent sum of a double column as decimal(38,8); null for no input."""
-    amount = units(cost)
-    high = F.sum(F.shiftright(amount, _LIMB_BITS))
-    low = F.sum(amount.bitwiseAND(F.lit(_LIMB - 1).cast("bigint")))
+    # scaling by a power of two and taking the remainder are exact on doubles,
+    # so single amounts may be as large as 9e13 and totals as large as 9e16
+    amount = _as_column(cost) * F.lit(UNITS_PER_CURRENCY) + F.lit(0.5)
+    high_limb = F.floor(amount * F.lit(1.0 / _LIMB))
+    high = F.sum(high_limb)
+    low = F.sum(F.floor(amount - high_limb * F.lit(float(_LIMB))))
     if over is not None:
         high, low = high.over(over), low.over(over)
     return (high.cast("decimal(20,0)") * F.lit(Decimal(_LIMB)) + low.cast("decimal(20,0)")) * F.lit(_UNIT)

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numeric import exact_sum, fixed, money, ratio
+from ..functions.numeric import exact_sum, fixed, ratio
 from .summaries import top_of_totals
 
 ALL_SERVICES = "__all__"

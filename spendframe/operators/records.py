@@ -10,6 +10,7 @@ from ..schema import CURRENCIES, PROVIDERS, REQUIRED_FIELDS
 _TEXT_DEFAULTS = {
     "cloud_account_id": "", "resource_id": "", "region": "us-east-1", "usage_unit": "", "currency": "USD",
 }
+MAX_COST = 9e13  # the largest single amount that sums stay exact for
 CORRECTABLE = [
     "provider", "cloud_account_id", "service_name", "resource_id", "region", "usage_quantity", "usage_unit",
     "cost", "currency", "usage_start_date", "usage_end_date", "tags", "metadata",
@@ -49,7 +50,7 @@ def with_validation(records: DataFrame) -> DataFrame:
         "__start": _moment(records, "usage_start_date"), "__end": _moment(records, "usage_end_date"),
     })
     cost, quantity, start, end = (F.col(name) for name in ("__cost", "__quantity", "__start", "__end"))
-    finite = cost.isNotNull() & ~F.isnan(cost) & (F.abs(cost) < F.lit(9e10))
+    finite = cost.isNotNull() & ~F.isnan(cost) & (F.abs(cost) < F.lit(MAX_COST))
     quantity_given = F.col("usage_quantity").isNotNull() if "usage_quantity" in records.columns else F.lit(False)
     currency = F.coalesce(F.col("currency"), F.lit("USD")) if "currency" in records.columns else F.lit("USD")
     name = F.col("service_name") if "service_name" in records.columns else F.lit(None).cast("string")

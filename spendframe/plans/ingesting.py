@@ -102,7 +102,7 @@ def ingest_and_detect(
     kept = cut_lineage(normalized)
     good, rejects = records.ingest(records.normalized_to_records(kept, F.lit(user_id), ingested_at), ingested_at)
     store.append_costs(good, cost_path)
-    detected = detect_category_anomalies(kept.withColumn("user_id", F.lit(user_id)), model)
+    detected = cut_lineage(detect_category_anomalies(kept.withColumn("user_id", F.lit(user_id)), model))
     fresh = cut_lineage(anomalies.new_anomalies(detected, stored, anomalies.INGEST_TYPE, match_type=False))
     fresh.write.mode("append").parquet(anomaly_path)
     one = [

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.category import category_sql
 from ..functions.numeric import exact_sum, fixed as fixed_col, money as money_col
-from ..operators import alerts, anomalies, budgets, features, forecast, forest, insights, records, reports, summaries
+from ..operators import alerts, anomalies, budgets, features, forecast, forest, insights, records, reports
 from ..session import shared_dir
 from ..sources import store
 from ..sources.tables import SERVICE_OF_TYPE, customer_budgets, event_costs, lineitem_costs, table

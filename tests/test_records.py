@@ -29,6 +29,7 @@ def _error(spark, **changes):
     ({"cost": "x"}, "Cost must be a valid number"),
     ({"cost": "NaN"}, "Cost must be a valid number"),
     ({"cost": "inf"}, "Cost must be a valid number"),
+    ({"cost": "500000000000"}, None),
     ({"cost": "-0.01"}, "Cost must be greater than or equal to 0"),
     ({"cost": "0"}, None),
     ({"usage_quantity": "many"}, "Usage quantity must be a valid number"),
@@ -75,6 +76,8 @@ def test_exact_sum_ignores_order_and_scale(spark):
     again = big.orderBy(F.desc("cost")).agg(exact_sum("cost")).first()[0]
     expected = sum((i % 7) * 10_000_000 for i in range(100_000)) + 10**17 + 1
     assert int(first.scaleb(8)) == expected and first == again
+    huge = spark.createDataFrame([(8e13,), (8e13,), (0.01,), (3e11,)], "cost double")
+    assert int(huge.agg(exact_sum("cost")).first()[0].scaleb(8)) == 16 * 10**21 + 10**6 + 3 * 10**19
     assert spark.createDataFrame([(-1.25,), (-2.5,)], "cost double").agg(money(exact_sum("cost"))).first()[0] == -3.75
     assert spark.createDataFrame([(2.675,), (1.005,)], "x double").select(fixed("x", 1)).collect()[0][0] == 2.7
 
