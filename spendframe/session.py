@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the files (survives executor loss)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared folder and continue from its files.
+
+    The result survives executor loss. Unlike ``checkpoint()``, which runs the
+    plan once to materialise and once more to write, this runs it once. The
+    tables stay until the shared folder is cleaned.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
