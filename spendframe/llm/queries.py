@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_ids, host_rules, mixing, packing, toxicity
+from . import byte_ids, host_rules, mixing, near_dups, packing, spots, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,13 @@ FROM failed JOIN rates ON failed.source IS NOT DISTINCT FROM rates.source"""
 @_query("op8_host_rules", _HOST_SQL)
 def host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(documents(spark, sf_dir))
+
+
+@_query("op9_near_duplicates")
+def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, sf_dir))
+
+
+@_query("op10_spot_signatures")
+def spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.edited_likeness(documents(spark, sf_dir))
