@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_ids, host_rules, mixing, near_dups, packing, spots, toxicity
+from . import byte_ids, host_rules, mixing, near_dups, packing, repeats, spots, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,11 @@ def host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(documents(spark, sf_dir))
 
 
+@_query("op5_repeated_strings")
+def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
+
+
 @_query("op9_near_duplicates")
 def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(documents(spark, sf_dir))

@@ -247,6 +247,16 @@ def score(docs: DataFrame, model: Model, reject_at: float = REJECT_AT) -> DataFr
     return texts.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Model, reject_at: float = REJECT_AT) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all columns."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
+            yield batch.filter(pa.array(model.scores(texts) < reject_at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """The rows whose labels are never learned: crc32 of doc_id as text leaves 1 modulo 3."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
