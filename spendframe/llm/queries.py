@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_ids, host_rules, mixing, near_dups, packing, repeats, spots, toxicity
+from . import byte_ids, host_rules, lm_score, mixing, near_dups, packing, repeats, spots, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed JOIN rates ON failed.source IS NOT DISTINCT FROM rates.source"""
 
 
+@_query("op7_lm_difference")
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return lm_score.cross_entropy_difference(documents(spark, sf_dir), labels)
+
+
 @_query("op8_host_rules", _HOST_SQL)
 def host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(documents(spark, sf_dir))
