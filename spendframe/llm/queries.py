@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_ids, host_rules, lm_score, mixing, near_dups, packing, repeats, spots, toxicity
+from . import byte_ids, host_rules, lm_score, mixing, near_dups, packing, quotes, repeats, spots, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def byte_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_ids.round_trip(documents(spark, sf_dir), "byte_bpe_50k.json", end_id=2)
 
 
+@_query("op2_quote_links")
+def reply_ordered_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @_query("op3_toxicity")
 def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
