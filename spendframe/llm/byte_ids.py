@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import groups_for, keep, new_folder, text_of, write_file
+from .common import groups_for, keep, new_folder, small_batches, text_of, write_file
 from .tokens import encoder
 
 MAGIC = 0x31444942
@@ -113,7 +113,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, shard_bytes: int = SH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, place = encoder(tokenizer), 0
         kind = "<u2" if control_bits(len(coder.edge)) == 1 else "<u4"
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, counts = coder.encode(batch.column("text"))
             if not len(counts):
                 continue
@@ -178,7 +178,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Data
 def read_ids(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """One row per document, read from the files: doc_id, start, n_tokens, ids_crc32."""
     ranks = spark.read.format("binaryFile").load(f"{folder}/ranks").select("content").first()
-    ids_of_rank = np.frombuffer(ranks[0], "<u4")
+    ids_of_rank = np.frombuffer(ranks[0] if ranks else b"", "<u4")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_for, text_of
+from .common import groups_for, small_batches, text_of
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -84,7 +84,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, dealt = encoder(tokenizer), 0
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, counts = coder.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(counts), end_id) if len(counts) else ids
             rows: list[tuple] = []

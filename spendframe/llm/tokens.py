@@ -9,6 +9,7 @@ doubled spaces or other unusual white space are cut less finely.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -16,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PARTS_KEPT = 2_000_000  # remembered parts of a worker; beyond it the memory is emptied, results stay the same
+PARTS_KEPT = 1_500_000  # remembered parts of a worker; beyond it the memory is emptied, results stay the same
 _TAIL = ".,;:!?)"
-_WORD = r"^(?P<stem>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<tail>[.,;:!?)]*)$"
+_WORD = r"^(?P<feed>\n?)(?P<stem>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]+)(?P<tail>[.,;:!?)]*)$"
 _SPACE = "\u0120"  # a leading space in the names of byte-level tokens
 _JOINED = 256
+AT_ONCE = 6 << 20  # bytes of text that are cut and gathered at once
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -66,12 +68,21 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and each text's number of ids. Null counts as empty."""
-        if not len(texts):
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(np.asarray(pc.binary_length(texts)))
+        found = [(np.empty(0, np.uint32), np.empty(0, np.int64))]
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+            found.append(self._encode(texts.slice(at, stop - at)))
+            at = stop
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([counts for _, counts in found])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > self.kept:
             self._forget()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        pieces = pc.split_pattern(texts, " ")
+        # a line feed stays at the head of the piece behind it, which then has no space before it
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         bounds = np.asarray(pieces.offsets)
         coded = pieces.flatten().dictionary_encode()
         words = coded.dictionary
@@ -100,18 +111,30 @@ class PieceEncoder:
         odd = np.flatnonzero(np.asarray(pc.is_null(cut)))
         odd_words = pc.take(words, pa.array(odd)).to_pylist()
         loose = np.zeros(len(words), bool)
-        loose[odd] = [not w or w[0].isspace() or w[-1].isspace() for w in odd_words]
-        stem = pc.fill_null(pc.struct_field(cut, "stem"), "").dictionary_encode()
-        tail = pc.fill_null(pc.struct_field(cut, "tail"), "").dictionary_encode()
-        stem_part = self._places([" " + x for x in stem.dictionary.to_numpy(zero_copy_only=False)], True)[np.asarray(stem.indices)]
-        tail_part = self._places(list(tail.dictionary.to_numpy(zero_copy_only=False)))[np.asarray(tail.indices)]
-        tailed = np.asarray(pc.greater(pc.binary_length(pc.fill_null(pc.struct_field(cut, "tail"), "")), 0))
-        odd_parts = [_parts(" " + x) for x in odd_words]
-        counts = 1 + tailed.astype(np.int64)
+        loose[odd] = [not w or w == "\n" or w[0].isspace() and w[0] != "\n" or w[-1].isspace() or w[1:2].isspace() for w in odd_words]
+        feed, stem, tail = (pc.fill_null(pc.struct_field(cut, name), "") for name in ("feed", "stem", "tail"))
+        fed, tailed = (np.asarray(pc.greater(pc.binary_length(x), 0)) for x in (feed, tail))
+        if self.by_end:  # the tokenizer itself lowers letters and drops spaces
+            stem, spaced = pc.utf8_lower(stem), np.ones(len(words), bool)
+        else:
+            spaced = ~fed
+        stem_part = np.zeros(len(words), np.int64)
+        for of, before in ((spaced, " "), (~spaced, "")):
+            if of.any():
+                coded = stem.filter(pa.array(of)).dictionary_encode()
+                known = self._places([before + x for x in coded.dictionary.to_numpy(zero_copy_only=False)], bool(before))
+                stem_part[of] = known[np.asarray(coded.indices)]
+        coded = tail.dictionary_encode()
+        tail_part = self._places(list(coded.dictionary.to_numpy(zero_copy_only=False)))[np.asarray(coded.indices)]
+        odd_parts = [_parts(x if x[:1] == "\n" else " " + x) for x in odd_words]
+        counts = 1 + tailed.astype(np.int64) + fed
         counts[odd] = [len(x) for x in odd_parts]
         ends = np.cumsum(counts)
         parts = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-        parts[(ends - counts)] = stem_part
+        parts[(ends - counts)[fed]] = self._places(["\n"])[0]
+        plain = np.ones(len(words), bool)
+        plain[odd] = False
+        parts[(ends - counts + fed)[plain]] = stem_part[plain]
         parts[(ends - 1)[tailed]] = tail_part[tailed]
         if len(odd):
             parts[np.repeat((ends - counts)[odd] - np.cumsum(counts[odd]) + counts[odd], counts[odd]) + np.arange(int(counts[odd].sum()))] = (
@@ -138,30 +161,35 @@ class PieceEncoder:
         place = self.place
         fresh = list(dict.fromkeys(x for x in parts if x not in place))
         if fresh:
-            groups = [fresh[at:at + _JOINED] for at in range(0, len(fresh), _JOINED)] if letters else [[x] for x in fresh]
-            coded = self.tokenizer.encode_batch_fast(["".join(x) for x in groups], add_special_tokens=False)
-            for group, found in zip(groups, coded, strict=True):
-                self._keep(group, np.array(found.ids, np.uint32))
+            step = _JOINED if letters else 1
+            groups = [fresh[at:at + step] for at in range(0, len(fresh), step)]
+            coded = [x.ids for x in self.tokenizer.encode_batch_fast(["".join(x) for x in groups], add_special_tokens=False)]
+            if letters:
+                for group, ids in zip(groups, coded, strict=True):
+                    self._keep_joined(group, np.array(ids, np.uint32))
+            else:
+                self._keep(fresh, np.fromiter(itertools.chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)))
         return np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
 
-    def _keep(self, group: list[str], ids: np.ndarray) -> None:
-        if len(group) == 1:
-            lengths = np.array([len(ids)])
-        else:
-            at = np.flatnonzero(self.edge[ids])
-            lengths = np.diff(at, prepend=-1) if self.by_end else np.diff(at, append=len(ids))
-            if len(at) != len(group) or lengths.sum() != len(ids):  # a part without its own edge
-                for x in group:
-                    self._keep([x], np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32))
-                return
+    def _keep_joined(self, group: list[str], ids: np.ndarray) -> None:
+        at = np.flatnonzero(self.edge[ids])
+        lengths = np.diff(at, prepend=-1) if self.by_end else np.diff(at, append=len(ids))
+        if len(at) == len(group) and lengths.sum() == len(ids):
+            self._keep(group, ids, lengths)
+        else:  # a part without an edge of its own
+            for x in group:
+                own = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32)
+                self._keep([x], own, np.array([len(own)]))
+
+    def _keep(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         base, have = len(self.place), self.used
         self.used += len(ids)
         self.ids = _room(self.ids, self.used)
-        self.starts, self.lengths = _room(self.starts, base + len(group)), _room(self.lengths, base + len(group))
+        self.starts, self.lengths = _room(self.starts, base + len(parts)), _room(self.lengths, base + len(parts))
         self.ids[have:self.used] = ids
-        self.starts[base:base + len(group)] = have + np.cumsum(lengths) - lengths
-        self.lengths[base:base + len(group)] = lengths
-        self.place.update(zip(group, range(base, base + len(group)), strict=True))
+        self.starts[base:base + len(parts)] = have + np.cumsum(lengths) - lengths
+        self.lengths[base:base + len(parts)] = lengths
+        self.place.update(zip(parts, range(base, base + len(parts)), strict=True))
 
 
 class _Sequences:
