@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_for, keep, text_of
+from .common import groups_for, keep, small_batches, text_of
 
 PERMUTATIONS = 120
 BAND_ROWS = 3  # hash functions of a band, two values each
@@ -115,7 +115,7 @@ def _cuts(starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_digest (null without shingles) and the band keys."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             flat, sizes = shingle_sets(batch.column("text"))
             some = np.flatnonzero(sizes)
             keys = band_keys(flat, sizes[some])
@@ -147,7 +147,7 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     groups = groups_for(needed.agg(F.sum(F.size("places"))).first()[0], SETS)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             flat, sizes = shingle_sets(batch.column("text"))
             ends = np.cumsum(sizes)
             for doc, places, size, end in zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), sizes.tolist(), ends.tolist(), strict=True):

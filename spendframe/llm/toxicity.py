@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, text_of
+from .common import keep, small_batches, text_of
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
 CLASSES = {
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
 def score(docs: DataFrame, model: Model, reject_at: float = REJECT_AT) -> DataFrame:
     """doc_id, score and predicted of each document."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             scores = model.scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores), pa.array((scores >= reject_at).astype(np.int32))], names=["doc_id", "score", "predicted"])
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: Model, reject_at: float = REJECT_AT) -> DataFr
 def clean(docs: DataFrame, model: Model, reject_at: float = REJECT_AT) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all columns."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
             yield batch.filter(pa.array(model.scores(texts) < reject_at))
 
