@@ -39,9 +39,9 @@ LENGTH = 200
 GRAM = 40
 WINDOW = LENGTH - GRAM + 1
 LETTER = 8
-GROUP_BYTES = 8 << 20  # of texts around anchors in a task
+GROUP_BYTES = 4 << 20  # of texts around anchors in a task
 SORTED_BYTES = 1 << 20  # sorted at once
-BUCKET_BYTES = 12 << 20  # of documents in a task
+BUCKET_BYTES = 6 << 20  # of documents in a task
 _BASE = 0x9E3779B97F4A7C15
 _PLACE_BITS = 26
 _CARRIED = "carried_"
