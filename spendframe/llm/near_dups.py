@@ -53,7 +53,8 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of all texts one after the other, and each text's number of words."""
     import xxhash
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    whole = pc.take(texts.cast(pa.large_string()), pa.array(np.arange(len(texts))))  # not a slice: the lowering kernel misreads those
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole, "")))
     flat = lists.flatten()
     full = np.asarray(pc.greater(pc.binary_length(flat), 0))
     before = np.concatenate([[0], np.cumsum(full)])

@@ -74,7 +74,7 @@ class PieceEncoder:
         at = 0
         while at < len(texts):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
-            found.append(self._encode(texts.slice(at, stop - at)))
+            found.append(self._encode(pc.take(texts, pa.array(np.arange(at, stop)))))
             at = stop
         return np.concatenate([ids for ids, _ in found]), np.concatenate([counts for _, counts in found])
 

@@ -205,6 +205,19 @@ def test_chain_of_links_across_one_bucket_is_whole():
     assert (keys[0] == keys[1]).all() and (keys[0] == keys[2]).any() and keys.shape == (3, 40)
 
 
+def test_slices_of_columns():
+    texts = pa.array(["Some Words here"] * 3 + ["É and E", None, "  two  words\u00a0 "] * 200)
+    flat, sizes = near_dups.shingle_sets(texts)
+    words, counts = near_dups.word_hashes(texts.slice(3))
+    part, part_sizes = near_dups.shingle_sets(texts.slice(3))
+    assert part_sizes.tolist() == sizes[3:].tolist() and part.tolist() == flat[sizes[:3].sum():].tolist()
+    assert counts.tolist() == [3, 0, 3] * 200 and len(words) == 1200
+    sized = texts.cast(pa.large_string())
+    ids, n = tokens.encoder(TOKENIZERS[1]).encode(sized.slice(3))
+    whole, m = tokens.encoder(TOKENIZERS[1]).encode(sized)
+    assert ids.tolist() == whole[m[:3].sum():].tolist() and n.tolist() == m[3:].tolist()
+
+
 # ---- language models
 
 
