@@ -211,7 +211,7 @@ def test_slices_of_columns():
     words, counts = near_dups.word_hashes(texts.slice(3))
     part, part_sizes = near_dups.shingle_sets(texts.slice(3))
     assert part_sizes.tolist() == sizes[3:].tolist() and part.tolist() == flat[sizes[:3].sum():].tolist()
-    assert counts.tolist() == [3, 0, 3] * 200 and len(words) == 1200
+    assert counts.tolist() == [3, 0, 2] * 200 and len(words) == 1000
     sized = texts.cast(pa.large_string())
     ids, n = tokens.encoder(TOKENIZERS[1]).encode(sized.slice(3))
     whole, m = tokens.encoder(TOKENIZERS[1]).encode(sized)
