@@ -1,9 +1,9 @@
 """Money arithmetic that does not depend on row order.
 
 Sums of doubles change with the order of the rows, sums of wide decimals are
-exact but an order of magnitude slower. ``exact_sum`` counts 1e-8 currency
-units in two whole-number limbs, so the hot loop adds two longs per row and
-the result is an exact decimal(38,8).
+exact but an order of magnitude slower. ``exact_sum`` adds each amount in four
+whole-number limbs, so the hot loop adds longs and the result is an exact
+decimal(38,8), for amounts from far below 1e-8 up to more than 1e20.
 """
 
 from __future__ import annotations
@@ -14,30 +14,42 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.window import WindowSpec
 
 UNITS_PER_CURRENCY = 1e8
-_LIMB = 1 << 20
+_LIMB = float(1 << 20)
 _UNIT = Decimal("0.00000001")
+_FRACTIONS = float(1 << 26)  # parts of a unit
+_NOISE = 2.0 ** -51  # a double near a decimal number is off by less than this part of itself
 
 
 def _as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def units(cost: Column | str) -> Column:
-    """Cost in 1e-8 units as bigint; amounts above 9.2e10 count as that."""
-    return F.floor(_as_column(cost) * F.lit(UNITS_PER_CURRENCY) + F.lit(0.5))
-
-
 def exact_sum(cost: Column | str, over: WindowSpec | None = None) -> Column:
-    """Order-independent sum of a double column as decimal(38,8); null for no input."""
-    # scaling by a power of two and taking the remainder are exact on doubles,
-    # so single amounts may be as large as 9e13 and totals as large as 9e16
-    amount = _as_column(cost) * F.lit(UNITS_PER_CURRENCY) + F.lit(0.5)
-    high_limb = F.floor(amount * F.lit(1.0 / _LIMB))
-    high = F.sum(high_limb)
-    low = F.sum(F.floor(amount - high_limb * F.lit(float(_LIMB))))
+    """Order-independent sum of a double column as decimal(38,8); null for no input.
+
+    An amount is cut into its whole currency in two limbs, its 1e-8 units, and what
+    is left of a unit. What is left counts unless it is within the double's own
+    precision, so 0.1 counts as 0.1, and a million rows of 2.1e-9 as 0.0021. A
+    limb of a group holds 6e10 rows; beyond it the sum fails and is never wrong.
+    """
+    amount = _as_column(cost).cast("double")
+    high = F.floor(amount / F.lit(_LIMB))
+    rest = amount - high * F.lit(_LIMB)
+    low = F.floor(rest)
+    scaled = (rest - low) * F.lit(UNITS_PER_CURRENCY)
+    units = F.floor(scaled + F.lit(0.5))
+    left = scaled - units
+    noise = F.abs(amount) * F.lit(_NOISE * UNITS_PER_CURRENCY)
+    parts = F.when(F.abs(left) > noise, F.floor(left * F.lit(_FRACTIONS) + F.lit(0.5))).otherwise(F.when(amount.isNotNull(), F.lit(0).cast("bigint")))
+    sums = [F.sum(limb) for limb in (high, low, units, parts)]
     if over is not None:
-        high, low = high.over(over), low.over(over)
-    return (high.cast("decimal(20,0)") * F.lit(Decimal(_LIMB)) + low.cast("decimal(20,0)")) * F.lit(_UNIT)
+        sums = [limb.over(over) for limb in sums]
+    high, low, units, parts = sums
+    fraction = F.floor(parts / F.lit(_FRACTIONS) + F.lit(0.5))
+    return (
+        high.cast("decimal(20,0)") * F.lit(Decimal(1 << 20)) + low.cast("decimal(20,0)")
+        + (units + fraction).cast("decimal(20,0)") * F.lit(_UNIT)
+    ).cast("decimal(38,8)")
 
 
 def money(value: Column | str) -> Column:

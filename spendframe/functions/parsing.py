@@ -102,22 +102,28 @@ def infer_provider(consumed_service: Column, service_name: Column) -> Column:
     return F.coalesce(_provider_hint(consumed_service), _provider_hint(service_name), F.lit("Other"))
 
 
+def _last_wins(entries: Column) -> Column:
+    """Map of key and value structs; of equal keys the last one stays."""
+    return F.aggregate(entries, empty_tags(), lambda found, entry: F.map_concat(
+        F.map_filter(found, lambda key, _: key != entry["key"]), F.create_map(entry["key"], entry["value"])))
+
+
 def _pairs(text: Column) -> Column:
-    """'k:v,k:v' to a map; of equal keys the last one stays.
+    """'k:v,k:v' to a map; parts without a colon are left out, of equal keys the last one stays."""
+    parts = F.filter(F.split(text, ","), lambda part: part.contains(":"))
+    entries = F.transform(parts, lambda part: F.struct(
+        _stripped(F.substring_index(part, ":", 1)).alias("key"), _stripped(F.regexp_extract(part, "(?s):(.*)$", 1)).alias("value")))
+    return F.when(F.size(parts) > 0, _last_wins(entries)).otherwise(empty_tags())
 
-    The text is cleaned up with regular expressions, which stay in generated
-    code; array functions with lambdas are interpreted per element.
-    """
-    steps = [
-        (r"\s*,\s*", ","),
-        (r"(^|,)[^,:]*(?=,|$)", ""),                      # parts without a colon
-        (r"(^|,)([^,:]*?)\s*:\s*", "$1$2:"),              # blanks around the first colon of a part
-        (r"(^|,)([^,:]*):[^,]*(?=,(?:.*,)?\2:)", ""),     # earlier parts of a key that occurs again
-        (r"^,+", ""),
-    ]
-    for pattern, replacement in steps:
-        text = F.regexp_replace(text, pattern, replacement)
-    return F.when(text != "", F.str_to_map(text, F.lit(","), F.lit(":"))).otherwise(empty_tags())
+
+def _stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _object(text: Column) -> Column:
+    """A flat JSON object to a map, null for anything else; of equal keys the last one stays."""
+    return _last_wins(F.map_entries(F.from_json(text, "map<string,string>")))
 
 
 def empty_tags() -> Column:
@@ -129,7 +135,7 @@ def parse_tags(value: Column) -> Column:
     text = F.trim(value)
     return (
         F.when(text.isNull() | (text == ""), empty_tags())
-        .when(text.startswith("{"), F.coalesce(F.from_json(text, "map<string,string>"), _pairs(text)))
+        .when(text.startswith("{"), F.coalesce(_object(text), _pairs(text)))
         .otherwise(_pairs(text))
     )
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import UNITS_PER_CURRENCY
-from .quantiles import grouped_quantile_units
+from .quantiles import grouped_quantile
 
 UNSET = "No Filters Applied"  # fixed value: the interface sends it for "no filter"
 
@@ -15,19 +16,34 @@ def moment(df: DataFrame, value, column: str = "usage_start_date") -> Column:
     return F.lit(str(value)).cast(df.schema[column].dataType)
 
 
+def _months(df: DataFrame, column: str, first=None, last=None) -> DataFrame:
+    """Rows of the months from ``first`` to ``last``: the cost table is partitioned by the start date's month.
+
+    Follows a bound on the date itself, so a table without partitions tests few months.
+    """
+    if column != "usage_start_date" or "billing_period" not in df.columns:
+        return df
+    if first is not None:
+        df = df.where(F.col("billing_period") >= str(first)[:7])
+    if last is not None:
+        df = df.where(F.col("billing_period") <= str(last)[:7])
+    return df
+
+
 def between_dates(df: DataFrame, start=None, end=None, column: str = "usage_start_date") -> DataFrame:
     """Rows with start <= column <= end, either bound optional."""
     if start is not None:
         df = df.where(F.col(column) >= moment(df, start, column))
     if end is not None:
         df = df.where(F.col(column) <= moment(df, end, column))
-    return df
+    return _months(df, column, start, end)
 
 
 def last_days(df: DataFrame, as_of, days: int, column: str = "usage_start_date") -> DataFrame:
     """Rows of the ``days`` days up to ``as_of``, both ends included."""
     end = moment(df, as_of, column)
-    return df.where((F.col(column) >= end - F.make_dt_interval(F.lit(days))) & (F.col(column) <= end))
+    rows = df.where((F.col(column) >= end - F.make_dt_interval(F.lit(days))) & (F.col(column) <= end))
+    return _months(rows, column, date.fromisoformat(str(as_of)[:10]) - timedelta(days=days), as_of)
 
 
 def in_month(df: DataFrame, month: str | None, column: str = "usage_start_date") -> DataFrame:
@@ -36,14 +52,16 @@ def in_month(df: DataFrame, month: str | None, column: str = "usage_start_date")
     if bounds is None:
         return df
     first, following = bounds
-    return df.where((F.col(column) >= moment(df, first, column)) & (F.col(column) < moment(df, following, column)))
+    rows = df.where((F.col(column) >= moment(df, first, column)) & (F.col(column) < moment(df, following, column)))
+    return _months(rows, column, first, first)
 
 
 def in_year(df: DataFrame, as_of, column: str = "usage_start_date") -> DataFrame:
     """Rows of the calendar year around ``as_of``, half open."""
     year = int(str(as_of)[:4])
     first, following = moment(df, f"{year:04d}-01-01", column), moment(df, f"{year + 1:04d}-01-01", column)
-    return df.where((F.col(column) >= first) & (F.col(column) < following))
+    rows = df.where((F.col(column) >= first) & (F.col(column) < following))
+    return _months(rows, column, f"{year:04d}-01", f"{year:04d}-12")
 
 
 def month_bounds(month: str | None) -> tuple[str, str] | None:
@@ -128,7 +146,5 @@ def this_month(df: DataFrame, as_of) -> DataFrame:
 
 def high_cost(df: DataFrame, quantile: float = 0.9) -> DataFrame:
     """Rows at or above the tenant's cost quantile (nearest rank)."""
-    threshold = grouped_quantile_units(df, ["user_id"], "cost", quantile).select(
-        "user_id", (F.col("quantile_units") / F.lit(UNITS_PER_CURRENCY)).alias("cost_threshold")
-    )
-    return df.join(threshold, "user_id").where(F.col("cost") >= F.col("cost_threshold") - F.lit(0.5 / UNITS_PER_CURRENCY))
+    threshold = grouped_quantile(df, ["user_id"], "cost", quantile)
+    return df.join(threshold, "user_id").where(F.col("cost") >= F.col("quantile_value")).withColumnRenamed("quantile_value", "cost_threshold")

@@ -36,13 +36,14 @@ def forecast_series(costs: DataFrame, top: int | None = None) -> DataFrame:
     """Exact daily totals of each tenant over all services and per service (or its ``top`` services)."""
     daily = costs.groupBy("user_id", "service_name", F.to_date("usage_start_date").alias("day")).agg(
         exact_sum("cost").alias("total")
-    ).where(F.col("user_id").isNotNull() & F.col("service_name").isNotNull() & F.col("day").isNotNull())
-    series = F.explode(F.array(F.lit(ALL_SERVICES), F.col("service_name")))
+    ).where(F.col("user_id").isNotNull() & F.col("day").isNotNull())
+    # a row without a service counts in the tenant's total and has no series of its own
+    series = F.explode(F.array_compact(F.array(F.lit(ALL_SERVICES), F.col("service_name"))))
     both = daily.select("user_id", series.alias("series"), "day", "total")
     both = both.groupBy("user_id", "series", "day").agg(F.sum("total").alias("total"))
     if top is None:
         return both
-    kept = top_of_totals(daily, top).select("user_id", F.col("service_name").alias("series"))
+    kept = top_of_totals(daily.where(F.col("service_name").isNotNull()), top).select("user_id", F.col("service_name").alias("series"))
     overall = both.where(F.col("series") == ALL_SERVICES)
     return overall.unionByName(both.where(F.col("series") != ALL_SERVICES).join(kept, SERIES, "left_semi"))
 

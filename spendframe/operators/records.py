@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.parsing import canonical_provider, computed_once, empty_tags, parse_iso, parse_number
 from ..schema import CURRENCIES, PROVIDERS, REQUIRED_FIELDS
@@ -10,7 +10,6 @@ from ..schema import CURRENCIES, PROVIDERS, REQUIRED_FIELDS
 _TEXT_DEFAULTS = {
     "cloud_account_id": "", "resource_id": "", "region": "us-east-1", "usage_unit": "", "currency": "USD",
 }
-MAX_COST = 9e13  # the largest single amount that sums stay exact for
 CORRECTABLE = [
     "provider", "cloud_account_id", "service_name", "resource_id", "region", "usage_quantity", "usage_unit",
     "cost", "currency", "usage_start_date", "usage_end_date", "tags", "metadata",
@@ -50,7 +49,7 @@ def with_validation(records: DataFrame) -> DataFrame:
         "__start": _moment(records, "usage_start_date"), "__end": _moment(records, "usage_end_date"),
     })
     cost, quantity, start, end = (F.col(name) for name in ("__cost", "__quantity", "__start", "__end"))
-    finite = cost.isNotNull() & ~F.isnan(cost) & (F.abs(cost) < F.lit(MAX_COST))
+    finite = cost.isNotNull() & ~F.isnan(cost) & (F.abs(cost) < F.lit(float("inf")))
     quantity_given = F.col("usage_quantity").isNotNull() if "usage_quantity" in records.columns else F.lit(False)
     currency = F.coalesce(F.col("currency"), F.lit("USD")) if "currency" in records.columns else F.lit("USD")
     name = F.col("service_name") if "service_name" in records.columns else F.lit(None).cast("string")
@@ -136,14 +135,24 @@ def normalized_to_records(normalized: DataFrame, user_id: Column, ingested_at: s
     )
 
 
-def apply_corrections(costs: DataFrame, updates: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+SUPERSEDED = "Superseded by a later correction of the same record"
+
+
+def apply_corrections(costs: DataFrame, updates: DataFrame, as_of: str, order_by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(new snapshot, rejected corrections).
 
     ``updates`` has ``cost_id``, ``user_id`` and any correctable fields; null
     keeps the old value. The merged row is validated again and keeps its old
-    values when a rule fails. One correction per cost record.
+    values when a rule fails. Of several corrections of one record the latest by
+    ``order_by`` counts (ties and a missing column: the greatest by content); the
+    others are rejected.
     """
     changed = [name for name in CORRECTABLE if name in updates.columns]
+    content = F.to_json(F.struct(*[F.col(name) for name in changed])) if changed else F.lit("")
+    latest = [F.col(order_by).desc_nulls_last()] if order_by else []
+    ranked = updates.withColumn("__nth", F.row_number().over(Window.partitionBy("cost_id", "user_id").orderBy(*latest, content.desc())))
+    extra = ranked.where(F.col("__nth") > 1).select("cost_id", "user_id", F.lit(SUPERSEDED).alias("error"))
+    updates = ranked.where(F.col("__nth") == 1)
     renamed = updates.select(
         "cost_id", "user_id", F.lit(True).alias("__hit"), *[F.col(name).alias(f"__new_{name}") for name in changed]
     )
@@ -164,7 +173,7 @@ def apply_corrections(costs: DataFrame, updates: DataFrame, as_of: str) -> tuple
         )
     result = result.withColumn("billing_period", F.date_format("usage_start_date", "yyyy-MM"))
     rejected = checked.where(F.col("__hit") & F.col("error").isNotNull()).select("cost_id", "user_id", "error")
-    return result.select(costs.columns), rejected
+    return result.select(costs.columns), rejected.unionByName(extra)
 
 
 def apply_deletes(rows: DataFrame, tombstones: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.category import category_sql
 from ..functions.numeric import exact_sum, fixed as fixed_col, money as money_col
 from ..operators import features, filters, insights, summaries, trends
-from ..sources.tables import event_costs, lineitem_costs
+from ..sources.tables import event_costs, lineitem_costs, table
 from .registry import AS_OF, COSTS, EVENTS, change, fixed, money, query, share, total
 
 BASE = ["user_id", "cost", "usage_start_date"]
@@ -120,12 +120,32 @@ SELECT user_id, CAST(threshold AS DOUBLE) AS cost_threshold, count(*) AS record_
        CAST(round(sum(exact), 2) AS DOUBLE) AS total_cost
 FROM ranked JOIN limits USING (user_id) WHERE exact >= threshold GROUP BY user_id, threshold""")
 def p19_high_cost(spark, sf_dir):
-    rows = filters.high_cost(lineitem_costs(spark, sf_dir, ["user_id", "cost"]))
+    costs = lineitem_costs(spark, sf_dir, ["user_id", "cost"]).withColumn("cost", F.round("cost", 4))  # the table's amounts have four places
+    rows = filters.high_cost(costs)
     return rows.groupBy("user_id", "cost_threshold").agg(
         F.count(F.lit(1)).alias("record_count"), money_col(exact_sum("cost")).alias("total_cost")
     )
 
 
+@query("Q10_extreme_amounts", """WITH amounts AS (
+    SELECT o_custkey % 10 AS user_id, l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT user_id, CAST(round(count(*) * 0.0000000021::DECIMAL(20,10), 8) AS VARCHAR) AS tiny,
+       CAST(CAST(sum(100000000000000::DECIMAL(30,2) * (l_orderkey % 64)) AS DECIMAL(38,8)) AS VARCHAR) AS huge,
+       CAST(CAST(sum(100000000000000::DECIMAL(30,2) * (l_orderkey % 64)) + sum(l_linenumber * 0.01::DECIMAL(3,2)) AS DECIMAL(38,8)) AS VARCHAR) AS both
+FROM amounts GROUP BY user_id""")
+def q10_extreme_amounts(spark, sf_dir):
+    """Sums of prices per request and of amounts of 1e14 and more, alone and with ordinary ones."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    huge = F.lit(1e14) * (F.col("l_orderkey") % 64)
+    both = F.explode(F.array(huge, F.col("l_linenumber") / 100))
+    user = (F.col("o_custkey") % 10).alias("user_id")
+    single = rows.groupBy(user).agg(
+        exact_sum(F.lit(2.1e-9)).cast("string").alias("tiny"), exact_sum(huge).cast("string").alias("huge"))
+    mixed = rows.select(user, both.alias("cost")).groupBy("user_id").agg(exact_sum("cost").cast("string").alias("both"))
+    return single.join(mixed, "user_id")
+
+
 # --- summaries ---------------------------------------------------------------
 
 def _summary_sql(field: str) -> str:

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import re
+_AS_UNDERSCORE = str.maketrans(" -", "__")
 
 
-def normalize_header(name: str, slash: bool = False) -> str:
-    """Lower case, trimmed, blanks and hyphens (and slashes on request) to underscores."""
-    return re.sub(r"[ \-/]" if slash else r"[ \-]", "_", (name or "").lower().strip())
+def _plain(header: str, slash: bool) -> str:
+    """How headers are compared: case and outer blanks do not count, separators are alike."""
+    plain = header.strip().lower().translate(_AS_UNDERSCORE)
+    return plain.replace("/", "_") if slash else plain
 
 
 def resolve(columns: list[str], candidates: list[str], slash: bool = False) -> str | None:
-    """The column matching the first candidate that occurs; of equal headers the last one."""
-    by_name = {normalize_header(column, slash): column for column in columns}
-    for candidate in candidates:
-        found = by_name.get(normalize_header(candidate, slash))
-        if found is not None:
-            return found
-    return None
+    """The source header that stands for a field, ranked by the place of its candidate; of equal headers the last one."""
+    places: dict[str, int] = {}
+    for place, candidate in enumerate(candidates):
+        places.setdefault(_plain(candidate, slash), place)
+    ranked = [(places[plain], -position, column) for position, column in enumerate(columns) if (plain := _plain(column or "", slash)) in places]
+    return min(ranked)[2] if ranked else None
 
 
 def quoted(column: str) -> str:

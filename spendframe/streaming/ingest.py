@@ -19,11 +19,19 @@ RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RAW_F
 
 def stream_csv(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     """New CSV files of a folder as text records."""
-    return (
-        spark.readStream.schema(RAW_SCHEMA).option("header", True)
-        .option("maxFilesPerTrigger", files_per_trigger).csv(folder)
-        .withColumn("user_id", F.col("user_id").try_cast("bigint"))
-    )
+    return spark.readStream.schema(RAW_SCHEMA).option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(folder)
+
+
+BAD_TENANT = "User id must be a whole number"
+
+
+def checked_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cost records, rejects): a tenant id that is no whole number is a reject, never a record without tenant."""
+    tenant = F.col("user_id").cast("string").try_cast("bigint")
+    readable = batch.where(tenant.isNotNull()).withColumn("user_id", tenant)
+    good, rejects = records.ingest(readable)
+    strangers = batch.where(tenant.isNull()).withColumn("error", F.lit(BAD_TENANT))
+    return good, rejects.withColumn("user_id", F.col("user_id").cast("string")).unionByName(strangers, allowMissingColumns=True)
 
 
 def start_ingest(stream: DataFrame, cost_path: str, reject_path: str, checkpoint: str) -> StreamingQuery:
@@ -34,7 +42,8 @@ def start_ingest(stream: DataFrame, cost_path: str, reject_path: str, checkpoint
     its rows twice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, rejects = records.ingest(batch)
+        batch.persist()  # the files are read once for records and rejects
+        good, rejects = checked_batch(batch)
         # dynamic overwrite touches only the partitions this batch writes
         (
             good.select([F.col(f.name).cast(f.dataType) for f in COST_SCHEMA]).withColumn("batch_id", F.lit(batch_id))
@@ -45,6 +54,7 @@ def start_ingest(stream: DataFrame, cost_path: str, reject_path: str, checkpoint
             rejects.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(reject_path)
         )
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spendframe.functions.numeric import exact_sum, fixed, money
 from spendframe.operators import filters, records
-from spendframe.operators.quantiles import grouped_quantile_units
+from spendframe.operators.quantiles import grouped_quantile
 
 GOOD = {
     "provider": "aws", "service_name": "Amazon EC2", "cost": "1.5", "usage_start_date": "2024-01-01",
@@ -90,13 +90,21 @@ def test_quantile_matches_brute_force(spark):
     values.append((3, 9.25))
     frame = spark.createDataFrame(values, "user_id int, cost double").repartition(7)
     for q in (0.1, 0.5, 0.9, 1.0):
-        got = {r.user_id: r.quantile_units for r in grouped_quantile_units(frame, ["user_id"], "cost", q).collect()}
+        got = {r.user_id: r.quantile_value for r in grouped_quantile(frame, ["user_id"], "cost", q).collect()}
         for user in (1, 2, 3):
-            ordered = sorted(int(c * 1e8 + 0.5) for u, c in values if u == user)
+            ordered = sorted(c for u, c in values if u == user)
             rank = max(1, -(-int(round(q * 1000)) * len(ordered) // 1000))
             assert got[user] == ordered[rank - 1]
 
 
+def test_amounts_are_not_capped(spark):
+    tiny = spark.range(0, 1_000_000, 1, 8).select(F.lit(2.1e-9).alias("cost"))
+    assert str(tiny.agg(exact_sum("cost")).first()[0]) == "0.00210000"
+    rows = spark.createDataFrame([(1, 1e14 * k) for k in range(10)] + [(1, 1e22)], "user_id int, cost double")
+    assert int(rows.agg(exact_sum("cost")).first()[0]) == 45 * 10**14 + 10**22
+    assert sorted(r.cost for r in filters.high_cost(rows, 0.9).collect()) == [9e14, 1e22]
+
+
 def test_month_filter(spark):
     frame = spark.sql("select timestamp_ntz'2024-12-31 23:59:59' as usage_start_date union all select timestamp_ntz'2025-01-01'")
     assert filters.in_month(frame, "2024-12").count() == 1

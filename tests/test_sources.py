@@ -17,8 +17,9 @@ def _write(path, text, encoding="utf-8"):
 
 
 def test_header_matching():
-    assert headers.normalize_header(" Usage-Start Date ") == "usage_start_date"
-    assert headers.normalize_header("lineItem/Cost", slash=True) == "lineitem_cost"
+    assert headers.resolve([" Usage-Start Date "], ["usage_start_date"]) == " Usage-Start Date "
+    assert headers.resolve(["lineItem/Cost"], ["lineitem_cost"], slash=True) == "lineItem/Cost"
+    assert headers.resolve(["lineItem/Cost"], ["lineitem_cost"]) is None
     assert headers.resolve(["Cost", "PRETAXCOST"], ["pretaxcost", "cost"]) == "PRETAXCOST"
     assert headers.resolve(["a"], ["b"]) is None
 
