@@ -36,7 +36,7 @@ from .common import groups_for, small_batches, text_of
 from .near_dups import _mix, word_hashes
 
 UNIGRAM, BIGRAM = 1000.0, 16.0
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 16 << 20
 PART_BYTES = 24 << 20  # of documents for each part of the hashes
 KEY_BYTES = 5  # of a hash, besides the bits that name its part
 _START = np.uint64(0x5354415254)
@@ -96,6 +96,11 @@ def _long(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _counts(raw: pa.Buffer, n: int) -> np.ndarray:
+    """Counts in 4 bytes each, or in 8 where 4 do not hold them."""
+    return np.frombuffer(raw, "<u4" if raw.size == 4 * n else "<u8")
+
+
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     columns = zip(*rows, strict=True) if rows else [()] * len(schema)
     return pa.Table.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
@@ -109,7 +114,8 @@ def _sum_part(table: pa.Table) -> pa.Table:
     out = {}
     for name in ("target", "background"):
         own = np.frombuffer(b"".join(table.column(name).to_pylist()), "<u4")
-        out[name] = np.bincount(index, own, len(keys)).astype("<u8")[index]
+        total = np.bincount(index, own, len(keys))
+        out[name] = total.astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8")[index]
     rows, at = [], 0
     for block, part, size in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), sizes.tolist(), strict=True):
         rows.append((block, part, None, out["target"][at:at + size].tobytes(), out["background"][at:at + size].tobytes()))
@@ -185,8 +191,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
         at = {part: k for k, part in enumerate(parts)}
         target, background = np.zeros(len(own.keys)), np.zeros(len(own.keys))
         for part, a, b in own.slices():
-            target[a:b] = np.frombuffer(back.column("target")[at[part]].as_buffer(), "<u8")
-            background[a:b] = np.frombuffer(back.column("background")[at[part]].as_buffer(), "<u8")
+            target[a:b] = _counts(back.column("target")[at[part]].as_buffer(), b - a)
+            background[a:b] = _counts(back.column("background")[at[part]].as_buffer(), b - a)
         return _scores(own, target, background, n_target, n_background)
 
     dealt = texts.withColumn("block", block(F.coalesce("doc_id", F.xxhash64("text"))))  # shuffled once, used twice
