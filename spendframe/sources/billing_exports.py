@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import exact_sum
@@ -58,10 +60,35 @@ def read_text_csv(spark: SparkSession, path, encoding: str = "UTF-8", multiline:
     return (
         spark.read.option("header", True).option("encoding", encoding)
         .option("quote", '"').option("escape", '"').option("multiLine", multiline)
-        .option("inferSchema", False).csv(path)
+        .option("enforceSchema", False).option("inferSchema", False).csv(path)
     )
 
 
+def header_groups(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
+    """(header, files): the files of all paths and folders by their header line, found in one distributed pass."""
+    lines = spark.read.option("encoding", encoding).text(paths).select(
+        F.col("value").alias("header"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    # a header is the first line of a file's first block; later blocks and lines are dropped where they are read
+    firsts = lines.where("at = 0").groupBy("file").agg(F.first("header").alias("header"))
+    return firsts.groupBy(F.regexp_replace("header", "^\ufeff", "").alias("header")).agg(F.array_sort(F.collect_list("file")).alias("files"))
+
+
+def read_mixed_csv(spark: SparkSession, paths, encoding: str = "UTF-8", multiline: bool = False) -> list[DataFrame]:
+    """One frame for each header found among the files: columns of another order or name never shift.
+
+    The driver holds the file names by header, as any scan's file listing does.
+    """
+    groups = header_groups(spark, paths, encoding).orderBy("header").collect()
+    return [read_text_csv(spark, [unquote(f) for f in group.files], encoding, multiline) for group in groups]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    merged = frames[0]
+    for frame in frames[1:]:
+        merged = merged.unionByName(frame)
+    return merged
+
+
 def _provider_key(provider: str) -> str:
     key = (provider or "").strip().lower()
     if key not in EXPORT_HEADERS:
@@ -94,9 +121,9 @@ def map_export(raw: DataFrame, provider: str) -> DataFrame:
     ).na.drop(subset=["date", "cost"])
 
 
-def read_export(spark: SparkSession, path, provider: str, encoding: str = "UTF-8") -> DataFrame:
-    """Billing CSV of one provider."""
-    return map_export(read_text_csv(spark, path, encoding), provider)
+def read_export(spark: SparkSession, path, provider: str, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
+    """Billing CSV files of one provider; files of a folder may differ in their headers."""
+    return _union([map_export(raw, provider) for raw in read_mixed_csv(spark, path, encoding, multiline)])
 
 
 def map_azure_rows(rows: DataFrame) -> DataFrame:
@@ -174,25 +201,24 @@ def map_training(raw: DataFrame) -> DataFrame:
     ).na.drop(subset=["date"])
 
 
-def read_training(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Union of training CSVs with different headers, read one header group at a time.
+def read_training(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+    """Union of training CSVs with different headers, one scan for each header; and the skipped paths with their reasons.
 
-    Only the header line of each path is read on the driver; files (or folders
-    of files) with the same header go into one scan. Unreadable paths are skipped.
+    A path that does not exist, an empty file and a header without the needed columns are skipped.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
+    skipped: list[tuple[str, str]] = []
+    present: list[str] = []
     for path in paths:
-        try:
-            columns = tuple(read_text_csv(spark, path).columns)
-        except Exception as error:  # noqa: BLE001 - any reader failure means: skip this path
-            print(f"skipping {path}: {type(error).__name__}")
-            continue
-        if columns:
-            groups.setdefault(columns, []).append(path)
-    if not groups:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+        (present.append(path) if found else skipped.append((path, "not found")))
+    frames = []
+    for raw in read_mixed_csv(spark, present, encoding) if present else []:
+        missing = [field for field, names in TRAINING_HEADERS.items() if not set(names) & set(raw.columns)]
+        if missing:
+            skipped += [(path, f"no column for {', '.join(missing)}") for path in raw.inputFiles()]
+        else:
+            frames.append(map_training(raw))
+    if not frames:
         raise ValueError("no readable training file")
-    frames = [map_training(read_text_csv(spark, files)) for files in groups.values()]
-    merged = frames[0]
-    for frame in frames[1:]:
-        merged = merged.unionByName(frame)
-    return merged
+    return _union(frames), spark.createDataFrame(skipped, "path string, reason string")

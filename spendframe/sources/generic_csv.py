@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.parsing import (
     computed_once, empty_tags, infer_provider, merge_tags, parse_date, parse_epoch, parse_money, parse_number, parse_tags,
 )
-from .billing_exports import read_text_csv
+from .billing_exports import read_mixed_csv
 from .headers import quoted, resolve
 
 # --- fixed values -----------------------------------------------------------
@@ -35,6 +35,7 @@ FIELD_HEADERS = {
                        "end_time"],
     "tags": ["tags", "labels", "metadata"],
 }
+_FILE, _BLOCK, _ORDER = "__file", "__block", "__order"
 REQUIRED_HEADERS = ["service_name", "cost", "usage_start_date"]
 # ----------------------------------------------------------------------------
 
@@ -76,7 +77,7 @@ def parse_records(raw: DataFrame) -> DataFrame:
         "row_tags": parse_tags(text("tags")),
     }
     staged = computed_once(raw, {f"__{name}": value for name, value in values.items()})
-    passthrough = [F.col(quoted(c)) for c in raw.columns if c == "row_id"]
+    passthrough = [F.col(quoted(c)) for c in raw.columns if c in ("row_id", _FILE, _BLOCK, _ORDER)]
     parsed = staged.select(
         *passthrough,
         F.col("__provider").alias("provider"),
@@ -112,9 +113,33 @@ def split_records(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.where(F.col("error").isNotNull())
 
 
-def read_generic_csv(spark: SparkSession, path, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of a CSV file or folder."""
-    return split_records(parse_records(read_text_csv(spark, path, encoding)))
+def read_records(spark: SparkSession, path, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
+    """Parsed rows of all files with their file and row number, whatever the files' headers.
+
+    Rows are numbered from 1 within their file, in the order of the file. Pass
+    ``multiline`` for line breaks inside quotes.
+    """
+    parsed = None
+    for raw in read_mixed_csv(spark, path, encoding, multiline):
+        placed = raw.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK), F.monotonically_increasing_id().alias(_ORDER))
+        found = parse_records(placed)
+        parsed = found if parsed is None else parsed.unionByName(found)
+    if parsed is None:
+        raise ValueError(f"no file in {path}")
+    order = Window.partitionBy(_FILE, _BLOCK).orderBy(_ORDER)
+    counts = parsed.groupBy(_FILE, _BLOCK).agg(F.count(F.lit(1)).alias("rows"))
+    before = counts.select(
+        F.col(_FILE).alias("of_file"), F.col(_BLOCK).alias("of_block"),
+        F.coalesce(F.sum("rows").over(Window.partitionBy(_FILE).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    numbered = parsed.withColumn("nth", F.row_number().over(order)).join(before, (F.col(_FILE) == F.col("of_file")) & (F.col(_BLOCK) == F.col("of_block")))
+    return numbered.withColumn("row_id", F.col("nth") + F.col("earlier")).withColumnRenamed(_FILE, "file").drop(_BLOCK, _ORDER, "nth", "earlier", "of_file", "of_block")
+
+
+def read_generic_csv(spark: SparkSession, path, encoding: str = "UTF-8", multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of CSV files; rejects carry file and row number."""
+    parsed = read_records(spark, path, encoding, multiline)
+    good, rejects = split_records(parsed)
+    return good.drop("file", "row_id"), rejects
 
 
 def reject_report(parsed: DataFrame, row_id: str = "row_id", sample: int = 5) -> DataFrame:

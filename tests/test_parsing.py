@@ -59,7 +59,7 @@ def test_provider_inference(spark):
     ("env:prod, team : core", {"env": "prod", "team": "core"}),
     ("url:http://x:80,junk,,a:1", {"url": "http://x:80", "a": "1"}),
     ("a:1,b:2,a:3", {"b": "2", "a": "3"}),
-    ("a:1,ab:2", {"a": "1", "ab": "2"}),
+    ("a:1,ab:2", {"a": "1", "ab": "2"}), ("a:1,b:2,\na :3", {"a": "3", "b": "2"}), ('{"a":"1","b":null,"a":"2"}', {"a": "2", "b": None}),
     ("junk", {}), ("", {}), (None, {}), ("{broken", {}),
     ("{x:1", {"{x": "1"}),
 ])

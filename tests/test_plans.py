@@ -2,7 +2,9 @@
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
+from spendframe.operators import filters
 from spendframe.plans import catalog
 
 
@@ -33,3 +35,14 @@ def test_no_python_in_sql_queries(spark):
     for name in ("Q2_summary_service", "Q9_auto_trend", "Q22_category_daily", "P2_validation", "S2_generic_csv", "A6_A8_spike_rule"):
         plan = _plan(catalog.queries()[name](spark, SF))
         assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_date_filters_prune_months(spark, tmp_path):
+    costs = spark.createDataFrame([(1, 1.0, f"2024-{m:02d}-05") for m in range(1, 13)], "user_id int, cost double, day string").select(
+        "user_id", "cost", F.col("day").cast("timestamp_ntz").alias("usage_start_date"), F.substring("day", 1, 7).alias("billing_period"))
+    costs.write.partitionBy("billing_period").parquet(str(tmp_path / "costs"))
+    stored = spark.read.schema(costs.schema).parquet(str(tmp_path / "costs"))
+    for rows, n in ((filters.in_month(stored, "2024-03"), 1), (filters.between_dates(stored, "2024-02-05", "2024-04-04"), 2),
+                    (filters.last_days(stored, "2024-06-05", 31), 2), (filters.in_year(stored, "2024-06-05"), 12), (filters.this_month(stored, "2024-06-05"), 1)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == n and "billing_period" in plan.split("PartitionFilters: [")[1].split("]")[0]

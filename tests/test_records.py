@@ -67,6 +67,10 @@ def test_corrections_keep_rejected_rows(spark):
     snapshot, rejected = records.apply_corrections(costs, updates, "2024-03-01")
     assert [(r.cost_id, r.cost, r.billing_period) for r in snapshot.orderBy("cost_id").collect()] == [("a", 7.0, "2024-02"), ("b", 6.0, "2024-01")]
     assert [r.cost_id for r in rejected.collect()] == ["b"]
+    twice = spark.createDataFrame([("a", 1, 7.0, 1), ("a", 1, 9.0, 2), ("a", 1, 8.0, None)], "cost_id string, user_id bigint, cost double, version int")
+    snapshot, rejected = records.apply_corrections(costs, twice, "2024-03-01", order_by="version")
+    assert [(r.cost_id, r.cost) for r in snapshot.orderBy("cost_id").collect()] == [("a", 9.0), ("b", 6.0)]
+    assert [r.error for r in rejected.collect()] == [records.SUPERSEDED] * 2
 
 
 def test_exact_sum_ignores_order_and_scale(spark):

@@ -72,11 +72,34 @@ def test_training_files_with_mixed_headers(spark, tmp_path):
     a = _write(tmp_path / "a.csv", "Date,MeterCategory,Cost\n2024-01-01,Virtual Machines,1\n")
     b = _write(tmp_path / "b.csv", "lineItem/UsageStartDate,product/ProductName,lineItem/UnblendedCost\n2024-01-01,Amazon EC2,2\n")
     c = _write(tmp_path / "c.csv", "Date,MeterCategory,Cost\n2024-01-02,Storage,4\n")
-    merged = exports.read_training(spark, [a, b, c, str(tmp_path / "missing.csv")])
+    merged, skipped = exports.read_training(spark, [a, b, c, str(tmp_path / "missing.csv")])
+    assert [(r.path[-11:], r.reason) for r in skipped.collect()] == [("missing.csv", "not found")]
     assert sorted((str(r.date), r.service, r.cost) for r in merged.collect()) == [
         ("2024-01-01", "Amazon EC2", 2.0), ("2024-01-01", "Virtual Machines", 1.0), ("2024-01-02", "Storage", 4.0)]
 
 
+def test_folder_of_files_with_columns_in_another_order(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    _write(folder / "a.csv", "Date,ServiceName,Cost\n2024-01-01,VM,1\n2024-01-02,VM,2\n")
+    _write(folder / "b.csv", "Cost,Date,ServiceName\n3,2024-01-03,Disk\n4,2024-01-04,Disk\n")
+    _write(folder / "c d.csv", "Service,Cost,Date\n\"two\nlines\",5,2024-01-05\n")
+    got = exports.read_export(spark, str(folder), "azure", multiline=True)
+    assert sorted((r.service, r.cost) for r in got.collect()) == [("Disk", 3.0), ("Disk", 4.0), ("VM", 1.0), ("VM", 2.0), ("two\nlines", 5.0)]
+
+
+def test_rejects_name_their_file_and_row(spark, tmp_path):
+    folder = tmp_path / "generic"
+    folder.mkdir()
+    _write(folder / "a.csv", "service,cost,date\nEC2,1,2024-01-01\nS3,x,2024-01-01\n\"EC2\nline two\",3,2024-01-02\n")
+    _write(folder / "b.csv", "date,service,cost\n2024-01-01,,2\n")
+    good, rejects = generic_csv.read_generic_csv(spark, str(folder), multiline=True)
+    assert sorted((r.service_name, r.cost) for r in good.collect()) == [("EC2", 1.0), ("EC2\nline two", 3.0)]
+    assert sorted((r.file[-5:], r.row_id, r.error_field) for r in rejects.collect()) == [("a.csv", 2, "cost"), ("b.csv", 1, "service_name")]
+    report = generic_csv.reject_report(generic_csv.read_records(spark, str(folder), multiline=True)).collect()
+    assert sorted((r.row, r.field, r.dropped_rows) for r in report) == [(1, "service_name", 2), (2, "cost", 2)]
+
+
 def test_landed_api_results(spark, tmp_path):
     azure = spark.createDataFrame([(1.5, 20240105, "VM", "x"), (2.0, 20240106, None, "Disk")], "totalCost double, UsageDate int, ServiceName string, MeterCategory string")
     assert [(r.date, r.service) for r in exports.map_azure_rows(azure).collect()] == [(datetime(2024, 1, 5), "VM"), (datetime(2024, 1, 6), "Disk")]
@@ -146,8 +169,8 @@ def test_stream_ingest_splits_rejects(spark, tmp_path):
     _write(landing / "one.csv", f"{header}\n1,aws,a,EC2,,,,,5,USD,2024-01-01,2024-01-01\n1,bad,a,EC2,,,,,5,USD,2024-01-01,2024-01-01\n")
     folders = [str(tmp_path / n) for n in ("costs", "rejects", "check")]
     ingest.start_ingest(ingest.stream_csv(spark, str(landing)), *folders).awaitTermination()
-    _write(landing / "two.csv", f"{header}\n2,gcp,a,Run,,,,,7,USD,2024-02-01,2024-02-02\n")
+    _write(landing / "two.csv", f"{header}\nnobody,gcp,a,Run,,,,,7,USD,2024-02-01,2024-02-02\n2,gcp,a,Run,,,,,7,USD,2024-02-01,2024-02-02\n")
     ingest.start_ingest(ingest.stream_csv(spark, str(landing)), *folders).awaitTermination()
     good = ingest.read_streamed_costs(spark, folders[0])
     assert sorted((r.provider, r.cost, r.billing_period) for r in good.collect()) == [("AWS", 5.0, "2024-01"), ("GCP", 7.0, "2024-02")]
-    assert [r.error for r in spark.read.parquet(folders[1]).collect()] == ["Provider must be one of: AWS, Azure, GCP, Other"]
+    assert sorted(r.error for r in spark.read.parquet(folders[1]).collect()) == ["Provider must be one of: AWS, Azure, GCP, Other", ingest.BAD_TENANT]
