@@ -28,7 +28,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
-        spark__ui__showConsoleProgress="false", spark__driver__memory="16g",
+        spark__ui__showConsoleProgress="false", spark__driver__memory="16g", spark__sql__files__maxPartitionBytes="4m",
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")

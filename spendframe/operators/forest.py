@@ -8,6 +8,7 @@ grow in parallel in groups of a few samples of at most 256 rows each.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ MIN_CONTAMINATION = 0.05
 MAX_CONTAMINATION = 0.15
 # ----------------------------------------------------------------------------
 _TREES_PER_TASK_GROUP = 10
+SENT_NODES = 1_500_000  # about 40 MB; seven shared forests of 200 trees have at most 715,400
 _OVERSAMPLE = 3
 Z_FEATURES = [f"z_{name}" for name in FEATURES]
 _EULER = 0.5772156649015329
@@ -97,14 +99,14 @@ def train_trees(
     """Node table of the forest of every model; ``scaled`` needs ``train_rows`` per model."""
     tasks = int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = F.least(F.lit(1.0), F.lit(float(_OVERSAMPLE * sample)) / F.col("train_rows"))
+    drawn = F.filter(F.sequence(F.lit(1), F.lit(trees)), lambda tree: F.pmod(F.xxhash64("row_hash", tree), F.lit(1 << 31)) < F.col("share") * F.lit(float(1 << 31)))
     draw = F.pmod(F.xxhash64("row_hash", "tree"), F.lit(1 << 31))
     position = F.row_number().over(Window.partitionBy(key, "tree").orderBy("draw", row_key))
-    # every pair of row and tree is dropped again by the hash test in the same
-    # stage; only about three samples' worth of rows per tree is shuffled
+    # the trees that draw a row are found inside the row; about three samples' worth of rows per tree is made and shuffled
     samples = (
         scaled.repartition(tasks).withColumn("row_hash", F.xxhash64(F.col(key), F.col(row_key).cast("string"), F.lit(seed)))
-        .select(key, row_key, *Z_FEATURES, "row_hash", share.alias("share"), F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree"))
-        .withColumn("draw", draw).where(F.col("draw") < F.col("share") * F.lit(float(1 << 31)))
+        .select(key, row_key, *Z_FEATURES, "row_hash", share.alias("share"))
+        .select("*", F.explode(drawn).alias("tree")).withColumn("draw", draw)
         .withColumn("position", position).where(F.col("position") <= sample)
         .withColumn("tree_group", F.floor((F.col("tree") - 1) / F.lit(_TREES_PER_TASK_GROUP)))
         .drop("row_hash", "share", "draw")
@@ -123,13 +125,43 @@ def train_trees(
     return samples.repartition(tasks, key, "tree_group").groupBy(key, "tree_group").applyInPandas(grow, TREE_SCHEMA)
 
 
-def score(rows: DataFrame, trees: DataFrame, key: str = "category", spread: int = 8) -> DataFrame:
+def score(rows: DataFrame, trees: DataFrame, key: str = "category", spread: int = 8, sent_nodes: int = SENT_NODES) -> DataFrame:
     """``rows`` with ``score`` in [-1, 0): the lower, the more isolated. Rows without a model are dropped.
 
-    Each model's rows are split into ``spread`` random groups and its trees are
-    copied to each of them, so a model that owns most rows is scored in
-    parallel; raise ``spread`` with the number of rows per model.
+    Forests of at most ``sent_nodes`` nodes together go to every task, and rows are
+    scored batch by batch where they are. Larger ones, as with a model for each
+    tenant, meet their rows by key: each model's rows are split into ``spread``
+    random groups with a copy of its trees.
     """
+    nodes = trees.agg(F.sum(F.size("feature"))).first()[0] or 0
+    return _score_in_place(rows, trees, key) if nodes <= sent_nodes else _score_by_key(rows, trees, key, spread)
+
+
+def _isolation(matrix: np.ndarray, forest: list[dict]) -> np.ndarray:
+    total = np.zeros(len(matrix))
+    for tree in forest:
+        total += path_lengths(matrix, tree)
+    typical = float(mean_path([tree["sample_rows"] for tree in forest]).sum())
+    return -np.power(2.0, -total / max(typical, 1e-12))
+
+
+def _score_in_place(rows: DataFrame, trees: DataFrame, key: str) -> DataFrame:
+    forests: dict[str, list[dict]] = {}
+    for tree in sorted(trees.toPandas().to_dict("records"), key=lambda t: t["tree"]):  # their size is checked
+        forests.setdefault(tree["model_key"], []).append(tree)
+    sent = rows.sparkSession.sparkContext.broadcast(forests)
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for model, points in batch.groupby(key, sort=False):
+                if model in sent.value:
+                    yield points.assign(score=_isolation(points[Z_FEATURES].to_numpy(dtype=float), sent.value[model]))
+
+    return rows.mapInPandas(run, schema)
+
+
+def _score_by_key(rows: DataFrame, trees: DataFrame, key: str, spread: int) -> DataFrame:
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in Z_FEATURES]), F.lit(spread)).cast("int"))
     copies = trees.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
@@ -138,12 +170,8 @@ def score(rows: DataFrame, trees: DataFrame, key: str = "category", spread: int
     def apply(points: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
         if points.empty or forest.empty:
             return pd.DataFrame({name: pd.Series([], dtype=object) for name in names})
-        matrix = points[Z_FEATURES].to_numpy(dtype=float)
-        total = np.zeros(len(matrix))
-        for tree in forest.sort_values("tree").to_dict("records"):
-            total += path_lengths(matrix, tree)
-        typical = float(mean_path(forest["sample_rows"]).sum())
-        return points.assign(score=-np.power(2.0, -total / max(typical, 1e-12)))[names]
+        trees_in_order = forest.sort_values("tree").to_dict("records")
+        return points.assign(score=_isolation(points[Z_FEATURES].to_numpy(dtype=float), trees_in_order))[names]
 
     return (
         salted.groupBy(key, "__salt")

@@ -85,6 +85,8 @@ def test_forest_finds_the_outlier_and_ignores_partitions(spark):
         limits = forest.offsets(scored)
         decided = forest.decide(scored, limits).orderBy("date").collect()
         results.append([(r.date, r.score, r.model_flag) for r in decided])
+        by_key = forest.score(frame, trees, spread=partitions, sent_nodes=0)
+        assert sorted((r.date, r.score) for r in by_key.collect()) == sorted((d, s) for d, s, _ in results[-1])
     assert results[0] == results[1]
     scores = results[0]
     assert min(scores, key=lambda r: r[1])[0] == DAY0
