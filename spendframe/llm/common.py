@@ -51,6 +51,7 @@ def small_batches(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Ite
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
             yield batch.take(pa.array(np.arange(at, stop)))  # a copy: some string kernels misread slices
+            pa.default_memory_pool().release_unused()
             at = stop
 
 

@@ -38,8 +38,10 @@ BAND_ROWS = 3  # hash functions of a band, two values each
 PERCENT = 80
 BLOCK = 4000  # comparisons against one document in one block
 SETS = 2000  # sets that a task of the comparison holds at least
+SENT_IDS = 500_000  # ids of documents to compare that are sent to all tasks; more meet the texts by a shuffle
 SEED = 20_240_601
 _CHUNK = 1 << 18
+_HELD = 4 << 20  # bytes of sets in an outgoing batch
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -116,7 +118,7 @@ def _cuts(starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_digest (null without shingles) and the band keys."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 4 << 20):
             flat, sizes = shingle_sets(batch.column("text"))
             some = np.flatnonzero(sizes)
             keys = band_keys(flat, sizes[some])
@@ -133,6 +135,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return keep(docs.mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, bands array<long>"), "signatures")
 
 
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    others, blocks, docs, sets = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays(
+        [pa.array(others, pa.int64()), pa.array(blocks, pa.int32()), pa.array(docs, pa.int64()), pa.array(sets, pa.binary())],
+        names=["other", "block", "doc", "shingles"])
+
+
 def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sizes of both sets and of their intersection for distinct pairs (one, other), on full sets.
 
@@ -145,19 +154,24 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     centres = per_other.select(F.col("other").alias("doc"), F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.col("other"), i.alias("block")))).alias("place"))
     needed = keep(blocked.unionByName(centres).groupBy("doc").agg(F.collect_set("place").alias("places")), "needed")
-    groups = groups_for(needed.agg(F.sum(F.size("places"))).first()[0], SETS)
+    wanted = needed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("places")).alias("places")).first()
+    groups = groups_for(wanted.places, SETS)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 4 << 20):
             flat, sizes = shingle_sets(batch.column("text"))
             ends = np.cumsum(sizes)
+            rows: list[tuple] = []
+            held = 0
             for doc, places, size, end in zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), sizes.tolist(), ends.tolist(), strict=True):
                 raw = flat[end - size:end].tobytes()
-                for at in range(0, len(places), 256):
-                    part = places[at:at + 256]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([x["other"] for x in part], pa.int64()), pa.array([x["block"] for x in part], pa.int32()),
-                        pa.array([doc] * len(part), pa.int64()), pa.array([raw] * len(part), pa.binary())], names=["other", "block", "doc", "shingles"])
+                for place in places:
+                    rows.append((place["other"], place["block"], doc, raw))
+                    held += len(raw)
+                    if held > _HELD:
+                        yield _sent(rows)
+                        rows, held = [], 0
+            yield _sent(rows)
 
     def meet(table: pa.Table) -> pa.Table:
         others, blocks, ids = (table.column(c).to_pylist() for c in ("other", "block", "doc"))
@@ -173,6 +187,8 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * 5
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("one", "other", "one_size", "other_size", "common"), columns, strict=True)})
 
+    if wanted.n <= SENT_IDS:  # a filter ahead of the join, so only texts to compare are shuffled
+        docs = docs.join(F.broadcast(needed.select(F.col("doc").alias("wanted"))), F.col("doc_id") == F.col("wanted"), "left_semi")
     texts = docs.join(needed, docs.doc_id == needed.doc).select("doc_id", "text", "places")
     dealt = texts.mapInArrow(sets, "other long, block int, doc long, shingles binary").withColumn(
         "share", F.pmod(F.xxhash64("other", "block"), F.lit(groups)))
@@ -213,9 +229,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = signed.where("doc_id is not null and set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("class_id"))
     first = F.first("bands")
     chosen = signed.join(classes, (signed.set_digest == classes.set_digest) & (signed.doc_id == classes.class_id)).groupBy("class_id").agg(first.alias("bands"))
-    banded = chosen.select(F.col("class_id").alias("member"), F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("member").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = keep(banded.join(buckets, ["band", "key"]).where("member <> centre"), "members")
+    banded = chosen.select(F.col("class_id").alias("member"), F.explode("bands").alias("key"))  # the band is hashed into the key
+    buckets = banded.groupBy("key").agg(F.min("member").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = keep(banded.join(buckets, "key").where("member <> centre"), "members")
 
     compared = compare(texts, members.select(F.col("member").alias("one"), F.col("centre").alias("other")))
     links = _linked(compared, percent)
@@ -246,8 +262,8 @@ def _untested(members: DataFrame, compared: DataFrame, found: DataFrame, percent
     )
     placed = keep(placed, "placed")
     outside = placed.where("of_member <> of_centre").select(
-        "band", "key", F.col("member").alias("one"), F.col("of_member").alias("of_one"), F.col("distance").alias("one_distance"))
-    met = outside.join(placed, ["band", "key"]).where(
+        "key", F.col("member").alias("one"), F.col("of_member").alias("of_one"), F.col("distance").alias("one_distance"))
+    met = outside.join(placed, "key").where(
         (F.col("of_one") != F.col("of_member")) & (F.abs(F.col("one_distance") - F.col("distance")) <= reach)
         & ((F.col("of_member") == F.col("of_centre")) | (F.col("one") < F.col("member"))))
     return met.select("one", F.col("member").alias("other"))
