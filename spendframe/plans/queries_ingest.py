@@ -6,12 +6,15 @@ text a provider export would hold, broken in places, and read back.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import parsing
 from ..functions.category import CATEGORY_RULES, category_sql, with_category
 from ..functions.numeric import exact_sum, fixed as fixed_col, money as money_col
 from ..operators import features, records, summaries
+from ..session import shared_dir
 from ..sources import billing_exports as exports
 from ..sources import generic_csv
 from ..sources.tables import lineitem_costs, table
@@ -96,6 +99,58 @@ def s4_training(spark, sf_dir):
     )
 
 
+# --- the same exports as files ---------------------------------------------------
+
+def _landed(df: DataFrame, encoding: str = "UTF-8", folder: str | None = None) -> str:
+    """Write rows as CSV files with a header into the shared folder; the folder."""
+    path = folder or f"{shared_dir(df.sparkSession)}/landed-{uuid.uuid4().hex}"
+    df.write.mode("append").option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').csv(path)
+    return path
+
+
+@query("S1_azure_csv_files", _by_day_sql("""SELECT CASE WHEN l_linenumber = 3 THEN usage_start_date - INTERVAL 2 HOUR ELSE usage_start_date END AS d,
+    service_name AS service, cost FROM costs WHERE l_linenumber NOT IN (1, 7)""", "azure"))
+def s1_azure_files(spark, sf_dir):
+    """Two files of different column order in one folder."""
+    rows = _azure_export(spark, sf_dir)
+    first = F.pmod(F.xxhash64("usage-date", "Cost"), F.lit(2)) == 0
+    folder = _landed(rows.where(first))
+    _landed(rows.where(~first).select("Cost", "MeterCategory", "usage-date", "Location"), folder=folder)
+    return _by_day(exports.read_export(spark, folder, "azure"))
+
+
+@query("S1_gcp_csv_files", _by_day_sql("SELECT usage_start_date AS d, 'Größe ' || service_name AS service, cost FROM costs", "gcp"))
+def s1_gcp_files(spark, sf_dir):
+    """Latin-1 files with line breaks inside quotes (S3)."""
+    rows = lineitem_costs(spark, sf_dir, ["usage_start_date", "service_name", "cost"]).select(
+        F.lit("two\nlines").alias("sku.description"), F.date_format("usage_start_date", "yyyy-MM-dd").alias("usage_start_time"),
+        F.concat(F.lit("Größe "), F.col("service_name")).alias("service.description"), F.col("cost").cast("string").alias("cost"))
+    return _by_day(exports.read_export(spark, _landed(rows, "ISO-8859-1"), "gcp", "ISO-8859-1", multiline=True))
+
+
+@query("S4_training_files", f"""WITH {COSTS}
+SELECT strftime(usage_start_date, '%Y-%m-%d') AS date, service_name AS service, count(*) AS row_count, {money(total('cost'))} AS total_cost
+FROM costs GROUP BY 1, 2""")
+def s4_training_files(spark, sf_dir):
+    """Files of all four providers, three headers, in one folder."""
+    costs = lineitem_costs(spark, sf_dir, ["usage_start_date", "service_name", "cost", "provider"])
+    headers = {
+        "AWS": ("lineItem/UsageStartDate", "product/ProductName", "lineItem/UnblendedCost"),
+        "Azure": ("Date", "MeterCategory", "CostInBillingCurrency"),
+        "GCP": ("usage_start_time", "service.description", "cost"),
+        "Other": ("Date", "MeterCategory", "CostInBillingCurrency"),
+    }
+    folder = None
+    for provider, (date, service, cost) in headers.items():
+        folder = _landed(costs.where(F.col("provider") == provider).select(
+            F.date_format("usage_start_date", "yyyy-MM-dd").alias(date), F.col("service_name").alias(service),
+            F.col("cost").cast("string").alias(cost)), folder=folder)
+    read, _ = exports.read_training(spark, [folder])
+    return read.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date"), "service").agg(
+        F.count(F.lit(1)).alias("row_count"), money_col(exact_sum("cost")).alias("total_cost")
+    )
+
+
 @query("S5_azure_rows", _by_day_sql("SELECT usage_start_date AS d, service_name AS service, cost FROM costs", "azure"))
 def s5_azure_rows(spark, sf_dir):
     rows = lineitem_costs(spark, sf_dir, ["usage_start_date", "service_name", "cost", "billing_period"]).select(
