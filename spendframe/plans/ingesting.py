@@ -96,12 +96,15 @@ def detect_category_anomalies(normalized: DataFrame, model: dict[str, DataFrame]
 
 def ingest_and_detect(
     normalized: DataFrame, user_id, model: dict[str, DataFrame], stored: DataFrame,
-    cost_path: str, anomaly_path: str, ingested_at: str,
+    cost_path: str, anomaly_path: str, ingested_at: str, batch_id: str | None = None,
 ) -> DataFrame:
-    """Store a normalised ingest, detect on it, store the new anomalies; returns the counts."""
+    """Store a normalised ingest, detect on it, store the new anomalies; returns the counts.
+
+    A run that failed is repeated under the same ``batch_id``: its costs replace themselves.
+    """
     kept = cut_lineage(normalized)
     good, rejects = records.ingest(records.normalized_to_records(kept, F.lit(user_id), ingested_at), ingested_at)
-    store.append_costs(good, cost_path)
+    store.append_costs(good, cost_path, batch_id)
     detected = cut_lineage(detect_category_anomalies(kept.withColumn("user_id", F.lit(user_id)), model))
     fresh = cut_lineage(anomalies.new_anomalies(detected, stored, anomalies.INGEST_TYPE, match_type=False))
     fresh.write.mode("append").parquet(anomaly_path)

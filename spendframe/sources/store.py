@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import COST_SCHEMA
 
 
-def append_costs(costs: DataFrame, path: str) -> None:
-    """Append cost records, partitioned by month and sorted for min/max statistics.
+def append_costs(costs: DataFrame, path: str, batch_id: str | None = None) -> None:
+    """Add cost records, partitioned by month and batch and sorted for min/max statistics.
 
-    The rebalance hint lets adaptive execution split a month that holds most of
-    the rows and merge small ones, so neither giant nor tiny files appear.
+    A batch that is stored again under its ``batch_id`` replaces itself instead of
+    adding its rows twice; without one, every call is a batch of its own. The
+    rebalance hint lets adaptive execution split a month that holds most of the rows
+    and merge small ones, so neither giant nor tiny files appear.
     """
     (
         costs.select([F.col(f.name).cast(f.dataType) for f in COST_SCHEMA])
         .hint("rebalance", "billing_period")
         .sortWithinPartitions("billing_period", "user_id", "usage_start_date")
-        .write.mode("append").partitionBy("billing_period").parquet(path)
+        .withColumn("batch_id", F.lit(batch_id or uuid.uuid4().hex))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("billing_period", "batch_id").parquet(path)
     )
 
 
 def read_costs(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
     """Cost table; a date range also prunes the monthly partitions."""
-    costs = spark.read.schema(COST_SCHEMA).parquet(path)
+    costs = spark.read.schema(COST_SCHEMA).parquet(path).drop("batch_id")
     if start is not None:
         costs = costs.where(F.col("billing_period") >= str(start)[:7])
         costs = costs.where(F.col("usage_start_date") >= F.lit(str(start)).cast("timestamp_ntz"))

@@ -9,6 +9,7 @@ from ..functions.category import with_category
 from ..functions.numeric import exact_sum
 from ..operators import records
 from ..schema import COST_SCHEMA
+from ..sources.store import read_costs
 
 RAW_FIELDS = [
     "user_id", "provider", "cloud_account_id", "service_name", "resource_id", "region", "usage_quantity",
@@ -37,7 +38,7 @@ def checked_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 def start_ingest(stream: DataFrame, cost_path: str, reject_path: str, checkpoint: str) -> StreamingQuery:
     """Append valid records to the cost table and rejected ones to a side table.
 
-    Each micro-batch goes to its own ``batch_id`` folder in overwrite mode, so a
+    Each micro-batch goes to its own ``batch_id`` folders in overwrite mode, so a
     batch that is run again after a failure replaces itself instead of adding
     its rows twice.
     """
@@ -48,7 +49,7 @@ def start_ingest(stream: DataFrame, cost_path: str, reject_path: str, checkpoint
         (
             good.select([F.col(f.name).cast(f.dataType) for f in COST_SCHEMA]).withColumn("batch_id", F.lit(batch_id))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id", "billing_period").parquet(cost_path)
+            .partitionBy("billing_period", "batch_id").parquet(cost_path)
         )
         (
             rejects.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
@@ -74,6 +75,6 @@ def daily_category_stream(costs: DataFrame, delay: str = "3 days") -> DataFrame:
 
 def read_streamed_costs(spark: SparkSession, path: str) -> DataFrame:
     """Cost table written by :func:`start_ingest`."""
-    return spark.read.parquet(path).drop("batch_id")
+    return read_costs(spark, path)
 
 

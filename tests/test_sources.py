@@ -133,6 +133,9 @@ def test_cost_table_prunes_months(spark, tmp_path):
     costs = costs.withColumn("created_at", F.col("usage_start_date")).withColumn("updated_at", F.col("usage_start_date"))
     path = str(tmp_path / "costs")
     store.append_costs(costs, path)
+    store.append_costs(costs.where("cost < 3"), path, "again")
+    store.append_costs(costs.where("cost < 3"), path, "again")
+    assert sorted(r.cost for r in store.read_costs(spark, path, "2024-02-01", "2024-02-28").collect()) == [2.0, 2.0]
     read = store.read_costs(spark, path, "2024-03-01", "2024-04-30")
     assert sorted(r.cost for r in read.collect()) == [3.0, 4.0]
     plan = read._jdf.queryExecution().executedPlan().toString()
