@@ -22,6 +22,7 @@ _TAIL = ".,;:!?)"
 _WORD = r"^(?P<feed>\n?)(?P<stem>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}]+)(?P<tail>[.,;:!?)]*)$"
 _SPACE = "\u0120"  # a leading space in the names of byte-level tokens
 _JOINED = 256
+_CALL = 1 << 14  # parts encoded in one call
 AT_ONCE = 6 << 20  # bytes of text that are cut and gathered at once
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -163,12 +164,14 @@ class PieceEncoder:
         if fresh:
             step = _JOINED if letters else 1
             groups = [fresh[at:at + step] for at in range(0, len(fresh), step)]
-            coded = [x.ids for x in self.tokenizer.encode_batch_fast(["".join(x) for x in groups], add_special_tokens=False)]
-            if letters:
-                for group, ids in zip(groups, coded, strict=True):
-                    self._keep_joined(group, np.array(ids, np.uint32))
-            else:
-                self._keep(fresh, np.fromiter(itertools.chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)))
+            for at in range(0, len(groups), _CALL // step):  # the library's results are large
+                some = groups[at:at + _CALL // step]
+                coded = [x.ids for x in self.tokenizer.encode_batch_fast(["".join(x) for x in some], add_special_tokens=False)]
+                if letters:
+                    for group, ids in zip(some, coded, strict=True):
+                        self._keep_joined(group, np.array(ids, np.uint32))
+                else:
+                    self._keep(list(itertools.chain.from_iterable(some)), np.fromiter(itertools.chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)))
         return np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
 
     def _keep_joined(self, group: list[str], ids: np.ndarray) -> None:
