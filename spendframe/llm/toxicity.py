@@ -5,12 +5,12 @@ negation, reported speech, or other. One small transducer for each of negation,
 reported speech and target tells by which factor an insult or threat counts in its
 state; they are composed into one machine. A clause scores the sum of its words'
 weights times the machine's factors. A document's score is a logistic function of
-its highest clause and of its sum.
+its highest clause, of its sum and of that sum's share of the text.
 
 Insults are learned: words and word beginnings that stand in many toxic texts of
 different wording and nearly never in others, weighted by log odds. Arcs are learned
-on one half of a sample of labelled rows of at most ``MAX_SAMPLE`` rows, the logistic
-weights on the other half. All documents are scored over their whole texts.
+on two thirds of a sample of labelled rows of at most ``MAX_SAMPLE`` rows, the logistic
+weights on the other third. All documents are scored over their whole texts.
 
 Nulls: a null text is empty; rows of the labels without doc_id or label are left out.
 A text without words gets the score of a text without matches. Repeated rows are
@@ -46,9 +46,10 @@ SEED_WEIGHT, THREAT_WEIGHT = 5.0, 1.0
 NEGATION_REACH = 3
 NEGATED, QUOTED, TARGETED = 0.25, 0.5, 1.5  # factors of an insult or threat
 MAX_SAMPLE = 24_000  # labelled rows that the model is fitted on
-MIN_TEXTS, MIN_PRECISION = 6, 0.9
-PREFIXES = (4, 5, 6)
+MIN_TEXTS, MIN_PRECISION = 4, 0.7
+PREFIXES = (4, 5, 6, 7, 8, 9)
 REJECT_AT = 0.7
+SHORT = 20  # words that a text counts as longer, so one word of a short text is no density
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 _LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _BREAKS = frozenset(".!?;:\n")
@@ -105,7 +106,7 @@ def grammar() -> Transducer:
 class Model:
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SEEDS.split(), SEED_WEIGHT))
     beginnings: dict[str, float] = field(default_factory=dict)
-    weights: tuple[float, float, float] = (-4.0, 0.5, 0.5)  # constant, highest clause, logarithm of the sum
+    weights: tuple[float, float, float, float] = (-4.0, 0.4, 0.5, 0.3)  # constant, highest clause, logarithms of the sum and of its density
 
     def __post_init__(self) -> None:
         self.machine = grammar().step
@@ -136,17 +137,19 @@ class Model:
         return [*found, total] if total else found
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Highest clause and logarithm of the sum; only texts with a matching word are read clause by clause."""
-        out = np.zeros((len(texts), 2))
+        """Highest clause, logarithms of the sum and of its density; only texts with a matching word are read clause by clause."""
+        out = np.zeros((len(texts), 3))
         if not len(texts):
             return out
         pieces = pc.split_pattern(texts.cast(pa.large_string()), " ")
         coded = pieces.flatten().dictionary_encode()
         hit = np.fromiter((any(self.matches(w) for w in _LETTERS.findall(p.lower())) for p in coded.dictionary.to_numpy(zero_copy_only=False)), bool)
-        rows = np.flatnonzero(np.add.reduceat(hit[np.asarray(coded.indices)].astype(np.int64), np.asarray(pieces.offsets)[:-1]))
+        bounds = np.asarray(pieces.offsets)
+        rows = np.flatnonzero(np.add.reduceat(hit[np.asarray(coded.indices)].astype(np.int64), bounds[:-1]))
         for row in rows.tolist():
             if clauses := self.clauses(texts[row].as_py()):
-                out[row] = max(clauses), np.log1p(sum(clauses))
+                total, words = sum(clauses), bounds[row + 1] - bounds[row]
+                out[row] = max(clauses), np.log1p(total), np.log1p(100 * total / (words + SHORT))
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -193,18 +196,18 @@ def learn_arcs(sample: DataFrame) -> dict[str, float]:
     return {r.arc: float(np.log((r.toxic + 0.5) / (all_toxic + 1)) - np.log((r.others + 0.5) / (all_others + 1))) for r in rows if r.arc}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
     """Newton steps; the ridge spares the constant. Weights of the features stay at 0 or above."""
-    w = np.zeros(3)
+    w = np.zeros(1 + x.shape[1])
     x = np.column_stack([np.ones(len(x)), x])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        pull = ridge * np.array([0.01, 1, 1])
+        pull = ridge * np.array([0.01, *np.ones(len(w) - 1)])
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
+    return float(w[0]), *(max(0.0, float(v)) for v in w[1:])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> Model:
@@ -216,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "labelled"), F.lit(1_000_000))
     sampled = known.withColumn("draw", draw).where(F.col("draw") < int(1_000_000 * min(1.0, max_sample / n)))
     texts = docs.select("doc_id", text_of().alias("text"))
-    sample = texts.join(sampled, texts.doc_id == sampled.labelled).select("text", "toxic", (F.col("draw") % 2 == 0).alias("for_arcs"))
+    sample = texts.join(sampled, texts.doc_id == sampled.labelled).select("text", "toxic", (F.col("draw") % 3 != 0).alias("for_arcs"))
     sample = keep(sample, "labelled")  # at most max_sample texts, read three times
     arcs = learn_arcs(sample.where("for_arcs"))
     model = Model()
@@ -226,12 +229,12 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = model.features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("toxic")], names=["highest", "total", "toxic"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column("toxic")], names=["highest", "total", "density", "toxic"])
 
-    rows = sample.where("not for_arcs").mapInArrow(measure, "highest double, total double, toxic int").collect()  # three numbers a row of the sample
+    rows = sample.where("not for_arcs").mapInArrow(measure, "highest double, total double, density double, toxic int").collect()  # four numbers a row of the sample
     y = np.array([r.toxic for r in rows], float)
     if 0 < y.sum() < len(y):
-        model.weights = _logistic(np.array([[r.highest, r.total] for r in rows]), y)
+        model.weights = _logistic(np.array([[r.highest, r.total, r.density] for r in rows]), y)
     return model
 
 
