@@ -37,6 +37,7 @@ PERMUTATIONS = 120
 BAND_ROWS = 3  # hash functions of a band, two values each
 PERCENT = 80
 BLOCK = 4000  # comparisons against one document in one block
+CELL = 1000  # members, and outsiders, of a bucket that meet in one cell
 SETS = 2000  # sets that a task of the comparison holds at least
 SENT_IDS = 500_000  # ids of documents to compare that are sent to all tasks; more meet the texts by a shuffle
 SEED = 20_240_601
@@ -142,6 +143,13 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
         names=["other", "block", "doc", "shingles"])
 
 
+def _texts_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """doc_id, text and places of the ``n`` documents of ``needed``."""
+    if n <= SENT_IDS:  # a filter ahead of the join, so only texts to compare are shuffled
+        docs = docs.join(F.broadcast(needed.select(F.col("doc").alias("wanted"))), F.col("doc_id") == F.col("wanted"), "left_semi")
+    return docs.join(needed, docs.doc_id == needed.doc).select("doc_id", "text", "places")
+
+
 def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sizes of both sets and of their intersection for distinct pairs (one, other), on full sets.
 
@@ -187,9 +195,7 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * 5
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("one", "other", "one_size", "other_size", "common"), columns, strict=True)})
 
-    if wanted.n <= SENT_IDS:  # a filter ahead of the join, so only texts to compare are shuffled
-        docs = docs.join(F.broadcast(needed.select(F.col("doc").alias("wanted"))), F.col("doc_id") == F.col("wanted"), "left_semi")
-    texts = docs.join(needed, docs.doc_id == needed.doc).select("doc_id", "text", "places")
+    texts = _texts_of(docs, needed, wanted.n)
     dealt = texts.mapInArrow(sets, "other long, block int, doc long, shingles binary").withColumn(
         "share", F.pmod(F.xxhash64("other", "block"), F.lit(groups)))
     met = dealt.groupBy("share").applyInArrow(meet, "one long, other long, one_size long, other_size long, common long")
@@ -236,9 +242,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     compared = compare(texts, members.select(F.col("member").alias("one"), F.col("centre").alias("other")))
     links = _linked(compared, percent)
     found = components(links)
-    more = _untested(members, compared, found, percent)
-    if not more.isEmpty():
-        found = components(links.unionByName(_linked(compare(texts, more), percent)))
+    more = _links_across(texts, _still_open(members, compared, found, percent), percent)
+    if more is not None:
+        found = components(links.unionByName(more))
 
     own = signed.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left")
     placed = own.join(found, own.class_id == found.node, "left")
@@ -246,11 +252,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _untested(members: DataFrame, compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that may still be linked.
+def _still_open(members: DataFrame, compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets that hold more than one component, as far as a link between two may be untested.
 
-    A member outside the component of its bucket's centre meets every member of another
-    component whose distance to the centre differs by at most the linking distance.
+    A member outside the component of its bucket's centre has to meet every member of
+    another component whose distance to the centre differs by at most the linking
+    distance; members that are too close to the centre for all of them are left out.
     """
     reach = 1 - percent / 100 + 1e-9
     distances = compared.select("one", "other", _distance("common", "one_size", "other_size").alias("distance"))
@@ -260,10 +267,80 @@ def _untested(members: DataFrame, compared: DataFrame, found: DataFrame, percent
         .join(found, F.col("member") == found.node, "left").withColumn("of_member", component("member")).drop("node", "component")
         .join(found, F.col("centre") == found.node, "left").withColumn("of_centre", component("centre")).drop("node", "component")
     )
-    placed = keep(placed, "placed")
-    outside = placed.where("of_member <> of_centre").select(
-        "key", F.col("member").alias("one"), F.col("of_member").alias("of_one"), F.col("distance").alias("one_distance"))
-    met = outside.join(placed, "key").where(
-        (F.col("of_one") != F.col("of_member")) & (F.abs(F.col("one_distance") - F.col("distance")) <= reach)
-        & ((F.col("of_member") == F.col("of_centre")) | (F.col("one") < F.col("member"))))
-    return met.select("one", F.col("member").alias("other"))
+    placed = keep(placed.withColumn("outside", F.col("of_member") != F.col("of_centre")), "placed")
+    opened = placed.where("outside").groupBy("key").agg(F.count(F.lit(1)).alias("outsiders"), F.min("distance").alias("nearest"))
+    inside = placed.join(opened, "key").where(F.col("outside") | (F.col("distance") >= F.col("nearest") - reach))
+    sizes = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("of_member").alias("parts"))
+    return inside.join(sizes, "key").where("parts > 1").select("key", "member", F.col("of_member").alias("part"), "outside", "outsiders", "n")
+
+
+def _links_across(docs: DataFrame, open_members: DataFrame, percent: int) -> DataFrame | None:
+    """Links between members of different components, bucket by bucket; None if no bucket is open.
+
+    A bucket's members are dealt into blocks, and its outsiders too; each pair of blocks
+    is a cell, in which a task compares full sets and puts out nothing but links.
+    """
+    cells = lambda count, size: F.ceil(F.col(count) / size).cast("int")
+    dealt = open_members.select("key", "member", "part", "outside", cells("n", CELL).alias("wide"), cells("outsiders", CELL).alias("high"))
+    column, row = F.pmod(F.xxhash64("member"), F.col("wide")).cast("int"), F.pmod(F.xxhash64("member"), F.col("high")).cast("int")
+    as_member = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda r: F.struct("key", column.alias("column"), r.alias("row"), "part", F.lit(False).alias("asks")))
+    as_outsider = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda c: F.struct("key", c.alias("column"), row.alias("row"), "part", F.lit(True).alias("asks")))
+    places = F.when(F.col("outside"), F.concat(as_member, as_outsider)).otherwise(as_member)
+    needed = keep(dealt.groupBy(F.col("member").alias("doc")).agg(F.flatten(F.collect_list(places)).alias("places")), "needed")
+    wanted = needed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("places")).alias("places")).first()
+    if not wanted.n:
+        return None
+    groups = groups_for(wanted.places, SETS)
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 4 << 20):
+            flat, sizes = shingle_sets(batch.column("text"))
+            ends = np.cumsum(sizes)
+            rows: list[tuple] = []
+            held = 0
+            for doc, places, size, end in zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), sizes.tolist(), ends.tolist(), strict=True):
+                raw = flat[end - size:end].tobytes()
+                for place in places:
+                    rows.append((*place.values(), doc, raw))
+                    held += len(raw)
+                    if held > _HELD:
+                        yield _filled(rows)
+                        rows, held = [], 0
+            yield _filled(rows)
+
+    def meet(table: pa.Table) -> pa.Table:
+        cell_of = list(zip(*(table.column(c).to_pylist() for c in ("key", "column", "row")), strict=True))
+        parts, asks, docs = (table.column(c).to_pylist() for c in ("part", "asks", "doc"))
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        in_cell: dict[tuple, tuple[list[int], list[int]]] = {}
+        for k, cell in enumerate(cell_of):
+            in_cell.setdefault(cell, ([], []))[asks[k]].append(k)
+        links = set()
+        for held, asking in in_cell.values():
+            if not held or not asking:
+                continue
+            owner = np.repeat(np.arange(len(held)), [len(found[k]) for k in held])
+            flat = np.concatenate([found[k] for k in held])
+            order = np.argsort(flat)
+            flat, owner = flat[order], owner[order]
+            sizes = np.array([len(found[k]) for k in held])
+            for k in asking:
+                low, high = np.searchsorted(flat, found[k]), np.searchsorted(flat, found[k], side="right")
+                hits = owner[np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(int((high - low).sum()))]
+                common = np.bincount(hits, minlength=len(held))
+                for j in np.flatnonzero(100 * common >= percent * (sizes + len(found[k]) - common)).tolist():
+                    if parts[held[j]] != parts[k]:
+                        links.add((docs[k], docs[held[j]]))
+        one, other = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"one": pa.array(one, pa.int64()), "other": pa.array(other, pa.int64())})
+
+    sent = _texts_of(docs, needed, wanted.n).mapInArrow(sets, "key long, column int, row int, part long, asks boolean, doc long, shingles binary")
+    cell = F.pmod(F.xxhash64("key", "column", "row"), F.lit(groups))
+    return keep(sent.withColumn("share", cell).groupBy("share").applyInArrow(meet, "one long, other long"), "links")
+
+
+def _filled(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["key", "column", "row", "part", "asks", "doc", "shingles"])
