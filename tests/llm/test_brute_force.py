@@ -182,7 +182,12 @@ def components_by_hand(rows):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-def test_near_duplicates(spark, sample):
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates(spark, sample, monkeypatch, small):
+    """Also with blocks and cells of a few documents and without sent ids."""
+    if small:
+        for name, value in (("CELL", 3), ("BLOCK", 4), ("SENT_IDS", 0), ("SETS", 50)):
+            monkeypatch.setattr(near_dups, name, value)
     random.seed(4)
     rows, n, vocabulary = list(sample), 10_000, [f"w{i}" for i in range(400)]
     for _ in range(10):
