@@ -36,7 +36,7 @@ from .common import groups_for, small_batches, text_of
 from .near_dups import _mix, word_hashes
 
 UNIGRAM, BIGRAM = 1000.0, 16.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 PART_BYTES = 24 << 20  # of documents for each part of the hashes
 KEY_BYTES = 5  # of a hash, besides the bits that name its part
 _START = np.uint64(0x5354415254)
@@ -54,19 +54,23 @@ class _Block:
         self.doc_ids, self.counts = docs.column("doc_id").to_pylist(), counts
         self.is_target = np.fromiter((d is not None and d in targets for d in self.doc_ids), bool, len(self.doc_ids))
         self.doc = np.repeat(np.arange(len(counts)), counts)
-        contexts = np.empty(len(words), np.uint64)
-        contexts[1:] = words[:-1]
         begins = (np.cumsum(counts) - counts)[counts > 0]
-        contexts[begins] = _START
+        rest = np.uint64(64 - part_bits - 8 * KEY_BYTES)
+        one, half = np.uint64(1), np.uint64(1 << 63)  # the first bit tells words from bigrams
         with np.errstate(over="ignore"):
-            words, contexts = _mix(words), _mix(contexts)
-            pairs = _mix(contexts * np.uint64(0x9E3779B97F4A7C15) + words)
-        # the first bit tells words (also as contexts) from bigrams
-        half = np.uint64(1 << 63)
-        rest = np.uint64(part_bits + 8 * KEY_BYTES)
-        keys = np.concatenate([words >> np.uint64(1), contexts >> np.uint64(1), (pairs >> np.uint64(1)) | half]) >> (np.uint64(64) - rest)
-        self.keys, index = np.unique(keys, return_inverse=True)
-        self.word, self.context, self.pair = np.split(index, 3) if len(index) else (index, index, index)
+            spread = _mix(words)
+            before = np.concatenate([_mix(np.array([_START])), spread])[:-1] if len(words) else spread
+            before[begins] = _mix(np.array([_START]))[0]
+            pairs = _mix(before * np.uint64(0x9E3779B97F4A7C15) + spread)
+            opening = _mix(np.array([_START]))
+        del before
+        single, index = np.unique(np.concatenate([spread, opening]) >> one >> rest, return_inverse=True)
+        double, self.pair = np.unique((pairs >> one | half) >> rest, return_inverse=True)
+        self.word, start = index[:-1], index[-1]
+        self.context = np.concatenate([[start], self.word])[:-1] if len(words) else self.word
+        self.context[begins] = start
+        self.keys = np.concatenate([single, double])
+        self.pair = self.pair + len(single)
         self.parts = (self.keys >> np.uint64(8 * KEY_BYTES)).astype(np.int64)
 
     def counted(self, of: np.ndarray) -> np.ndarray:
