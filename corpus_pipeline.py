@@ -22,9 +22,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id in each component."""
-    dropped = near_dups.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(dropped, docs.doc_id == dropped.dropped, "left_anti")
+    """The row of the least doc_id in each component, once."""
+    return near_dups.one_of_each(docs)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ document are split into blocks, so no task sees a whole group.
 Nulls: a null text has no set and links with nothing; rows without doc_id are components
 of their own and kept. Empty texts alike. With one word, that word is the set. Rows of
 one doc_id must be the same document. An empty table gives no rows. Other columns are
-ignored.
+ignored. ``one_of_each`` decides by row instead: repeated rows, rows without doc_id and
+different texts of one doc_id are documents of their own, and one row of each group stays.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ SETS = 2000  # sets that a task of the comparison holds at least
 SENT_IDS = 500_000  # ids of documents to compare that are sent to all tasks; more meet the texts by a shuffle
 SEED = 20_240_601
 _CHUNK = 1 << 18
+_ROW = "near_row"
 _HELD = 4 << 20  # bytes of sets in an outgoing batch
 
 
@@ -252,6 +254,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with all columns: that of the least doc_id, null ids last.
+
+    Each row gets a number of its own first, written out with it, so that rows which
+    share a doc_id, or have none, are told apart. Rows without shingles all stay.
+    """
+    columns = docs.columns
+    numbered = keep(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(_ROW).alias("doc_id"), "text"), percent).select(
+        F.col("doc_id").alias("of_row"), F.col("component_id").alias("part"))
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64(*columns), F.col(_ROW).alias("row"))
+    ranked = keep(numbered.select(F.col(_ROW), rank.alias("rank")).join(found, F.col(_ROW) == F.col("of_row")).select("part", "rank"), "ranked")
+    least = ranked.groupBy("part").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dropped = ranked.join(least, "part").where("rank.row <> least.row").select(F.col("rank.row").alias("dropped"))
+    return numbered.join(dropped, F.col(_ROW) == F.col("dropped"), "left_anti").select(*columns)
+
+
 def _still_open(members: DataFrame, compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Members of buckets that hold more than one component, as far as a link between two may be untested.
 

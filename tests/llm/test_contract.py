@@ -82,6 +82,18 @@ def test_pipeline_stages_on_awkward_tables(spark, tmp_path, rows):
     assert (packed.count() > 0) == bool(rows)
 
 
+def test_copies_survive_the_pipeline_stages_once(spark, tmp_path):
+    """A repeated row, a copy without doc_id and copies without any doc_id leave one whole text each."""
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in ("row", "null", "nulls", "other")]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[1]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (3, texts[3]), (3, "short"), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], COLUMNS)
+    single = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, str(tmp_path))
+    assert single.columns == docs.columns
+    cut = corpus_pipeline.cut_repeated_strings(spark, spark.createDataFrame(single.collect(), COLUMNS), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in cut), key=str) == sorted(
+        [(1, texts[0]), (2, texts[1]), (None, texts[2]), (3, texts[3]), (3, "short"), (4, ""), (4, "")], key=str)
+
+
 def test_pipeline_by_hand(spark):
     """Each stage's decisions against the operator's own brute force, on what the stage before kept."""
     from test_brute_force import components_by_hand, removed_by_hand
