@@ -28,6 +28,7 @@ from .common import WORD, keep, text_of
 
 BUCKETS = 4096  # three hexadecimal digits
 WEIGHTS = (3, 1, 2)
+_ROW = "mix_row"
 SHARE, MAX_EPOCHS, SEED = 1.5, 2.0, "mix"
 
 
@@ -62,9 +63,15 @@ def weighted_sources(sized: DataFrame, weights: Sequence[int] = WEIGHTS) -> Data
         "weight", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), F.pmod(number - 1, F.lit(len(weights))) + 1))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Per document: size, source_size, target, taken, whole repetitions and the words of the fractional one."""
-    sized = keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size")), "sizes")
+def mix(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED, row: str | None = None,
+) -> DataFrame:
+    """Per document: size, source_size, target, taken, whole repetitions and the words of the fractional one.
+
+    ``row`` names a column that tells rows apart; it breaks ties of the order and is returned too.
+    """
+    own = [] if row is None else [row]
+    sized = keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), *own), "sizes")
     per_source = targets(weighted_sources(sized, weights), share, max_epochs).select(
         F.col("source").alias("of"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("repeats"))
@@ -76,7 +83,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select(
         F.col("source").alias("of"), F.col("bucket").alias("in_bucket"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("buckets_before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     placed = ordered.withColumn("words_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     found = (
         placed.join(buckets, placed.source.eqNullSafe(buckets.of) & (placed.bucket == buckets.in_bucket)).drop("of")
@@ -86,21 +93,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     extra = F.greatest(F.lit(0), F.least(F.col("size"), room)).cast("long")
     return found.select(
         "doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size") + extra).alias("taken"),
-        "repeats", extra.alias("extra_words"), "source")
+        "repeats", extra.alias("extra_words"), "source", *own)
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents themselves, with the columns of ``docs``; doc_id must be unique.
+    """The mixed documents themselves, with the columns of ``docs``.
 
     A document appears once for each whole repetition; the fractional repetition at
     the end of a source's share holds the first words of its document, joined by
-    spaces. Null ids meet null ids.
+    spaces. Each row gets a number of its own first, written out with it, and meets
+    its decision by that; ids may be null or stand in many rows.
     """
     columns = docs.columns
-    decided = mix(docs, **how).select(
-        F.col("doc_id").alias("mix_of"), (F.col("repeats") + (F.col("extra_words") == F.col("size")).cast("long") * (F.col("size") > 0).cast("long")).alias("mix_whole"),
+    docs = keep(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    decided = mix(docs, row=_ROW, **how).select(
+        F.col(_ROW).alias("mix_of"), (F.col("repeats") + (F.col("extra_words") == F.col("size")).cast("long") * (F.col("size") > 0).cast("long")).alias("mix_whole"),
         F.when(F.col("extra_words") < F.col("size"), F.col("extra_words")).otherwise(0).alias("mix_words"))
-    taken = docs.join(decided, docs["doc_id"].eqNullSafe(decided["mix_of"])).where("mix_whole > 0 or mix_words > 0")
+    taken = docs.join(decided, F.col(_ROW) == F.col("mix_of")).where("mix_whole > 0 or mix_words > 0")
     copies = taken.withColumn("mix_copy", F.explode(F.sequence(F.when(F.col("mix_words") > 0, 0).otherwise(1).cast("long"), F.col("mix_whole"))))
     short = F.col("mix_copy") == 0
     return copies.select(*[

@@ -72,6 +72,19 @@ def test_mix_meets_targets(spark):
     assert sorted(rows) == sorted(mixing.mix(docs.repartition(7)).collect())
 
 
+def test_mixed_rows_that_share_ids(spark):
+    """Equal ids and null ids meet only their own decision, so sources keep their targets."""
+    rows = [(None if i % 3 == 0 else i % 7, " ".join(f"w{i}" for _ in range(5 + i % 4)), "en", "ab"[i % 2], 0) for i in range(60)] + [(1, "same row", "en", "a", 8)] * 4
+    docs = spark.createDataFrame(rows, COLUMNS)
+    wanted, words, copies = {}, {}, {}
+    for r in mixing.mix(docs).collect():
+        wanted[r.source] = wanted.get(r.source, 0) + r.taken
+    for r in mixing.apply_mix(docs).collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+        copies[r.text.split()[0]] = copies.get(r.text.split()[0], 0) + 1
+    assert words == wanted and all(n <= 2 for word, n in copies.items() if word != "same")
+
+
 @pytest.mark.parametrize("rows", [[], AWKWARD])
 def test_pipeline_stages_on_awkward_tables(spark, tmp_path, rows):
     spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
