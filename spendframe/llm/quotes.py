@@ -1,10 +1,11 @@
 """Conversations in reply order, linked by what messages quote.
 
 A line that begins with one or more '>' quotes; their number is its level. Runs of lines
-of one level are passages. A passage as a whole and each of its lines are units:
-lower-cased, everything but letters and digits as one space, hashed. The unquoted
-paragraphs and lines of all messages are units as well, and quoted units meet them by
-hash. The original of a unit is the first message of the same conversation that wrote
+of one level are passages, and blank lines, quoted ones too, part a passage into
+paragraphs. A passage as a whole, its paragraphs and its lines are units: lower-cased,
+everything but letters and digits as one space, hashed. The unquoted passages, paragraphs
+and lines of all messages and their whole unquoted texts are units as well, and quoted
+units meet them by hash. The original of a unit is the first message of the same conversation that wrote
 it, if that is earlier; else, with at least ``MIN_WORDS`` words, the first message of all
 earlier conversations. A unit written many times has one original in each conversation
 and one overall, so the join has one row per quoted unit.
@@ -23,6 +24,7 @@ order of their texts. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -57,26 +59,31 @@ def unit_of(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def paragraphs(lines: list[str]) -> list[str]:
+    """Lines between blank ones, joined."""
+    return [" ".join(group) for filled, group in itertools.groupby(lines, lambda line: bool(line.strip())) if filled]
+
+
 def parse(text: str) -> tuple[str, list[tuple[int, int, int]]]:
     """The text without quotes, and (level, unit, words) of all its units; level 0 is its own."""
     runs: list[tuple[int, list[str]]] = []
     for level, line in split_levels(text):
-        if runs and runs[-1][0] == level and (level or line.strip()):
+        if runs and runs[-1][0] == level:
             runs[-1][1].append(line)
-        elif level or line.strip() or not runs or runs[-1][0]:
-            runs.append((level, [line]))
         else:
-            runs.append((0, [line]))  # a blank line ends a paragraph
+            runs.append((level, [line]))
     own: list[str] = []
-    units: dict[tuple[int, int], int] = {}
+    parts: list[tuple[int, str]] = []
     for i, (level, lines) in enumerate(runs):
         if not level:
-            if i + 1 < len(runs) and runs[i + 1][0] and _INTRODUCES.match(lines[-1]):
+            if i + 1 < len(runs) and _INTRODUCES.match(lines[-1]):
                 lines = lines[:-1]
             own += lines
-        for part in [" ".join(lines), *lines]:
-            if plain := normalised(part):
-                units[level, unit_of(plain)] = plain.count(" ") + 1
+        parts += [(level, part) for part in (" ".join(lines), *paragraphs(lines), *lines)]
+    units: dict[tuple[int, int], int] = {}
+    for level, part in [*parts, (0, " ".join(own))]:
+        if plain := normalised(part):
+            units[level, unit_of(plain)] = plain.count(" ") + 1
     return "\n".join(own).strip("\n"), [(level, unit, words) for (level, unit), words in units.items()]
 
 

@@ -329,6 +329,20 @@ def test_quotations(spark):
         (3, 5, ""): (3, 5, 1, None, None, 0), (3, 5, "z"): (3, 5, 2, None, None, 0), (3, 700, "q"): (3, 5, 3, 3, 5, 1)}
 
 
+def test_rewrapped_quotes_of_paragraphs(spark):
+    """Quotes whose lines break elsewhere meet their paragraphs, or the whole message."""
+    first = "One two three four\nfive six seven\n\neight nine ten\neleven twelve"
+    rows = [
+        (1, 0, "user", first), (1, 1, "assistant", "Something else entirely"), (1, 2, "user", "Not this either"),
+        (1, 3, "user", "> One two three\n> four five six seven\n>\n> eight\n> nine ten eleven twelve\nBoth"),
+        (1, 4, "user", "> One two\n> three four five six seven\n> \n> words of nobody\nFirst"),
+        (1, 5, "user", "> One two\n> three four five six seven eight nine\n> ten eleven twelve\nJoined"),
+        (1, 6, "user", ">> eight\n>> nine ten eleven twelve\n>>\n>> words of nobody\n> \nNested")]
+    got = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: (r.parent_turn, r.depth) for r in got} == {0: (None, 0), 1: (0, 1), 2: (1, 2), 3: (0, 1), 4: (0, 1), 5: (0, 1), 6: (0, 1)}
+    assert {r.turn: r.text for r in got if r.turn in (0, 3, 4, 5, 6)} == {0: first, 3: "Both", 4: "First", 5: "Joined", 6: "Nested"}
+
+
 def test_unquoted_conversations_follow_their_turns(spark):
     messages = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     got = quotes.reply_ordered(messages).collect()
