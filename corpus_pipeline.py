@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from spendframe.llm import mixing, near_dups, packing, repeats, toxicity
 from spendframe.llm.common import documents, keep
 
+SHINGLE_WORDS = 2  # of the near-duplicate stage; tests/llm/test_contract.py compares it with two-word sets
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the rejection score of a grammar learned from the labels."""
@@ -23,7 +25,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the least doc_id in each component, once."""
-    return near_dups.one_of_each(docs)
+    return near_dups.one_of_each(docs, width=SHINGLE_WORDS)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near-duplicate documents by min-max hashing.
 
-A document's set holds its distinct two-word shingles, lower-cased A to Z. Each of
+A document's set holds its distinct shingles of ``width`` words, lower-cased A to Z. Each of
 ``PERMUTATIONS`` hash functions gives two values of the signature, its least and its
 greatest over the set, so 240 values cost 120 evaluations a shingle. Six values make a
 band; documents that share a band are candidates. Two sets of likeness 0.8 share none
@@ -15,7 +15,7 @@ candidate pair of different components stays untested. Comparisons against one
 document are split into blocks, so no task sees a whole group.
 
 Nulls: a null text has no set and links with nothing; rows without doc_id are components
-of their own and kept. Empty texts alike. With one word, that word is the set. Rows of
+of their own and kept. Empty texts alike. With fewer words than a shingle, all of them are the one shingle. Rows of
 one doc_id must be the same document. An empty table gives no rows. Other columns are
 ignored. ``one_of_each`` decides by row instead: repeated rows, rows without doc_id and
 different texts of one doc_id are documents of their own, and one row of each group stays.
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import groups_for, keep, small_batches, text_of
 
 PERMUTATIONS = 120
+WIDTH = 2  # words of a shingle
 BAND_ROWS = 3  # hash functions of a band, two values each
 PERCENT = 80
 BLOCK = 4000  # comparisons against one document in one block
@@ -69,18 +70,29 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return known[np.asarray(coded.indices)], np.diff(bounds)
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words at each place."""
+    n = max(0, len(words) - width + 1)
+    if width == 1:
+        return _mix(words)
+    hashed = words[:n]
+    with np.errstate(over="ignore"):
+        for k in range(1, width):
+            hashed = _mix(hashed * np.uint64(0x9E3779B97F4A7C15) + words[k:n + k])
+    return hashed
+
+
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text one after the other, and the sets' sizes."""
     words, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     sets = []
-    with np.errstate(over="ignore"):
-        pairs = _mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) if len(words) else words
+    runs = _runs(words, width)
     for count, end in zip(counts.tolist(), ends.tolist(), strict=True):
-        if count < 2:
-            sets.append(_mix(words[end - count:end]))
+        if count < width:
+            sets.append(_runs(words[end - count:end], count)[:1] if count else words[:0])
         else:
-            found = np.sort(pairs[end - count:end - 1])
+            found = np.sort(runs[end - count:end - width + 1])
             sets.append(found[np.concatenate([[True], found[1:] != found[:-1]])])
     return (np.concatenate(sets) if sets else words), np.fromiter(map(len, sets), np.int64, len(sets))
 
@@ -118,11 +130,11 @@ def _cuts(starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
             yield part
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, set_digest (null without shingles) and the band keys."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
-            flat, sizes = shingle_sets(batch.column("text"))
+            flat, sizes = shingle_sets(batch.column("text"), width)
             some = np.flatnonzero(sizes)
             keys = band_keys(flat, sizes[some])
             ends = np.cumsum(sizes)
@@ -152,7 +164,7 @@ def _texts_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     return docs.join(needed, docs.doc_id == needed.doc).select("doc_id", "text", "places")
 
 
-def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def compare(docs: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Sizes of both sets and of their intersection for distinct pairs (one, other), on full sets.
 
     The sets against one ``other`` are dealt into blocks, to each of which the other's set is sent.
@@ -169,7 +181,7 @@ def compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
-            flat, sizes = shingle_sets(batch.column("text"))
+            flat, sizes = shingle_sets(batch.column("text"), width)
             ends = np.cumsum(sizes)
             rows: list[tuple] = []
             held = 0
@@ -230,10 +242,10 @@ def _distance(common: str, one: str, other: str):
     return 1 - F.col(common) / (F.col(one) + F.col(other) - F.col(common))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    signed = signatures(texts)
+    signed = signatures(texts, width)
     classes = signed.where("doc_id is not null and set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("class_id"))
     first = F.first("bands")
     chosen = signed.join(classes, (signed.set_digest == classes.set_digest) & (signed.doc_id == classes.class_id)).groupBy("class_id").agg(first.alias("bands"))
@@ -241,10 +253,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = banded.groupBy("key").agg(F.min("member").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = keep(banded.join(buckets, "key").where("member <> centre"), "members")
 
-    compared = compare(texts, members.select(F.col("member").alias("one"), F.col("centre").alias("other")))
+    compared = compare(texts, members.select(F.col("member").alias("one"), F.col("centre").alias("other")), width)
     links = _linked(compared, percent)
     found = components(links)
-    more = _links_across(texts, _still_open(members, compared, found, percent), percent)
+    more = _links_across(texts, _still_open(members, compared, found, percent), percent, width)
     if more is not None:
         found = components(links.unionByName(more))
 
@@ -254,7 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """One row of each component, with all columns: that of the least doc_id, null ids last.
 
     Each row gets a number of its own first, written out with it, so that rows which
@@ -262,7 +274,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     columns = docs.columns
     numbered = keep(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select(F.col(_ROW).alias("doc_id"), "text"), percent).select(
+    found = near_duplicates(numbered.select(F.col(_ROW).alias("doc_id"), "text"), percent, width).select(
         F.col("doc_id").alias("of_row"), F.col("component_id").alias("part"))
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.xxhash64(*columns), F.col(_ROW).alias("row"))
     ranked = keep(numbered.select(F.col(_ROW), rank.alias("rank")).join(found, F.col(_ROW) == F.col("of_row")).select("part", "rank"), "ranked")
@@ -293,7 +305,7 @@ def _still_open(members: DataFrame, compared: DataFrame, found: DataFrame, perce
     return inside.join(sizes, "key").where("parts > 1").select("key", "member", F.col("of_member").alias("part"), "outside", "outsiders", "n")
 
 
-def _links_across(docs: DataFrame, open_members: DataFrame, percent: int) -> DataFrame | None:
+def _links_across(docs: DataFrame, open_members: DataFrame, percent: int, width: int) -> DataFrame | None:
     """Links between members of different components, bucket by bucket; None if no bucket is open.
 
     A bucket's members are dealt into blocks, and its outsiders too; each pair of blocks
@@ -313,7 +325,7 @@ def _links_across(docs: DataFrame, open_members: DataFrame, percent: int) -> Dat
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
-            flat, sizes = shingle_sets(batch.column("text"))
+            flat, sizes = shingle_sets(batch.column("text"), width)
             ends = np.cumsum(sizes)
             rows: list[tuple] = []
             held = 0

@@ -127,7 +127,7 @@ def without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op9_near_duplicates")
 def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(documents(spark, sf_dir))
+    return near_dups.near_duplicates(documents(spark, sf_dir), width=2)
 
 
 @_query("op10_spot_signatures")

@@ -72,6 +72,19 @@ def test_mix_meets_targets(spark):
     assert sorted(rows) == sorted(mixing.mix(docs.repartition(7)).collect())
 
 
+def test_width_of_shingles(spark):
+    """Likeness 0.8 on two words, less on five: one of the pair is dropped, or neither."""
+    words = [f"w{i}" for i in range(81)]
+    changed = [f"x{i}" if i in (10, 30, 50, 70) else w for i, w in enumerate(words)]
+    sets = lambda n: [set(zip(*(x[k:] for k in range(n)), strict=False)) for x in (words, changed)]
+    alike = [len(a & b) / len(a | b) for a, b in (sets(2), sets(5))]
+    assert alike[0] >= 0.8 > alike[1]
+    few = [(3, "one two three"), (4, "One two  three"), (5, "one two"), (6, "three one two")]  # fewer words than a shingle
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in [(1, " ".join(words)), (2, " ".join(changed)), *few]], COLUMNS)
+    assert {r.doc_id for r in near_dups.near_duplicates(docs).collect() if r.kept} == {1, 3, 5, 6}
+    assert {r.doc_id for r in near_dups.one_of_each(docs, width=5).collect()} == {1, 2, 3, 5, 6}
+
+
 def test_mixed_rows_that_share_ids(spark):
     """Equal ids and null ids meet only their own decision, so sources keep their targets."""
     rows = [(None if i % 3 == 0 else i % 7, " ".join(f"w{i}" for _ in range(5 + i % 4)), "en", "ab"[i % 2], 0) for i in range(60)] + [(1, "same row", "en", "a", 8)] * 4
