@@ -4,7 +4,9 @@ The tokenizers library needs about a microsecond for every byte. Words repeat, s
 a text is cut at places where the tokenizer's own pre-tokenizer always cuts, each
 distinct piece is encoded by the library once for each worker, and the ids of a text are
 gathered with numpy. The ids equal those of encoding the whole text; texts with
-doubled spaces or other unusual white space are cut less finely.
+doubled spaces or other unusual white space are cut less finely. A text that holds the
+string of an added token, such as '<|endoftext|>', goes to the library whole, which
+gives that token's id.
 """
 
 from __future__ import annotations
@@ -50,7 +52,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "|".join(map(re.escape, added))  # looked for in any case: a normalizer may lower letters first
         self.kept = kept
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -75,10 +78,23 @@ class PieceEncoder:
         at = 0
         while at < len(texts):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
-            found.append(self._encode(pc.take(texts, pa.array(np.arange(at, stop)))))
+            found.append(self._encode_some(pc.take(texts, pa.array(np.arange(at, stop)))))
             at = stop
         return np.concatenate([ids for ids, _ in found]), np.concatenate([counts for _, counts in found])
 
+    def _encode_some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold added tokens whole, the others cut."""
+        marked = pc.match_substring_regex(texts, self.added, ignore_case=True) if self.added else None
+        if marked is None or not pc.any(marked).as_py():
+            return self._encode(texts)
+        ids, counts = self._encode(pc.if_else(marked, pa.scalar("", pa.large_string()), texts))
+        starts, found, used = np.cumsum(counts) - counts, [ids], len(ids)
+        for row in np.flatnonzero(np.asarray(marked)).tolist():
+            own = np.array(self.tokenizer.encode(texts[row].as_py(), add_special_tokens=False).ids, np.uint32)
+            found.append(own)
+            starts[row], counts[row], used = used, len(own), used + len(own)
+        return _gather(np.concatenate(found), starts, counts)[0], counts
+
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > self.kept:
             self._forget()

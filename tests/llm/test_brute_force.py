@@ -46,6 +46,24 @@ def test_pieces_encode_like_whole_texts(name):
         assert ids[end - n:end].tolist() == whole_ids(name, text), repr(text)
 
 
+@pytest.mark.parametrize("name", TOKENIZERS)
+def test_added_tokens_in_texts(name):
+    """Against a tokenizer of its own: strings of added tokens give the special ids."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.tokenizer_path(name))
+    random.seed(8)
+    bits = ["a", " ", "the ", "\n", "  ", "é", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "12", "\u0338"]
+    texts = ["".join(random.choices(bits, k=random.randint(0, 10))) for _ in range(3000)] + [None, "", "<|endoftext|>", "plain words"]
+    ids, counts = tokens.PieceEncoder(tokens.tokenizer_path(name), kept=500).encode(pa.chunked_array([texts[:7], texts]).combine_chunks().slice(7))
+    special = 0
+    for text, n, end in zip(texts, counts, np.cumsum(counts), strict=True):
+        expected = plain.encode(text or "", add_special_tokens=False).ids
+        assert ids[end - n:end].tolist() == expected, repr(text)
+        special += bool({x for x in plain.get_added_tokens_decoder()} & set(expected))
+    assert special > 500 and len(ids) == counts.sum()
+
+
 @pytest.mark.parametrize("bits", [1, 2])
 def test_coded_ranks_round_trip(bits):
     rng = np.random.default_rng(1)
