@@ -6,7 +6,10 @@ Distribution: each string of 200 bytes holds 161 places where 40 bytes begin; th
 of the least hash among them is its anchor. Equal strings have equal anchors at equal
 offsets, so only texts around anchors whose 40 bytes occur more than once can hold
 repeats, and strings of different anchors need not be compared. Texts around such
-anchors, each with the strings it answers for, are dealt to tasks by anchor.
+anchors, each with the strings it answers for, are dealt to tasks by anchor. An anchor
+whose texts may pass ``HOT_BYTES`` is split further: each of its strings goes by its own
+128-bit digest, counted once a bucket of documents and then over all buckets, so the
+edges of a passage in very many documents meet in no single task.
 
 In a task, the suffixes of all its texts are sorted by a difference cover modulo 3: the
 sampled triples of letters are sorted and named, the names form a shorter text of the
@@ -30,7 +33,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import groups_for, keep, text_of
@@ -40,7 +43,10 @@ GRAM = 40
 WINDOW = LENGTH - GRAM + 1
 LETTER = 8
 GROUP_BYTES = 4 << 20  # of texts around anchors in a task
+HOT_BYTES = GROUP_BYTES  # of texts around one anchor; beyond it strings are dealt one by one
 SORTED_BYTES = 1 << 20  # sorted at once
+STRETCH_BYTES = 4 << 20  # of texts whose anchors are found at once; a longer text is cut
+DIGEST = 16
 BUCKET_BYTES = 6 << 20  # of documents in a task
 _BASE = 0x9E3779B97F4A7C15
 _PLACE_BITS = 26
@@ -212,17 +218,28 @@ def find_anchors(texts: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(text)).astype(np.int64))])
             for a, b in _stretches(ends):
                 data = np.frombuffer(b"".join(x.as_py() for x in text.slice(a, b - a)), np.uint8)
-                anchor, owner, first, last = anchor_runs(data, ends[a:b + 1] - ends[a])
-                owner = pa.array(owner + a)
-                yield pa.RecordBatch.from_arrays(
-                    [pc.take(batch.column("doc_id"), owner), pc.take(batch.column("tag"), owner), pa.array(anchor), pa.array(first), pa.array(last)],
-                    names=["doc_id", "tag", "anchor", "first", "last"])
+                for anchor, owner, first, last in cut_runs(data, ends[a:b + 1] - ends[a]):
+                    owner = pa.array(owner + a)
+                    yield pa.RecordBatch.from_arrays(
+                        [pc.take(batch.column("doc_id"), owner), pc.take(batch.column("tag"), owner), pa.array(anchor), pa.array(first), pa.array(last)],
+                        names=["doc_id", "tag", "anchor", "first", "last"])
 
     return keep(texts.mapInArrow(run, "doc_id long, tag long, anchor long, first long, last long"), "anchors")
 
 
-def _stretches(ends: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of a few million bytes; a longer text alone, places must fit their bits."""
+def cut_runs(data: np.ndarray, bounds: np.ndarray, size: int = STRETCH_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchor runs; a single text longer than ``size`` in stretches that share 199 bytes, so places fit their bits."""
+    if len(bounds) > 2 or len(data) <= size:
+        yield anchor_runs(data, bounds)
+        return
+    for at in range(0, len(data) - LENGTH + 1, size):
+        part = data[at:at + size + LENGTH - 1]
+        anchor, owner, first, last = anchor_runs(part, np.array([0, len(part)]))
+        yield anchor, owner, first + at, last + at
+
+
+def _stretches(ends: np.ndarray, size: int = STRETCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts of a few million bytes; a longer text alone."""
     a = 0
     while a < len(ends) - 1:
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + size, side="right")) - 1)
@@ -248,26 +265,70 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _contexts(docs: pa.Table, hits: pa.Table) -> Iterator[tuple[int, bytes, int, list[tuple]]]:
+    """Anchor, text around it, its number of starts and all its places, of each different text around an anchor."""
+    text_at = {key: x for key, x in zip(_tuples(docs, "doc_id", "tag"), docs.column("text"), strict=True)}
+    copies: dict[tuple, int] = defaultdict(int)
+    for key in _tuples(docs, "doc_id", "tag"):
+        copies[key] += 1
+    found: dict[tuple, set] = defaultdict(set)
+    for doc_id, tag, anchor, first, last in _tuples(hits, "doc_id", "tag", "anchor", "first", "last"):
+        text = text_at[doc_id, tag].as_buffer()
+        found[anchor, bytes(text[first:last + LENGTH]), last - first + 1].add((doc_id, tag, first))
+    for key, places in found.items():
+        yield *key, [p for p in places for _ in range(min(2, copies[p[0], p[1]]))]  # equal rows repeat one another
+
+
 def _around(shares: int):
     def cut(docs: pa.Table, hits: pa.Table) -> pa.Table:
         """Text around each anchor that occurs again, equal ones once with all their places."""
-        text_at = {key: x for key, x in zip(_tuples(docs, "doc_id", "tag"), docs.column("text"), strict=True)}
-        copies: dict[tuple, int] = defaultdict(int)
-        for key in _tuples(docs, "doc_id", "tag"):
-            copies[key] += 1
-        found: dict[tuple, set] = defaultdict(set)
-        for doc_id, tag, anchor, first, last in _tuples(hits, "doc_id", "tag", "anchor", "first", "last"):
-            text = text_at[doc_id, tag].as_buffer()
-            found[anchor, bytes(text[first:last + LENGTH]), last - first + 1].add((doc_id, tag, first))
         rows = []
-        for (anchor, context, starts), places in found.items():
-            listed = [p for p in places for _ in range(min(2, copies[p[0], p[1]]))]  # equal rows repeat one another
+        for anchor, context, starts, listed in _contexts(docs, hits):
             rows.append((anchor % shares, anchor, context, starts, *([p[k] for p in listed] for k in range(3))))
         return _table(_AROUND, rows)
 
     return cut
 
 
+def _digests(context: bytes, starts: int) -> bytes:
+    """Digests of the strings at the first ``starts`` places, one after the other."""
+    view = memoryview(context)
+    return b"".join(hashlib.blake2b(view[at:at + LENGTH], digest_size=DIGEST).digest() for at in range(starts))
+
+
+def _count_strings(docs: pa.Table, hits: pa.Table) -> pa.Table:
+    """Each different string of a bucket's hot anchors, and how often it occurs there (2 for more)."""
+    held = bytearray()
+    for _, context, starts, listed in _contexts(docs, hits):
+        held += _digests(context, starts) * min(2, len(listed))
+    found, counts = np.unique(np.frombuffer(held, f"S{DIGEST}"), return_counts=True)
+    offsets = pa.py_buffer(np.arange(0, DIGEST * len(found) + 1, DIGEST, dtype=np.int32))
+    bucket = docs.column("bucket")[0].as_py() if len(docs) else 0
+    return pa.table({
+        "bucket": pa.array(np.full(len(found), bucket, np.int32)), "digest": pa.Array.from_buffers(pa.binary(), len(found), [None, offsets, pa.py_buffer(found.tobytes())]),
+        "n": pa.array(np.minimum(counts, 2).astype(np.int64))})
+
+
+def _hot_spans(docs: pa.Table, asked: pa.Table) -> pa.Table:
+    """Spans of a bucket's strings around hot anchors whose digests are among the repeated ones that were sent."""
+    sent = asked.filter(pc.is_valid(asked.column("digest"))).column("digest").to_pylist()
+    repeated = np.sort(np.frombuffer(b"".join(sent), f"S{DIGEST}"))
+    rows: list[tuple] = []
+    if len(repeated):
+        for _, context, starts, listed in _contexts(docs, asked.filter(pc.is_null(asked.column("digest")))):
+            own = np.frombuffer(_digests(context, starts), f"S{DIGEST}")
+            again = repeated[np.minimum(np.searchsorted(repeated, own), len(repeated) - 1)] == own
+            for doc_id, tag, first in set(listed):
+                rows += [(doc_id, tag, first + a, first + b - 1 + LENGTH) for a, b in _runs_of(again)]
+    return _table(_SPANS, rows)
+
+
+def _runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of set flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
 def _sort_group(table: pa.Table) -> pa.Table:
     """Spans of repeated strings of a task's texts, a stretch of anchors at a time."""
     order = np.argsort(np.asarray(table.column("anchor")))
@@ -296,8 +357,7 @@ def _spans_of(contexts: list[bytes], starts: list[int], where: list[tuple], rows
         if len(places) > 1:
             runs = [(0, n)]
         else:
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]])))
-            runs = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+            runs = _runs_of(repeated)
         for doc_id, tag, first in set(places):
             rows += [(doc_id, tag, first + a, first + b - 1 + LENGTH) for a, b in runs]
 
@@ -343,13 +403,23 @@ def remove_repeats(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
     anchors = find_anchors(plain)
     again = keep(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
-    shares = groups_for((again.agg(F.sum("n")).first()[0] or 0) * (LENGTH + WINDOW // 2), GROUP_BYTES)
-    hits = anchors.join(again.select("anchor"), "anchor", "left_semi")
+    is_hot = F.col("n") * (LENGTH + WINDOW // 2) > HOT_BYTES
+    sums = again.agg(F.sum(F.when(~is_hot, F.col("n"))).alias("cold"), F.sum(F.when(is_hot, 1)).alias("hot")).first()
+    shares = groups_for((sums.cold or 0) * (LENGTH + WINDOW // 2), GROUP_BYTES)
+    hits = anchors.join(again.where(~is_hot).select("anchor"), "anchor", "left_semi")
 
-    dealt = whole.withColumn("bucket", bucket)  # shuffled once, used twice
+    dealt = whole.withColumn("bucket", bucket)  # shuffled once, used by each cogroup
     around = dealt.groupBy("bucket").cogroup(hits.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(
         _around(shares), "share int, anchor long, context binary, starts int, doc_ids array<long>, tags array<long>, firsts array<long>")
     spans = around.groupBy("share").applyInArrow(_sort_group, "doc_id long, tag long, begin long, stop long")
+    if sums.hot:
+        hot_hits = anchors.join(again.where(is_hot).select("anchor"), "anchor", "left_semi").withColumn("bucket", bucket)
+        strings = dealt.groupBy("bucket").cogroup(hot_hits.groupBy("bucket")).applyInArrow(_count_strings, "bucket int, digest binary, n long")
+        # a digest has a row for each bucket at most, so a window over it needs one shuffle and holds few rows
+        repeated = strings.withColumn("total", F.sum("n").over(Window.partitionBy("digest"))).where("total > 1")
+        asked = hot_hits.unionByName(repeated.select("bucket", "digest"), allowMissingColumns=True)
+        spans = spans.unionByName(dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
+            _hot_spans, "doc_id long, tag long, begin long, stop long"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     kinds = dict(docs.dtypes)
     removed = dealt.groupBy("bucket").cogroup(spans.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(

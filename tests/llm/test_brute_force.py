@@ -158,6 +158,36 @@ def test_repeated_strings(spark, sample):
     assert sorted((tuple(r) for r in got), key=str) == removed_by_hand(rows)
 
 
+@pytest.mark.parametrize("most", [0, 3000])
+def test_hot_anchors_are_split(spark, sample, monkeypatch, most):
+    """Strings around anchors of many texts go by digest; no anchor keeps more than ``most`` bytes for one task."""
+    monkeypatch.setattr(repeats, "HOT_BYTES", most, raising=False)
+    seen = []
+    around = repeats._around
+    monkeypatch.setattr(repeats, "_around", lambda shares: seen.append(shares) or around(shares))
+    random.seed(5)
+    passage = " ".join(random.choice(["ab", "é", "xyz", "the"]) for _ in range(150))
+    rows = sample[:20] + [(5000 + i, f"x{i} " * random.randint(0, 60) + passage + f" y{i}" * random.randint(0, 60)) for i in range(60)]
+    rows += [(None, passage), (None, passage), (7005, "dup" * 100), (7005, "dup" * 100), (7006, "ab" * 500), (7007, passage[:199])]
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 9000)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 1000)
+    got = repeats.remove_repeats(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=str) == removed_by_hand(rows)
+    data = [np.frombuffer((t or "").encode(), np.uint8) for _, t in rows]
+    anchors = Counter(a for x in data for a in repeats.anchor_runs(x, np.array([0, len(x)]))[0].tolist())
+    cold = sum(n for n in anchors.values() if n > 1 and n * 280 <= most)
+    assert max(anchors.values()) * 280 > 3000 and seen == [max(1, -(-cold * 280 // repeats.GROUP_BYTES))]
+
+
+def test_long_texts_are_cut():
+    """A long text's strings keep their anchors, each start once, when it is cut."""
+    data = np.frombuffer(bytes(random.Random(6).choices(b"abc ", k=5000)), np.uint8)
+    whole = repeats.anchor_runs(data, np.array([0, len(data)]))
+    listed = lambda runs: [(s, a) for anchor, _, first, last in runs for a, f, l in zip(anchor.tolist(), first.tolist(), last.tolist(), strict=True) for s in range(f, l + 1)]  # noqa: E731, E741
+    assert listed(repeats.cut_runs(data, np.array([0, len(data)]), 700)) == listed([whole])
+    assert listed(repeats.cut_runs(data, np.array([0, len(data)]), 4801)) == listed([whole])
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_order_finds_all_repeats(seed):
     random.seed(seed)
