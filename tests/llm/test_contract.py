@@ -149,4 +149,4 @@ def test_pipeline_runs(spark):
 
 
 def test_registered(spark):
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {n.partition("_")[0] for n in contract.queries() if n.startswith("op") or n == "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {n.partition("_")[0] for n in contract.queries() if n.startswith("op") or n == "pipeline"}
