@@ -15,10 +15,16 @@ texts of frequent runs, and of these only, are read and counted once more by tex
 runs of different blocks that share a fingerprint cannot add up either. Parts of a frequent
 run are frequent themselves, so the table of frequent runs holds all counts a score needs.
 
+Runs grow word by word. A run of n words can reach ``min_count`` only if both its runs of
+n - 1 words do, so before runs of n words are counted, each task leaves out those whose
+parts are not in a bit set of the frequent fingerprints of n - 1 words. The set has
+``FILTER_BITS`` bits (8 MB) for any input; it is the one thing that goes through the driver.
+If it fills up it leaves out less, never a frequent run.
+
 A frequent run is one record in a block however often it occurs there, so frequent words and
 a language with a third of all texts are spread by block. A block has one row per part; a
-part is a share of the fingerprints with about ``PART_BYTES`` of text behind it. A document is never cut, so a
-task holds its longest document, about six times.
+part is a share of the fingerprints with about ``PART_BYTES`` of text behind it. A document
+is never cut, so a task holds its longest document, about six times.
 
 Nulls: a null text is empty, a null language is 'und'. Empty texts have no words. Repeated
 rows count as often as they stand there. Ties are ordered by count and then by the phrase's
@@ -45,7 +51,9 @@ MIN_COUNT = 10
 KEPT_PER_LANG = 2000
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 8 << 20
-BITS = 64  # of a fingerprint; fewer only to test collisions
+MAX_TASKS = 100_000
+FILTER_BITS = 26  # the set of frequent runs has 2^26 bits
+COMPARED = 1 << 18  # runs compared at once
 _STRETCH = 1 << 20  # bytes that are hashed at once
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -135,6 +143,12 @@ def _seeds(langs: list[str]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little") for lang in langs], np.uint64)
 
 
+def _among(frequent: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Whether fingerprints are in a bit set by their leading bits."""
+    places = prints >> np.uint64(64 - FILTER_BITS)
+    return (frequent[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 class Block:
     """A normalised text of one or more languages, language by language."""
 
@@ -142,6 +156,7 @@ class Block:
         self.text, self.langs, self.words = text, langs, words
         self.starts, self.ends, self.joined = word_places(text)
         self.lang_ends = np.cumsum(words)
+        self.padded = np.concatenate([text, np.zeros(8, np.uint8)])
 
     @classmethod
     def of(cls, texts: list[tuple[str, bytes]]) -> Block:
@@ -166,20 +181,22 @@ class Block:
     def lang_of(self, words: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lang_ends, words, side="right")
 
-    def runs(self, max_words: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprint and pointer (first word * 8 + number of words) of every run."""
+    def runs(self, n: int, bits: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprint and pointer (first word * 8 + n) of every run of ``n`` words whose shorter runs may be frequent."""
         at_start, at_end, inverse = prefix_hashes(self.text, self.starts, self.ends)
         seeds = np.repeat(_seeds(self.langs), self.words)
-        first = np.arange(len(self.starts), dtype=np.int64)
-        prints, pointers = [], []
-        for n in range(1, max_words + 1):
-            if n > 1:
-                first = first[:-1] if len(first) and first[-1] + n > len(self.starts) else first
-                first = first[self.joined[first + n - 2]]
-            found = _mixed((at_end[first + n - 1] - at_start[first]) * inverse[first] + seeds[first] + np.uint64(n))
-            prints.append(found if bits == 64 else found >> np.uint64(64 - bits) << np.uint64(64 - bits))
-            pointers.append(first * 8 + n)
-        return np.concatenate(prints), np.concatenate(pointers)
+
+        def prints(first: np.ndarray, size: int) -> np.ndarray:
+            found = _mixed((at_end[first + size - 1] - at_start[first]) * inverse[first] + seeds[first] + np.uint64(size))
+            return found if bits == 64 else found >> np.uint64(64 - bits) << np.uint64(64 - bits)
+
+        first = np.arange(max(0, len(self.starts) - n + 1), dtype=np.int64)
+        for k in range(1, n):
+            first = first[self.joined[first + k - 1]]
+        if frequent is not None:
+            first = first[_among(frequent, prints(first, n - 1))]
+            first = first[_among(frequent, prints(first + 1, n - 1))]
+        return prints(first, n), first * 8 + n
 
     def spans(self, pointers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, n = pointers >> 3, pointers & 7
@@ -187,11 +204,14 @@ class Block:
 
     def differ(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         """Whether the runs at two lists of pointers differ in language or text."""
+        parts = [self._differ(one[at:at + COMPARED], other[at:at + COMPARED]) for at in range(0, len(one), COMPARED)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+    def _differ(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         (a, a_end), (b, b_end) = self.spans(one), self.spans(other)
         size = a_end - a
         unlike = (size != b_end - b) | (self.lang_of(one >> 3) != self.lang_of(other >> 3))
-        padded = np.concatenate([self.text, np.zeros(8, np.uint8)])
-        eight = np.ndarray((len(self.text) + 1,), "<u8", padded.data, strides=(1,))
+        eight = np.ndarray((len(self.text) + 1,), "<u8", self.padded.data, strides=(1,))
         left = np.flatnonzero(~unlike)
         for at in range(0, 64, 8):
             left = left[size[left] > at]
@@ -205,9 +225,9 @@ class Block:
             unlike[i] = not np.array_equal(self.text[a[i] + 64:a_end[i]], self.text[b[i] + 64:b_end[i]])
         return unlike
 
-    def counted(self, max_words: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprint, count and a pointer of each different run, in the order of the fingerprints."""
-        prints, pointers = self.runs(max_words, bits)
+    def counted(self, n: int, bits: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprint, pointer and count of each different run of ``n`` words, in the order of the fingerprints."""
+        prints, pointers = self.runs(n, bits, frequent)
         order = np.argsort(prints)
         prints, pointers = prints[order], pointers[order]
         same = np.flatnonzero(prints[1:] == prints[:-1])
@@ -249,32 +269,30 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
 
 
 _COUNTED = "part int, block string, prints binary, pointers binary, counts binary"
-_RETURNED = "block string, pointers binary, counts binary"
+_FREQUENT = "part int, block string, pointers binary, counts binary, filter binary"
 _NAMED = "lang string, phrase string, n int, f long"
 
 
-def _count_blocks(docs: DataFrame, folder: str, part_bits: int, max_words: int, bits: int, block_bytes: int) -> DataFrame:
-    """Counted fingerprints of all blocks, one row per block and part; part 0 names every block."""
+def _fields(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _read_block(folder: str, name: str) -> Block:
+    system, path = file_system(folder)
+    with system.open_input_stream(f"{path}/{name}") as file:
+        return Block.from_bytes(file.read())
+
+
+def write_blocks(docs: DataFrame, folder: str, block_bytes: int) -> DataFrame:
+    """Write all texts as block files; their names."""
 
     def emit(texts: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
         block = Block.of(texts)
-        if not len(block.text):
-            return
-        data = block.to_bytes()
-        name = hashlib.sha256(data).hexdigest()
-        write_file(folder, name, data)
-        prints, pointers, counts = block.counted(max_words, bits)
-        parts = (prints >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(prints), np.int64)
-        heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
-        ends = np.append(heads[1:], len(parts))
-        rows = [(int(parts[a]), name, _planes(np.diff(prints[a:b], prepend=np.uint64(0))), _planes(pointers[a:b].astype(np.uint64)), _planes(counts[a:b].astype(np.uint64)))
-                for a, b in zip(heads, ends, strict=True)]
-        if parts[0] != 0:
-            rows.append((0, name, b"", b"", b""))
-        for at in range(0, len(rows), 16):
-            columns = list(zip(*rows[at:at + 16], strict=True))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=_fields(_COUNTED))
+        if len(block.text):
+            data = block.to_bytes()
+            name = hashlib.sha256(data).hexdigest()
+            write_file(folder, name, data)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], names=["block"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[str, bytes]] = []
@@ -290,70 +308,127 @@ def _count_blocks(docs: DataFrame, folder: str, part_bits: int, max_words: int,
             yield from emit(waiting)
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
-    return texts.mapInArrow(run, _COUNTED)
+    # equal texts may make equal blocks, which count as often as they were made
+    return keep(texts.mapInArrow(run, "block string").groupBy("block").agg(F.count(F.lit(1)).alias("times")), "blocks")
 
 
-def _fields(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(", ")]
-
+def _count_runs(blocks: DataFrame, tasks: int, folder: str, n: int, bits: int, part_bits: int, frequent) -> DataFrame:
+    """Counted fingerprints of the blocks' runs of ``n`` words, one row per block and part."""
 
-def _frequent_pointers(counted: DataFrame, min_count: int) -> DataFrame:
-    """Pointers into each block of the fingerprints that reach ``min_count`` over all blocks."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, times in zip(batch.column("block").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                prints, pointers, counts = _read_block(folder, name).counted(n, bits, None if frequent is None else np.frombuffer(frequent.value, np.uint8))
+                if not len(prints):
+                    continue
+                parts = (prints >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(prints), np.int64)
+                heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+                counts = counts * times
+                for at in range(0, len(heads), 16):
+                    some = heads[at:at + 17]
+                    ends = np.append(some[1:], len(parts))[:16]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(parts[some[:16]], pa.int32()), pa.array([name] * len(ends), pa.string()),
+                        pa.array([_planes(np.diff(prints[a:b], prepend=np.uint64(0))) for a, b in zip(some, ends)], pa.binary()),  # noqa: B905
+                        pa.array([_planes(pointers[a:b].astype(np.uint64)) for a, b in zip(some, ends)], pa.binary()),  # noqa: B905
+                        pa.array([_planes(counts[a:b].astype(np.uint64)) for a, b in zip(some, ends)], pa.binary())], names=_fields(_COUNTED))  # noqa: B905
+
+    return blocks.repartition(tasks).mapInArrow(run, _COUNTED)
+
+
+def _frequent_pointers(counted: DataFrame, min_count: int, part_bits: int) -> DataFrame:
+    """Pointers into each block of the fingerprints that reach ``min_count`` over all blocks, and each part's stretch of the bit set."""
+    stretch = 1 << (FILTER_BITS - part_bits)
 
     def run(group: pa.Table) -> pa.Table:
-        rows = [r for r in group.to_pylist() if r["prints"]]
-        out: dict[str, list[bytes]] = {r["block"]: [b"", b""] for r in group.select(["block"]).to_pylist()} if group.column("part")[0].as_py() == 0 else {}
-        if rows:
-            each = [np.cumsum(_from_planes(r["prints"], "<u8"), dtype=np.uint64) for r in rows]
-            prints = np.concatenate(each)
-            counts = np.concatenate([_from_planes(r["counts"], "<u8") for r in rows]).astype(np.int64)
-            order = np.argsort(prints)
-            heads = np.flatnonzero(np.append(True, prints[order][1:] != prints[order][:-1]))
-            sums = np.add.reduceat(counts[order], heads)
-            often = np.repeat(sums >= min_count, np.diff(np.append(heads, len(order))))
-            chosen = np.zeros(len(prints), bool)
-            chosen[order[often]] = True
-            at = 0
-            for row, own in zip(rows, each, strict=True):
-                mine = chosen[at:at + len(own)]
-                if mine.any():
-                    out[row["block"]] = [_from_planes(row["pointers"], "<u8")[mine].tobytes(), counts[at:at + len(own)][mine].tobytes()]
-                at += len(own)
-        return pa.table([pa.array(list(out), pa.string()), *[pa.array([v[i] for v in out.values()], pa.binary()) for i in (0, 1)]], names=_fields(_RETURNED))
-
-    return counted.groupBy("part").applyInArrow(run, _RETURNED)
+        part = group.column("part")[0].as_py()
+        blocks = group.column("block").to_pylist()
+        each = [np.cumsum(_from_planes(x, "<u8"), dtype=np.uint64) for x in group.column("prints").to_pylist()]
+        counts = np.concatenate([_from_planes(x, "<u8") for x in group.column("counts").to_pylist()]).astype(np.int64)
+        prints = np.concatenate(each)
+        order = np.argsort(prints)
+        ordered = prints[order]
+        heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        often = np.add.reduceat(counts[order], heads) >= min_count
+        bits = np.zeros(stretch, bool)
+        bits[(ordered[heads[often]] >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - part * stretch] = True
+        chosen = np.zeros(len(prints), bool)
+        chosen[order[np.repeat(often, np.diff(np.append(heads, len(order))))]] = True
+        rows: list[tuple] = [(part, None, None, None, np.packbits(bits, bitorder="little").tobytes())] if often.any() else []
+        at = 0
+        for name, own, pointers in zip(blocks, each, group.column("pointers"), strict=True):
+            mine = chosen[at:at + len(own)]
+            if mine.any():
+                rows.append((part, name, _from_planes(pointers.as_py(), "<u8")[mine].tobytes(), counts[at:at + len(own)][mine].tobytes(), None))
+            at += len(own)
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=_fields(_FREQUENT))
+
+    return counted.groupBy("part").applyInArrow(run, _FREQUENT)
+
+
+def _bit_set(frequent: DataFrame, part_bits: int) -> bytes:
+    """The bit set of a table of frequent fingerprints; its size does not depend on theirs."""
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    size = len(bits) >> part_bits
+    for row in frequent.where("filter is not null").select("part", "filter").collect():
+        bits[row.part * size:(row.part + 1) * size] = np.frombuffer(row.filter, np.uint8)
+    return bits.tobytes()
 
 
 def _named(pointed: DataFrame, folder: str) -> DataFrame:
-    """Texts and counts of the pointed runs of each block, and its languages' words (n = 0)."""
+    """Texts and counts of the pointed runs of each block."""
 
     def run(group: pa.Table) -> pa.Table:
-        system, path = file_system(folder)
-        with system.open_input_stream(f"{path}/{group.column('block')[0].as_py()}") as file:
-            block = Block.from_bytes(file.read())
+        block = _read_block(folder, group.column("block")[0].as_py())
         pointers = np.frombuffer(b"".join(group.column("pointers").to_pylist()), np.int64)
         counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int64)
-        langs = pa.array(block.langs, pa.string())
-        runs = pa.table([
-            langs.take(pa.array(block.lang_of(pointers >> 3))), block.texts(pointers), pa.array((pointers & 7).astype(np.int32)), pa.array(counts)], names=_fields(_NAMED))
-        words = pa.table([langs, pa.array([""] * len(langs), pa.string()), pa.array([0] * len(langs), pa.int32()), pa.array(block.words, pa.int64())], names=_fields(_NAMED))
-        return pa.concat_tables([runs, words])
+        langs = pa.array(block.langs, pa.string()).take(pa.array(block.lang_of(pointers >> 3)))
+        return pa.table([langs, block.texts(pointers), pa.array((pointers & 7).astype(np.int32)), pa.array(counts)], names=_fields(_NAMED))
 
     return pointed.groupBy("block").applyInArrow(run, _NAMED)
 
 
+def _lang_words(blocks: DataFrame, folder: str) -> DataFrame:
+    """Words of each block's languages, as runs without text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, times in zip(batch.column("block").to_pylist(), batch.column("times").to_pylist(), strict=True):
+                block = _read_block(folder, name)
+                size = len(block.langs)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(block.langs, pa.string()), pa.array([""] * size, pa.string()), pa.array([0] * size, pa.int32()),
+                    pa.array([w * times for w in block.words], pa.int64())], names=_fields(_NAMED))
+
+    return blocks.mapInArrow(run, _NAMED)
+
+
 def frequent_runs(
-    docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, bits: int = BITS, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES,
+    docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, bits: int | None = None, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """lang, phrase, n and f of all runs of 1 to ``max_words`` words that occur ``min_count`` times; n = 0 counts a language's words."""
+    """lang, phrase, n and f of all runs of 1 to ``max_words`` words that occur ``min_count`` times; n = 0 counts a language's words.
+
+    Fingerprints have as many bytes as make chance meetings rare for the size of the input,
+    or ``bits`` bits.
+    """
     if not 1 <= max_words <= 7:
         raise ValueError("max_words must be between 1 and 7")
-    total = docs.agg(F.sum(F.octet_length(text_of()))).first()[0]
-    part_bits = min(bits, (groups_for(total, part_bytes) - 1).bit_length(), 30)
-    folder = new_folder(docs.sparkSession, "blocks")
-    counted = _count_blocks(docs, folder, part_bits, max_words, bits, block_bytes)
-    named = _named(_frequent_pointers(counted, min_count), folder)
-    summed = named.groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
+    bits = min(64, -(-(int(total).bit_length() + 18) // 8) * 8) if bits is None else bits
+    part_bits = min(bits, (groups_for(total, part_bytes) - 1).bit_length(), FILTER_BITS - 6)
+    folder = new_folder(spark, "blocks")
+    blocks = write_blocks(docs, folder, block_bytes)
+    tasks = min(max(1, blocks.count()), MAX_TASKS)
+    found, frequent = _lang_words(blocks, folder), None
+    for n in range(1, max_words + 1):
+        counted = _count_runs(blocks, tasks, folder, n, bits, part_bits, frequent)
+        pointed = keep(_frequent_pointers(counted, min_count, part_bits), "frequent")
+        found = found.unionByName(_named(pointed.where("block is not null"), folder))
+        if n < max_words:
+            frequent = spark.sparkContext.broadcast(_bit_set(pointed, part_bits))
+    summed = found.groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
     return keep(summed.where((F.col("f") >= min_count) | (F.col("n") == 0)), "runs")
 
 
