@@ -8,12 +8,14 @@ Rabin-Karp fingerprint by one subtraction. A block's equal fingerprints are coun
 pointer to one occurrence each; neighbours in fingerprint order are compared byte by byte
 in the block, and runs that share a fingerprint but not their text are counted apart.
 
-Counted fingerprints are dealt by their leading bits and summed. Those that reach
-``min_count`` send their pointers back to the blocks, which are files in the shared folder,
-named by the hash of their content so that a repeated task changes nothing. There the
-texts of frequent runs, and of these only, are read and counted once more by text, so two
-runs of different blocks that share a fingerprint cannot add up either. Parts of a frequent
-run are frequent themselves, so the table of frequent runs holds all counts a score needs.
+Counted fingerprints are dealt by their leading bits and summed. An occurrence pointer is a
+block and the place of the fingerprint in its order, so it needs no bytes of its own: a
+part answers each block with a bit per fingerprint, set for those that reach ``min_count``.
+The block, a file in the shared folder that is named by the hash of its content, counts its
+runs again, and the texts of frequent runs, and of these only, go to their part once more
+to be summed by text. So two runs of different blocks that share a fingerprint cannot add
+up either. Parts of a frequent run are frequent themselves, so the table of frequent runs
+holds all counts a score needs.
 
 Runs grow word by word. A run of n words can reach ``min_count`` only if both its runs of
 n - 1 words do, so before runs of n words are counted, each task leaves out those whose
@@ -40,6 +42,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -250,12 +253,12 @@ class Block:
         order = np.argsort(prints, kind="stable")
         return prints[order], pointers[order], counts[order]
 
-    def texts(self, pointers: np.ndarray) -> pa.Array:
+    def texts(self, pointers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and bytes of the runs at a list of pointers."""
         starts, ends = self.spans(pointers)
-        offsets = np.zeros(len(pointers) + 1, np.int64)
-        np.cumsum(ends - starts, out=offsets[1:])
-        places = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], ends - starts)
-        return pa.LargeStringArray.from_buffers(len(pointers), pa.py_buffer(offsets), pa.py_buffer(self.text[places])).cast(pa.string())
+        sizes = ends - starts
+        places = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        return sizes, self.text[places]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -268,8 +271,9 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
 
 
-_COUNTED = "part int, block string, prints binary, pointers binary, counts binary"
-_FREQUENT = "part int, block string, pointers binary, counts binary, filter binary"
+_COUNTED = "part int, block string, prints binary, counts binary"
+_FREQUENT = "part int, block string, often binary, filter binary"
+_TEXTS = "part int, lang string, sizes binary, texts binary, counts binary"
 _NAMED = "lang string, phrase string, n int, f long"
 
 
@@ -312,39 +316,44 @@ def write_blocks(docs: DataFrame, folder: str, block_bytes: int) -> DataFrame:
     return keep(texts.mapInArrow(run, "block string").groupBy("block").agg(F.count(F.lit(1)).alias("times")), "blocks")
 
 
+def _part_edges(prints: np.ndarray, part_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts that a block has fingerprints of, and where each begins; the last edge is the end."""
+    parts = (prints >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(prints), np.int64)
+    heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])[:len(parts)])
+    return parts[heads], np.append(heads, len(parts))
+
+
 def _count_runs(blocks: DataFrame, tasks: int, folder: str, n: int, bits: int, part_bits: int, frequent) -> DataFrame:
     """Counted fingerprints of the blocks' runs of ``n`` words, one row per block and part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, times in zip(batch.column("block").to_pylist(), batch.column("times").to_pylist(), strict=True):
-                prints, pointers, counts = _read_block(folder, name).counted(n, bits, None if frequent is None else np.frombuffer(frequent.value, np.uint8))
-                if not len(prints):
-                    continue
-                parts = (prints >> np.uint64(64 - part_bits)).astype(np.int64) if part_bits else np.zeros(len(prints), np.int64)
-                heads = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
-                counts = counts * times
-                for at in range(0, len(heads), 16):
-                    some = heads[at:at + 17]
-                    ends = np.append(some[1:], len(parts))[:16]
+                prints, _, counts = _read_block(folder, name).counted(n, bits, _shared(frequent))
+                counts = (counts * times).astype(np.uint64)
+                parts, edges = _part_edges(prints, part_bits)
+                for at in range(0, len(parts), 16):
+                    spans = [slice(edges[i], edges[i + 1]) for i in range(at, min(at + 16, len(parts)))]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(parts[some[:16]], pa.int32()), pa.array([name] * len(ends), pa.string()),
-                        pa.array([_planes(np.diff(prints[a:b], prepend=np.uint64(0))) for a, b in zip(some, ends)], pa.binary()),  # noqa: B905
-                        pa.array([_planes(pointers[a:b].astype(np.uint64)) for a, b in zip(some, ends)], pa.binary()),  # noqa: B905
-                        pa.array([_planes(counts[a:b].astype(np.uint64)) for a, b in zip(some, ends)], pa.binary())], names=_fields(_COUNTED))  # noqa: B905
+                        pa.array(parts[at:at + 16], pa.int32()), pa.array([name] * len(spans), pa.string()),
+                        pa.array([_planes(np.diff(prints[span], prepend=np.uint64(0))) for span in spans], pa.binary()),
+                        pa.array([_planes(counts[span]) for span in spans], pa.binary())], names=_fields(_COUNTED))
 
     return blocks.repartition(tasks).mapInArrow(run, _COUNTED)
 
 
-def _frequent_pointers(counted: DataFrame, min_count: int, part_bits: int) -> DataFrame:
-    """Pointers into each block of the fingerprints that reach ``min_count`` over all blocks, and each part's stretch of the bit set."""
+def _shared(frequent) -> np.ndarray | None:
+    return None if frequent is None else np.frombuffer(frequent.value, np.uint8)
+
+
+def _frequent_runs(counted: DataFrame, min_count: int, part_bits: int) -> DataFrame:
+    """For each block and part, which of its fingerprints reach ``min_count`` over all blocks, and each part's stretch of the bit set."""
     stretch = 1 << (FILTER_BITS - part_bits)
 
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
-        blocks = group.column("block").to_pylist()
-        each = [np.cumsum(_from_planes(x, "<u8"), dtype=np.uint64) for x in group.column("prints").to_pylist()]
-        counts = np.concatenate([_from_planes(x, "<u8") for x in group.column("counts").to_pylist()]).astype(np.int64)
+        each = [np.cumsum(_from_planes(x.as_py(), "<u8"), dtype=np.uint64) for x in group.column("prints")]
+        counts = np.concatenate([_from_planes(x.as_py(), "<u8") for x in group.column("counts")]).astype(np.int64)
         prints = np.concatenate(each)
         order = np.argsort(prints)
         ordered = prints[order]
@@ -354,19 +363,59 @@ def _frequent_pointers(counted: DataFrame, min_count: int, part_bits: int) -> Da
         bits[(ordered[heads[often]] >> np.uint64(64 - FILTER_BITS)).astype(np.int64) - part * stretch] = True
         chosen = np.zeros(len(prints), bool)
         chosen[order[np.repeat(often, np.diff(np.append(heads, len(order))))]] = True
-        rows: list[tuple] = [(part, None, None, None, np.packbits(bits, bitorder="little").tobytes())] if often.any() else []
-        at = 0
-        for name, own, pointers in zip(blocks, each, group.column("pointers"), strict=True):
-            mine = chosen[at:at + len(own)]
-            if mine.any():
-                rows.append((part, name, _from_planes(pointers.as_py(), "<u8")[mine].tobytes(), counts[at:at + len(own)][mine].tobytes(), None))
-            at += len(own)
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=_fields(_FREQUENT))
+        answers = [np.packbits(x).tobytes() for x in np.split(chosen, np.cumsum([len(x) for x in each])[:-1])]
+        size = group.num_rows + 1
+        return pa.table([
+            pa.array([part] * size, pa.int32()), pa.array([*group.column("block").to_pylist(), None], pa.string()),
+            pa.array([*answers, None], pa.binary()), pa.array([None] * (size - 1) + [np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=_fields(_FREQUENT))
 
     return counted.groupBy("part").applyInArrow(run, _FREQUENT)
 
 
+def _frequent_texts(answers: DataFrame, blocks: DataFrame, folder: str, n: int, bits: int, part_bits: int, frequent) -> DataFrame:
+    """Texts and counts of each block's frequent runs, one row per part and language."""
+
+    def run(group: pa.Table) -> pa.Table:
+        name, times = group.column("block")[0].as_py(), group.column("times")[0].as_py()
+        block = _read_block(folder, name)
+        prints, pointers, counts = block.counted(n, bits, _shared(frequent))
+        by_part = dict(zip(group.column("part").to_pylist(), group.column("often").to_pylist(), strict=True))
+        parts, edges = _part_edges(prints, part_bits)
+        rows = []
+        for part, start, end in zip(parts.tolist(), edges[:-1], edges[1:], strict=True):
+            mine = start + np.flatnonzero(np.unpackbits(np.frombuffer(by_part[part], np.uint8), count=end - start))
+            langs = block.lang_of(pointers[mine] >> 3)
+            for lang in np.unique(langs):
+                some = mine[langs == lang]
+                sizes, text = block.texts(pointers[some])
+                rows.append((part, block.langs[lang], _planes(sizes.astype(np.uint64)), zstandard.ZstdCompressor(level=3).compress(text.tobytes()),
+                             _planes((counts[some] * times).astype(np.uint64))))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=_fields(_TEXTS))
+
+    return answers.where("block is not null").join(blocks, "block").groupBy("block").applyInArrow(run, _TEXTS)
+
+
+def _summed_texts(texts: DataFrame, n: int, min_count: int) -> DataFrame:
+    """lang, phrase, n and f of the runs that reach ``min_count`` by their texts; a part has all of a text's rows."""
+
+    def run(group: pa.Table) -> pa.Table:
+        tables = []
+        for row in group.to_batches():
+            for lang, sizes, text, counts in zip(*[row.column(c).to_pylist() for c in ("lang", "sizes", "texts", "counts")], strict=True):
+                offsets = np.append(0, np.cumsum(_from_planes(sizes, "<u8"))).astype(np.int64)
+                data = zstandard.ZstdDecompressor().decompress(text)
+                phrases = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                lang_of = pa.array([lang], pa.string()).take(pa.array(np.zeros(len(phrases), np.int64)))
+                tables.append(pa.table([lang_of, phrases, pa.array(_from_planes(counts, "<u8").astype(np.int64))], names=["lang", "phrase", "f"]))
+        summed = pa.concat_tables(tables).combine_chunks().group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        kept = summed.filter(pc.greater_equal(summed.column("f_sum"), min_count))
+        size = kept.num_rows
+        return pa.table([kept.column("lang"), kept.column("phrase").cast(pa.binary()).cast(pa.string()), pa.array([n] * size, pa.int32()), kept.column("f_sum")], names=_fields(_NAMED))
+
+    return texts.groupBy("part").applyInArrow(run, _NAMED)
+
+
 def _bit_set(frequent: DataFrame, part_bits: int) -> bytes:
     """The bit set of a table of frequent fingerprints; its size does not depend on theirs."""
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -376,19 +425,6 @@ def _bit_set(frequent: DataFrame, part_bits: int) -> bytes:
     return bits.tobytes()
 
 
-def _named(pointed: DataFrame, folder: str) -> DataFrame:
-    """Texts and counts of the pointed runs of each block."""
-
-    def run(group: pa.Table) -> pa.Table:
-        block = _read_block(folder, group.column("block")[0].as_py())
-        pointers = np.frombuffer(b"".join(group.column("pointers").to_pylist()), np.int64)
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int64)
-        langs = pa.array(block.langs, pa.string()).take(pa.array(block.lang_of(pointers >> 3)))
-        return pa.table([langs, block.texts(pointers), pa.array((pointers & 7).astype(np.int32)), pa.array(counts)], names=_fields(_NAMED))
-
-    return pointed.groupBy("block").applyInArrow(run, _NAMED)
-
-
 def _lang_words(blocks: DataFrame, folder: str) -> DataFrame:
     """Words of each block's languages, as runs without text."""
 
@@ -421,15 +457,16 @@ def frequent_runs(
     folder = new_folder(spark, "blocks")
     blocks = write_blocks(docs, folder, block_bytes)
     tasks = min(max(1, blocks.count()), MAX_TASKS)
-    found, frequent = _lang_words(blocks, folder), None
+    words = _lang_words(blocks, folder).groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
+    found, frequent = words, None
     for n in range(1, max_words + 1):
         counted = _count_runs(blocks, tasks, folder, n, bits, part_bits, frequent)
-        pointed = keep(_frequent_pointers(counted, min_count, part_bits), "frequent")
-        found = found.unionByName(_named(pointed.where("block is not null"), folder))
+        answers = keep(_frequent_runs(counted, min_count, part_bits), "frequent")
+        texts = _frequent_texts(answers, blocks, folder, n, bits, part_bits, frequent)
+        found = found.unionByName(keep(_summed_texts(texts, n, min_count), "runs"))
         if n < max_words:
-            frequent = spark.sparkContext.broadcast(_bit_set(pointed, part_bits))
-    summed = found.groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
-    return keep(summed.where((F.col("f") >= min_count) | (F.col("n") == 0)), "runs")
+            frequent = spark.sparkContext.broadcast(_bit_set(answers, part_bits))
+    return found
 
 
 def _words(phrase: Column, first: int, n: int) -> Column:
