@@ -103,22 +103,30 @@ def infer_provider(consumed_service: Column, service_name: Column) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    """Map of key and value structs; of equal keys the last one stays."""
-    return F.aggregate(entries, empty_tags(), lambda found, entry: F.map_concat(
-        F.map_filter(found, lambda key, _: key != entry["key"]), F.create_map(entry["key"], entry["value"])))
+    """Map of key and value structs; of equal keys the last one stays.
+
+    Sorted by key and descending place, an entry stays where its key begins. The sorted
+    array is bound once by a one-element transform, so k entries cost one sort.
+    """
+    def first_of_each(ranked: Column) -> Column:
+        return F.filter(ranked, lambda entry, i: (i == 0) | (F.get(ranked, i - 1)["key"] != entry["key"]))
+
+    ranked = F.array_sort(F.transform(entries, lambda entry, i: F.struct(entry["key"].alias("key"), (-i).alias("place"), entry["value"].alias("value"))))
+    kept = F.transform(F.get(F.transform(F.array(ranked), first_of_each), 0), lambda entry: F.struct(entry["key"].alias("key"), entry["value"].alias("value")))
+    return F.map_from_entries(F.when(F.size(entries) < 2, entries).otherwise(kept))
 
 
 def _pairs(text: Column) -> Column:
     """'k:v,k:v' to a map; parts without a colon are left out, of equal keys the last one stays."""
     parts = F.filter(F.split(text, ","), lambda part: part.contains(":"))
     entries = F.transform(parts, lambda part: F.struct(
-        _stripped(F.substring_index(part, ":", 1)).alias("key"), _stripped(F.regexp_extract(part, "(?s):(.*)$", 1)).alias("value")))
-    return F.when(F.size(parts) > 0, _last_wins(entries)).otherwise(empty_tags())
+        _stripped(F.substring_index(part, ":", 1)).alias("key"), _stripped(F.substr(part, F.locate(":", part) + 1)).alias("value")))
+    return F.when(text.contains(":"), _last_wins(entries)).otherwise(empty_tags())
 
 
 def _stripped(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def _object(text: Column) -> Column:

@@ -27,8 +27,8 @@ def with_rule_flag(rows: DataFrame, model_flag: Column, include_drops: bool = Fa
     return rows.withColumn("flagged", flagged)
 
 
-def reportable(rows: DataFrame, include_drops: bool = False, score: str | None = None) -> DataFrame:
-    """Flagged rows of the last 7 days that matter, as anomaly records.
+def reportable(rows: DataFrame, include_drops: bool = False, score: str | None = None, days: int = RECENT_DAYS) -> DataFrame:
+    """Flagged rows of the last 7 (or ``days``) days that matter, as anomaly records.
 
     ``rows`` carries user_id, service_name, category, date, latest, cost,
     rolling_mean_7 and flagged (and provider when drops are included).
@@ -49,7 +49,7 @@ def reportable(rows: DataFrame, include_drops: bool = False, score: str | None =
             F.lit("Spike detected: based on "), F.col("category"), F.lit(" patterns ("), size, F.lit("% above expected)")
         )
     kept = (
-        rows.where(F.col("flagged") & (F.col("date") >= F.date_sub("latest", RECENT_DAYS)) & (cost >= MIN_COST))
+        rows.where(F.col("flagged") & (F.col("date") >= F.date_sub("latest", days)) & (cost >= MIN_COST))
         .withColumn("deviation", deviation)
         .where(F.abs(F.col("deviation")) >= MIN_DEVIATION_PCT)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.category import with_category
 from ..functions.numeric import carried_max, exact_sum
+from ..schema import START_MONTH
 
 # --- fixed values -----------------------------------------------------------
 FEATURES = [
@@ -41,11 +42,23 @@ def daily_series(costs: DataFrame, keys: tuple[str, ...] = ("user_id", "service_
     return costs.groupBy(*keys, F.to_date("usage_start_date").alias("date")).agg(exact_sum("cost").alias("total"))
 
 
+def months_with_history(costs: DataFrame, history_days: int) -> list[str]:
+    """Months that hold the last ``history_days`` days of any tenant; reads two narrow columns."""
+    newest = costs.groupBy("user_id").agg(F.max("billing_period").alias("newest")).where(F.col("newest").isNotNull())
+    first = F.to_date(F.concat("newest", F.lit("-01")))
+    months = F.sequence(F.trunc(F.date_sub(first, history_days), "month"), first, F.expr("interval 1 month"))
+    found = newest.select("newest").distinct().select(F.explode(months).alias("month")).distinct()  # as many as the calendar has
+    return sorted(row.month.isoformat()[:7] for row in found.collect())
+
+
 def detection_series(costs: DataFrame, history_days: int = HISTORY_DAYS) -> DataFrame:
     """Daily series of the tenant's last ``history_days`` days, with the tenant's ``latest`` day.
 
-    Series with fewer than 8 days are left out.
+    Series with fewer than 8 days are left out. Of the cost table, only the months that some
+    tenant's history reaches into are read.
     """
+    if "billing_period" in costs.columns and costs.schema["billing_period"].metadata.get(START_MONTH):
+        costs = costs.where(F.col("billing_period").isin(months_with_history(costs, history_days)))
     daily = daily_series(costs).where(F.col("date").isNotNull())
     latest = daily.groupBy("user_id").agg(carried_max("date", "total").alias("latest"))
     recent = daily.join(latest, "user_id").where(F.col("date") >= F.date_sub("latest", history_days))
@@ -80,26 +93,45 @@ def with_features(series: DataFrame, keys: list[str], order: str = "date", value
     )
 
 
-def training_features(training: DataFrame) -> DataFrame:
-    """(date, service, cost) rows to training feature rows per category.
+def recent_days(daily: DataFrame, days: int = RECENT_DAYS, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """Rows of the last ``days`` days before each group's newest day, that day included."""
+    latest = F.max("date").over(Window.partitionBy(*by))
+    return daily.withColumn("latest", latest).where(F.col("date") >= F.date_sub("latest", days))
+
+
+def training_features(training: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(date, service, cost) rows to training feature rows per category, or per category of each ``by`` group.
 
     Days are summed over providers; a category needs 14 days, rows of its last
     7 days are held out, and 10 rows must remain.
     """
-    by_service = training.groupBy(F.to_date("date").alias("date"), "service").agg(exact_sum("cost").alias("total"))
-    daily = with_category(by_service, "service").groupBy("category", "date").agg(F.sum("total").alias("total"))
-    whole = Window.partitionBy("category")
+    keys = [*by, "category"]
+    by_service = training.groupBy(*by, F.to_date("date").alias("date"), "service").agg(exact_sum("cost").alias("total"))
+    daily = with_category(by_service, "service").groupBy(*keys, "date").agg(F.sum("total").alias("total"))
+    whole = Window.partitionBy(*keys)
     enough = daily.withColumn("days", F.count(F.lit(1)).over(whole)).where(F.col("days") >= MIN_TRAINING_DAYS)
-    rows = with_features(enough.drop("days"), ["category"])
+    rows = with_features(enough.drop("days"), keys)
     return (
         rows.withColumn("last", F.max("date").over(whole))
         .where(F.col("date") < F.date_sub("last", RECENT_DAYS))
         .withColumn("train_rows", F.count(F.lit(1)).over(whole))
         .where(F.col("train_rows") >= MIN_TRAINING_ROWS)
-        .select("category", "date", "train_rows", *FEATURES)
+        .select(*keys, "date", "train_rows", *FEATURES)
     )
 
 
+def own_and_shared_features(training: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+    """Training rows of the shared models '<category>' and of each tenant's own '<user>_<category>', by ``model_key``.
+
+    ``tenants`` (user_id) limits who has models of their own.
+    """
+    shared = training_features(training).withColumn("model_key", F.col("category"))
+    owners = training if tenants is None else training.join(tenants.select("user_id").distinct(), "user_id", "left_semi")
+    own = training_features(owners.where(F.col("user_id").isNotNull()), ("user_id",)).withColumn(
+        "model_key", F.concat_ws("_", F.col("user_id").cast("string"), "category")).drop("user_id")
+    return shared.unionByName(own).drop("category")
+
+
 def scaler(rows: DataFrame, key: str = "category") -> DataFrame:
     """Mean and population standard deviation per model and feature; zero deviation counts as 1."""
     means = [F.avg(name).alias(f"mean_{name}") for name in FEATURES]

@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..schema import START_MONTH
 from .quantiles import grouped_quantile
 
 UNSET = "No Filters Applied"  # fixed value: the interface sends it for "no filter"
@@ -17,11 +18,13 @@ def moment(df: DataFrame, value, column: str = "usage_start_date") -> Column:
 
 
 def _months(df: DataFrame, column: str, first=None, last=None) -> DataFrame:
-    """Rows of the months from ``first`` to ``last``: the cost table is partitioned by the start date's month.
+    """Rows of the months from ``first`` to ``last``, only where the period is the start date's month for certain.
 
-    Follows a bound on the date itself, so a table without partitions tests few months.
+    That is so in frames of the cost table, whose writer derives its partitions; they carry
+    the mark of ``START_MONTH``. Any other period may be null or a month of its own and
+    bounds nothing.
     """
-    if column != "usage_start_date" or "billing_period" not in df.columns:
+    if column != "usage_start_date" or "billing_period" not in df.columns or not df.schema["billing_period"].metadata.get(START_MONTH):
         return df
     if first is not None:
         df = df.where(F.col("billing_period") >= str(first)[:7])
@@ -39,6 +42,12 @@ def between_dates(df: DataFrame, start=None, end=None, column: str = "usage_star
     return _months(df, column, start, end)
 
 
+def _half_open(df: DataFrame, first, following, column: str) -> DataFrame:
+    """Rows with first <= column < following; both are days."""
+    rows = df.where((F.col(column) >= moment(df, first, column)) & (F.col(column) < moment(df, following, column)))
+    return _months(rows, column, first, date.fromisoformat(str(following)) - timedelta(days=1))
+
+
 def last_days(df: DataFrame, as_of, days: int, column: str = "usage_start_date") -> DataFrame:
     """Rows of the ``days`` days up to ``as_of``, both ends included."""
     end = moment(df, as_of, column)
@@ -46,22 +55,18 @@ def last_days(df: DataFrame, as_of, days: int, column: str = "usage_start_date")
     return _months(rows, column, date.fromisoformat(str(as_of)[:10]) - timedelta(days=days), as_of)
 
 
-def in_month(df: DataFrame, month: str | None, column: str = "usage_start_date") -> DataFrame:
-    """Rows of one 'yyyy-MM' month, half open; text in any other form filters nothing."""
+def in_month(df: DataFrame, month: str | None, column: str = "usage_start_date", days_before: int = 0) -> DataFrame:
+    """Rows of one 'yyyy-MM' month and of the days before it, half open; text in any other form filters nothing."""
     bounds = month_bounds(month)
     if bounds is None:
         return df
-    first, following = bounds
-    rows = df.where((F.col(column) >= moment(df, first, column)) & (F.col(column) < moment(df, following, column)))
-    return _months(rows, column, first, first)
+    return _half_open(df, date.fromisoformat(bounds[0]) - timedelta(days=days_before), bounds[1], column)
 
 
 def in_year(df: DataFrame, as_of, column: str = "usage_start_date") -> DataFrame:
     """Rows of the calendar year around ``as_of``, half open."""
     year = int(str(as_of)[:4])
-    first, following = moment(df, f"{year:04d}-01-01", column), moment(df, f"{year + 1:04d}-01-01", column)
-    rows = df.where((F.col(column) >= first) & (F.col(column) < following))
-    return _months(rows, column, f"{year:04d}-01", f"{year:04d}-12")
+    return _half_open(df, f"{year:04d}-01-01", f"{year + 1:04d}-01-01", column)
 
 
 def month_bounds(month: str | None) -> tuple[str, str] | None:

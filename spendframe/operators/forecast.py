@@ -1,7 +1,7 @@
 """Cost forecasts: resampling, two models, summaries and backtests.
 
-Cost rows are reduced to one value per series and calendar bucket before any
-Python runs; a fit sees one series, which the calendar bounds.
+Cost rows are reduced to one value per series and calendar bucket first. The linear
+model is fitted by grouped sums; an additive fit sees one series, which the calendar bounds.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import exact_sum, fixed, ratio
+from . import linear_model
 from .summaries import top_of_totals
 
 ALL_SERVICES = "__all__"
@@ -105,11 +106,17 @@ def clip_outliers(points: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     )
 
 
+TERMS = ["t", "t2", "sin1", "cos1", "sin2", "cos2"]
+
+
 def time_features(points: DataFrame, granularity: str, keys: list[str] = SERIES) -> DataFrame:
-    """Days since the series start, their square and two seasonal waves."""
+    """Days since the series start, their square and two seasonal waves.
+
+    The start is the row's ``series_start`` if there is such a column, else the series' first date.
+    """
     period = F.lit(SEASON_DAYS[FREQUENCY[granularity]])
-    t = F.datediff("date", F.min("date").over(Window.partitionBy(*keys))).cast("double")
-    return points.withColumn("t", t).select(
+    start = F.col("series_start") if "series_start" in points.columns else F.min("date").over(Window.partitionBy(*keys))
+    return points.withColumn("t", F.datediff("date", start).cast("double")).select(
         "*", (F.col("t") * F.col("t")).alias("t2"),
         F.sin(F.lit(2 * np.pi) * F.col("t") / period).alias("sin1"),
         F.cos(F.lit(2 * np.pi) * F.col("t") / period).alias("cos1"),
@@ -118,65 +125,55 @@ def time_features(points: DataFrame, granularity: str, keys: list[str] = SERIES)
     )
 
 
-def future_dates(points: DataFrame, granularity: str, periods: int, keys: list[str] = SERIES) -> DataFrame:
-    """The ``periods`` buckets after the last one, with their ``step`` from 1."""
-    last = points.groupBy(*keys).agg(F.max("date").alias("last"))
+def future_dates(points: DataFrame, granularity: str, periods: int, keys: list[str] = SERIES, start_after: str | None = None) -> DataFrame:
+    """The ``periods`` buckets after the last one, or after ``start_after`` if that is later, with their ``step`` from 1 and the ``series_start``."""
+    last = points.groupBy(*keys).agg(F.max("date").alias("last"), F.min("date").alias("series_start"))
+    if start_after is not None:
+        last = last.withColumn("last", F.greatest("last", F.lit(str(start_after)).cast("date")))
     step = F.col("step")
     day = {
         "daily": F.date_add("last", step),
         "weekly": F.date_add("last", step * 7),
-        "monthly": F.last_day(F.add_months("last", step)),
+        "monthly": F.last_day(F.add_months(F.date_add("last", 1), step - 1)),
     }[granularity]
-    return last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods)))).select(*keys, "step", day.alias("date"))
+    return last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods)))).select(*keys, "step", day.alias("date"), "series_start")
 
 
 def history_output(points: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     return points.select(*keys, F.date_format("date", "yyyy-MM-dd").alias("date"), fixed("cost").alias("actual_cost"))
 
 
-def _later(last: pd.Timestamp, freq: str, periods: int) -> pd.DatetimeIndex:
-    if freq == "D":
-        return pd.date_range(last + pd.Timedelta(days=1), periods=periods, freq="D")
-    if freq == "W":
-        return pd.date_range(last + pd.Timedelta(days=7), periods=periods, freq="7D")
-    return pd.date_range(last + pd.Timedelta(days=1), periods=periods, freq="ME")
-
-
 def _waves(t: np.ndarray, period: float, order: int) -> np.ndarray:
     angles = 2 * np.pi * np.outer(t, np.arange(1, order + 1)) / period
     return np.hstack([np.sin(angles), np.cos(angles)])
 
 
-def linear_fit(dates: pd.Series, cost: np.ndarray, freq: str, future: pd.DatetimeIndex) -> dict:
-    """Least squares on trend and seasonal waves; minimum-norm when the series is short."""
-    y = np.asarray(cost, dtype=float)
-    if len(y) >= CLIP_MIN_POINTS:
-        low, high = np.percentile(y, [25, 75])
-        y = np.clip(y, low - 1.5 * (high - low), high + 1.5 * (high - low))
-    origin = dates.iloc[0]
+def linear_forecast(
+    points: DataFrame, periods: int, granularity: str, keys: list[str] = SERIES, start_after: str | None = None,
+) -> DataFrame:
+    """Least squares on clipped costs: trend, its square and seasonal waves; minimum-norm when the series is short.
 
-    def design(days) -> np.ndarray:
-        t = np.asarray((pd.DatetimeIndex(days) - origin).days, dtype=float)
-        season = _waves(t, SEASON_DAYS[freq], 2)
-        return np.column_stack([t, t * t, season])
-
-    x = design(dates)
-    centre, level = x.mean(axis=0), y.mean()
-    weights, *_ = np.linalg.lstsq(x - centre, y - level, rcond=None)
-    fitted = (x - centre) @ weights + level
-    spread = float(np.std(y - fitted)) if len(y) > 2 else 0.0
-    nonzero = np.abs(y) > 1e-6
-    error = np.mean(np.abs((y[nonzero] - fitted[nonzero]) / y[nonzero])) * 100 if nonzero.any() else 100.0
-    predicted = np.maximum(0.0, (design(future) - centre) @ weights + level)
-    margin = INTERVAL_FACTOR * spread * np.sqrt(1 + np.arange(1, len(future) + 1) / len(y))
-    return {
-        "predicted": predicted, "lower": np.maximum(0.0, predicted - margin), "upper": predicted + margin,
-        "trend_value": np.round(predicted, 2), "confidence": float(np.clip(100.0 - error, 0.0, 100.0)),
-    }
+    Expressions and grouped sums only. The points are read for the sums, the residuals and
+    the dates ahead, so cut their lineage first if they are costly.
+    """
+    rows = time_features(clip_outliers(points, keys), granularity, keys)
+    fits = linear_model.fit(rows, keys, TERMS, "clipped", "date")
+    fitted = rows.join(fits, keys).withColumn("residual", F.col("clipped") - linear_model.predicted(TERMS))
+    share = F.when(F.abs("clipped") > 1e-6, F.abs(F.col("residual") / F.col("clipped")))
+    quality = fitted.groupBy(*keys).agg(
+        F.when(F.count(F.lit(1)) > 2, F.stddev_pop("residual")).otherwise(0.0).alias("spread"),
+        (F.coalesce(F.avg(share), F.lit(1.0)) * 100.0).alias("error"))
+    ahead = time_features(future_dates(points, granularity, periods, keys, start_after), granularity, keys)
+    found = ahead.join(fits, keys).join(quality, keys).withColumn("value", F.greatest(F.lit(0.0), linear_model.predicted(TERMS)))
+    margin = F.lit(INTERVAL_FACTOR) * F.col("spread") * F.sqrt(1 + F.col("step") / F.col("points"))
+    return found.select(
+        *keys, F.col("step").cast("int").alias("step"), "date", F.col("value").alias("prediction"),
+        F.greatest(F.lit(0.0), F.col("value") - margin).alias("lower"), (F.col("value") + margin).alias("upper"),
+        fixed("value").alias("trend_value"), F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 - F.col("error"))).alias("confidence"))
 
 
 def additive_fit(
-    dates: pd.Series, cost: np.ndarray, freq: str, future: pd.DatetimeIndex, seed: int,
+    dates: pd.Series, cost: np.ndarray, freq: str, future: pd.Series, seed: int,
     width: float = INTERVAL_WIDTH, simulations: int = 300,
 ) -> dict:
     """Piecewise-linear trend plus seasonality (Taylor, Letham 2018), fitted by reweighted least squares.
@@ -250,6 +247,8 @@ def forecast(
     """
     if model not in ("linear", "additive"):
         raise ValueError("model is 'linear' or 'additive'")
+    if model == "linear":
+        return linear_forecast(points, periods, granularity, keys, start_after)
     freq = FREQUENCY[granularity]
     key_types = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
     schema = (
@@ -259,25 +258,21 @@ def forecast(
 
     def fit(series: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values("date")
-        dates = pd.to_datetime(series["date"]).reset_index(drop=True)
-        last = dates.iloc[-1]
-        if start_after is not None:
-            last = max(last, pd.Timestamp(start_after))
-        future = _later(last, freq, periods)
-        cost = series["cost"].to_numpy(dtype=float)
-        if model == "linear":
-            fitted = linear_fit(dates, cost, freq, future)
-        else:
-            name = "|".join(str(series[k].iloc[0]) for k in keys)
-            fitted = additive_fit(dates, cost, freq, future, zlib.crc32(name.encode()) ^ seed, interval_width)
+        past, ahead = series[series["step"].isna()], series[series["step"].notna()]
+        name = "|".join(str(series[k].iloc[0]) for k in keys)
+        fitted = additive_fit(
+            pd.to_datetime(past["date"]).reset_index(drop=True), past["cost"].to_numpy(dtype=float), freq,
+            pd.to_datetime(ahead["date"]), zlib.crc32(name.encode()) ^ seed, interval_width)
         return pd.DataFrame({
-            **{k: [series[k].iloc[0]] * periods for k in keys},
-            "step": np.arange(1, periods + 1, dtype=np.int32), "date": future.date,
+            **{k: ahead[k].to_numpy() for k in keys},
+            "step": ahead["step"].to_numpy(dtype=np.int32), "date": ahead["date"].to_numpy(),
             "prediction": fitted["predicted"], "lower": fitted["lower"], "upper": fitted["upper"],
             "trend_value": fitted["trend_value"], "confidence": fitted["confidence"],
         })
 
-    return points.groupBy(*keys).applyInPandas(fit, schema)
+    past = points.select(*keys, "date", "cost", F.lit(None).cast("int").alias("step"))
+    ahead = future_dates(points, granularity, periods, keys, start_after).select(*keys, "date", F.lit(None).cast("double").alias("cost"), "step")
+    return past.unionByName(ahead).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def forecast_output(predictions: DataFrame, keys: list[str] = SERIES) -> DataFrame:

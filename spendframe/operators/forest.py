@@ -25,6 +25,7 @@ MAX_CONTAMINATION = 0.15
 # ----------------------------------------------------------------------------
 _TREES_PER_TASK_GROUP = 10
 SENT_NODES = 1_500_000  # about 40 MB; seven shared forests of 200 trees have at most 715,400
+GROUP_ROWS = 50_000  # feature vectors scored at once
 _OVERSAMPLE = 3
 Z_FEATURES = [f"z_{name}" for name in FEATURES]
 _EULER = 0.5772156649015329
@@ -130,11 +131,10 @@ def score(rows: DataFrame, trees: DataFrame, key: str = "category", spread: int
 
     Forests of at most ``sent_nodes`` nodes together go to every task, and rows are
     scored batch by batch where they are. Larger ones, as with a model for each
-    tenant, meet their rows by key: each model's rows are split into ``spread``
-    random groups with a copy of its trees.
+    tenant, meet their rows by key, in groups that are split by size.
     """
     nodes = trees.agg(F.sum(F.size("feature"))).first()[0] or 0
-    return _score_in_place(rows, trees, key) if nodes <= sent_nodes else _score_by_key(rows, trees, key, spread)
+    return _score_in_place(rows, trees, key) if nodes <= sent_nodes else _score_by_key(rows, trees, key)
 
 
 def _isolation(matrix: np.ndarray, forest: list[dict]) -> np.ndarray:
@@ -161,10 +161,18 @@ def _score_in_place(rows: DataFrame, trees: DataFrame, key: str) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def _score_by_key(rows: DataFrame, trees: DataFrame, key: str, spread: int) -> DataFrame:
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in Z_FEATURES]), F.lit(spread)).cast("int"))
-    copies = trees.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+def _score_by_key(rows: DataFrame, trees: DataFrame, key: str, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Score each model's different feature vectors, in groups of about ``group_rows`` with a copy of its trees.
+
+    Equal vectors have equal scores, so they are scored once and rows that repeat one without
+    end do not meet in a task; the join that brings the scores back is split by size.
+    """
+    vectors = rows.select(key, *Z_FEATURES).distinct()
+    sizes = vectors.groupBy(F.col(key).alias("__model")).agg(F.ceil(F.count(F.lit(1)) / F.lit(group_rows)).cast("int").alias("groups"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in Z_FEATURES]), F.col("groups")).cast("int")
+    salted = vectors.join(sizes, F.col(key) == F.col("__model")).select(key, *Z_FEATURES, salt.alias("__salt"))
+    copies = trees.join(sizes, F.col("model_key") == F.col("__model")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups", "__model")
+    schema = T.StructType([vectors.schema[name] for name in (key, *Z_FEATURES)] + [T.StructField("score", T.DoubleType())])
     names = schema.fieldNames()
 
     def apply(points: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
@@ -173,11 +181,14 @@ def _score_by_key(rows: DataFrame, trees: DataFrame, key: str, spread: int) -> D
         trees_in_order = forest.sort_values("tree").to_dict("records")
         return points.assign(score=_isolation(points[Z_FEATURES].to_numpy(dtype=float), trees_in_order))[names]
 
-    return (
+    scored = (
         salted.groupBy(key, "__salt")
         .cogroup(copies.withColumnRenamed("model_key", "__model").groupBy("__model", "__salt"))
         .applyInPandas(apply, schema)
     )
+    same = [F.col(f"__s.{name}").eqNullSafe(F.col(f"__r.{name}")) for name in Z_FEATURES]
+    joined = rows.alias("__r").join(scored.alias("__s"), [F.col(f"__r.{key}") == F.col(f"__s.{key}"), *same])
+    return joined.select(*[F.col(f"__r.{name}") for name in rows.columns], "__s.score")
 
 
 def offsets(training_scores: DataFrame, key: str = "category") -> DataFrame:

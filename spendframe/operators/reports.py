@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.category import with_category
 from ..functions.numeric import exact_sum, fixed, money, share_pct
+from ..session import cut_lineage
 from .filters import in_month, last_days
 
 TOTAL = "TOTAL"
 
 
 def monthly_detail(costs: DataFrame, month: str) -> DataFrame:
-    """Cost rows of a month in date order, followed by the tenant's TOTAL row."""
-    rows = in_month(costs, month)
+    """Cost rows of a month in date order, followed by the tenant's TOTAL row.
+
+    The month's rows are written once, with the columns of the report only: the detail and
+    the totals both read them there.
+    """
+    rows = cut_lineage(in_month(costs, month).select(
+        "user_id", "usage_start_date", "service_name", "region", "cost", "currency", "provider", "resource_id"))
     detail = with_category(rows).select(
         "user_id", F.lit(0).alias("section"), F.date_format("usage_start_date", "yyyy-MM-dd").alias("date"),
         "service_name", "category", "region", fixed("cost").alias("cost"),

@@ -169,6 +169,23 @@ def costs_of_top_services(costs: DataFrame, limit: int = 5) -> DataFrame:
     return costs.join(top_services(costs, limit).select("user_id", "service_name"), ["user_id", "service_name"], "left_semi")
 
 
+def totals_of_top_services(costs: DataFrame, by: list[str], limit: int = 5) -> DataFrame:
+    """Exact totals and record counts per ``by`` of the tenant's most expensive services.
+
+    One aggregate serves both the choice of the services and their totals, so the costs are
+    scanned and shuffled once; the choice also asks for the counts, to keep both uses alike.
+    """
+    named = costs.where(F.col("user_id").isNotNull() & F.col("service_name").isNotNull())  # the join's own filters, in both uses
+    parts = named.groupBy("user_id", "service_name", *by).agg(exact_sum("cost").alias("total"), F.count(F.lit(1)).alias("record_count"))
+    sums = parts.groupBy("user_id", "service_name").agg(F.sum("total").alias("all"), F.sum("record_count").alias("records"), *[F.count(c).alias(f"n_{c}") for c in by])
+    order = Window.partitionBy("user_id").orderBy(F.desc("all"), "service_name")
+    alike = F.col("records") >= 0
+    for c in by:
+        alike = alike & (F.col(f"n_{c}") >= 0)
+    top = sums.where(alike).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("user_id", "service_name")
+    return parts.join(top, ["user_id", "service_name"], "left_semi")
+
+
 def ingest_summary(normalized: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows, distinct categories, date range and total of a normalised ingest."""
     return normalized.groupBy(*(by or [])).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.category import CATEGORIES, with_category
 from ..functions.numeric import carried_max, carried_min, change_pct, exact_sum, fixed, money, ratio, share_pct
-from .filters import last_days, moment, month_bounds, select_costs
+from .filters import in_month, last_days, month_bounds, select_costs
 
 BREAKDOWN_FIELDS = {
     "service": "service_name", "region": "region", "account": "cloud_account_id", "provider": "provider",
@@ -71,12 +71,8 @@ def with_change(periods: DataFrame, period: str, value: str = "total_cost", firs
 def _auto_daily(costs, breakdown_by, granularity, month, latest_month, filters) -> DataFrame:
     """Per tenant, day and item totals with the tenant's chosen period label."""
     item = BREAKDOWN_FIELDS.get(breakdown_by, "service_name")
-    picked = select_costs(costs, **(filters or {}))
     bounds = month_bounds(month)
-    if bounds:
-        picked = picked.where(
-            (F.col("usage_start_date") >= moment(picked, bounds[0])) & (F.col("usage_start_date") < moment(picked, bounds[1]))
-        )
+    picked = in_month(select_costs(costs, **(filters or {})), month)
     calendar_month = F.date_format("usage_start_date", "yyyy-MM")
     daily = picked.groupBy(
         "user_id",
@@ -90,7 +86,7 @@ def _auto_daily(costs, breakdown_by, granularity, month, latest_month, filters)
         F.max("usage_start_date").alias("last_start"),
         F.max("usage_end_date").alias("max_date"),
     )
-    if latest_month and not bounds:
+    if latest_month and not month:
         # the latest month comes from all of the tenant's rows, not from the filtered ones
         latest = costs.groupBy("user_id").agg(
             F.date_format(F.max("usage_start_date"), "yyyy-MM").alias("calendar_month")
@@ -165,6 +161,32 @@ def auto_trend_summary(periods: DataFrame) -> DataFrame:
     )
 
 
+def auto_trend_overview(
+    costs: DataFrame, breakdown_by: str = "service", granularity: str | None = None,
+    month: str | None = None, latest_month: bool = False, filters: dict | None = None,
+) -> DataFrame:
+    """The summary of a tenant's trend with the dates it spans.
+
+    ``start`` and ``end`` are the first and last start date of the rows that count. With
+    ``latest_month`` and no month, ``detected_month`` is the month that was taken and
+    ``full_start`` and ``full_end`` span all of the tenant's rows; otherwise they are null.
+    """
+    daily = _auto_daily(costs, breakdown_by, granularity, month, latest_month, filters)
+    periods = daily.groupBy("user_id", "period").agg(
+        F.sum("total").alias("total"), F.min("min_date").alias("first"), F.max("last_start").alias("last")
+    ).withColumn("total_cost", money("total"))
+    total, count = exact_sum("total_cost"), F.count(F.lit(1))
+    summary = periods.groupBy("user_id").agg(
+        count.alias("periods_count"), money(total).alias("total_cost"), fixed(total.cast("double") / count).alias("average_cost"),
+        _day_text(F.min("first")).alias("start"), _day_text(F.max("last")).alias("end"))
+    if not latest_month or month:
+        nothing = F.lit(None).cast("string")
+        return summary.withColumns({"detected_month": nothing, "full_start": nothing, "full_end": nothing})
+    whole = costs.groupBy("user_id").agg(F.min("usage_start_date").alias("first"), F.max("usage_start_date").alias("last")).select(
+        "user_id", F.date_format("last", "yyyy-MM").alias("detected_month"), _day_text("first").alias("full_start"), _day_text("last").alias("full_end"))
+    return summary.join(whole, "user_id")
+
+
 def item_totals(breakdown: DataFrame) -> DataFrame:
     """Total per item over a trend's breakdown and its share of the tenant's sum, largest first."""
     totals = breakdown.groupBy("user_id", F.col("item").alias("name")).agg(exact_sum("cost").alias("total"))
@@ -241,11 +263,8 @@ def category_daily(costs: DataFrame, month: str) -> DataFrame:
     bounds = month_bounds(month)
     if bounds is None:
         raise ValueError(f"month must look like 2026-01, got {month!r}")
-    first, following = (moment(costs, bound) for bound in bounds)
     by_service = (
-        costs.where(
-            (F.col("usage_start_date") >= first - F.make_dt_interval(F.lit(7))) & (F.col("usage_start_date") < following)
-        )
+        in_month(costs, month, days_before=7)
         .groupBy("user_id", F.to_date("usage_start_date").alias("day"), "service_name")
         .agg(exact_sum("cost").alias("total"))
     )

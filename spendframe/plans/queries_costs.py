@@ -238,9 +238,17 @@ SELECT user_id, service_name, billing_period, count(*) AS record_count, {money(t
 FROM costs SEMI JOIN top USING (user_id, service_name) GROUP BY ALL""")
 def j5_top_services(spark, sf_dir):
     costs = lineitem_costs(spark, sf_dir, ["user_id", "service_name", "billing_period", "cost"])
-    return summaries.costs_of_top_services(costs).groupBy("user_id", "service_name", "billing_period").agg(
-        F.count(F.lit(1)).alias("record_count"), money_col(exact_sum("cost")).alias("total_cost")
-    )
+    found = summaries.totals_of_top_services(costs, ["billing_period"])
+    return found.select("user_id", "service_name", "billing_period", "record_count", money_col("total").alias("total_cost"))
+
+
+@query("J5_rows_of_top_services", f"""WITH {COSTS}, g AS (SELECT user_id, service_name, {total('cost')} AS t FROM costs GROUP BY ALL),
+top AS (SELECT user_id, service_name FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, service_name) <= 2)
+SELECT user_id, service_name, count(*) AS record_count, {money(total('cost'))} AS total_cost FROM costs SEMI JOIN top USING (user_id, service_name) GROUP BY ALL""")
+def j5_rows(spark, sf_dir):
+    costs = lineitem_costs(spark, sf_dir, ["user_id", "service_name", "cost"])
+    return summaries.costs_of_top_services(costs, 2).groupBy("user_id", "service_name").agg(
+        F.count(F.lit(1)).alias("record_count"), money_col(exact_sum("cost")).alias("total_cost"))
 
 
 # --- trends ------------------------------------------------------------------
@@ -322,6 +330,53 @@ def q9_summary(spark, sf_dir):
     return trends.auto_trend_summary(trends.auto_trend(lineitem_costs(spark, sf_dir, [*_AUTO, "service_name"])))
 
 
+@query("Q9_auto_trend_overview", f"""WITH {COSTS}, c AS (SELECT * FROM costs {_LATEST}), p AS (
+    SELECT user_id, {DAY} AS period, {money(total('cost'))} AS total_cost, min(usage_start_date) AS a, max(usage_start_date) AS z FROM c GROUP BY 1, 2),
+w AS (SELECT user_id, min(usage_start_date) AS a, max(usage_start_date) AS z FROM costs GROUP BY 1)
+SELECT p.user_id, count(*) AS periods_count, {money(total('total_cost'))} AS total_cost, {fixed(f"CAST({total('total_cost')} AS DOUBLE) / count(*)")} AS average_cost,
+    strftime(min(p.a), '%Y-%m-%d') AS start, strftime(max(p.z), '%Y-%m-%d') AS "end", strftime(any_value(w.z), '%Y-%m') AS detected_month,
+    strftime(any_value(w.a), '%Y-%m-%d') AS full_start, strftime(any_value(w.z), '%Y-%m-%d') AS full_end FROM p JOIN w ON p.user_id = w.user_id GROUP BY p.user_id""")
+def q9_overview(spark, sf_dir):
+    costs = lineitem_costs(spark, sf_dir, [*_AUTO, "service_name"])
+    return trends.auto_trend_overview(costs, latest_month=True, filters={"service": "Amazon"})
+
+
+@query("Q9_auto_trend_nested", f"""WITH {COSTS}, i AS (SELECT user_id, billing_period AS period, region, {money(total('cost'))} AS c FROM costs GROUP BY 1, 2, 3),
+t AS (SELECT user_id, billing_period AS period, {money(total('cost'))} AS total_cost FROM costs GROUP BY 1, 2)
+SELECT user_id, period, any_value(total_cost) AS total_cost, string_agg(region, '|' ORDER BY c DESC, region) AS items, max(c) AS largest
+FROM i JOIN t USING (user_id, period) GROUP BY 1, 2""")
+def q9_nested(spark, sf_dir):
+    costs = lineitem_costs(spark, sf_dir, [*_AUTO, "region"])
+    nested = trends.nest_breakdown(trends.auto_trend(costs, "region"), trends.auto_trend_breakdown(costs, "region"))
+    return nested.select(
+        "user_id", "period", "total_cost", F.array_join(F.transform("breakdown", lambda b: b["service_name"]), "|").alias("items"),
+        F.get("breakdown", F.lit(0))["cost"].alias("largest"))
+
+
+_PERIODS = f"""periods AS (SELECT * REPLACE (CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN '1901-01' ELSE billing_period END AS billing_period) FROM costs)"""
+
+
+def _other_periods(spark, sf_dir):
+    """Costs whose billing period is missing or not the month of the start date."""
+    line = F.split("cost_id", "-")[1].cast("int")
+    return lineitem_costs(spark, sf_dir, ["cost_id", *_AUTO, "service_name"]).withColumn(
+        "billing_period", F.when(line == 2, "1901-01").when(line != 1, F.col("billing_period")))
+
+
+@query("P14_month_of_other_periods", f"""WITH {COSTS}, {_PERIODS} SELECT user_id, billing_period, count(*) AS record_count, {money(total('cost'))} AS total_cost FROM periods
+WHERE usage_start_date >= TIMESTAMP '2001-05-01' AND usage_start_date < TIMESTAMP '2001-06-01' GROUP BY 1, 2""")
+def p14_other(spark, sf_dir):
+    return filters.in_month(_other_periods(spark, sf_dir), "2001-05").groupBy("user_id", "billing_period").agg(
+        F.count(F.lit(1)).alias("record_count"), money_col(exact_sum("cost")).alias("total_cost"))
+
+
+@query("Q9_trend_of_other_periods", f"""WITH {COSTS}, {_PERIODS} SELECT user_id, coalesce(billing_period, strftime(usage_start_date, '%Y-%m')) AS period, {money(total('cost'))} AS total_cost
+FROM periods WHERE usage_start_date >= TIMESTAMP '2000-03-01' AND usage_start_date <= TIMESTAMP '2001-06-30' GROUP BY 1, 2""")
+def q9_other(spark, sf_dir):
+    found = trends.auto_trend(_other_periods(spark, sf_dir), filters={"start": "2000-03-01", "end": "2001-06-30"}, granularity="monthly")
+    return found.select("user_id", "period", "total_cost")
+
+
 @query("Q23_item_totals", f"""WITH {COSTS}, cells AS (
     SELECT user_id, billing_period, service_name AS name, {money(total('cost'))} AS cost FROM costs GROUP BY 1, 2, 3),
 totals AS (SELECT user_id, name, {total('cost')} AS t FROM cells GROUP BY 1, 2),

@@ -291,9 +291,24 @@ _GENERIC = f"""SELECT cost_id AS row_id,
         WHEN 7 THEN 'Missing or invalid start date' END AS error FROM costs"""
 
 
+def _generic_files(spark, sf_dir) -> str:
+    """The damaged rows as CSV files, one for each line number; the later ones hold their columns in another order."""
+    rows = _generic_raw(spark, sf_dir).withColumn("line", F.split("row_id", "-")[1].cast("int"))
+    placed = rows.repartition("line").sortWithinPartitions("line", "row_id")
+    folder = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    for part in (placed.where("line < 5"), placed.where("line >= 5").select(*reversed(rows.columns))):
+        part.write.mode("append").partitionBy("line").option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    return folder
+
+
+def _line_file(parsed: DataFrame) -> DataFrame:
+    """The part of a file's path that does not change from run to run."""
+    return parsed.withColumn("file", F.regexp_extract("file", "line=[0-9]+", 0))
+
+
 @query("S2_generic_csv", f"WITH {COSTS} {_GENERIC}")
 def s2_generic(spark, sf_dir):
-    parsed = generic_csv.parse_records(_generic_raw(spark, sf_dir))
+    parsed, _ = generic_csv.parse_files(spark, _generic_files(spark, sf_dir))
     tags = F.col("tags")
     return parsed.select(
         "row_id", "provider", "service_name", fixed_col("cost", 4).alias("cost"),
@@ -304,11 +319,31 @@ def s2_generic(spark, sf_dir):
     )
 
 
-@query("P8_reject_report", f"""WITH {COSTS}, r AS ({_GENERIC}), bad AS (SELECT * FROM r WHERE error IS NOT NULL)
-SELECT row_id AS row, error_field AS field, error, (SELECT count(*) FROM bad) AS dropped_rows
-FROM (SELECT * FROM bad ORDER BY row_id, error_field LIMIT 5)""")
+_BAD = f"""r AS ({_GENERIC}), bad AS (SELECT *, 'line=' || split_part(row_id, '-', 2) AS file,
+    row_number() OVER (PARTITION BY split_part(row_id, '-', 2) ORDER BY row_id) AS row FROM r QUALIFY error IS NOT NULL)"""
+
+
+@query("P8_reject_report", f"""WITH {COSTS}, {_BAD}
+SELECT file, row, error_field AS field, error, (SELECT count(*) FROM bad) AS dropped_rows FROM (SELECT * FROM bad ORDER BY file, row LIMIT 5)""")
 def p8_rejects(spark, sf_dir):
-    return generic_csv.reject_report(generic_csv.parse_records(_generic_raw(spark, sf_dir)))
+    _, rejects = generic_csv.read_generic_csv(spark, _generic_files(spark, sf_dir))
+    return _line_file(generic_csv.reject_report(rejects))
+
+
+@query("P8_rejects_of_files", f"WITH {COSTS}, {_BAD} SELECT file, row AS row_id, service_name, error_field, error FROM bad")
+def p8_all_rejects(spark, sf_dir):
+    _, rejects = generic_csv.read_generic_csv(spark, _generic_files(spark, sf_dir))
+    return _line_file(rejects).select("file", "row_id", "service_name", "error_field", "error")
+
+
+@query("S2_records_of_files", f"""WITH {COSTS}, r AS ({_GENERIC})
+SELECT provider, service_name, cost, start_date, environment, resource_group, owner FROM r WHERE error IS NULL""")
+def s2_records(spark, sf_dir):
+    good, _ = generic_csv.read_generic_csv(spark, _generic_files(spark, sf_dir))
+    tags = F.col("tags")
+    return good.select(
+        "provider", "service_name", fixed_col("cost", 4).alias("cost"), F.date_format("usage_start_date", "yyyy-MM-dd").alias("start_date"),
+        tags["environment"].alias("environment"), tags["resource_group"].alias("resource_group"), tags["owner"].alias("owner"))
 
 
 _LAYOUTS = [

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.category import category_sql
 from ..functions.numeric import exact_sum, fixed as fixed_col, money as money_col
 from ..operators import alerts, anomalies, budgets, features, forecast, forest, insights, records, reports
-from ..session import shared_dir
-from ..sources import store
+from ..session import cut_lineage, shared_dir
+from ..sources import anomaly_store, store
 from ..sources.tables import SERVICE_OF_TYPE, customer_budgets, event_costs, lineitem_costs, table
 from . import forecasting, ingesting
+from .linear_sql import linear_forecast_sql
 from .registry import AS_OF, COSTS, EVENTS, SPIKED, change, fixed, money, query, share, total
 
 SERIES_FIELDS = ["user_id", "service_name", "cost", "usage_start_date"]
@@ -78,13 +79,8 @@ def w123_events(spark, sf_dir):
 SELECT user_id, strftime(date, '%Y-%m-%d') AS date, {money('t')} AS cost FROM d
 QUALIFY date >= max(date) OVER (PARTITION BY user_id) - 7""")
 def w7_recent(spark, sf_dir):
-    from pyspark.sql import Window
-
     daily = features.daily_series(lineitem_costs(spark, sf_dir, SERIES_FIELDS), ("user_id",))
-    latest = F.max("date").over(Window.partitionBy("user_id"))
-    return daily.withColumn("latest", latest).where(F.col("date") >= F.date_sub("latest", features.RECENT_DAYS)).select(
-        "user_id", F.date_format("date", "yyyy-MM-dd").alias("date"), money_col("total").alias("cost")
-    )
+    return features.recent_days(daily).select("user_id", F.date_format("date", "yyyy-MM-dd").alias("date"), money_col("total").alias("cost"))
 
 
 def _training(spark, sf_dir) -> DataFrame:
@@ -129,6 +125,42 @@ def a4_trees(spark, sf_dir):
     )
 
 
+@query("A4_forest_shape", f"""WITH {COSTS}, {_TRAINING}
+SELECT category AS model_key, CAST(20 AS BIGINT) AS trees, CAST(least(256, count(*)) AS INTEGER) AS sample_rows, true AS binary, true AS bounded FROM train GROUP BY 1""")
+def a4_shape(spark, sf_dir):
+    """What holds for every tree: the sample's size, two children for each inner node, and paths no longer than the depth limit allows."""
+    rows = features.training_features(_training(spark, sf_dir))
+    trees = forest.train_trees(features.scale(rows, features.scaler(rows)), trees=20)
+    leaves = F.size(F.filter("feature", lambda f: f < 0))
+    longest = F.ceil(F.log2("sample_rows")) + F.lit(float(forest.mean_path(256)))
+    return trees.groupBy("model_key").agg(
+        F.count(F.lit(1)).alias("trees"), F.min("sample_rows").alias("sample_rows"), F.every(F.size("feature") == 2 * leaves - 1).alias("binary"),
+        F.every(F.array_max("path") <= longest).alias("bounded"))
+
+
+# two trees drawn by hand: (feature, threshold, left, right, path) of each node, and the sample they stand for
+_DRAWN = [
+    (8, [(0, 0.5, 1, 2, 0.0), (-1, 0.0, -1, -1, 3.0), (6, 1.0, 3, 4, 0.0), (-1, 0.0, -1, -1, 2.5), (-1, 0.0, -1, -1, 1.0)]),
+    (16, [(7, 0.0, 1, 2, 0.0), (-1, 0.0, -1, -1, 4.0), (-1, 0.0, -1, -1, 2.0)])]
+_TYPICAL = float(sum(forest.mean_path(size) for size, _ in _DRAWN))
+
+
+@query("A5_scores_of_drawn_trees", f"""WITH {COSTS}, {_TRAINING}, z AS (SELECT category, date,
+    (cost - avg(cost) OVER w) / stddev_pop(cost) OVER w AS z_cost, (cost_ratio_7 - avg(cost_ratio_7) OVER w) / stddev_pop(cost_ratio_7) OVER w AS z_ratio, is_weekend
+    FROM train WINDOW w AS (PARTITION BY category)),
+paths AS (SELECT *, CASE WHEN z_cost <= 0.5 THEN 3.0 WHEN z_ratio <= 1.0 THEN 2.5 ELSE 1.0 END + CASE WHEN is_weekend = 1 THEN 2.0 ELSE 4.0 END AS path FROM z)
+SELECT category, strftime(date, '%Y-%m-%d') AS date, {fixed(f'-power(2.0::DOUBLE, -path / {_TYPICAL!r}::DOUBLE)', 6)} AS score FROM paths""")
+def a5_drawn(spark, sf_dir):
+    rows = cut_lineage(features.training_features(_training(spark, sf_dir)))
+    table = features.scaler(rows)
+    drawn = [(i, size, *[[node[k] for node in nodes] for k in range(5)]) for i, (size, nodes) in enumerate(_DRAWN)]
+    trees = spark.createDataFrame(drawn, forest.TREE_SCHEMA.replace("model_key string, ", "")).crossJoin(F.broadcast(table.select(F.col("category").alias("model_key"))))
+    scaled = features.scale(rows, table)
+    both = [forest.score(scaled, trees), forest.score(scaled, trees, sent_nodes=0)]  # in place, and by key
+    half = F.pmod(F.xxhash64("date"), F.lit(2))
+    return both[0].where(half == 0).unionByName(both[1].where(half == 1)).select("category", F.date_format("date", "yyyy-MM-dd").alias("date"), fixed_col("score", 6).alias("score"))
+
+
 @query("A5_forest_scores")
 def a5_scores(spark, sf_dir):
     model = ingesting.train_model(_training(spark, sf_dir))
@@ -162,21 +194,56 @@ def s13_model_store(spark, sf_dir):
     )
 
 
+_OWN = f"""{_TRAINING}, own_days AS (SELECT user_id, {category_sql('service_name')} AS category, CAST(usage_start_date AS DATE) AS date, {total('cost')} AS t
+    FROM costs WHERE user_id % 2 = 0 GROUP BY 1, 2, 3 QUALIFY count(*) OVER (PARTITION BY user_id, category) >= 14),
+{_features_sql('own_days', 'user_id, category').replace('lags AS', 'o_lags AS').replace('FROM lags', 'FROM o_lags').replace('features AS', 'o_features AS')},
+o_held AS (SELECT * FROM o_features QUALIFY date < max(date) OVER (PARTITION BY user_id, category) - 7),
+o_train AS (SELECT * FROM o_held QUALIFY count(*) OVER (PARTITION BY user_id, category) >= 10),
+models AS (SELECT category AS model_key, cost FROM train UNION ALL SELECT user_id || '_' || category, cost FROM o_train),
+tables AS (SELECT model_key, CAST(5 AS BIGINT) AS trees, count(*) AS train_rows, {fixed('avg(cost)')} AS mean_cost, {fixed('least(0.15, greatest(0.05, 2.0 / count(*)))', 4)} AS contamination
+    FROM models GROUP BY 1)"""
+
+
+@query("S13_J4_own_then_shared", f"""WITH {COSTS}, {_OWN}, services AS (SELECT DISTINCT user_id, service_name, {category_sql('service_name')} AS category FROM costs)
+SELECT s.user_id, service_name, category, coalesce(o.model_key, h.model_key) AS model_key, coalesce(o.trees, h.trees) AS trees, coalesce(o.train_rows, h.train_rows) AS train_rows,
+    coalesce(o.mean_cost, h.mean_cost) AS mean_cost, coalesce(o.contamination, h.contamination) AS contamination
+FROM services s LEFT JOIN tables o ON o.model_key = s.user_id || '_' || category LEFT JOIN tables h ON h.model_key = category
+WHERE coalesce(o.model_key, h.model_key) IS NOT NULL""")
+def s13_own(spark, sf_dir):
+    """Models of all categories and of even tenants' own, stored, read back and resolved for every tenant's services."""
+    training = lineitem_costs(spark, sf_dir, ["user_id", "service_name", "cost", "usage_start_date"]).select(
+        "user_id", F.col("usage_start_date").alias("date"), F.col("service_name").alias("service"), "cost")
+    owners = training.select("user_id").distinct().where(F.col("user_id") % 2 == 0)
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    store.write_model(ingesting.train_own_models(training, owners, trees=5), path)
+    model = store.read_model(spark, path)
+    services = features.with_category(lineitem_costs(spark, sf_dir, ["user_id", "service_name"]).distinct())
+    trees = model["trees"].groupBy("model_key").agg(F.count(F.lit(1)).alias("trees"))
+    resolved = store.preferred_model_key(services, model["scaler"])
+    return resolved.join(model["scaler"].select("model_key", "train_rows", "mean_cost"), "model_key").join(model["offsets"], "model_key").join(trees, "model_key").select(
+        "user_id", "service_name", "category", "model_key", "trees", "train_rows", fixed_col("mean_cost").alias("mean_cost"), fixed_col("contamination", 4).alias("contamination"))
+
+
 # --- anomaly rules -------------------------------------------------------------
 
-_RULES = f"""named AS (SELECT *, {category_sql('service_name')} AS category,
+def _rules(days: int = 7) -> str:
+    return f"""named AS (SELECT *, {category_sql('service_name')} AS category,
     CASE WHEN rolling_mean_7 > 0 THEN (cost - rolling_mean_7) / rolling_mean_7 * 100 WHEN cost > 0 THEN 100 ELSE 0 END AS dev FROM features),
 found AS (SELECT user_id, service_name, cost AS detected_value, rolling_mean_7 AS expected_value, rolling_mean_7 AS threshold,
     {fixed('dev')} AS deviation_percentage, CASE WHEN abs(dev) > 100 THEN 'high' ELSE 'medium' END AS severity,
     'Spike detected: based on ' || category || ' patterns (' || CAST(CAST(floor(abs(dev) + 0.5) AS BIGINT) AS VARCHAR) || '% above expected)' AS message,
-    date AS detected_at FROM named WHERE cost_ratio_7 >= 5 AND date >= latest - 7 AND cost >= 1 AND cost > rolling_mean_7 AND abs(dev) >= 25)"""
+    date AS detected_at FROM named WHERE cost_ratio_7 >= 5 AND date >= latest - {days} AND cost >= 1 AND cost > rolling_mean_7 AND abs(dev) >= 25)"""
+
 
+_RULES = _rules()
+BACKFILL_DAYS = 90
 
-def _rule_anomalies(spark, sf_dir) -> DataFrame:
+
+def _rule_anomalies(spark, sf_dir, days: int = features.RECENT_DAYS) -> DataFrame:
     """Spikes found by the ratio rule alone, without a model."""
     rows = features.with_features(features.detection_series(_spiked(spark, sf_dir)), ["user_id", "service_name"])
     flagged = anomalies.with_rule_flag(features.with_category(rows), F.lit(False))
-    return anomalies.reportable(flagged)
+    return anomalies.reportable(flagged, days=days)
 
 
 _ANOMALY_OUT = f"""user_id, service_name, {fixed('detected_value')} AS detected_value, {fixed('expected_value')} AS expected_value,
@@ -214,14 +281,42 @@ def a68_model(spark, sf_dir):
     return _anomaly_out(found.withColumn("anomaly_score", fixed_col("anomaly_score", 6)), "anomaly_score")
 
 
-@query("A9_category_detection")
-def a9_category(spark, sf_dir):
-    model = ingesting.train_model(_training(spark, sf_dir))
+def _category_costs(spark, sf_dir) -> DataFrame:
     raw = lineitem_costs(spark, sf_dir, [*SERIES_FIELDS, "provider"], planted_spikes=True).select(
         "user_id", F.col("usage_start_date").alias("date"), F.col("service_name").alias("service"), "cost",
         F.lower("provider").alias("provider"),
     )
-    return _anomaly_out(ingesting.detect_category_anomalies(features.normalize_costs(raw, ("user_id",)), model))
+    return features.normalize_costs(raw, ("user_id",))
+
+
+@query("A9_category_detection")
+def a9_category(spark, sf_dir):
+    return _anomaly_out(ingesting.detect_category_anomalies(_category_costs(spark, sf_dir), ingesting.train_model(_training(spark, sf_dir))))
+
+
+def _silent(model: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A model that flags nothing: scores lie between -1 and 0."""
+    return {**model, "offsets": model["offsets"].withColumn("offset", F.lit(-1.0))}
+
+
+_CATEGORY_SPIKES = f"""days AS (SELECT user_id, lower(provider) AS provider, {category_sql('service_name')} AS category, CAST(usage_start_date AS DATE) AS date,
+    CAST({total('cost')} AS DOUBLE) AS t FROM spiked GROUP BY 1, 2, 3, 4),
+dated AS (SELECT *, max(date) OVER (PARTITION BY user_id, provider) AS latest FROM days),
+{_features_sql('dated', 'user_id, provider, category').replace('lags AS', 'c_lags AS').replace('FROM lags', 'FROM c_lags').replace('features AS', 'c_features AS')},
+c_found AS (SELECT *, CASE WHEN rolling_mean_7 > 0 THEN (cost - rolling_mean_7) / rolling_mean_7 * 100 WHEN cost > 0 THEN 100 ELSE 0 END AS dev FROM c_features
+    WHERE (cost_ratio_7 >= 5 OR cost_ratio_7 <= 0.15) AND date >= latest - 7 AND cost >= 1 AND category IN (SELECT category FROM train)),
+c_reported AS (SELECT user_id, category AS service_name, cost AS detected_value, rolling_mean_7 AS expected_value, rolling_mean_7 AS threshold,
+    {fixed('dev')} AS deviation_percentage, CASE WHEN abs(dev) > 100 THEN 'high' ELSE 'medium' END AS severity,
+    CASE WHEN cost > rolling_mean_7 THEN 'Spike' ELSE 'Drop' END || ' detected in ' || category || ' (' || provider || '): '
+        || CAST(CAST(floor(abs(dev) + 0.5) AS BIGINT) AS VARCHAR) || '% deviation' AS message, date AS detected_at FROM c_found WHERE abs(dev) >= 25)"""
+
+
+@query("A9_spikes_and_drops", f"""WITH {COSTS}, {_TRAINING}, {SPIKED.replace('costs AS', 'spiked AS', 1)}, {_CATEGORY_SPIKES}
+SELECT {_ANOMALY_OUT} FROM c_reported""")
+def a9_rules(spark, sf_dir):
+    """The whole category job with forests that flag nothing, so the rules alone decide."""
+    model = _silent(ingesting.train_model(_training(spark, sf_dir), trees=5))
+    return _anomaly_out(ingesting.detect_category_anomalies(_category_costs(spark, sf_dir), model))
 
 
 def _stored(found: DataFrame) -> DataFrame:
@@ -237,41 +332,66 @@ def _stored(found: DataFrame) -> DataFrame:
     )
 
 
-@query("J2_A10_new_anomalies", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_RULES}
+@query("J2_A10_new_anomalies", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_rules(BACKFILL_DAYS)}
 SELECT {_ANOMALY_OUT}, 'ml_pattern' AS type, 'new' AS status, 'Investigate anomalous spending pattern detected by ML.' AS recommendation
 FROM found WHERE user_id % 2 = 1""")
 def a10_new(spark, sf_dir):
-    found = _rule_anomalies(spark, sf_dir)
+    found = _rule_anomalies(spark, sf_dir, BACKFILL_DAYS)
     fresh = anomalies.new_anomalies(found.unionByName(found), _stored(found))
     return _anomaly_out(fresh, "type", "status", "recommendation")
 
 
+@query("A10_store_batches", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_rules(BACKFILL_DAYS)}
+SELECT {_ANOMALY_OUT}, 'ml_pattern' AS type, 'new' AS status, CASE WHEN user_id % 2 = 0 THEN 'first' ELSE 'second' END AS batch_id FROM found""")
+def a10_store(spark, sf_dir):
+    """Even tenants are stored by one batch, the rest by a second one that runs twice; old decreases are purged."""
+    path = f"{shared_dir(spark)}/anomalies-{uuid.uuid4().hex}"
+    found = cut_lineage(_rule_anomalies(spark, sf_dir, BACKFILL_DAYS))
+    old = _stored(found).where("detected_value <= expected_value")
+    anomaly_store.write_batch(old, path, "old")
+    ingesting.store_new_anomalies(found.where(F.col("user_id") % 2 == 0), path, "first")
+    for _ in range(2):
+        ingesting.store_new_anomalies(found.unionByName(found), path, "second")
+    return _anomaly_out(anomaly_store.read_anomalies(spark, path), "type", "status", "batch_id")
+
+
+@query("A10_detect_and_store", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_RULES}, {_TRAINING.replace('series AS', 'm_series AS', 1).replace('FROM series', 'FROM m_series').replace('lags AS', 'm_lags AS').replace('FROM lags', 'FROM m_lags').replace('features AS', 'm_features AS').replace('FROM features', 'FROM m_features')}
+SELECT {_ANOMALY_OUT} FROM found WHERE {category_sql('service_name')} IN (SELECT category FROM train)""")
+def a10_job(spark, sf_dir):
+    """The job for all tenants, twice under one batch id, with forests that flag nothing."""
+    path = f"{shared_dir(spark)}/anomalies-{uuid.uuid4().hex}"
+    model = _silent(ingesting.train_model(_training(spark, sf_dir), trees=5))
+    for _ in range(2):
+        ingesting.detect_and_store(_spiked(spark, sf_dir), model, path, batch_id="today")
+    return _anomaly_out(anomaly_store.read_anomalies(spark, path))
+
+
 _STORED = """stored AS (SELECT *, 'new' AS status FROM found WHERE user_id % 2 = 0 UNION ALL
     SELECT user_id, service_name, expected_value / 2, expected_value, threshold, deviation_percentage, severity, message,
            detected_at - 30, 'new' FROM found WHERE user_id % 2 = 0)"""
 
 
-@query("A10_purge", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_RULES}, {_STORED}
+@query("A10_purge", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_rules(BACKFILL_DAYS)}, {_STORED}
 SELECT {_ANOMALY_OUT} FROM stored WHERE detected_value > expected_value""")
 def a10_purge(spark, sf_dir):
-    return _anomaly_out(anomalies.purge_decreases(_stored(_rule_anomalies(spark, sf_dir))))
+    return _anomaly_out(anomalies.purge_decreases(_stored(_rule_anomalies(spark, sf_dir, BACKFILL_DAYS))))
 
 
-@query("Q12_anomaly_list", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_RULES}, {_STORED}
+@query("Q12_anomaly_list", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_rules(BACKFILL_DAYS)}, {_STORED}
 SELECT {_ANOMALY_OUT}, CAST(row_number() OVER (PARTITION BY user_id ORDER BY detected_at DESC, service_name) AS BIGINT) AS position
 FROM stored WHERE detected_value > expected_value AND severity = 'high' AND status = 'new'""")
 def q12_list(spark, sf_dir):
-    listed = anomalies.list_anomalies(_stored(_rule_anomalies(spark, sf_dir)), "new", "high")
+    listed = anomalies.list_anomalies(_stored(_rule_anomalies(spark, sf_dir, BACKFILL_DAYS)), "new", "high")
     return _anomaly_out(listed.withColumn("position", F.col("position").cast("bigint")), "position")
 
 
-@query("Q13_status_changes", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_RULES}
+@query("Q13_status_changes", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_rules(BACKFILL_DAYS)}
 SELECT user_id, service_name, strftime(detected_at, '%Y-%m-%d') AS detected_at,
        CASE user_id % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'acknowledged' ELSE 'new' END AS status,
        CASE WHEN user_id % 3 < 2 THEN '2001-06-16' END AS acknowledged, CASE WHEN user_id % 3 = 0 THEN '2001-06-18' END AS resolved FROM found""")
 def q13_status(spark, sf_dir):
     keys = ["user_id", "service_name", "detected_at"]
-    found = _rule_anomalies(spark, sf_dir).withColumn("status", F.lit("new")).withColumn(
+    found = _rule_anomalies(spark, sf_dir, BACKFILL_DAYS).withColumn("status", F.lit("new")).withColumn(
         "acknowledged_at", F.lit(None).cast("timestamp_ntz")
     ).withColumn("resolved_at", F.lit(None).cast("timestamp_ntz"))
     seen = found.where(F.col("user_id") % 3 < 2).select(*keys, F.lit("acknowledged").alias("status"), F.lit("2001-06-16 08:00:00").cast("timestamp_ntz").alias("changed_at"))
@@ -284,23 +404,42 @@ def q13_status(spark, sf_dir):
     )
 
 
-@query("Q21_anomaly_count", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_RULES}
+@query("Q21_anomaly_count", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_rules(BACKFILL_DAYS)}
 SELECT user_id, count(*) AS anomaly_count FROM found WHERE detected_value > expected_value GROUP BY user_id""")
 def q21_count(spark, sf_dir):
-    return insights.anomaly_count(_rule_anomalies(spark, sf_dir))
+    return insights.anomaly_count(_rule_anomalies(spark, sf_dir, BACKFILL_DAYS))
 
 
-@query("A11_ingest_and_detect")
-def a11_job(spark, sf_dir):
-    folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+def _ingested(spark, sf_dir) -> DataFrame:
     raw = lineitem_costs(spark, sf_dir, ["service_name", "cost", "usage_start_date", "provider"], planted_spikes=True).select(
         F.col("usage_start_date").alias("date"), F.col("service_name").alias("service"), "cost", F.lower("provider").alias("provider")
     )
-    empty = spark.createDataFrame([], "user_id bigint, service_name string, detected_at date, type string")
-    return ingesting.ingest_and_detect(
-        features.normalize_costs(raw), 1, ingesting.train_model(_training(spark, sf_dir)), empty,
-        f"{folder}/costs", f"{folder}/anomalies", AS_OF,
-    )
+    return features.normalize_costs(raw)
+
+
+@query("A11_ingest_and_detect")
+def a11_job(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    model = ingesting.train_model(_training(spark, sf_dir))
+    return ingesting.ingest_and_detect(_ingested(spark, sf_dir), 1, model, f"{folder}/costs", f"{folder}/anomalies", AS_OF)
+
+
+@query("A11_ingest_twice", f"""WITH {COSTS}, {_TRAINING}, {SPIKED.replace('costs AS', 'spiked_costs AS', 1)}, spiked AS (SELECT * REPLACE (1 AS user_id) FROM spiked_costs), {_CATEGORY_SPIKES},
+first_of AS (SELECT * FROM c_reported QUALIFY row_number() OVER (PARTITION BY service_name, detected_at ORDER BY detected_value DESC) = 1),
+records AS (SELECT count(*) AS n FROM days)
+SELECT CAST(n AS BIGINT) AS success_count, CAST(0 AS BIGINT) AS error_count, CAST((SELECT count(*) FROM c_reported) AS BIGINT) AS detected,
+    CAST((SELECT count(*) FROM first_of) AS BIGINT) AS stored, CAST(n AS BIGINT) AS cost_rows, CAST((SELECT count(*) FROM first_of WHERE detected_value > expected_value) AS BIGINT) AS listed
+FROM records""")
+def a11_twice(spark, sf_dir):
+    """The job run twice under one batch id, with forests that flag nothing: counts, and what the tables hold afterwards."""
+    folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    model = _silent(ingesting.train_model(_training(spark, sf_dir), trees=5))
+    rows = _ingested(spark, sf_dir)
+    for _ in range(2):
+        counts = ingesting.ingest_and_detect(rows, 1, model, f"{folder}/costs", f"{folder}/anomalies", AS_OF, "batch")
+    held = store.read_costs(spark, f"{folder}/costs").agg(F.count(F.lit(1)).alias("cost_rows"))
+    listed = anomaly_store.read_anomalies(spark, f"{folder}/anomalies").agg(F.count(F.lit(1)).alias("listed"))
+    return counts.join(F.broadcast(held), F.lit(True)).join(F.broadcast(listed), F.lit(True))
 
 
 # --- alerts --------------------------------------------------------------------
@@ -426,7 +565,7 @@ def _f7(granularity: str, step: str):
     def run(spark, sf_dir):
         return forecast.future_dates(_points(spark, sf_dir, granularity), granularity, 12).withColumn(
             "date", F.date_format("date", "yyyy-MM-dd")
-        )
+        ).drop("series_start")
 
     query(f"F7_future_dates_{granularity}", sql)(run)
     return run
@@ -437,9 +576,41 @@ f7_weekly = _f7("weekly", "z + CAST(step * 7 AS INTEGER)")
 f7_monthly = _f7("monthly", "last_day(CAST(date_trunc('month', z) AS DATE) + to_months(CAST(step AS INTEGER)))")
 
 
-@query("F4_linear_forecast")
+_PREDICTED = f"""user_id, series, strftime(date, '%Y-%m-%d') AS date, {fixed('prediction', 0)} AS predicted_cost, {fixed('lower', 0)} AS lower_bound,
+    {fixed('upper', 0)} AS upper_bound"""
+
+
+def _whole(output: DataFrame) -> DataFrame:
+    """Forecasts in whole currency units: sums of doubles differ in their last digits from run to run."""
+    return output.select("user_id", "series", F.date_format("date", "yyyy-MM-dd").alias("date"), *[
+        fixed_col(c, 0).alias(name) for c, name in (("prediction", "predicted_cost"), ("lower", "lower_bound"), ("upper", "upper_bound"))])
+
+
+@query("F4_linear_forecast", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_RESAMPLED['daily']}, {linear_forecast_sql('user_id, series', 7, 30)}
+SELECT {_PREDICTED} FROM predictions""")
 def f4_linear(spark, sf_dir):
-    return forecast.forecast_output(forecast.forecast(_points(spark, sf_dir, "daily"), 30))
+    return _whole(forecast.forecast(cut_lineage(_points(spark, sf_dir, "daily")), 30))
+
+
+@query("F4_linear_forecast_weekly", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_RESAMPLED['weekly']}, {linear_forecast_sql('user_id, series', 52, 12, 7)}
+SELECT {_PREDICTED}, {fixed('confidence', 1)} AS confidence FROM predictions""")
+def f4_weekly(spark, sf_dir):
+    found = forecast.forecast(cut_lineage(_points(spark, sf_dir, "weekly")), 12, "weekly")
+    return _whole(found).join(found.select("user_id", "series", F.date_format("date", "yyyy-MM-dd").alias("date"), fixed_col("confidence", 1).alias("confidence")), ["user_id", "series", "date"])
+
+
+_FEW = """points AS (SELECT user_id, series, date, cost FROM (SELECT *, row_number() OVER (PARTITION BY user_id, series ORDER BY date) AS nth FROM all_points) WHERE nth <= 2 + user_id % 6)"""
+
+
+@query("F4_short_series", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_RESAMPLED['weekly'].replace('points AS', 'all_points AS')}, {_FEW},
+{linear_forecast_sql('user_id, series', 52, 4, 7)} SELECT {_PREDICTED} FROM predictions""")
+def f4_short(spark, sf_dir):
+    """Series of 2 to 7 points: fewer points than terms have the smallest solution."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("user_id", "series").orderBy("date"))
+    few = _points(spark, sf_dir, "weekly").withColumn("nth", nth).where(F.col("nth") <= 2 + F.col("user_id") % 6).drop("nth")
+    return _whole(forecast.forecast(cut_lineage(few), 4, "weekly"))
 
 
 @query("F5_trend_labels")
@@ -512,9 +683,17 @@ def q26_repeat(spark, sf_dir):
     return forecast.pivot_forecast(output, list(SERVICE_OF_TYPE.values()))
 
 
-@query("F9_detailed_forecast")
+_TOP_SERIES = f"""top AS (SELECT user_id, service_name AS series FROM base WHERE service_name IS NOT NULL GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sum(t) DESC, service_name) <= 5),
+points AS (SELECT * FROM all_points WHERE series = '__all__' OR (user_id, series) IN (SELECT user_id, series FROM top))"""
+_DETAILED = f"""{_RESAMPLED['daily'].replace('points AS', 'all_points AS')}, {_TOP_SERIES}, {linear_forecast_sql('user_id, series', 7, 30)}"""
+
+
+@query("F9_detailed_forecast", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_DETAILED}
+SELECT user_id, series, strftime(date, '%Y-%m-%d') AS date, {fixed(fixed('prediction'), 0)} AS predicted_cost, {fixed(fixed('upper'), 0)} AS upper_bound FROM predictions""")
 def f9_detailed(spark, sf_dir):
-    return _detailed(spark, sf_dir)["forecast"]
+    points = _detailed(spark, sf_dir)["forecast"]
+    return points.select("user_id", "series", "date", fixed_col("predicted_cost", 0).alias("predicted_cost"), fixed_col("upper_bound", 0).alias("upper_bound"))
 
 
 @query("F10_executive_summary")
@@ -522,9 +701,31 @@ def f10_summary(spark, sf_dir):
     return _detailed(spark, sf_dir, "weekly", 12)["summary"]
 
 
-@query("F11_service_outlook")
+_OUTLOOK = f"""{_DETAILED}, f_ahead AS (SELECT user_id, series, sum(CAST(prediction AS DECIMAL(30,8))) AS tp, count(*) AS periods,
+    {fixed('min_by(prediction, step)')} AS f, {fixed('max_by(prediction, step)')} AS l, {fixed('any_value(confidence)', 1)} AS confidence FROM predictions GROUP BY 1, 2),
+f_past AS (SELECT user_id, series, CAST({total(fixed('cost'))} AS DOUBLE) / count(*) AS c FROM points GROUP BY 1, 2),
+f_growth AS (SELECT *, {fixed('tp')} AS total_cost, {fixed('tp')} / periods AS p,
+    CASE WHEN f > 0 AND l > f * 1.05::DOUBLE THEN 'increasing' WHEN f > 0 AND l < f * 0.95::DOUBLE THEN 'decreasing' ELSE 'stable' END AS trend
+    FROM f_ahead JOIN f_past USING (user_id, series)),
+f_g AS (SELECT *, coalesce(CASE WHEN c > 0 THEN (p - c) / c * 100 END, 0) AS g FROM f_growth)"""
+
+
+@query("F11_service_outlook", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_OUTLOOK}
+SELECT user_id, series AS service_name, {fixed('total_cost', 0)} AS total_predicted_cost, trend, {fixed('g', 1)} AS growth_pct,
+    CASE WHEN g > 15 THEN 'Increasing' WHEN g < -5 THEN 'Decreasing' ELSE 'Stable' END AS status FROM f_g WHERE series <> '__all__'""")
 def f11_outlook(spark, sf_dir):
-    return _detailed(spark, sf_dir)["services"]
+    return _detailed(spark, sf_dir)["services"].drop("action_item").withColumn("total_predicted_cost", fixed_col("total_predicted_cost", 0))
+
+
+@query("F10_summary_of_forecast", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_OUTLOOK}
+SELECT user_id, {fixed('total_cost', 0)} AS total_predicted_cost, {fixed('g', 1)} AS growth_percentage,
+    CASE WHEN g > 20 THEN 'Critical' WHEN g > 5 THEN 'Warning' WHEN g < -5 THEN 'Good' ELSE 'Stable' END AS status_badge,
+    CASE WHEN g > 20 THEN 'Significant cost increase of ' || printf('%.1f', abs(g)) || '% expected' WHEN g > 5 THEN 'Moderate cost increase of ' || printf('%.1f', abs(g)) || '% expected'
+        WHEN g < -5 THEN 'Cost saving of ' || printf('%.1f', abs(g)) || '% expected' END AS risk,
+    'Next ' || periods || ' Days' AS period_label, trend, confidence AS confidence_score FROM f_g WHERE series = '__all__'""")
+def f10_of_forecast(spark, sf_dir):
+    return _detailed(spark, sf_dir)["summary"].select(
+        "user_id", fixed_col("total_predicted_cost", 0).alias("total_predicted_cost"), "growth_percentage", "status_badge", "risk", "period_label", "trend", "confidence_score")
 
 
 _GROWTH = f"""weeks AS (SELECT user_id, CAST(usage_start_date AS DATE) AS day, {total('cost')} AS t FROM costs GROUP BY 1, 2),
@@ -567,9 +768,20 @@ def f13_metrics(spark, sf_dir):
     return forecast.forecast_metrics(forecast.seasonal_naive(_points(spark, sf_dir, "daily")), forecast.SERIES)
 
 
-@query("F13_backtest")
+_FOLDS = f"""points AS (SELECT user_id, series, DATE '{AS_OF}' - CAST(back AS INTEGER) AS origin, date, cost FROM all_points, (SELECT unnest([90, 60, 30]) AS back)
+    WHERE date < DATE '{AS_OF}' - CAST(back AS INTEGER))"""
+
+
+@query("F13_backtest", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_RESAMPLED['daily'].replace('points AS', 'all_points AS')}, {_FOLDS}, {linear_forecast_sql('user_id, series, origin', 7, 30)},
+j AS (SELECT p.user_id, p.series, a.cost AS actual, p.prediction AS predicted, p.lower, p.upper FROM predictions p
+    JOIN all_points a ON p.user_id = a.user_id AND p.series = a.series AND p.date = a.date)
+SELECT user_id, series, count(*) AS points, {fixed(fixed('avg(abs(predicted - actual))'), 0)} AS mae, {fixed(fixed('sqrt(avg((predicted - actual) * (predicted - actual)))'), 0)} AS rmse,
+    {fixed(fixed('sum(predicted - actual) / sum(actual) * 100'), 1)} AS bias_pct,
+    {fixed(fixed('avg(CASE WHEN actual BETWEEN lower AND upper THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100'), 1)} AS coverage_pct FROM j GROUP BY 1, 2""")
 def f13_backtest(spark, sf_dir):
-    return forecast.backtest(_points(spark, sf_dir, "daily"), AS_OF)
+    found = forecast.backtest(cut_lineage(_points(spark, sf_dir, "daily")), AS_OF)
+    return found.select("user_id", "series", "points", *[
+        fixed_col(c, digits).alias(c) for c, digits in (("mae", 0), ("rmse", 0), ("bias_pct", 1), ("coverage_pct", 1))])
 
 
 @query("Q26_forecast_pivot")
@@ -646,11 +858,27 @@ def b5_status(spark, sf_dir):
     return status.select("budget_id", "pct_consumed", "remaining_amount", "status", F.when(text != "", text).alias("alerts"))
 
 
-@query("B4_budget_projection")
+_LEFT = {"monthly": 15, "quarterly": 15, "annual": 199}  # days after the evaluation day
+_PROJECTION = f"""costs AS (SELECT * FROM all_costs WHERE usage_start_date < TIMESTAMP '{AS_OF}' + INTERVAL 1 DAY), {_BUDGETS}, {_SPEND},
+wanted AS (SELECT DISTINCT user_id, scope_type, scope_value FROM budgets),
+b_sums AS (SELECT user_id, scope_type, scope_value, day AS date, {total('cost')} AS t FROM scoped SEMI JOIN wanted USING (user_id, scope_type, scope_value)
+    WHERE day < DATE '{AS_OF}' GROUP BY 1, 2, 3, 4),
+b_bounds AS (SELECT user_id, scope_type, scope_value, min(date) AS a, max(date) AS z FROM b_sums GROUP BY 1, 2, 3),
+b_spine AS (SELECT user_id, scope_type, scope_value, {_DAYS} AS date FROM b_bounds),
+points AS (SELECT user_id, scope_type, scope_value, date, coalesce(CAST(t AS DOUBLE), 0) AS cost FROM b_spine LEFT JOIN b_sums USING (user_id, scope_type, scope_value, date)),
+{linear_forecast_sql('user_id, scope_type, scope_value', 7, 199, 1, '2001-06-14')},
+remaining AS (SELECT user_id, scope_type, scope_value, period, round(sum(CAST(prediction AS DECIMAL(30,8))), 2)::DOUBLE AS r
+    FROM predictions, (VALUES {', '.join(f"('{p}', {n})" for p, n in _LEFT.items())}) AS p(period, days_left) WHERE step <= days_left GROUP BY 1, 2, 3, 4)"""
+
+
+@query("B4_budget_projection", f"""WITH {_ALL_COSTS}, {_PROJECTION}
+SELECT budget_id, {fixed('actual')} AS actual_spend, {fixed(fixed('coalesce(r, 0)'), 0)} AS forecasted_remaining,
+    {fixed(fixed('(actual + coalesce(r, 0)) / amount * 100', 1), 0)} AS pct_projected
+FROM spent LEFT JOIN remaining USING (user_id, scope_type, scope_value, period)""")
 def b4_projection(spark, sf_dir):
-    return forecasting.track_budgets(
-        customer_budgets(spark, sf_dir), _until(lineitem_costs(spark, sf_dir, _BUDGET_FIELDS)), AS_OF
-    ).withColumn("alerts", F.array_join("alerts", "; "))
+    tracked = forecasting.track_budgets(customer_budgets(spark, sf_dir), _until(lineitem_costs(spark, sf_dir, _BUDGET_FIELDS)), AS_OF)
+    return tracked.select(
+        "budget_id", "actual_spend", fixed_col("forecasted_remaining", 0).alias("forecasted_remaining"), fixed_col("pct_projected", 0).alias("pct_projected"))
 
 
 # --- reports -------------------------------------------------------------------
@@ -672,12 +900,12 @@ def q15_utilisation(spark, sf_dir):
     return reports.utilisation(lineitem_costs(spark, sf_dir, ["user_id", "service_name", "provider", "cost"]))
 
 
-@query("Q16_anomaly_log", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_RULES}, {_STORED}
+@query("Q16_anomaly_log", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_rules(BACKFILL_DAYS)}, {_STORED}
 SELECT user_id, strftime(detected_at, '%Y-%m-%d') AS detected_at, strftime(detected_at, '%Y-%m-%d') AS date, service_name,
        {category_sql('service_name')} AS category, {fixed('detected_value')} AS actual_cost, {fixed('expected_value')} AS expected_cost,
        {fixed('deviation_percentage', 1)} AS deviation_pct, severity, status FROM stored""")
 def q16_log(spark, sf_dir):
-    return reports.anomaly_log(_stored(_rule_anomalies(spark, sf_dir)))
+    return reports.anomaly_log(_stored(_rule_anomalies(spark, sf_dir, BACKFILL_DAYS)))
 
 
 @query("Q17_executive_overview", f"""WITH {COSTS}, b AS (SELECT *, {category_sql('service_name')} AS category FROM costs

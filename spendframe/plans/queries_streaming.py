@@ -74,8 +74,11 @@ def t2_daily(spark, sf_dir):
     )
 
 
-@query("T3_stream_cooldown", A12_SQL)
+@query("T3_stream_cooldown", f"""SELECT * FROM ({A12_SQL}) WHERE CAST(alert_at AS TIMESTAMP) < (
+    SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events JOIN customer ON events.user_id = c_custkey
+    WHERE c_custkey % 11 <> 0 AND (c_custkey % 3 = 0 OR (c_custkey % 3 = 2 AND c_custkey % 2 = 0)))""")
 def t3_cooldown(spark, sf_dir):
+    """Alerts the watermark has passed by the end of the events, which arrive in the order of their ids."""
     fired = _event_stream(spark, sf_dir).select("user_id", F.col("event_type").alias("service_name"), F.col("ts").alias("alert_at"))
     before = spark.conf.get(STATE_PROVIDER, None)
     spark.conf.set(STATE_PROVIDER, ROCKSDB)

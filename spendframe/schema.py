@@ -16,6 +16,8 @@ SORT_FIELDS = ["usage_start_date", "usage_end_date", "cost", "service_name", "pr
 REQUIRED_FIELDS = ["provider", "service_name", "cost", "usage_start_date", "usage_end_date"]
 # ----------------------------------------------------------------------------
 
+START_MONTH = "start_month"  # mark of a billing_period that its writer derived from usage_start_date
+
 _tags = T.MapType(T.StringType(), T.StringType())
 
 COST_SCHEMA = T.StructType([

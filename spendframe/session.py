@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "spendframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,3 +58,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` and aggregates of the rows it writes, taken in the same pass."""
+    seen = Observation()
+    written = cut_lineage(df.observe(seen, *[value.alias(name) for name, value in metrics.items()]))
+    return written, seen.get

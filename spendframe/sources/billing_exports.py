@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.numeric import exact_sum
 from ..functions.parsing import computed_once, parse_export_date, parse_number
+from .csv_headers import header_groups
 from .headers import quoted, resolve
 
 # --- fixed values -----------------------------------------------------------
@@ -64,22 +64,13 @@ def read_text_csv(spark: SparkSession, path, encoding: str = "UTF-8", multiline:
     )
 
 
-def header_groups(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
-    """(header, files): the files of all paths and folders by their header line, found in one distributed pass."""
-    lines = spark.read.option("encoding", encoding).text(paths).select(
-        F.col("value").alias("header"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    # a header is the first line of a file's first block; later blocks and lines are dropped where they are read
-    firsts = lines.where("at = 0").groupBy("file").agg(F.first("header").alias("header"))
-    return firsts.groupBy(F.regexp_replace("header", "^\ufeff", "").alias("header")).agg(F.array_sort(F.collect_list("file")).alias("files"))
-
-
 def read_mixed_csv(spark: SparkSession, paths, encoding: str = "UTF-8", multiline: bool = False) -> list[DataFrame]:
     """One frame for each header found among the files: columns of another order or name never shift.
 
     The driver holds the file names by header, as any scan's file listing does.
     """
     groups = header_groups(spark, paths, encoding).orderBy("header").collect()
-    return [read_text_csv(spark, [unquote(f) for f in group.files], encoding, multiline) for group in groups]
+    return [read_text_csv(spark, group.files, encoding, multiline) for group in groups]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -201,19 +192,31 @@ def map_training(raw: DataFrame) -> DataFrame:
     ).na.drop(subset=["date"])
 
 
-def read_training(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that hold a file or folder; they are tried one by one only if not all of them do."""
+    def found(some: list[str]) -> bool:
+        try:
+            spark.read.format("binaryFile").load(some)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+
+    return paths if found(paths) else [path for path in paths if found([path])]
+
+
+def read_training(
+    spark: SparkSession, paths: list[str], encoding: str = "UTF-8", multiline: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """Union of training CSVs with different headers, one scan for each header; and the skipped paths with their reasons.
 
     A path that does not exist, an empty file and a header without the needed columns are skipped.
     """
-    skipped: list[tuple[str, str]] = []
-    present: list[str] = []
-    for path in paths:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
-        (present.append(path) if found else skipped.append((path, "not found")))
+    present = _existing(spark, paths)
+    skipped = [(path, "not found") for path in paths if path not in present]
     frames = []
-    for raw in read_mixed_csv(spark, present, encoding) if present else []:
+    for raw in read_mixed_csv(spark, present, encoding, multiline) if present else []:
         missing = [field for field, names in TRAINING_HEADERS.items() if not set(names) & set(raw.columns)]
         if missing:
             skipped += [(path, f"no column for {', '.join(missing)}") for path in raw.inputFiles()]

@@ -113,41 +113,55 @@ def split_records(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.where(F.col("error").isNotNull())
 
 
-def read_records(spark: SparkSession, path, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
-    """Parsed rows of all files with their file and row number, whatever the files' headers.
+def parse_files(spark: SparkSession, path, encoding: str = "UTF-8", multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(parsed rows, places) of all files, whatever their headers; one scan each.
 
-    Rows are numbered from 1 within their file, in the order of the file. Pass
-    ``multiline`` for line breaks inside quotes.
+    Parsed rows carry their file, block of the file and order; ``places`` has the same for
+    all raw rows and reads no value. Pass ``multiline`` for line breaks inside quotes.
     """
-    parsed = None
+    parsed = places = None
     for raw in read_mixed_csv(spark, path, encoding, multiline):
+        # the order counts rows within a scan task, so it is taken before anything is left out
         placed = raw.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK), F.monotonically_increasing_id().alias(_ORDER))
-        found = parse_records(placed)
-        parsed = found if parsed is None else parsed.unionByName(found)
+        found, where = parse_records(placed), placed.select(_FILE, _BLOCK, _ORDER)
+        parsed, places = (found, where) if parsed is None else (parsed.unionByName(found), places.unionByName(where))
     if parsed is None:
         raise ValueError(f"no file in {path}")
-    order = Window.partitionBy(_FILE, _BLOCK).orderBy(_ORDER)
-    counts = parsed.groupBy(_FILE, _BLOCK).agg(F.count(F.lit(1)).alias("rows"))
-    before = counts.select(
-        F.col(_FILE).alias("of_file"), F.col(_BLOCK).alias("of_block"),
-        F.coalesce(F.sum("rows").over(Window.partitionBy(_FILE).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    numbered = parsed.withColumn("nth", F.row_number().over(order)).join(before, (F.col(_FILE) == F.col("of_file")) & (F.col(_BLOCK) == F.col("of_block")))
-    return numbered.withColumn("row_id", F.col("nth") + F.col("earlier")).withColumnRenamed(_FILE, "file").drop(_BLOCK, _ORDER, "nth", "earlier", "of_file", "of_block")
+    return parsed, places
+
+
+def with_row_numbers(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """``file`` and ``row_id``, counted from 1 within the file, of the given rows of ``parse_files``.
+
+    Rows of a block are consecutive, so a row's number follows from its block's first row and
+    the sizes of the blocks before; the rows themselves are neither sorted nor counted.
+    """
+    blocks = places.groupBy(F.col(_FILE).alias("of_file"), F.col(_BLOCK).alias("of_block")).agg(
+        F.min(_ORDER).alias("first"), F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy("of_file").orderBy("of_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("earlier", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    met = rows.join(starts, (F.col(_FILE) == F.col("of_file")) & (F.col(_BLOCK) == F.col("of_block")))
+    kept = [c for c in rows.columns if c not in (_FILE, _BLOCK, _ORDER, "row_id")]
+    return met.select(*kept, F.col(_FILE).alias("file"), (F.col(_ORDER) - F.col("first") + F.col("earlier") + 1).alias("row_id"))
+
+
+def read_records(spark: SparkSession, path, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
+    """Parsed rows of all files with their file and row number."""
+    return with_row_numbers(*parse_files(spark, path, encoding, multiline))
 
 
 def read_generic_csv(spark: SparkSession, path, encoding: str = "UTF-8", multiline: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of CSV files; rejects carry file and row number."""
-    parsed = read_records(spark, path, encoding, multiline)
+    """(records, rejects) of CSV files; rejects carry file and row number, records come straight from the scan."""
+    parsed, places = parse_files(spark, path, encoding, multiline)
     good, rejects = split_records(parsed)
-    return good.drop("file", "row_id"), rejects
+    return good.drop(_FILE, _BLOCK, _ORDER, "row_id"), with_row_numbers(rejects, places)
 
 
 def reject_report(parsed: DataFrame, row_id: str = "row_id", sample: int = 5) -> DataFrame:
-    """First ``sample`` rejected rows by row number, each with the total number dropped."""
+    """First ``sample`` rejected rows by file and row number, each with the total number dropped."""
     rejects = parsed.where(F.col("error").isNotNull())
+    place = [c for c in ("file",) if c in parsed.columns]
     total = rejects.agg(F.count(F.lit(1)).alias("dropped_rows"))
-    first = rejects.orderBy(row_id).limit(sample).select(
-        F.col(row_id).alias("row"), F.col("error_field").alias("field"), "error"
-    )
+    head = rejects.orderBy(*place, row_id).limit(sample).select(*place, F.col(row_id).alias("row"), F.col("error_field").alias("field"), "error")
     # a one-row aggregate next to at most ``sample`` rows
-    return first.join(F.broadcast(total), F.lit(True), "inner")
+    return head.join(F.broadcast(total), F.lit(True), "inner")

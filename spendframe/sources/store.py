@@ -6,7 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schema import COST_SCHEMA
+from ..operators.filters import between_dates
+from ..schema import COST_SCHEMA, START_MONTH
+
+
+def cost_rows(costs: DataFrame) -> DataFrame:
+    """Records in the stored layout: the period, which the table is partitioned by, is the start date's month."""
+    month = F.coalesce(F.date_format("usage_start_date", "yyyy-MM"), F.col("billing_period"))
+    return costs.withColumn("billing_period", month).select([F.col(f.name).cast(f.dataType) for f in COST_SCHEMA])
 
 
 def append_costs(costs: DataFrame, path: str, batch_id: str | None = None) -> None:
@@ -18,7 +25,7 @@ def append_costs(costs: DataFrame, path: str, batch_id: str | None = None) -> No
     and merge small ones, so neither giant nor tiny files appear.
     """
     (
-        costs.select([F.col(f.name).cast(f.dataType) for f in COST_SCHEMA])
+        cost_rows(costs)
         .hint("rebalance", "billing_period")
         .sortWithinPartitions("billing_period", "user_id", "usage_start_date")
         .withColumn("batch_id", F.lit(batch_id or uuid.uuid4().hex))
@@ -27,15 +34,9 @@ def append_costs(costs: DataFrame, path: str, batch_id: str | None = None) -> No
 
 
 def read_costs(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    """Cost table; a date range also prunes the monthly partitions."""
-    costs = spark.read.schema(COST_SCHEMA).parquet(path).drop("batch_id")
-    if start is not None:
-        costs = costs.where(F.col("billing_period") >= str(start)[:7])
-        costs = costs.where(F.col("usage_start_date") >= F.lit(str(start)).cast("timestamp_ntz"))
-    if end is not None:
-        costs = costs.where(F.col("billing_period") <= str(end)[:7])
-        costs = costs.where(F.col("usage_start_date") <= F.lit(str(end)).cast("timestamp_ntz"))
-    return costs
+    """Cost table; a date range, here or in a later filter, also prunes the monthly partitions."""
+    costs = spark.read.schema(COST_SCHEMA).parquet(path).drop("batch_id").withMetadata("billing_period", {START_MONTH: True})
+    return between_dates(costs, start, end)
 
 
 def write_report_csv(report: DataFrame, path: str) -> None:

@@ -11,39 +11,78 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.alerts import wanted_alerts
 
 OUTPUT = "user_id bigint, service_name string, us bigint"
+DELAY = "1 day"  # how much later than the newest alert one may arrive and still take its place
 
 
 class Cooldown(StatefulProcessor):
-    """Keeps the last sent time of a tenant and service."""
+    """Alerts wait until the watermark has passed them, so those of later micro-batches fall into their place in time.
+
+    The state of a tenant and service is the last sent time and the alerts still waiting.
+    A timer at the earliest waiting alert settles all that the watermark has passed.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._last = handle.getValueState("last_sent", "us bigint")
+        self._waiting = handle.getListState("waiting", "us bigint, cooldown_us bigint")
+        self._due = handle.getValueState("due", "ms bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # alerts of a key are expected in time order, apart from the order inside one Arrow batch
-        last = self._last.get()[0] if self._last.exists() else None
+    def _wait_for(self, us: int) -> None:
+        """A timer at the millisecond at which ``us`` is over, unless an earlier one is set."""
+        ms = us // 1000 + 1
+        due = self._due.get()[0] if self._due.exists() else None
+        if due is None or ms < due:
+            if due is not None:
+                self._handle.deleteTimer(due)
+            self._handle.registerTimer(ms)
+            self._due.update((ms,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for chunk in rows:
-            ordered = chunk.sort_values("us")
-            sent = []
-            for at, pause in zip(ordered["us"], ordered["cooldown_us"]):
-                if last is None or at - last >= pause:
-                    last = int(at)
-                    sent.append(last)
-            yield pd.DataFrame({"user_id": [key[0]] * len(sent), "service_name": [key[1]] * len(sent), "us": sent})
+            times = [int(us) for us in chunk["us"]]
+            self._waiting.appendList([(us, int(pause)) for us, pause in zip(times, chunk["cooldown_us"])])
+            first = min(times) if first is None else min(first, *times)
+        if first is not None:
+            self._wait_for(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        last = self._last.get()[0] if self._last.exists() else None
+        waiting = sorted(self._waiting.get())
+        sent, left = [], []
+        for us, pause in waiting:
+            if us >= passed:
+                left.append((us, pause))
+            elif last is None or us - last >= pause:
+                last = us
+                sent.append(us)
         if last is not None:
             self._last.update((last,))
+        self._waiting.clear()
+        self._due.clear()
+        if left:
+            self._waiting.put(left)
+            self._wait_for(left[0][0])
+        if sent:
+            yield pd.DataFrame({"user_id": [key[0]] * len(sent), "service_name": pd.Series([key[1]] * len(sent), dtype=object), "us": sent})
 
     def close(self) -> None:
         pass
 
 
-def cooldown_stream(alerts: DataFrame, users: DataFrame) -> DataFrame:
-    """Streaming alerts (user_id, service_name, alert_at) to the ones to send."""
+def cooldown_stream(alerts: DataFrame, users: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Streaming alerts (user_id, service_name, alert_at) to the ones to send, each once the watermark has passed it.
+
+    Alerts may arrive in any order within ``delay`` of the newest one and give what the batch
+    selection gives for all of them; later ones are dropped.
+    """
     timed = wanted_alerts(alerts, users).select(
-        "user_id", "service_name", "cooldown_us", F.unix_micros(F.col("alert_at").cast("timestamp")).alias("us")
-    )
+        "user_id", "service_name", "cooldown_us", F.col("alert_at").cast("timestamp").alias("at"), F.unix_micros(F.col("alert_at").cast("timestamp")).alias("us")
+    ).withWatermark("at", delay)
     return (
         timed.groupBy("user_id", "service_name")
-        .transformWithStateInPandas(Cooldown(), OUTPUT, "Append", "None")
+        .transformWithStateInPandas(Cooldown(), OUTPUT, "Append", "EventTime")
         .select("user_id", "service_name", F.timestamp_micros("us").cast("timestamp_ntz").alias("alert_at"))
     )

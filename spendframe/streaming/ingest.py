@@ -8,8 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.category import with_category
 from ..functions.numeric import exact_sum
 from ..operators import records
-from ..schema import COST_SCHEMA
-from ..sources.store import read_costs
+from ..sources.store import cost_rows, read_costs
 
 RAW_FIELDS = [
     "user_id", "provider", "cloud_account_id", "service_name", "resource_id", "region", "usage_quantity",
@@ -47,7 +46,7 @@ def start_ingest(stream: DataFrame, cost_path: str, reject_path: str, checkpoint
         good, rejects = checked_batch(batch)
         # dynamic overwrite touches only the partitions this batch writes
         (
-            good.select([F.col(f.name).cast(f.dataType) for f in COST_SCHEMA]).withColumn("batch_id", F.lit(batch_id))
+            cost_rows(good).withColumn("batch_id", F.lit(batch_id))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("billing_period", "batch_id").parquet(cost_path)
         )

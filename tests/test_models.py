@@ -159,6 +159,65 @@ def test_linear_on_degenerate_series(spark):
     assert _fit(spark, [1, 2]).count() == 14
 
 
+@pytest.mark.parametrize("granularity, sizes", [("daily", [2, 3, 5, 6, 7, 8, 30, 400]), ("weekly", [2, 4, 7, 60]), ("monthly", [2, 3, 6, 7, 24])])
+def test_linear_equals_least_squares(spark, granularity, sizes):
+    """Also the smallest solution of short series; numpy's, on the same design."""
+    rng = np.random.default_rng(len(sizes))
+    step = {"daily": 1, "weekly": 7, "monthly": 30.4375}[granularity]
+    rows, expected = [], {}
+    for n in sizes:
+        days = [DAY0 + timedelta(days=int(i * step)) for i in range(n)]
+        if granularity == "monthly":
+            days = [(pd.Timestamp(d) + pd.offsets.MonthEnd(0)).date() for d in days]
+            days = sorted(set(days))
+        cost = np.abs(rng.normal(100, 30, len(days)))
+        rows += [(n, "s", d, float(c)) for d, c in zip(days, cost)]
+        later = [pd.Timestamp(days[-1]) + pd.Timedelta(days=int(step) * k) for k in (1, 2, 3)] if granularity != "monthly" else list(
+            pd.date_range(pd.Timestamp(days[-1]) + pd.Timedelta(days=1), periods=3, freq="ME"))
+        y = cost
+        if len(y) >= 10:
+            low, high = np.percentile(y, [25, 75])
+            y = np.clip(y, low - 1.5 * (high - low), high + 1.5 * (high - low))
+
+        def design(days, first=days[0]):
+            t = np.array([(pd.Timestamp(d) - pd.Timestamp(first)).days for d in days], float)
+            angle = 2 * np.pi * t / {"daily": 7, "weekly": 52, "monthly": 12}[granularity]
+            return np.column_stack([t, t * t, np.sin(angle), np.cos(angle), np.sin(2 * angle), np.cos(2 * angle)])
+
+        x = design(days)
+        weights = np.linalg.lstsq(x - x.mean(axis=0), y - y.mean(), rcond=None)[0]
+        left = y - ((x - x.mean(axis=0)) @ weights + y.mean())
+        ahead = np.maximum(0, (design(later) - x.mean(axis=0)) @ weights + y.mean())
+        margin = 1.64 * (np.std(left) if len(y) > 2 else 0) * np.sqrt(1 + np.arange(1, 4) / len(y))
+        expected[n] = [(str(d.date()), p, max(0, p - m), p + m) for d, p, m in zip(later, ahead, margin)]
+    points = spark.createDataFrame(rows, "user_id bigint, series string, date date, cost double")
+    got = forecast.forecast(points, 3, granularity).orderBy("user_id", "step").collect()
+    for n in sizes:
+        mine = [(str(r.date), r.prediction, r.lower, r.upper) for r in got if r.user_id == n]
+        assert [m[0] for m in mine] == [e[0] for e in expected[n]]
+        assert [v for m in mine for v in m[1:]] == pytest.approx([v for e in expected[n] for v in e[1:]], rel=1e-6, abs=1e-4)
+
+
+def test_linear_forecast_needs_no_python(spark):
+    plan = _fit(spark, range(20))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_equal_vectors_are_scored_once(spark):
+    """Nine tenths of a model's rows with one feature vector: scored by key as in place, in groups of bounded size."""
+    from spendframe.operators import features, forest
+
+    rng = np.random.default_rng(3)
+    values = [[0.0] * 8 if i % 10 else rng.normal(size=8).tolist() for i in range(4000)]
+    rows = spark.createDataFrame(
+        [(f"m{i % 2}", DAY0 + timedelta(days=i), *v) for i, v in enumerate(values)], f"category string, date date, {', '.join(f'{z} double' for z in forest.Z_FEATURES)}")
+    trees = forest.train_trees(rows.withColumn("train_rows", F.lit(2000)), trees=10)
+    near, far = forest.score(rows, trees), forest._score_by_key(rows, trees, "category", 50)
+    assert far.columns == [*rows.columns, "score"]
+    assert {(r.category, r.date): r.score for r in near.collect()} == pytest.approx({(r.category, r.date): r.score for r in far.collect()})
+    assert far.count() == 4000 and features.RECENT_DAYS == 7
+
+
 def test_additive_follows_trend_and_season(spark):
     rng = np.random.default_rng(2)
     values = [100 + 0.5 * i + 20 * math.sin(2 * math.pi * i / 7) + rng.normal(0, 1) for i in range(200)]

@@ -1,5 +1,6 @@
+import io
 import json
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from spendframe.operators import features
 from spendframe.plans import ingesting
 from spendframe.sources import billing_exports as exports
-from spendframe.sources import generic_csv, headers, store
+from spendframe.sources import anomaly_store, csv_headers, generic_csv, headers, store
 from spendframe.streaming import ingest
 
 
@@ -100,6 +101,71 @@ def test_rejects_name_their_file_and_row(spark, tmp_path):
     assert sorted((r.row, r.field, r.dropped_rows) for r in report) == [(1, "service_name", 2), (2, "cost", 2)]
 
 
+def test_first_records():
+    def first(data, encoding="UTF-8"):
+        return csv_headers.first_record(io.BytesIO(data), encoding)
+
+    assert first(b"a,b\n1,2\n") == first(b"\xef\xbb\xbfa,b\r\n1,2") == first(b"\n\na,b") == "a,b"
+    assert first(b'"a\nb","c""\n""d"\n1,2\n') == '"a\nb","c""\n""d"' and first(b"") is None and first(b"\n\n") is None
+    assert first("größe,b\n".encode("latin-1"), "ISO-8859-1") == "größe,b" and first("é,b\n".encode("utf-16"), "UTF-16") == "é,b"
+    wide = ",".join(f"column{i}" for i in range(20_000))
+    assert first(wide.encode() + b"\n1") == wide
+    with pytest.raises(ValueError, match="no end of the header"):
+        first(b"x" * (csv_headers.MAX_HEADER_BYTES + 1))
+
+
+def test_header_with_line_breaks(spark, tmp_path):
+    folder = tmp_path / "broken"
+    folder.mkdir()
+    _write(folder / "a.csv", '"Note\nof two lines",Service,Cost,Date\nx,EC2,1,2024-01-01\n')
+    _write(folder / "b.csv", "Date,Cost,Service\n2024-01-02,2,S3\n")
+    _write(folder / "empty.csv", "")
+    good, rejects = generic_csv.read_generic_csv(spark, str(folder), multiline=True)
+    assert sorted((r.service_name, r.cost) for r in good.collect()) == [("EC2", 1.0), ("S3", 2.0)] and rejects.count() == 0
+    got = ingesting.fetch(spark, "file", "gcp", _write(tmp_path / "g.csv", "usage_start_time,service,cost\n2024-01-01,\"Größe\nzwei\",3\n", "latin-1"), "2024-01-15", encoding="ISO-8859-1", multiline=True)
+    assert got.first().cost == 3.0
+
+
+def test_row_numbers_over_blocks(spark, tmp_path):
+    """A file that is read in many blocks keeps its row numbers."""
+    lines = [f"S{i},{'x' if i % 97 == 0 else i},2024-01-01" for i in range(1, 5001)]
+    path = _write(tmp_path / "long.csv", "service,cost,date\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        good, rejects = generic_csv.read_generic_csv(spark, path)
+        assert good.rdd.getNumPartitions() > 5 and good.count() == 5000 - 51
+        assert sorted((r.row_id, r.service_name) for r in rejects.collect()) == [(i, f"S{i}") for i in range(97, 5001, 97)]
+        numbered = generic_csv.read_records(spark, path)
+        assert all(r.service_name == f"S{r.row_id}" for r in numbered.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_anomaly_batches_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "anomalies")
+    assert anomaly_store.read_anomalies(spark, path).count() == 0
+    found = spark.createDataFrame(
+        [(1, "EC2", 9.0, 3.0, date(2024, 3, d)) for d in (1, 2, 3)] + [(2, "S3", 1.0, 3.0, date(2024, 3, 3))],
+        "user_id bigint, service_name string, detected_value double, expected_value double, detected_at date")
+    for column in ("threshold", "deviation_percentage"):
+        found = found.withColumn(column, F.lit(0.0))
+    found = found.withColumn("severity", F.lit("high")).withColumn("message", F.lit("m"))
+    counts = [ingesting.store_new_anomalies(rows, path, batch)[1]["stored"] for rows, batch in (
+        (found.where("detected_at = '2024-03-02'"), "a"), (found, "b"), (found, "b"), (found.where("user_id = 1"), "b"), (found, "c"))]
+    assert counts == [1, 3, 3, 2, 1]  # the decrease left batch b with its third run
+    stored = anomaly_store.read_anomalies(spark, path)
+    assert sorted((r.detected_at.day, r.batch_id) for r in stored.collect()) == [(1, "b"), (2, "a"), (3, "b")]
+    since = anomaly_store.read_anomalies(spark, path, "2024-03-02", "a")
+    plan = since._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1]
+    assert since.count() == 1 and "detected_day" in plan and "batch_id" in plan
+    users = spark.createDataFrame([(1, "x@y", True, None, 0)], "user_id bigint, email string, email_alerts_enabled boolean, email_notifications boolean, email_alert_cooldown_minutes int")
+    from spendframe.operators import alerts
+
+    sent = alerts.select_alerts(stored.withColumn("alert_at", F.col("detected_at").cast("timestamp_ntz")), users)
+    assert sent.count() == 3
+
+
 def test_landed_api_results(spark, tmp_path):
     azure = spark.createDataFrame([(1.5, 20240105, "VM", "x"), (2.0, 20240106, None, "Disk")], "totalCost double, UsageDate int, ServiceName string, MeterCategory string")
     assert [(r.date, r.service) for r in exports.map_azure_rows(azure).collect()] == [(datetime(2024, 1, 5), "VM"), (datetime(2024, 1, 6), "Disk")]
@@ -156,12 +222,13 @@ def test_ingest_and_detect_twice_stores_once(spark, tmp_path):
     spiked = training.withColumn("cost", F.when(F.col("date") == F.lit("2024-04-08").cast("timestamp_ntz"), 5000.0).otherwise(F.col("cost")))
     normalized = features.normalize_costs(spiked)
     model = ingesting.train_model(training.drop("provider"), trees=30)
-    empty = spark.createDataFrame([], "user_id int, service_name string, detected_at date, type string")
     paths = str(tmp_path / "costs"), str(tmp_path / "anomalies")
-    first = ingesting.ingest_and_detect(normalized, 1, model, empty, *paths, "2024-04-10").first()
+    first = ingesting.ingest_and_detect(normalized, 1, model, *paths, "2024-04-10", "one").first()
     assert (first.success_count, first.error_count) == (100, 0) and first.detected == first.stored >= 1
-    stored = spark.read.parquet(paths[1])
-    again = ingesting.ingest_and_detect(normalized, 1, model, stored, str(tmp_path / "c2"), str(tmp_path / "a2"), "2024-04-10").first()
+    repeated = ingesting.ingest_and_detect(normalized, 1, model, *paths, "2024-04-10", "one").first()
+    assert repeated == first and store.read_costs(spark, paths[0]).count() == 100
+    assert anomaly_store.read_anomalies(spark, paths[1]).count() <= spark.read.parquet(paths[1]).count() == first.stored
+    again = ingesting.ingest_and_detect(normalized, 1, model, str(tmp_path / "c2"), paths[1], "2024-04-10", "two").first()
     assert again.detected == first.detected and again.stored == 0
 
 
@@ -177,3 +244,30 @@ def test_stream_ingest_splits_rejects(spark, tmp_path):
     good = ingest.read_streamed_costs(spark, folders[0])
     assert sorted((r.provider, r.cost, r.billing_period) for r in good.collect()) == [("AWS", 5.0, "2024-01"), ("GCP", 7.0, "2024-02")]
     assert sorted(r.error for r in spark.read.parquet(folders[1]).collect()) == ["Provider must be one of: AWS, Azure, GCP, Other", ingest.BAD_TENANT]
+
+
+def test_late_alerts_take_their_place(spark, tmp_path):
+    """Alerts of a later micro-batch that are older than sent ones give the batch selection's rows."""
+    from spendframe.operators import alerts
+    from spendframe.plans.queries_streaming import ROCKSDB, STATE_PROVIDER
+    from spendframe.streaming import cooldown
+
+    schema = "user_id bigint, service_name string, alert_at timestamp_ntz"
+    landing = tmp_path / "alerts"
+    batches = [[0, 30, 60], [14, 25, 90, 91], [45, 200], [85, 260], [1000]]  # minutes
+    start = datetime(2024, 1, 1)
+    users = spark.createDataFrame([(1, "x@y", True, None, 20)], "user_id bigint, email string, email_alerts_enabled boolean, email_notifications boolean, email_alert_cooldown_minutes int")
+    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    try:
+        for minutes in batches:
+            rows = [(1, "EC2", start + timedelta(minutes=m)) for m in minutes]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(landing))
+            stream = cooldown.cooldown_stream(spark.readStream.schema(schema).parquet(str(landing)), users, "2 hours")
+            stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start(
+                str(tmp_path / "sent")).awaitTermination()
+    finally:
+        spark.conf.unset(STATE_PROVIDER)
+    sent = sorted(r.alert_at for r in spark.read.parquet(str(tmp_path / "sent")).collect())
+    everything = spark.createDataFrame([(1, "EC2", start + timedelta(minutes=m)) for b in batches[:-1] for m in b], schema)
+    assert sent == sorted(r.alert_at for r in alerts.select_alerts(everything, users).collect())
+    assert [int((at - start).total_seconds()) // 60 for at in sent] == [0, 25, 45, 85, 200, 260]
