@@ -372,7 +372,7 @@ def _frequent_runs(counted: DataFrame, min_count: int, part_bits: int) -> DataFr
     return counted.groupBy("part").applyInArrow(run, _FREQUENT)
 
 
-def _frequent_texts(answers: DataFrame, blocks: DataFrame, folder: str, n: int, bits: int, part_bits: int, frequent) -> DataFrame:
+def _frequent_texts(answers: DataFrame, blocks: DataFrame, tasks: int, folder: str, n: int, bits: int, part_bits: int, frequent) -> DataFrame:
     """Texts and counts of each block's frequent runs, one row per part and language."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -393,7 +393,8 @@ def _frequent_texts(answers: DataFrame, blocks: DataFrame, folder: str, n: int,
         columns = list(zip(*rows, strict=True)) or [()] * 5
         return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names=_fields(_TEXTS))
 
-    return answers.where("block is not null").join(blocks, "block").groupBy("block").applyInArrow(run, _TEXTS)
+    # answers are small but their blocks are not: so many tasks, whatever the answers' bytes
+    return answers.where("block is not null").join(blocks, "block").repartition(tasks, "block").groupBy("block").applyInArrow(run, _TEXTS)
 
 
 def _summed_texts(texts: DataFrame, n: int, min_count: int) -> DataFrame:
@@ -462,7 +463,7 @@ def frequent_runs(
     for n in range(1, max_words + 1):
         counted = _count_runs(blocks, tasks, folder, n, bits, part_bits, frequent)
         answers = keep(_frequent_runs(counted, min_count, part_bits), "frequent")
-        texts = _frequent_texts(answers, blocks, folder, n, bits, part_bits, frequent)
+        texts = _frequent_texts(answers, blocks, tasks, folder, n, bits, part_bits, frequent)
         found = found.unionByName(keep(_summed_texts(texts, n, min_count), "runs"))
         if n < max_words:
             frequent = spark.sparkContext.broadcast(_bit_set(answers, part_bits))
