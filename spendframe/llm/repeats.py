@@ -11,7 +11,8 @@ whose texts may pass ``HOT_BYTES`` is split further: each of its strings goes by
 128-bit digest, counted once a bucket of documents and then over all buckets, so the
 edges of a passage in very many documents meet in no single task.
 
-In a task, the suffixes of all its texts are sorted by a difference cover modulo 3: the
+In a task, starts whose strings hold 161 bytes that no other text has at the same distance
+from the anchor are left out first. The suffixes of what remains are sorted by a difference cover modulo 3: the
 sampled triples of letters are sorted and named, the names form a shorter text of the
 same kind, and after two such rounds a name stands for 216 bytes, more than a repeat
 needs; then the remaining suffixes of each round are sorted by their first letter and
@@ -33,7 +34,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups_for, keep, text_of
@@ -42,6 +43,7 @@ LENGTH = 200
 GRAM = 40
 WINDOW = LENGTH - GRAM + 1
 LETTER = 8
+BLOCK_STARTS = 40  # starts of a context that are ruled out together
 GROUP_BYTES = 4 << 20  # of texts around anchors in a task
 HOT_BYTES = GROUP_BYTES  # of texts around one anchor; beyond it strings are dealt one by one
 SORTED_BYTES = 1 << 20  # sorted at once
@@ -65,17 +67,31 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.cumprod(up), np.cumprod(down)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 40 bytes at each place."""
-    n = len(data) - GRAM + 1
-    up, down = _powers(len(data))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_codes()[data] * up)])
-        x = (sums[GRAM:] - sums[:-GRAM]) * down[:n]
+class _Hashes:
+    """Hashes of stretches of bytes by prefix sums."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        up, self.down = _powers(len(data))
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_codes()[data] * up)])
+
+    def at(self, places: np.ndarray, length: int) -> np.ndarray:
+        return self._mixed((self.sums[places + length] - self.sums[places]) * self.down[places])
+
+    def everywhere(self, length: int) -> np.ndarray:
+        return self._mixed((self.sums[length:] - self.sums[:-length]) * self.down[:len(self.sums) - length])
+
+    @staticmethod
+    def _mixed(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(29))
 
 
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the 40 bytes at each place."""
+    return _Hashes(data).everywhere(GRAM)
+
+
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours, by running minima of blocks from both sides."""
     n = len(values) - width + 1
@@ -135,47 +151,45 @@ def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, names: int) -> np.ndar
 
 
 class _Chains:
-    """Texts as chains of letters: a letter's place in its chain, and the letters after it."""
+    """Texts as chains of letters: a letter's place in its chain, and the letter after it.
 
-    def __init__(self, place: np.ndarray, following: np.ndarray) -> None:
-        self.place, self.following = place, following  # following is -1 past the end
+    ``following`` is the number of letters past the end of a chain, and leads there from there.
+    """
 
-    def after(self, values: np.ndarray, steps: int, at: np.ndarray) -> np.ndarray:
-        """Values ``steps`` letters on, raised by one; 0 past the end."""
-        for _ in range(steps):
-            at = np.where(at >= 0, self.following[at], -1)
-        return np.where(at >= 0, values[at] + 1, 0)
+    def __init__(self, place: np.ndarray, following: np.ndarray) -> None:
+        self.place, self.following = place, following
 
 
 def rank_suffixes(letters: np.ndarray, chains: _Chains, rounds: int) -> np.ndarray:
     """Ranks of all suffixes by their first letters, 3 ** rounds of them at least; equal ones next to each other."""
     n = len(letters)
-    remainder = chains.place % 3
+    remainder, after = chains.place % 3, chains.following
     sample = np.flatnonzero(remainder)
     size = int(letters.max()) + 2 if n else 2
-    names = _names(_triples(letters[sample] + 1, chains.after(letters, 1, sample), chains.after(letters, 2, sample), size))
+    raised = np.append(letters + 1, 0)  # 0 past the end
+    second = after[sample]
+    third = after[second]
+    names = _names(_triples(raised[sample], raised[second], raised[third], size))
     if rounds > 1 and len(sample) and names.max() + 1 < len(names):
         # the sampled places of one remainder are the chains of the next round, three letters a step
-        index = np.full(n, -1)
+        index = np.full(n + 1, len(sample))
         index[sample] = np.arange(len(sample))
-        third = sample
-        for _ in range(3):
-            third = np.where(third >= 0, chains.following[third], -1)
-        following = np.where(third >= 0, index[third], -1)
-        names = rank_suffixes(names, _Chains(chains.place[sample] // 3, following), rounds - 1)
-    sampled = np.full(n, -1)
-    sampled[sample] = names
+        names = rank_suffixes(names, _Chains(chains.place[sample] // 3, np.append(index[after[third]], len(sample))), rounds - 1)
+    sampled = np.zeros(n + 1, np.int64)
+    sampled[sample] = names + 1
 
     # suffixes at multiples of three: first letter, then the sampled suffix behind it
     rest = np.flatnonzero(remainder == 0)
-    by_one = _join(letters[rest] + 1, chains.after(sampled, 1, rest))
+    by_one = _join(raised[rest], sampled[after[rest]])
     order = np.argsort(by_one)
     rest, by_one = rest[order], by_one[order]
     ordered = sample[np.argsort(names)]
-    ones, twos = ordered[remainder[ordered] == 1], ordered[remainder[ordered] == 2]
-    one_keys = _join(letters[ones] + 1, chains.after(sampled, 1, ones))
+    is_one = remainder[ordered] == 1
+    ones, twos = ordered[is_one], ordered[~is_one]
+    one_keys = _join(raised[ones], sampled[after[ones]])
     both = np.concatenate([rest, twos])  # keys of both sides in one call: long ones are named together
-    keys = _triples(letters[both] + 1, chains.after(letters, 1, both), chains.after(sampled, 2, both), max(size, n + 2))
+    second = after[both]
+    keys = _triples(raised[both], raised[second], sampled[after[second]], max(size, n + 2))
     by_two, two_keys = keys[:len(rest)], keys[len(rest):]
     # merge: each of the rest comes after its own predecessors and after the sampled suffixes that are less
     # (suffixes alike for longer than a repeat may compare either way; the running greatest keeps places apart)
@@ -196,8 +210,8 @@ def repeated_starts(texts: list[bytes], starts: list[int]) -> list[np.ndarray]:
     n = int(sizes.sum())
     words = np.lib.stride_tricks.sliding_window_view(data, LETTER)[:n].copy().view(">u8").ravel().astype(np.uint64)
     within = np.arange(n) - np.repeat(begins, sizes)
-    following = np.arange(n) + LETTER
-    following[within + LETTER >= np.repeat(sizes, sizes)] = -1
+    following = np.append(np.arange(n) + LETTER, n)
+    following[:n][within + LETTER >= np.repeat(sizes, sizes)] = n
     ranks = rank_suffixes(_names(words), _Chains(within // LETTER, following), 3)
     wanted = np.flatnonzero(within < np.repeat(np.array(starts), sizes))
     ordered = wanted[np.argsort(ranks[wanted])]
@@ -339,25 +353,62 @@ def _sort_group(table: pa.Table) -> pa.Table:
     a, size = 0, 0
     for b in range(len(contexts) + 1):
         if b == len(contexts) or (size > SORTED_BYTES and anchors[b] != anchors[b - 1]):
-            _spans_of(contexts[a:b], starts[a:b], where[a:b], rows)
+            _spans_of(anchors[a:b].tolist(), contexts[a:b], starts[a:b], where[a:b], rows)
             a, size = b, 0
         if b < len(contexts):
             size += len(contexts[b])
     return _table(_SPANS, rows)
 
 
-def _spans_of(contexts: list[bytes], starts: list[int], where: list[tuple], rows: list[tuple]) -> None:
-    distinct: dict[tuple[bytes, int], list[tuple]] = defaultdict(list)
-    for context, n, places in zip(contexts, starts, where, strict=True):
-        distinct[context, n].extend(zip(*places, strict=True))
+def shared_starts(anchors: list[int], contexts: list[bytes], starts: list[int]) -> list[list[tuple[int, int]]]:
+    """For each of different contexts the runs of starts (first, last) whose strings may stand in another one.
+
+    Strings whose anchor is 40 k to 40 k + 39 bytes from their start all hold the 161 bytes
+    that begin 40 k bytes before the anchor. Equal strings agree in them, so a run of starts
+    whose 161 bytes no other context has at the same k cannot repeat.
+    """
+    sizes, n = np.array([len(x) for x in contexts]), np.array(starts)
+    begins = np.cumsum(sizes) - sizes
+    hashes = _Hashes(np.frombuffer(b"".join(contexts), np.uint8))
+    # all starts up to the last one see the anchor, so it is the first place of its bytes from there on
+    same = np.flatnonzero(hashes.everywhere(GRAM).view(np.int64) == np.repeat(np.array(anchors), sizes)[:-GRAM + 1])
+    place = same[np.searchsorted(same, begins + n - 1)] - begins
+    keys, owners, firsts, lasts = [], [], [], []
+    for k in range((LENGTH - GRAM) // BLOCK_STARTS, -1, -1):  # early starts first
+        first, last = np.maximum(0, place - BLOCK_STARTS * (k + 1) + 1), np.minimum(n - 1, place - BLOCK_STARTS * k)
+        some = np.flatnonzero(first <= last)
+        with np.errstate(over="ignore"):
+            keys.append(hashes.at((begins + place - BLOCK_STARTS * k)[some], LENGTH - BLOCK_STARTS + 1) * np.uint64(8) + np.uint64(k))
+        owners.append(some)
+        firsts.append(first[some])
+        lasts.append(last[some])
+    _, which, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    again = counts[which] > 1
+    found: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    for owner, first, last in zip(*(np.concatenate(x)[again].tolist() for x in (owners, firsts, lasts)), strict=True):
+        runs = found[owner]
+        if runs and runs[-1][1] + 1 == first:
+            runs[-1] = (runs[-1][0], last)
+        else:
+            runs.append((first, last))
+    return found
+
+
+def _spans_of(anchors: list[int], contexts: list[bytes], starts: list[int], where: list[tuple], rows: list[tuple]) -> None:
+    distinct: dict[tuple[int, bytes, int], list[tuple]] = defaultdict(list)
+    for anchor, context, n, places in zip(anchors, contexts, starts, where, strict=True):
+        distinct[anchor, context, n].extend(zip(*places, strict=True))
     if not distinct:
         return
     keys = list(distinct)
-    for (_, n), places, repeated in zip(keys, distinct.values(), repeated_starts([k[0] for k in keys], [k[1] for k in keys]), strict=True):
-        if len(places) > 1:
-            runs = [(0, n)]
-        else:
-            runs = _runs_of(repeated)
+    shared = shared_starts(*(list(x) for x in zip(*keys, strict=True)))
+    pieces = [(i, a, b) for i, runs in enumerate(shared) for a, b in runs]
+    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    if pieces:
+        for (i, a, _), repeated in zip(pieces, repeated_starts([keys[i][1][a:b + LENGTH] for i, a, b in pieces], [b - a + 1 for _, a, b in pieces]), strict=True):
+            found[i] += [(a + begin, a + end) for begin, end in _runs_of(repeated)]
+    for i, ((_, _, n), places) in enumerate(distinct.items()):
+        runs = [(0, n)] if len(places) > 1 else found[i]
         for doc_id, tag, first in set(places):
             rows += [(doc_id, tag, first + a, first + b - 1 + LENGTH) for a, b in runs]
 
@@ -415,8 +466,10 @@ def remove_repeats(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     if sums.hot:
         hot_hits = anchors.join(again.where(is_hot).select("anchor"), "anchor", "left_semi").withColumn("bucket", bucket)
         strings = dealt.groupBy("bucket").cogroup(hot_hits.groupBy("bucket")).applyInArrow(_count_strings, "bucket int, digest binary, n long")
-        # a digest has a row for each bucket at most, so a window over it needs one shuffle and holds few rows
-        repeated = strings.withColumn("total", F.sum("n").over(Window.partitionBy("digest"))).where("total > 1")
+        strings = keep(strings, "strings")
+        # a digest has a row for each bucket; they are summed before they meet, and the join back is split by size
+        again_there = strings.groupBy("digest").agg(F.sum("n").alias("total")).where("total > 1").select(F.col("digest").alias("again"))
+        repeated = strings.join(again_there, F.col("digest") == F.col("again"))
         asked = hot_hits.unionByName(repeated.select("bucket", "digest"), allowMissingColumns=True)
         spans = spans.unionByName(dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(
             _hot_spans, "doc_id long, tag long, begin long, stop long"))
