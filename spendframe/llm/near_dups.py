@@ -14,9 +14,12 @@ rules a link out. So a bucket of copies costs its size, not its square, and no
 candidate pair of different components stays untested. Comparisons against one
 document are split into blocks, so no task sees a whole group.
 
-Nulls: a null text has no set and links with nothing; rows without doc_id are components
-of their own and kept. Empty texts alike. With fewer words than a shingle, all of them are the one shingle. Rows of
-one doc_id must be the same document. An empty table gives no rows. Other columns are
+Nulls: a null text has no set and links with nothing, empty texts alike. A row without
+doc_id takes the component of the documents with an equal set and is not kept there; if
+there is none, its component is null and it is kept. With fewer words than a shingle, all
+of them are the one shingle. Rows of one doc_id are one document: if their texts differ,
+the set with the least digest stands for it, and all of its rows take that component.
+Very long texts are shingled whole. An empty table gives no rows. Other columns are
 ignored. ``one_of_each`` decides by row instead: repeated rows, rows without doc_id and
 different texts of one doc_id are documents of their own, and one row of each group stays.
 """
@@ -141,7 +144,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             digests: list[bytes | None] = [None] * len(sizes)
             bands: list[np.ndarray | None] = [None] * len(sizes)
             for k, row in enumerate(some.tolist()):
-                digests[row] = hashlib.blake2b(flat[ends[row] - sizes[row]:ends[row]].tobytes(), digest_size=16).digest()
+                digests[row] = _digest(flat[ends[row] - sizes[row]:ends[row]].tobytes())
                 bands[row] = keys[k]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -158,13 +161,17 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _texts_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """doc_id, text and places of the ``n`` documents of ``needed``."""
+    """doc_id, text and places of the ``n`` documents of ``needed``, and the digest of the set that stands for each."""
     if n <= SENT_IDS:  # a filter ahead of the join, so only texts to compare are shuffled
         docs = docs.join(F.broadcast(needed.select(F.col("doc").alias("wanted"))), F.col("doc_id") == F.col("wanted"), "left_semi")
-    return docs.join(needed, docs.doc_id == needed.doc).select("doc_id", "text", "places")
+    return docs.join(needed, docs.doc_id == needed.doc).select("doc_id", "text", "places", "digest")
 
 
-def compare(docs: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
+def _digest(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
+def compare(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int = WIDTH) -> DataFrame:
     """Sizes of both sets and of their intersection for distinct pairs (one, other), on full sets.
 
     The sets against one ``other`` are dealt into blocks, to each of which the other's set is sent.
@@ -175,7 +182,8 @@ def compare(docs: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
         F.col("one").alias("doc"), F.struct("other", F.pmod(F.xxhash64("one"), F.col("blocks")).cast("int").alias("block")).alias("place"))
     centres = per_other.select(F.col("other").alias("doc"), F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.col("other"), i.alias("block")))).alias("place"))
-    needed = keep(blocked.unionByName(centres).groupBy("doc").agg(F.collect_set("place").alias("places")), "needed")
+    placed = blocked.unionByName(centres).groupBy("doc").agg(F.collect_set("place").alias("places"))
+    needed = keep(placed.join(reps, F.col("doc") == F.col("rep_id")).drop("rep_id"), "needed")
     wanted = needed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("places")).alias("places")).first()
     groups = groups_for(wanted.places, SETS)
 
@@ -185,9 +193,10 @@ def compare(docs: DataFrame, pairs: DataFrame, width: int = WIDTH) -> DataFrame:
             ends = np.cumsum(sizes)
             rows: list[tuple] = []
             held = 0
-            for doc, places, size, end in zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), sizes.tolist(), ends.tolist(), strict=True):
+            for doc, places, digest, size, end in zip(
+                    *(batch.column(c).to_pylist() for c in ("doc_id", "places", "digest")), sizes.tolist(), ends.tolist(), strict=True):
                 raw = flat[end - size:end].tobytes()
-                for place in places:
+                for place in places if _digest(raw) == digest else ():  # not for another text of the same doc_id
                     rows.append((place["other"], place["block"], doc, raw))
                     held += len(raw)
                     if held > _HELD:
@@ -246,21 +255,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     """doc_id, n_shingles, component_id and kept of each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     signed = signatures(texts, width)
-    classes = signed.where("doc_id is not null and set_digest is not null").groupBy("set_digest").agg(F.min("doc_id").alias("class_id"))
-    first = F.first("bands")
-    chosen = signed.join(classes, (signed.set_digest == classes.set_digest) & (signed.doc_id == classes.class_id)).groupBy("class_id").agg(first.alias("bands"))
+    reps = keep(signed.where("doc_id is not null and set_digest is not null").groupBy(F.col("doc_id").alias("rep_id")).agg(F.min("set_digest").alias("digest")), "reps")
+    classes = reps.groupBy("digest").agg(F.min("rep_id").alias("class_id"))
+    chosen = signed.join(classes, (signed.set_digest == classes.digest) & (signed.doc_id == classes.class_id)).groupBy("class_id").agg(F.first("bands").alias("bands"))
     banded = chosen.select(F.col("class_id").alias("member"), F.explode("bands").alias("key"))  # the band is hashed into the key
     buckets = banded.groupBy("key").agg(F.min("member").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = keep(banded.join(buckets, "key").where("member <> centre"), "members")
 
-    compared = compare(texts, members.select(F.col("member").alias("one"), F.col("centre").alias("other")), width)
+    compared = compare(texts, members.select(F.col("member").alias("one"), F.col("centre").alias("other")), reps, width)
     links = _linked(compared, percent)
     found = components(links)
-    more = _links_across(texts, _still_open(members, compared, found, percent), percent, width)
+    more = _links_across(texts, _still_open(members, compared, found, percent), reps, percent, width)
     if more is not None:
         found = components(links.unionByName(more))
 
-    own = signed.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left")
+    stands = signed.select("doc_id", "n_shingles", "set_digest").join(reps, F.col("doc_id") == F.col("rep_id"), "left")
+    own = stands.withColumn("stands", F.coalesce("digest", "set_digest")).select("doc_id", "n_shingles", "stands").join(
+        classes, F.col("stands") == classes.digest, "left")
     placed = own.join(found, own.class_id == found.node, "left")
     component = F.coalesce("component", "class_id", "doc_id")
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -305,7 +316,7 @@ def _still_open(members: DataFrame, compared: DataFrame, found: DataFrame, perce
     return inside.join(sizes, "key").where("parts > 1").select("key", "member", F.col("of_member").alias("part"), "outside", "outsiders", "n")
 
 
-def _links_across(docs: DataFrame, open_members: DataFrame, percent: int, width: int) -> DataFrame | None:
+def _links_across(docs: DataFrame, open_members: DataFrame, reps: DataFrame, percent: int, width: int) -> DataFrame | None:
     """Links between members of different components, bucket by bucket; None if no bucket is open.
 
     A bucket's members are dealt into blocks, and its outsiders too; each pair of blocks
@@ -317,7 +328,8 @@ def _links_across(docs: DataFrame, open_members: DataFrame, percent: int, width:
     as_member = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda r: F.struct("key", column.alias("column"), r.alias("row"), "part", F.lit(False).alias("asks")))
     as_outsider = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda c: F.struct("key", c.alias("column"), row.alias("row"), "part", F.lit(True).alias("asks")))
     places = F.when(F.col("outside"), F.concat(as_member, as_outsider)).otherwise(as_member)
-    needed = keep(dealt.groupBy(F.col("member").alias("doc")).agg(F.flatten(F.collect_list(places)).alias("places")), "needed")
+    placed = dealt.groupBy(F.col("member").alias("doc")).agg(F.flatten(F.collect_list(places)).alias("places"))
+    needed = keep(placed.join(reps, F.col("doc") == F.col("rep_id")).drop("rep_id"), "needed")
     wanted = needed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("places")).alias("places")).first()
     if not wanted.n:
         return None
@@ -329,9 +341,10 @@ def _links_across(docs: DataFrame, open_members: DataFrame, percent: int, width:
             ends = np.cumsum(sizes)
             rows: list[tuple] = []
             held = 0
-            for doc, places, size, end in zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), sizes.tolist(), ends.tolist(), strict=True):
+            for doc, places, digest, size, end in zip(
+                    *(batch.column(c).to_pylist() for c in ("doc_id", "places", "digest")), sizes.tolist(), ends.tolist(), strict=True):
                 raw = flat[end - size:end].tobytes()
-                for place in places:
+                for place in places if _digest(raw) == digest else ():  # not for another text of the same doc_id
                     rows.append((*place.values(), doc, raw))
                     held += len(raw)
                     if held > _HELD:
