@@ -36,6 +36,7 @@ from .common import keep, text_of
 
 MIN_WORDS = 5
 STRETCH = 256  # turns of a conversation that are ordered at once
+CONVERSATIONS = 4096  # conversations whose messages of one thread, depth and turn are ordered at once
 _QUOTE = re.compile(r"^\s{0,3}((?:>\s?)+)")
 _INTRODUCES = re.compile(r"^(?:on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió|.{1,80}\b(?:wrote|writes|said))\s*:\s*$", re.I)
 _PLAIN = re.compile(r"[\W_]+")
@@ -152,13 +153,17 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     root = F.coalesce("root", F.struct(F.col("conv_id").alias("conv"), F.col("turn").alias("turn")))
     rows = linked.select(
         "conv_id", "turn", "role", "own_text", "parent", root.alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
-        F.col("root").isNull().alias("alone"), F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(0)).alias("stretch"))
-    stretch = ["root", "depth", "stretch"]
-    counts = rows.where("not alone").groupBy(*stretch).agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("root").orderBy("depth", "stretch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*stretch, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
-    inside = Window.partitionBy(*stretch).orderBy("turn", "conv_id", "own_text", "role")
-    placed = rows.where("not alone").withColumn("nth", F.row_number().over(inside)).join(offsets, stretch).withColumn("position", F.col("earlier") + F.col("nth"))
+        F.col("root").isNull().alias("alone"), F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(0)).alias("stretch"), F.floor(F.col("conv_id") / CONVERSATIONS).alias("slice"))
+    # places in a thread: by stretches of turns, in a stretch by turn and slices of conversations, and in these by row
+    stretch, slices = ["root", "depth", "stretch"], ["root", "depth", "stretch", "turn", "slice"]
+    counts = rows.where("not alone").groupBy(*slices).agg(F.count(F.lit(1)).alias("n"))
+    before_slice = Window.partitionBy(*stretch).orderBy("turn", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    before_stretch = Window.partitionBy("root").orderBy("depth", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    longer = counts.groupBy(*stretch).agg(F.sum("n").alias("n")).select(*stretch, F.coalesce(F.sum("n").over(before_stretch), F.lit(0)).alias("earlier"))
+    offsets = counts.select(*slices, F.coalesce(F.sum("n").over(before_slice), F.lit(0)).alias("before")).join(longer, stretch)
+    inside = Window.partitionBy(*slices).orderBy("conv_id", "own_text", "role")
+    placed = rows.where("not alone").withColumn("nth", F.row_number().over(inside)).join(offsets, slices).withColumn(
+        "position", F.col("earlier") + F.col("before") + F.col("nth"))
     out = lambda df: df.select(
         F.col("root.conv").alias("thread_conv"), F.col("root.turn").alias("thread_turn"), "position", "conv_id", "turn", "role",
         F.col("parent.conv").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"), "depth", F.col("own_text").alias("text"))

@@ -8,13 +8,16 @@ weights times the machine's factors. A document's score is a logistic function o
 its highest clause, of its sum and of that sum's share of the text.
 
 Insults are learned: words and word beginnings that stand in many toxic texts of
-different wording and nearly never in others, weighted by log odds. Arcs are learned
+different wording and nearly never in others of different wording, weighted by log odds.
+Copies of one text share its wording, the least hash of its runs of three words, and
+count once on either side. Arcs are learned
 on two thirds of a sample of labelled rows of at most ``MAX_SAMPLE`` rows, the logistic
 weights on the other third. All documents are scored over their whole texts.
 
 Nulls: a null text is empty; rows of the labels without doc_id or label are left out.
 A text without words gets the score of a text without matches. Repeated rows are
-scored one by one. Without labels a few general insults with fixed weights remain.
+scored one by one. Without labels a few general insults with fixed weights serve; with
+labels only what these bear out. Very long texts are scored whole.
 An empty table gives no rows. Other columns are ignored.
 """
 
@@ -22,7 +25,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -168,32 +170,35 @@ def _arcs(text: str) -> set[str]:
 
 
 def _wording(text: str) -> int:
-    """Least hash of the long words: near copies mostly share it."""
-    return min((zlib.crc32(w.encode()) for w in set(_LETTERS.findall(text.lower())) if len(w) > 5), default=0)
+    """Least hash of the runs of three words: near copies mostly share it, other texts do not."""
+    words = _LETTERS.findall(text.lower())
+    n = max(1, min(3, len(words)))
+    return min((zlib.crc32(" ".join(words[i:i + n]).encode()) for i in range(len(words) - n + 1)), default=zlib.crc32(text.encode()))
 
 
-def learn_arcs(sample: DataFrame) -> dict[str, float]:
-    """Log odds of words and beginnings by distinct wordings of toxic texts against all other texts."""
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, others = set(), Counter()
+def _wordings(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+    """Number of different wordings of the sample's texts with each arc; the empty arc stands in all."""
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = set()
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                if label:
-                    wording = _wording(text)
-                    toxic.update((arc, wording) for arc in _arcs(text))
-                else:
-                    others.update(_arcs(text))
-                    others[""] += 1
-        rows = [(a, w, 0) for a, w in toxic] + [(a, None, n) for a, n in others.items()]
-        arcs, wordings, counts = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(arcs, pa.string()), pa.array(wordings, pa.int64()), pa.array(counts, pa.int64())], names=["arc", "wording", "n"])
-
-    counted = sample.mapInArrow(count, "arc string, wording long, n long").groupBy("arc").agg(
-        F.count_distinct("wording").alias("toxic"), F.sum("n").alias("others"))
-    all_toxic = sample.where("toxic = 1").count()
-    rows = counted.where(f"arc = '' or (toxic >= {MIN_TEXTS} and toxic >= {MIN_PRECISION} * (toxic + others))").collect()  # bounded by the sample
-    all_others = next((r.others for r in rows if r.arc == ""), 0)
-    return {r.arc: float(np.log((r.toxic + 0.5) / (all_toxic + 1)) - np.log((r.others + 0.5) / (all_others + 1))) for r in rows if r.arc}
+            for text in batch.column("text").to_pylist():
+                wording = _wording(text)
+                arcs = _arcs(text) if wanted is None else _arcs(text) & wanted
+                found.update((arc, wording) for arc in ("", *arcs))
+        arcs, wordings = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(arcs, pa.string()), pa.array(wordings, pa.int64())], names=["arc", "wording"])
+
+    return sample.mapInArrow(pairs, "arc string, wording long").groupBy("arc").agg(F.count_distinct("wording").alias("n"))
+
+
+def learn_arcs(sample: DataFrame) -> dict[str, float]:
+    """Log odds of words and beginnings by different wordings of toxic texts against those of all other texts."""
+    often = {r.arc: r.n for r in _wordings(sample.where("toxic = 1"), None).where(f"arc = '' or n >= {MIN_TEXTS}").collect()}  # bounded by the sample
+    others = {r.arc: r.n for r in _wordings(sample.where("toxic = 0"), frozenset(often)).collect()}
+    all_toxic, all_others = often.pop("", 0), others.pop("", 0)
+    return {
+        arc: float(np.log((n + 0.5) / (all_toxic + 1)) - np.log((others.get(arc, 0) + 0.5) / (all_others + 1)))
+        for arc, n in often.items() if n >= MIN_PRECISION * (n + others.get(arc, 0))}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
@@ -222,8 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
     sample = texts.join(sampled, texts.doc_id == sampled.labelled).select("text", "toxic", (F.col("draw") % 3 != 0).alias("for_arcs"))
     sample = keep(sample, "labelled")  # at most max_sample texts, read three times
     arcs = learn_arcs(sample.where("for_arcs"))
-    model = Model()
-    model.words |= {arc[:-1]: weight for arc, weight in arcs.items() if arc.endswith("$")}
+    model = Model({arc[:-1]: weight for arc, weight in arcs.items() if arc.endswith("$")})
     model.beginnings = {arc: weight for arc, weight in arcs.items() if not arc.endswith("$")}
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
     rows = sample.where("not for_arcs").mapInArrow(measure, "highest double, total double, density double, toxic int").collect()  # four numbers a row of the sample
     y = np.array([r.toxic for r in rows], float)
     if 0 < y.sum() < len(y):
-        model.weights = _logistic(np.array([[r.highest, r.total, r.density] for r in rows]), y)
+        x = np.array([[r.highest, r.total, r.density] for r in rows])
+        model.weights = _logistic(x, y)
     return model
 
 

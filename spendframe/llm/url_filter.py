@@ -150,7 +150,9 @@ def train(labelled: DataFrame, steps: int = STEPS, rate: float = RATE, penalty:
     placed = index.select(F.posexplode("index").alias("k", "entry")).select("k", F.explode("entry.rows").alias("at"))
     by_row = placed.groupBy("at.i").agg(F.array_sort(F.collect_list(F.struct("k", F.col("at.value").alias("value")))).alias("terms"))
     terms = by_row.groupBy().agg(F.array_sort(F.collect_list(F.struct("i", "terms"))).alias("terms"))
-    one = table.select(F.transform("rows", lambda r: r["label"]).alias("labels")).join(index, F.lit(True)).join(terms, F.lit(True))  # three single rows
+    labels = table.select(F.transform("rows", lambda r: r["label"]).alias("labels"))
+    three = labels.unionByName(index, allowMissingColumns=True).unionByName(terms, allowMissingColumns=True)
+    one = three.groupBy().agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("labels", "index", "terms")])
     n = F.greatest(F.lit(1), F.size("labels"))
 
     def residuals(state: Column) -> Column:
