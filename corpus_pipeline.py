@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spendframe.llm import mixing, near_dups, packing, repeats, toxicity
 from spendframe.llm.common import documents, keep
 
-SHINGLE_WORDS = 2  # of the near-duplicate stage; tests/llm/test_contract.py compares it with two-word sets
+SHINGLE_WORDS = 5  # of the near-duplicate stage
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

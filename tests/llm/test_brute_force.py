@@ -208,11 +208,11 @@ def test_suffix_order_finds_all_repeats(seed):
 # ---- near duplicates
 
 
-def components_by_hand(rows):
+def components_by_hand(rows, width=2):
     sets = {}
     for doc_id, text in rows:
         words = (text or "").encode().lower().split()
-        sets[doc_id] = frozenset(zip(words, words[1:], strict=False)) if len(words) > 1 else frozenset([tuple(words)] if words else [])
+        sets[doc_id] = frozenset(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else frozenset([tuple(words)] if words else [])
     parent = {i: i for i in sets}
 
     def find(x):
@@ -224,7 +224,7 @@ def components_by_hand(rows):
     for n, a in enumerate(ids):
         for b in ids[n + 1:]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 80 * len(x | y) and find(a) != find(b):
+            if x and y and 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y)) and 100 * len(x & y) >= 80 * len(x | y) and find(a) != find(b):
                 one, other = sorted((find(a), find(b)))
                 parent[other] = one
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}

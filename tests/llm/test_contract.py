@@ -129,7 +129,7 @@ def test_pipeline_by_hand(spark):
     clean = spark.createDataFrame(corpus_pipeline.reject_toxic(spark, docs, SMALL).collect(), docs.schema)
     assert clean.columns == columns and 0 < clean.count() <= 80
     single = spark.createDataFrame(corpus_pipeline.keep_one_of_near_duplicates(spark, clean, SMALL).collect(), docs.schema)
-    found = components_by_hand([(r.doc_id, r.text) for r in clean.collect()])
+    found = components_by_hand([(r.doc_id, r.text) for r in clean.collect()], corpus_pipeline.SHINGLE_WORDS)
     assert {r.doc_id for r in single.collect()} == {i for i, (_, _, kept) in found.items() if kept}
     cut = spark.createDataFrame(corpus_pipeline.cut_repeated_strings(spark, single, SMALL).collect(), docs.schema)
     by_hand = {r[0]: r[1] - r[2] for r in removed_by_hand([(r.doc_id, r.text) for r in single.collect()])}
