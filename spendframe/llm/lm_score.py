@@ -19,7 +19,7 @@ one per use, and no task holds the model. Counts cover all documents.
 
 Nulls: a null text is empty; labels without doc_id or quality are left out, and a document
 without doc_id is background. Texts without words get 0 words, no losses and score 0.
-Rows of one doc_id share their label. Without target or background both models are alike.
+Rows of one doc_id share their label. A text longer than a block is a block of its own, whole. Without target or background both models are alike.
 An empty table gives no rows. Other columns are ignored.
 """
 
@@ -36,7 +36,7 @@ from .common import groups_for, small_batches, text_of
 from .near_dups import _mix, word_hashes
 
 UNIGRAM, BIGRAM = 1000.0, 16.0
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 PART_BYTES = 24 << 20  # of documents for each part of the hashes
 KEY_BYTES = 5  # of a hash, besides the bits that name its part
 _START = np.uint64(0x5354415254)
@@ -89,20 +89,34 @@ class _Block:
             yield int(self.parts[a]), int(a), int(b)
 
 
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each value, those of equal weight together: the shuffle's codec makes the high ones small."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _from_planes(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(size, -1).T
+    return out.view("<u8").ravel()
+
+
 def _short(keys: np.ndarray) -> bytes:
-    """The low bytes of each key."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+    """Steps between the low bytes of ascending keys of one part."""
+    low = keys & np.uint64((1 << 8 * KEY_BYTES) - 1)
+    return _planes(np.diff(low, prepend=np.uint64(0)), KEY_BYTES)
 
 
 def _long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
-    return out.view("<u8").ravel()
+    return np.cumsum(_from_planes(raw, KEY_BYTES), dtype=np.uint64)
 
 
-def _counts(raw: pa.Buffer, n: int) -> np.ndarray:
+def _packed(counts: np.ndarray) -> bytes:
     """Counts in 4 bytes each, or in 8 where 4 do not hold them."""
-    return np.frombuffer(raw, "<u4" if raw.size == 4 * n else "<u8")
+    return _planes(counts, 4 if counts.max(initial=0) < 1 << 32 else 8)
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    return _from_planes(raw, max(1, len(raw) // max(1, n)))
 
 
 def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
@@ -114,15 +128,14 @@ def _sum_part(table: pa.Table) -> pa.Table:
     """Corpus counts of a part's keys, for each block in the order of its keys."""
     raw = table.column("keys").to_pylist()
     sizes = np.array([len(x) // KEY_BYTES for x in raw])
-    keys, index = np.unique(_long(b"".join(raw)), return_inverse=True)
+    keys, index = np.unique(np.concatenate([_long(x) for x in raw]), return_inverse=True)
     out = {}
     for name in ("target", "background"):
-        own = np.frombuffer(b"".join(table.column(name).to_pylist()), "<u4")
-        total = np.bincount(index, own, len(keys))
-        out[name] = total.astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8")[index]
+        own = np.concatenate([_counts(x, n) for x, n in zip(table.column(name).to_pylist(), sizes.tolist(), strict=True)])
+        out[name] = np.bincount(index, own, len(keys)).astype(np.uint64)[index]
     rows, at = [], 0
     for block, part, size in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), sizes.tolist(), strict=True):
-        rows.append((block, part, None, out["target"][at:at + size].tobytes(), out["background"][at:at + size].tobytes()))
+        rows.append((block, part, None, _packed(out["target"][at:at + size]), _packed(out["background"][at:at + size])))
         at += size
     return _table(_BACK, rows)
 
@@ -185,8 +198,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def send(key: tuple, documents: pa.Table, targets: pa.Table) -> pa.Table:
         own = _Block(documents, set(targets.column("doc_id").to_pylist()), part_bits)
-        target, background = own.counted(own.is_target).astype("<u4"), own.counted(~own.is_target).astype("<u4")
-        return _table(_SENT, [(part, key[0].as_py(), _short(own.keys[a:b]), target[a:b].tobytes(), background[a:b].tobytes()) for part, a, b in own.slices()])
+        target, background = own.counted(own.is_target), own.counted(~own.is_target)
+        return _table(_SENT, [(part, key[0].as_py(), _short(own.keys[a:b]), _packed(target[a:b]), _packed(background[a:b])) for part, a, b in own.slices()])
 
     def score(key: tuple, documents: pa.Table, back: pa.Table) -> pa.Table:
         parts = back.column("part").to_pylist()
@@ -195,8 +208,8 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
         at = {part: k for k, part in enumerate(parts)}
         target, background = np.zeros(len(own.keys)), np.zeros(len(own.keys))
         for part, a, b in own.slices():
-            target[a:b] = _counts(back.column("target")[at[part]].as_buffer(), b - a)
-            background[a:b] = _counts(back.column("background")[at[part]].as_buffer(), b - a)
+            target[a:b] = _counts(back.column("target")[at[part]].as_py(), b - a)
+            background[a:b] = _counts(back.column("background")[at[part]].as_py(), b - a)
         return _scores(own, target, background, n_target, n_background)
 
     dealt = texts.withColumn("block", block(F.coalesce("doc_id", F.xxhash64("text"))))  # shuffled once, used twice
