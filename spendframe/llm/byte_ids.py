@@ -108,7 +108,8 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, shard_bytes: int = SH
     """Ids of each document in ascending doc_id: shard, place in it, doc_id, ids (16-bit where the vocabulary allows)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     shards = groups_for(texts.agg(F.sum(F.octet_length("text"))).first()[0], shard_bytes)
-    ordered = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
+    # texts' beginnings part rows that share a doc_id, or have none, in the order of their texts
+    ordered = texts.repartitionByRange(shards, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, place = encoder(tokenizer), 0
