@@ -94,7 +94,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
                 # neighbours in the table go to different groups, also if all rows had one doc_id
                 group = (zlib.crc32(str(doc_id).encode()) + dealt * 7919) % n_groups
                 whole = count - count % capacity
-                rows += [(group, doc_id, at, capacity, crc(piece), count, piece.astype("<u4").tobytes())
+                # whole sequences of one document go to different groups too
+                rows += [((group + at // capacity) % n_groups, doc_id, at, capacity, crc(piece), count, piece.astype("<u4").tobytes())
                          for at in range(0, whole, capacity) for piece in (ids[begin + at:begin + at + capacity],)]
                 if whole < count:
                     rows.append((group, doc_id, whole, count - whole, 0, count, ids[begin + whole:begin + count].astype("<u4").tobytes()))
