@@ -18,18 +18,33 @@ SHINGLE_WORDS = 5  # of the near-duplicate stage
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the rejection score of a grammar learned from the labels."""
+    """Documents below the rejection score of a grammar learned from the labels.
+
+    Null and empty texts have no match and stay; repeated rows stay or go together, row by
+    row. Labels without doc_id, label or document are left out; without any, fixed insults
+    decide. Very long texts are scored whole. An empty table gives no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~toxicity.held_out())
     return toxicity.clean(docs, toxicity.train(docs, labels))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the least doc_id in each component, once."""
+    """The row of the least doc_id in each component, once.
+
+    Rows are told apart by number: of repeated rows and of copies without doc_id one stays,
+    and null ids come last in the choice; ties go to the least hash of the row. Null, empty
+    and blank texts are like nothing and all stay. Very long texts are compared whole.
+    """
     return near_dups.one_of_each(docs, width=SHINGLE_WORDS)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 200 bytes that stand anywhere else."""
+    """All documents, without the strings of 200 bytes that stand anywhere else.
+
+    Null texts come out empty, and texts under 200 bytes as they are. Equal rows repeat one
+    another and lose both copies; the stage before leaves one. A character that loses some
+    of its bytes goes whole. ``n_chars`` follows the new text.
+    """
     columns = docs.columns
     cut = repeats.remove_repeats(docs, [c for c in columns if c not in ("doc_id", "text")])
     kind = dict(docs.dtypes)
@@ -38,12 +53,21 @@ def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated until the sources have their weights."""
+    """Documents repeated until the sources have their weights.
+
+    A null source is one of its own. Texts without words, null ones too, take no part and
+    go. Rows are told apart by number, so repeated rows and null ids meet their own
+    decision; ties of the seeded order are broken by it. ``n_chars`` follows a cut text.
+    """
     return mixing.apply_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens, with their ids."""
+    """Pieces of documents in sequences of at most 4096 tokens, with their ids.
+
+    Null and empty texts are the end id alone. Repeated rows and copies of the mix are
+    packed one by one, ties by doc_id, null last. Long texts are cut into whole sequences.
+    """
     return packing.pack(docs, "word_bpe_49k.json", end_id=2)
 
 

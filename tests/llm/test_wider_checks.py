@@ -185,3 +185,36 @@ def test_copies_count_once_on_both_sides(spark):
     copied = [("there is one sentence with numbskull in it that everybody repeats", 1)] * 50
     arcs = toxicity.learn_arcs(spark.createDataFrame(toxic + clean + copied, "text string, toxic int"))
     assert "blockhead$" in arcs and "numbskull$" not in arcs
+
+
+def test_awkward_values(spark):
+    """Nulls, empty and very long texts, ties and repeated rows: the values, not only the number of rows."""
+    from collections import Counter
+
+    from test_brute_force import removed_by_hand, whole_ids
+    from test_contract import AWKWARD, COLUMNS
+
+    from spendframe.llm import byte_ids, host_rules, lm_score, mixing, packing, repeats
+
+    docs = spark.createDataFrame(AWKWARD, COLUMNS).selectExpr("*", "1 AS size", "'x' AS bucket", "2 AS anchor", "true AS kept", "3 AS place")
+    texts = [(r[0], r[1] or "") for r in AWKWARD]
+    ids = Counter((d, len(whole_ids("byte_bpe_50k.json", t)) + 1) for d, t in texts)
+    assert Counter((r.doc_id, r.n_tokens) for r in byte_ids.round_trip(docs, "byte_bpe_50k.json", end_id=2).collect()) == ids
+    lengths: Counter = Counter()
+    for r in packing.pack(docs, "word_bpe_49k.json", end_id=2).collect():
+        lengths[r.doc_id] += r.length
+    wanted: Counter = Counter()
+    for d, t in texts:
+        wanted[d] += len(whole_ids("word_bpe_49k.json", t)) + 1
+    assert lengths == wanted
+    found = repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in found), key=str) == removed_by_hand(texts)
+    words = Counter((d, len(t.encode().split())) for d, t in texts)
+    assert Counter((r.doc_id, r.n_words) for r in host_rules.apply_rules(docs).collect()) == words
+    assert Counter((r.doc_id, r.size) for r in mixing.mix(docs).collect()) == words
+    labels = spark.createDataFrame([(1, 1), (4, 0), (6, 1)], "doc_id long, quality int")
+    assert Counter((r.doc_id, r.n_words) for r in lm_score.cross_entropy_difference(docs, labels).collect()) == words
+    assert Counter((r.doc_id, r.n_chars) for r in spots.edited_likeness(docs).collect()) == Counter((d, len(t)) for d, t in texts)
+    near = {r.doc_id: (r.component_id, r.kept) for r in near_dups.near_duplicates(docs).collect()}
+    assert near[6] == (6, True) and near[7] == (6, False) and near[1] == (1, True) and near[None] == (None, True)
+    assert {r.predicted for r in toxicity.score(docs, toxicity.Model()).collect()} == {0}
