@@ -21,8 +21,8 @@ MIN_TRAINING_ROWS = 10
 # ----------------------------------------------------------------------------
 
 
-def normalize_costs(raw: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(date, service, cost, provider) rows to day, category and provider totals.
+def normalize_costs(raw: DataFrame, keys: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
+    """(date, service, cost, provider) rows to day, category and provider totals, sorted only if asked for.
 
     Rows are summed per service first, so the category rules run once per
     day and service instead of once per row.
@@ -30,11 +30,8 @@ def normalize_costs(raw: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     by_service = raw.groupBy(*keys, F.to_date("date").alias("date"), "service", "provider").agg(
         exact_sum("cost").alias("total")
     )
-    return (
-        with_category(by_service, "service").groupBy(*keys, "date", "category", "provider")
-        .agg(F.sum("total").cast("double").alias("cost"))
-        .orderBy(*keys, "date", "category", "provider")
-    )
+    normalized = with_category(by_service, "service").groupBy(*keys, "date", "category", "provider").agg(F.sum("total").cast("double").alias("cost"))
+    return normalized.orderBy(*keys, "date", "category", "provider") if ordered else normalized
 
 
 def daily_series(costs: DataFrame, keys: tuple[str, ...] = ("user_id", "service_name")) -> DataFrame:

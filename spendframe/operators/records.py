@@ -16,6 +16,9 @@ CORRECTABLE = [
 ]
 
 
+MAX_AMOUNT = 1e18  # of a cost; billions of such rows still have an exact sum
+
+
 def _is_text(df: DataFrame, name: str) -> bool:
     return name in df.columns and dict(df.dtypes)[name] == "string"
 
@@ -41,15 +44,16 @@ def _present(df: DataFrame, name: str) -> Column:
 def with_validation(records: DataFrame) -> DataFrame:
     """Add ``error``: the message of the first failing rule, null for a valid record.
 
-    Number and date fields may be text or typed. Infinite amounts are not
-    numbers here: one of them would spoil every sum it takes part in.
+    Number and date fields may be text or typed. Infinite amounts, and others that a sum
+    of many rows cannot hold, are not numbers here: one of them would spoil every sum it
+    takes part in.
     """
     staged = computed_once(records, {
         "__cost": _number(records, "cost"), "__quantity": _number(records, "usage_quantity"),
         "__start": _moment(records, "usage_start_date"), "__end": _moment(records, "usage_end_date"),
     })
     cost, quantity, start, end = (F.col(name) for name in ("__cost", "__quantity", "__start", "__end"))
-    finite = cost.isNotNull() & ~F.isnan(cost) & (F.abs(cost) < F.lit(float("inf")))
+    finite = cost.isNotNull() & ~F.isnan(cost) & (F.abs(cost) <= F.lit(MAX_AMOUNT))
     quantity_given = F.col("usage_quantity").isNotNull() if "usage_quantity" in records.columns else F.lit(False)
     currency = F.coalesce(F.col("currency"), F.lit("USD")) if "currency" in records.columns else F.lit("USD")
     name = F.col("service_name") if "service_name" in records.columns else F.lit(None).cast("string")

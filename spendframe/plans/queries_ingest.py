@@ -17,7 +17,7 @@ from ..operators import features, records, summaries
 from ..session import shared_dir
 from ..sources import billing_exports as exports
 from ..sources import generic_csv
-from ..sources.tables import lineitem_costs, table
+from ..sources.tables import dealt, lineitem_costs, table
 from . import ingesting
 from .registry import AS_OF, COSTS, fixed, money, query, total
 
@@ -54,7 +54,7 @@ def _azure_export(spark, sf_dir) -> DataFrame:
 
 def _lines(spark, sf_dir, fields: list[str]) -> DataFrame:
     """Cost fields plus the line number that decides how a value is rendered."""
-    costs = lineitem_costs(spark, sf_dir, ["cost_id", *fields])
+    costs = dealt(lineitem_costs(spark, sf_dir, ["cost_id", *fields]))
     return costs.withColumn("l_linenumber", F.split("cost_id", "-")[1].cast("int"))
 
 
@@ -78,13 +78,14 @@ def s1_aws(spark, sf_dir):
 
 @query("S4_training_union", f"""WITH {COSTS}
 SELECT strftime(usage_start_date, '%Y-%m-%d') AS date, service_name AS service, count(*) AS row_count, {money(total('cost'))} AS total_cost
-FROM costs WHERE provider <> 'Other' GROUP BY 1, 2""")
+FROM costs GROUP BY 1, 2""")
 def s4_training(spark, sf_dir):
     costs = lineitem_costs(spark, sf_dir, ["usage_start_date", "service_name", "cost", "provider"])
     headers = {
         "AWS": ("lineItem/UsageStartDate", "product/ProductName", "lineItem/UnblendedCost"),
         "Azure": ("Date", "MeterCategory", "CostInBillingCurrency"),
         "GCP": ("usage_start_time", "service.description", "cost"),
+        "Other": ("start_time", "service_description", "cost"),
     }
     merged = None
     for provider, (date, service, cost) in headers.items():
@@ -439,9 +440,9 @@ def _json_records(spark, sf_dir) -> DataFrame:
     """Records as JSON-like text fields; the part key decides which rule a record breaks."""
     case = F.split("cost_id", "-")[2].cast("bigint") % 20
     start = F.date_format("usage_start_date", "yyyy-MM-dd'T'HH:mm:ss")
-    rows = lineitem_costs(
+    rows = dealt(lineitem_costs(
         spark, sf_dir, ["cost_id", "user_id", "provider", "service_name", "cost", "usage_start_date", "usage_end_date", "region"]
-    ).withColumn("case", case)
+    )).withColumn("case", case)
     case = F.col("case")
     return rows.select(
         "cost_id", "user_id", case.alias("kind"),

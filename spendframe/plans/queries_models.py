@@ -11,7 +11,7 @@ from ..functions.numeric import exact_sum, fixed as fixed_col, money as money_co
 from ..operators import alerts, anomalies, budgets, features, forecast, forest, insights, records, reports
 from ..session import cut_lineage, shared_dir
 from ..sources import anomaly_store, store
-from ..sources.tables import SERVICE_OF_TYPE, customer_budgets, event_costs, lineitem_costs, table
+from ..sources.tables import SERVICE_OF_TYPE, customer_budgets, dealt, event_costs, lineitem_costs, table
 from . import forecasting, ingesting
 from .linear_sql import linear_forecast_sql
 from .registry import AS_OF, COSTS, EVENTS, SPIKED, change, fixed, money, query, share, total
@@ -476,6 +476,18 @@ def a12_alerts(spark, sf_dir):
     )
 
 
+A12_OF_FOUND = A12_SQL.replace("event_type AS service_name", "service_name").replace("epoch_us(ts)", "epoch_us(CAST(detected_at AS TIMESTAMP))").replace("FROM events JOIN users", "FROM found JOIN users")
+
+
+@query("A12_alerts_of_anomalies", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}, {_rules(BACKFILL_DAYS)}, {A12_OF_FOUND.replace('WITH users AS', 'users AS', 1)}""")
+def a12_of_anomalies(spark, sf_dir):
+    """Alerts for newly stored anomalies, of users who want them and within their cooldown."""
+    path = f"{shared_dir(spark)}/anomalies-{uuid.uuid4().hex}"
+    fresh, _ = ingesting.store_new_anomalies(_rule_anomalies(spark, sf_dir, BACKFILL_DAYS), path, "one")
+    fired = fresh.select("user_id", "service_name", F.col("detected_at").cast("timestamp_ntz").alias("alert_at"))
+    return alerts.select_alerts(fired, alert_users(spark, sf_dir)).withColumn("alert_at", F.date_format("alert_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 # --- forecasts -----------------------------------------------------------------
 
 def _forecast_costs(spark, sf_dir) -> DataFrame:
@@ -755,6 +767,13 @@ def f12_cards(spark, sf_dir):
     return forecast.card_values(summary)
 
 
+@query("F12_cards_of_forecast", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_OUTLOOK}, s AS (SELECT user_id, {fixed('p')} AS p, {fixed('g', 1)} AS g FROM f_g WHERE series = '__all__')
+SELECT user_id, {fixed(fixed('p * 30'), 0)} AS projected_monthly, CASE WHEN g > 0 AND p > 0 THEN CAST(floor(30 / (1 + g / 100) + 0.5) AS BIGINT) END AS days_to_exhaustion,
+    CASE WHEN g > 20 THEN 'Immediate attention needed' WHEN g > 5 THEN 'Monitor closely' ELSE 'Within normal range' END AS risk_note FROM s""")
+def f12_of_forecast(spark, sf_dir):
+    return _detailed(spark, sf_dir)["cards"].withColumn("projected_monthly", fixed_col("projected_monthly", 0))
+
+
 @query("F13_metrics_seasonal_naive", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_RESAMPLED['daily']},
 j AS (SELECT user_id, series, cost AS actual, lag(cost, 7) OVER (PARTITION BY user_id, series ORDER BY date) AS predicted FROM points),
 k AS (SELECT *, predicted * 0.8::DOUBLE AS lower, predicted * 1.2::DOUBLE AS upper FROM j WHERE predicted IS NOT NULL)
@@ -933,7 +952,7 @@ SELECT user_id, billing_period, count(*) AS record_count, {money(total('cost'))}
 WHERE usage_start_date >= TIMESTAMP '1999-03-15' AND usage_start_date <= TIMESTAMP '2000-02-10' GROUP BY 1, 2""")
 def s9_cost_table(spark, sf_dir):
     path = f"{shared_dir(spark)}/costs-{uuid.uuid4().hex}"
-    good, _ = records.ingest(lineitem_costs(spark, sf_dir), AS_OF)
+    good, _ = records.ingest(dealt(lineitem_costs(spark, sf_dir)), AS_OF)
     store.append_costs(good, path)
     stored = store.read_costs(spark, path, "1999-03-15", "2000-02-10")
     return stored.groupBy("user_id", "billing_period").agg(

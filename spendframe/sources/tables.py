@@ -88,6 +88,11 @@ def lineitem_costs(
     return costs.select(*[expressions[field].alias(field) for field in fields])
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of the given tables spread over all cores, for queries that work hard on each: a table may be one row group."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def event_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as cost records of provider Other."""
     return table(spark, sf_dir, "events").select(

@@ -113,3 +113,16 @@ def test_month_filter(spark):
     frame = spark.sql("select timestamp_ntz'2024-12-31 23:59:59' as usage_start_date union all select timestamp_ntz'2025-01-01'")
     assert filters.in_month(frame, "2024-12").count() == 1
     assert filters.in_month(frame, "2024-13").count() == 2 and filters.in_month(frame, None).count() == 2
+
+
+def test_amounts_that_sums_cannot_hold(spark):
+    """Costs above the limit are rejects; as many of the greatest as fit a table still have an exact sum."""
+    from spendframe.functions.numeric import exact_sum
+
+    day = "2024-01-01T00:00:00"
+    rows = [("AWS", "EC2", cost, day, day) for cost in ("1e18", "1e25", "inf", "-1e25", "5")]
+    checked = records.with_validation(spark.createDataFrame(rows, "provider string, service_name string, cost string, usage_start_date string, usage_end_date string"))
+    assert {r.cost: r.error for r in checked.collect()} == {
+        "1e18": None, "1e25": "Cost must be a valid number", "inf": "Cost must be a valid number", "-1e25": "Cost must be a valid number", "5": None}
+    total = spark.range(200_000).select(F.lit(1e18).alias("cost")).agg(exact_sum("cost").alias("t")).first().t
+    assert total == 200_000 * 10**18
