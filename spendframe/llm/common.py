@@ -43,10 +43,10 @@ def groups_for(total: int | None, size: int) -> int:
     return max(1, -(-int(total or 0) // size))
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], size: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches cut so that their texts have about ``size`` bytes; a longer text stays whole."""
     for batch in batches:
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))

@@ -10,9 +10,11 @@ Documents of equal sets form a class first and only its least doc_id goes on. In
 band's bucket all members are compared on full sets with the bucket's least member
 only. Members left outside that member's component are then compared with the members
 of other components, except where the triangle inequality of the Jaccard distance
-rules a link out. So a bucket of copies costs its size, not its square, and no
-candidate pair of different components stays untested. Comparisons against one
-document are split into blocks, so no task sees a whole group.
+rules a link out or the sets share none of their rarest shingles, of which alike sets
+share one. So a bucket of copies, or of texts that share a template and little else,
+costs its size, not its square, and no candidate pair of different components stays
+untested. Comparisons against one document are split into blocks, so no task sees a
+whole group.
 
 Nulls: a null text has no set and links with nothing, empty texts alike. A row without
 doc_id takes the component of the documents with an equal set and is not kept there; if
@@ -42,7 +44,8 @@ WIDTH = 2  # words of a shingle
 BAND_ROWS = 3  # hash functions of a band, two values each
 PERCENT = 80
 BLOCK = 4000  # comparisons against one document in one block
-CELL = 1000  # members, and outsiders, of a bucket that meet in one cell
+HOT_FROM = 50  # sets that hold a shingle which comes late in their order
+HOT_SHINGLES = 1 << 16  # such shingles at most; the others stand among the rare ones
 SETS = 2000  # sets that a task of the comparison holds at least
 SENT_IDS = 500_000  # ids of documents to compare that are sent to all tasks; more meet the texts by a shuffle
 SEED = 20_240_601
@@ -317,74 +320,69 @@ def _still_open(members: DataFrame, compared: DataFrame, found: DataFrame, perce
 
 
 def _links_across(docs: DataFrame, open_members: DataFrame, reps: DataFrame, percent: int, width: int) -> DataFrame | None:
-    """Links between members of different components, bucket by bucket; None if no bucket is open.
+    """Links of outsiders to open members of other components; None if no bucket is open.
 
-    A bucket's members are dealt into blocks, and its outsiders too; each pair of blocks
-    is a cell, in which a task compares full sets and puts out nothing but links.
+    Sets that are alike share one of their first shingles in any order that is the same for
+    all: of n, the first n - ceil(percent * n / 100) + 1. The order puts shingles of many
+    sets last, so a template's shingles, however many texts hold it, pair only texts that
+    hold hardly anything else.
     """
-    cells = lambda count, size: F.ceil(F.col(count) / size).cast("int")
-    dealt = open_members.select("key", "member", "part", "outside", cells("n", CELL).alias("wide"), cells("outsiders", CELL).alias("high"))
-    column, row = F.pmod(F.xxhash64("member"), F.col("wide")).cast("int"), F.pmod(F.xxhash64("member"), F.col("high")).cast("int")
-    as_member = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda r: F.struct("key", column.alias("column"), r.alias("row"), "part", F.lit(False).alias("asks")))
-    as_outsider = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda c: F.struct("key", c.alias("column"), row.alias("row"), "part", F.lit(True).alias("asks")))
-    places = F.when(F.col("outside"), F.concat(as_member, as_outsider)).otherwise(as_member)
-    placed = dealt.groupBy(F.col("member").alias("doc")).agg(F.flatten(F.collect_list(places)).alias("places"))
-    needed = keep(placed.join(reps, F.col("doc") == F.col("rep_id")).drop("rep_id"), "needed")
-    wanted = needed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("places")).alias("places")).first()
-    if not wanted.n:
+    roles = open_members.groupBy(F.col("member").alias("doc")).agg(F.struct(F.first("part").alias("part"), F.max("outside").alias("asks")).alias("places"))
+    needed = keep(roles.join(reps, F.col("doc") == F.col("rep_id")).drop("rep_id"), "needed")
+    n = needed.count()
+    if not n:
         return None
-    groups = groups_for(wanted.places, SETS)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
             flat, sizes = shingle_sets(batch.column("text"), width)
             ends = np.cumsum(sizes)
-            rows: list[tuple] = []
-            held = 0
-            for doc, places, digest, size, end in zip(
-                    *(batch.column(c).to_pylist() for c in ("doc_id", "places", "digest")), sizes.tolist(), ends.tolist(), strict=True):
-                raw = flat[end - size:end].tobytes()
-                for place in places if _digest(raw) == digest else ():  # not for another text of the same doc_id
-                    rows.append((*place.values(), doc, raw))
-                    held += len(raw)
-                    if held > _HELD:
-                        yield _filled(rows)
-                        rows, held = [], 0
-            yield _filled(rows)
-
-    def meet(table: pa.Table) -> pa.Table:
-        cell_of = list(zip(*(table.column(c).to_pylist() for c in ("key", "column", "row")), strict=True))
-        parts, asks, docs = (table.column(c).to_pylist() for c in ("part", "asks", "doc"))
-        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        in_cell: dict[tuple, tuple[list[int], list[int]]] = {}
-        for k, cell in enumerate(cell_of):
-            in_cell.setdefault(cell, ([], []))[asks[k]].append(k)
-        links = set()
-        for held, asking in in_cell.values():
-            if not held or not asking:
-                continue
-            owner = np.repeat(np.arange(len(held)), [len(found[k]) for k in held])
-            flat = np.concatenate([found[k] for k in held])
-            order = np.argsort(flat)
-            flat, owner = flat[order], owner[order]
-            sizes = np.array([len(found[k]) for k in held])
-            for k in asking:
-                low, high = np.searchsorted(flat, found[k]), np.searchsorted(flat, found[k], side="right")
-                hits = owner[np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(int((high - low).sum()))]
-                common = np.bincount(hits, minlength=len(held))
-                for j in np.flatnonzero(100 * common >= percent * (sizes + len(found[k]) - common)).tolist():
-                    if parts[held[j]] != parts[k]:
-                        links.add((docs[k], docs[held[j]]))
-        one, other = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"one": pa.array(one, pa.int64()), "other": pa.array(other, pa.int64())})
-
-    sent = _texts_of(docs, needed, wanted.n).mapInArrow(sets, "key long, column int, row int, part long, asks boolean, doc long, shingles binary")
-    cell = F.pmod(F.xxhash64("key", "column", "row"), F.lit(groups))
-    return keep(sent.withColumn("share", cell).groupBy("share").applyInArrow(meet, "one long, other long"), "links")
-
-
-def _filled(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-    columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["key", "column", "row", "part", "asks", "doc", "shingles"])
+            raw = [flat[end - size:end].tobytes() for size, end in zip(sizes.tolist(), ends.tolist(), strict=True)]
+            mine = [k for k, (x, digest) in enumerate(zip(raw, batch.column("digest").to_pylist(), strict=True)) if _digest(x) == digest]
+            places = [batch.column("places")[k].as_py() for k in mine]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").take(pa.array(mine, pa.int64())), pa.array([p["part"] for p in places], pa.int64()), pa.array([p["asks"] for p in places], pa.bool_()),
+                pa.array([raw[k] for k in mine], pa.binary())], names=["doc", "part", "asks", "shingles"])
+
+    open_sets = keep(_texts_of(docs, needed, n).mapInArrow(sets, "doc long, part long, asks boolean, shingles binary"), "open")
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, times = np.unique(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], names=["shingle", "n"])
+
+    often = open_sets.select("shingles").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    last = often.where(F.col("n") >= HOT_FROM).orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).collect()  # the order may leave some out
+    hot = np.array([r.shingle for r in last], np.int64)
+    by_value = np.argsort(hot)
+
+    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, _HELD, "shingles"):
+            firsts = []
+            for raw in batch.column("shingles").to_pylist():
+                own = np.frombuffer(raw, np.int64)
+                rank = np.full(len(own), len(hot))
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot[by_value], own), len(hot) - 1)
+                    known = hot[by_value][at] == own
+                    rank[known] = by_value[at[known]]
+                firsts.append(own[np.lexsort((own, -rank))][:len(own) - -(-percent * len(own) // 100) + 1])
+            sizes = np.array([len(x) for x in firsts], np.int64)
+            row = np.repeat(np.arange(len(firsts)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            whole = np.array([len(x.as_buffer()) // 8 for x in batch.column("shingles")], np.int64)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(firsts) if firsts else np.empty(0, np.int64)), pa.array(place.astype(np.int64)), batch.column("doc").take(take),
+                batch.column("part").take(take), batch.column("asks").take(take), pa.array(whole[row])], names=["shingle", "place", "doc", "part", "asks", "size"])
+
+    first = keep(open_sets.mapInArrow(prefixes, "shingle long, place long, doc long, part long, asks boolean, size long"), "prefixes")
+    asking = first.where("asks").select("shingle", F.col("place").alias("i"), F.col("doc").alias("one"), F.col("part").alias("of_one"), F.col("size").alias("m"))
+    held = first.select("shingle", F.col("place").alias("j"), F.col("doc").alias("other"), F.col("part").alias("of_other"), "asks", F.col("size").alias("n"))
+    close = asking.join(held, "shingle").where(
+        (F.col("of_one") != F.col("of_other")) & (~F.col("asks") | (F.col("one") < F.col("other")))
+        & (100 * F.least("m", "n") >= percent * F.greatest("m", "n")))
+    # the first shared shingle has the least places of both, and all others follow it
+    candidates = close.groupBy("one", "other", "m", "n").agg(F.min(F.struct("i", "j")).alias("at")).where(
+        (100 + percent) * F.least(F.col("m") - F.col("at.i"), F.col("n") - F.col("at.j")) >= percent * (F.col("m") + F.col("n")))
+    return _linked(compare(docs, candidates.select("one", "other"), reps, width), percent)

@@ -232,9 +232,9 @@ def components_by_hand(rows, width=2):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates(spark, sample, monkeypatch, small):
-    """Also with blocks and cells of a few documents and without sent ids."""
+    """Also with blocks of a few documents, few shingles that come late and without sent ids."""
     if small:
-        for name, value in (("CELL", 3), ("BLOCK", 4), ("SENT_IDS", 0), ("SETS", 50)):
+        for name, value in (("HOT_FROM", 2), ("HOT_SHINGLES", 40), ("BLOCK", 4), ("SENT_IDS", 0), ("SETS", 50)):
             monkeypatch.setattr(near_dups, name, value)
     random.seed(4)
     rows, n, vocabulary = list(sample), 10_000, [f"w{i}" for i in range(400)]
