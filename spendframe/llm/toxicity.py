@@ -49,6 +49,7 @@ NEGATION_REACH = 3
 NEGATED, QUOTED, TARGETED = 0.25, 0.5, 1.5  # factors of an insult or threat
 MAX_SAMPLE = 24_000  # labelled rows that the model is fitted on
 MIN_TEXTS, MIN_PRECISION = 4, 0.7
+HELD_ARCS = 200_000  # different arcs that a task counts before it hands them on
 PREFIXES = (4, 5, 6, 7, 8, 9)
 REJECT_AT = 0.7
 SHORT = 20  # words that a text counts as longer, so one word of a short text is no density
@@ -176,29 +177,41 @@ def _wording(text: str) -> int:
     return min((zlib.crc32(" ".join(words[i:i + n]).encode()) for i in range(len(words) - n + 1)), default=zlib.crc32(text.encode()))
 
 
-def _wordings(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """Number of different wordings of the sample's texts with each arc; the empty arc stands in all."""
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = set()
+def _one_of_each_wording(sample: DataFrame) -> DataFrame:
+    """One text of each wording and label."""
+    def worded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                wording = _wording(text)
-                arcs = _arcs(text) if wanted is None else _arcs(text) & wanted
-                found.update((arc, wording) for arc in ("", *arcs))
-        arcs, wordings = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(arcs, pa.string()), pa.array(wordings, pa.int64())], names=["arc", "wording"])
+            wordings = [_wording(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(wordings, pa.int64())], names=["text", "toxic", "wording"])
 
-    return sample.mapInArrow(pairs, "arc string, wording long").groupBy("arc").agg(F.count_distinct("wording").alias("n"))
+    found = sample.select("text", "toxic").mapInArrow(worded, "text string, toxic int, wording long")
+    return found.groupBy("toxic", "wording").agg(F.min("text").alias("text"))
 
 
 def learn_arcs(sample: DataFrame) -> dict[str, float]:
     """Log odds of words and beginnings by different wordings of toxic texts against those of all other texts."""
-    often = {r.arc: r.n for r in _wordings(sample.where("toxic = 1"), None).where(f"arc = '' or n >= {MIN_TEXTS}").collect()}  # bounded by the sample
-    others = {r.arc: r.n for r in _wordings(sample.where("toxic = 0"), frozenset(often)).collect()}
-    all_toxic, all_others = often.pop("", 0), others.pop("", 0)
-    return {
-        arc: float(np.log((n + 0.5) / (all_toxic + 1)) - np.log((others.get(arc, 0) + 0.5) / (all_others + 1)))
-        for arc, n in often.items() if n >= MIN_PRECISION * (n + others.get(arc, 0))}
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for arc in ("", *_arcs(text)):
+                    found.setdefault(arc, [0, 0])[label] += 1
+                if len(found) > HELD_ARCS:
+                    yield _counted(found)
+                    found = {}
+        yield _counted(found)
+
+    counted = _one_of_each_wording(sample).mapInArrow(count, "arc string, others long, toxic long").groupBy("arc").agg(
+        F.sum("toxic").alias("toxic"), F.sum("others").alias("others"))
+    rows = counted.where(f"arc = '' or (toxic >= {MIN_TEXTS} and toxic >= {MIN_PRECISION} * (toxic + others))").collect()  # bounded by the sample
+    all_toxic, all_others = next(((r.toxic, r.others) for r in rows if r.arc == ""), (0, 0))
+    return {r.arc: float(np.log((r.toxic + 0.5) / (all_toxic + 1)) - np.log((r.others + 0.5) / (all_others + 1))) for r in rows if r.arc}
+
+
+def _counted(found: dict[str, list[int]]) -> pa.RecordBatch:
+    counts = list(found.values())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(found), pa.string()), *[pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1)]], names=["arc", "others", "toxic"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
