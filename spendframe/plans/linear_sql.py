@@ -52,8 +52,12 @@ def _fit(keys: str) -> str:
     return ",\n".join(parts)
 
 
-def linear_forecast_sql(keys: str, period: float, periods: int, step_days: int = 1, start_after: str | None = None) -> str:
-    """Common table expressions from ``points`` (keys, date, cost) to ``predictions``."""
+MONTH_ENDS = "last_day(CAST(date_trunc('month', z + 1) AS DATE) + to_months(CAST(step - 1 AS INTEGER)))"
+
+
+def linear_forecast_sql(keys: str, period: float, periods: int, step: int | str = 1, start_after: str | None = None) -> str:
+    """Common table expressions from ``points`` (keys, date, cost) to ``predictions``; ``step`` is a number of days or the date after ``z``."""
+    ahead = step if isinstance(step, str) else f"z + CAST(step * {step} AS INTEGER)"
     value = " + ".join(["level"] + [f"({n} - c{i}) * w{i}" for i, n in enumerate(_NAMES)])
     last = "max(date)" if start_after is None else f"greatest(max(date), DATE '{start_after}')"
     return f"""quartiles AS (SELECT {keys}, quantile_cont(cost, 0.25) AS q1, quantile_cont(cost, 0.75) AS q3, count(*) AS size FROM points GROUP BY {keys}),
@@ -65,7 +69,7 @@ residuals AS (SELECT {keys}, y, y - ({value}) AS e FROM x JOIN fits USING ({keys
 quality AS (SELECT {keys}, CASE WHEN count(*) > 2 THEN stddev_pop(e) ELSE 0 END AS spread,
     coalesce(avg(CASE WHEN abs(y) > 1e-6 THEN abs(e / y) END), 1) * 100 AS error FROM residuals GROUP BY {keys}),
 ends AS (SELECT {keys}, {last} AS z, min(date) AS series_start FROM points GROUP BY {keys}),
-ahead AS (SELECT {keys}, step, z + CAST(step * {step_days} AS INTEGER) AS date, CAST(z + CAST(step * {step_days} AS INTEGER) - series_start AS DOUBLE) AS t
+ahead AS (SELECT {keys}, step, {ahead} AS date, CAST({ahead} - series_start AS DOUBLE) AS t
     FROM ends, (SELECT unnest(range(1, {periods + 1})) AS step)),
 centres AS (SELECT {keys}, step, date, n, spread, error, greatest(0, {value}) AS p
     FROM (SELECT {keys}, step, date, {_features(period)} FROM ahead) JOIN fits USING ({keys}) JOIN quality USING ({keys})),

@@ -13,7 +13,7 @@ from ..session import cut_lineage, shared_dir
 from ..sources import anomaly_store, store
 from ..sources.tables import SERVICE_OF_TYPE, customer_budgets, dealt, event_costs, lineitem_costs, table
 from . import forecasting, ingesting
-from .linear_sql import linear_forecast_sql
+from .linear_sql import MONTH_ENDS, linear_forecast_sql
 from .registry import AS_OF, COSTS, EVENTS, SPIKED, change, fixed, money, query, share, total
 
 SERIES_FIELDS = ["user_id", "service_name", "cost", "usage_start_date"]
@@ -59,6 +59,20 @@ def a1_series(spark, sf_dir):
     )
 
 
+@query("A1_series_of_stored_costs", f"""WITH {SPIKED}, {_SERIES_SQL}
+SELECT user_id, service_name, strftime(date, '%Y-%m-%d') AS date, {money('t')} AS cost, strftime(latest, '%Y-%m-%d') AS latest FROM series""")
+def a1_stored(spark, sf_dir):
+    """From the cost table, of which only the months that hold the last 90 days of some tenant are read."""
+    path = f"{shared_dir(spark)}/costs-{uuid.uuid4().hex}"
+    rows = lineitem_costs(spark, sf_dir, planted_spikes=True).where(F.col("usage_start_date") <= F.lit(AS_OF).cast("timestamp_ntz"))
+    good, _ = records.ingest(dealt(rows), AS_OF)
+    store.append_costs(good, path)
+    return features.detection_series(store.read_costs(spark, path)).select(
+        "user_id", "service_name", F.date_format("date", "yyyy-MM-dd").alias("date"), money_col("total").alias("cost"),
+        F.date_format("latest", "yyyy-MM-dd").alias("latest"),
+    )
+
+
 @query("W123_features", f"""WITH {SPIKED}, {_SERIES_SQL}, {_FEATURES}
 SELECT user_id, service_name, strftime(date, '%Y-%m-%d') AS date, {_FEATURE_COLUMNS} FROM features""")
 def w123_features(spark, sf_dir):
@@ -625,9 +639,16 @@ def f4_short(spark, sf_dir):
     return _whole(forecast.forecast(cut_lineage(few), 4, "weekly"))
 
 
-@query("F5_trend_labels")
+_MONTHLY = f"""{_RESAMPLED['monthly']}, {linear_forecast_sql('user_id, series', 12, 6, MONTH_ENDS)}"""
+
+
+@query("F5_trend_labels", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_MONTHLY}, t AS (SELECT user_id, series, {fixed('sum(CAST(prediction AS DECIMAL(30,8)))')} AS total,
+    count(*) AS periods, {fixed('min_by(prediction, step)')} AS f, {fixed('max_by(prediction, step)')} AS l, {fixed('any_value(confidence)', 1)} AS confidence_score FROM predictions GROUP BY 1, 2)
+SELECT user_id, series, {fixed('total', 0)} AS total_predicted_cost, periods, confidence_score,
+    CASE WHEN f > 0 AND l > f * 1.05::DOUBLE THEN 'increasing' WHEN f > 0 AND l < f * 0.95::DOUBLE THEN 'decreasing' ELSE 'stable' END AS trend FROM t""")
 def f5_trend(spark, sf_dir):
-    return forecast.forecast_totals(forecast.forecast(_points(spark, sf_dir, "monthly"), 6, "monthly"))
+    totals = forecast.forecast_totals(forecast.forecast(cut_lineage(_points(spark, sf_dir, "monthly")), 6, "monthly"))
+    return totals.withColumn("total_predicted_cost", fixed_col("total_predicted_cost", 0))
 
 
 @query("F6_additive_forecast")
@@ -708,12 +729,9 @@ def f9_detailed(spark, sf_dir):
     return points.select("user_id", "series", "date", fixed_col("predicted_cost", 0).alias("predicted_cost"), fixed_col("upper_bound", 0).alias("upper_bound"))
 
 
-@query("F10_executive_summary")
-def f10_summary(spark, sf_dir):
-    return _detailed(spark, sf_dir, "weekly", 12)["summary"]
-
-
-_OUTLOOK = f"""{_DETAILED}, f_ahead AS (SELECT user_id, series, sum(CAST(prediction AS DECIMAL(30,8))) AS tp, count(*) AS periods,
+def _outlook_sql(predictions: str) -> str:
+    """Growth of every series from its points and predictions."""
+    return f"""{predictions}, f_ahead AS (SELECT user_id, series, sum(CAST(prediction AS DECIMAL(30,8))) AS tp, count(*) AS periods,
     {fixed('min_by(prediction, step)')} AS f, {fixed('max_by(prediction, step)')} AS l, {fixed('any_value(confidence)', 1)} AS confidence FROM predictions GROUP BY 1, 2),
 f_past AS (SELECT user_id, series, CAST({total(fixed('cost'))} AS DOUBLE) / count(*) AS c FROM points GROUP BY 1, 2),
 f_growth AS (SELECT *, {fixed('tp')} AS total_cost, {fixed('tp')} / periods AS p,
@@ -722,6 +740,9 @@ f_growth AS (SELECT *, {fixed('tp')} AS total_cost, {fixed('tp')} / periods AS p
 f_g AS (SELECT *, coalesce(CASE WHEN c > 0 THEN (p - c) / c * 100 END, 0) AS g FROM f_growth)"""
 
 
+_OUTLOOK = _outlook_sql(_DETAILED)
+
+
 @query("F11_service_outlook", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_OUTLOOK}
 SELECT user_id, series AS service_name, {fixed('total_cost', 0)} AS total_predicted_cost, trend, {fixed('g', 1)} AS growth_pct,
     CASE WHEN g > 15 THEN 'Increasing' WHEN g < -5 THEN 'Decreasing' ELSE 'Stable' END AS status FROM f_g WHERE series <> '__all__'""")
@@ -729,6 +750,19 @@ def f11_outlook(spark, sf_dir):
     return _detailed(spark, sf_dir)["services"].drop("action_item").withColumn("total_predicted_cost", fixed_col("total_predicted_cost", 0))
 
 
+_WEEKLY = f"""{_RESAMPLED['weekly'].replace('points AS', 'all_points AS')}, {_TOP_SERIES}, {linear_forecast_sql('user_id, series', 52, 12, 7)}"""
+
+
+@query("F10_executive_summary", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_outlook_sql(_WEEKLY)}
+SELECT user_id, {fixed('total_cost', 0)} AS total_predicted_cost, {fixed('g', 1)} AS growth_percentage,
+    CASE WHEN g > 20 THEN 'Critical' WHEN g > 5 THEN 'Warning' WHEN g < -5 THEN 'Good' ELSE 'Stable' END AS status_badge,
+    'Next ' || periods || ' Weeks' AS period_label, trend, confidence AS confidence_score, {fixed(fixed('c'), 0)} AS current_period_avg FROM f_g WHERE series = '__all__'""")
+def f10_summary(spark, sf_dir):
+    return _detailed(spark, sf_dir, "weekly", 12)["summary"].select(
+        "user_id", fixed_col("total_predicted_cost", 0).alias("total_predicted_cost"), "growth_percentage", "status_badge", "period_label", "trend", "confidence_score",
+        fixed_col("current_period_avg", 0).alias("current_period_avg"))
+
+
 @query("F10_summary_of_forecast", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_OUTLOOK}
 SELECT user_id, {fixed('total_cost', 0)} AS total_predicted_cost, {fixed('g', 1)} AS growth_percentage,
     CASE WHEN g > 20 THEN 'Critical' WHEN g > 5 THEN 'Warning' WHEN g < -5 THEN 'Good' ELSE 'Stable' END AS status_badge,
@@ -803,9 +837,13 @@ def f13_backtest(spark, sf_dir):
         fixed_col(c, digits).alias(c) for c, digits in (("mae", 0), ("rmse", 0), ("bias_pct", 1), ("coverage_pct", 1))])
 
 
-@query("Q26_forecast_pivot")
+@query("Q26_forecast_pivot", f"""WITH {_ALL_COSTS}, {_UNTIL}, {_DETAILED}
+SELECT user_id, strftime(date, '%Y-%m-%d') AS date, {', '.join(f"max(CASE WHEN series = '{name}' THEN {fixed(fixed('prediction'), 0)} END) AS " + chr(34) + name + chr(34) for name in SERVICE_OF_TYPE.values())}
+FROM predictions WHERE series <> '__all__' GROUP BY 1, 2""")
 def q26_pivot(spark, sf_dir):
-    return forecast.pivot_forecast(_detailed(spark, sf_dir)["forecast"], list(SERVICE_OF_TYPE.values()))
+    services = list(SERVICE_OF_TYPE.values())
+    wide = forecast.pivot_forecast(_detailed(spark, sf_dir)["forecast"], services)
+    return wide.select("user_id", "date", *[fixed_col(name, 0).alias(name) for name in services])
 
 
 # --- budgets -------------------------------------------------------------------
@@ -938,13 +976,18 @@ def q17_overview(spark, sf_dir):
     return reports.executive_overview(lineitem_costs(spark, sf_dir, [*SERIES_FIELDS, "provider"]), AS_OF)
 
 
-@query("S12_report_csv", f"""WITH {COSTS}, g AS (SELECT user_id, service_name, {total('cost')} AS t, count(*) AS n FROM costs GROUP BY 1, 2)
-SELECT CAST(user_id AS VARCHAR) AS user_id, service_name, CAST(CAST(n AS BIGINT) AS VARCHAR) AS record_count FROM g
-UNION ALL SELECT CAST(user_id AS VARCHAR), 'TOTAL', CAST(CAST(sum(n) AS BIGINT) AS VARCHAR) FROM g GROUP BY user_id""")
+@query("S12_report_csv", f"""WITH {COSTS}, g AS (SELECT user_id, service_name, {category_sql('service_name')} AS category, min(provider) AS provider, {total('cost')} AS t, count(*) AS n FROM costs GROUP BY 1, 2, 3)
+SELECT CAST(user_id AS VARCHAR) AS user_id, '0' AS section, service_name, category, provider, {money('t')} AS total_cost, CAST(CAST(n AS BIGINT) AS VARCHAR) AS record_count, {fixed('CAST(t AS DOUBLE) / n')} AS average_cost FROM g
+UNION ALL SELECT CAST(user_id AS VARCHAR), '1', 'TOTAL', NULL, NULL, {money('sum(t)')}, CAST(CAST(sum(n) AS BIGINT) AS VARCHAR), NULL FROM g GROUP BY user_id""")
 def s12_csv(spark, sf_dir):
+    """All columns of a report, written as CSV and read back; amounts as numbers again, empty texts as nulls."""
     path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
     store.write_report_csv(reports.utilisation(lineitem_costs(spark, sf_dir, ["user_id", "service_name", "provider", "cost"])), path)
-    return spark.read.option("header", True).csv(path).select("user_id", "service_name", "record_count")
+    read = spark.read.option("header", True).option("emptyValue", "").csv(path)
+    text = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    return read.select(
+        "user_id", "section", "service_name", text("category"), text("provider"), F.col("total_cost").cast("double").alias("total_cost"), "record_count",
+        F.col("average_cost").cast("double").alias("average_cost"))
 
 
 @query("S9_cost_table", f"""WITH {COSTS}

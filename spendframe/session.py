@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -47,15 +49,42 @@ def shared_dir(spark: SparkSession) -> str:
     return scratch
 
 
+_written: list[str] = []  # intermediate tables of this process that nothing has deleted yet
+
+
+def remember(path: str) -> str:
+    """Note a table or folder that only intermediate results need; the path."""
+    _written.append(path)
+    return path
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that are written inside, at the end.
+
+    What a job returns may still read them, so results are to be written or collected
+    before the end. Outside of this, the tables stay until the shared folder is cleaned.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _written[before:]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        del _written[before:]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from its files.
 
     The result survives executor loss. Unlike ``checkpoint()``, which runs the
-    plan once to materialise and once more to write, this runs it once. The
-    tables stay until the shared folder is cleaned.
+    plan once to materialise and once more to write, this runs it once. See
+    :func:`intermediate_tables` for the tables' end.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = remember(f"{shared_dir(spark)}/table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

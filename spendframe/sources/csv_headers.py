@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import codecs
 from collections.abc import Iterable, Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHUNK_BYTES = 1 << 16
+TASK_SCHEMES = {"file", "hdfs", "s3", "s3a", "s3n", "gs", "gcs"}  # what the tasks' file library opens
 MAX_HEADER_BYTES = 1 << 20
 
 
@@ -66,6 +68,23 @@ def file_headers(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFra
     return spark.read.format("binaryFile").load(paths).select("path").mapInArrow(run, "file string, header string")
 
 
+def scanned_headers(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
+    """The same from a scan of all lines, for file systems that only Spark's readers can open; a header is one line then."""
+    line = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), encoding)
+    lines = spark.read.text(paths).select(
+        F.regexp_replace(line, "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("place"))
+    firsts = lines.where("at = 0 and value <> ''").groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    return firsts.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("file"), "header")
+
+
+def opened_by_tasks(spark: SparkSession, paths) -> bool:
+    """Whether tasks can open all of the paths themselves."""
+    usual = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return all((urlsplit(path).scheme or urlsplit(usual).scheme) in TASK_SCHEMES for path in ([paths] if isinstance(paths, str) else paths))
+
+
 def header_groups(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
     """(header, files): the files of all paths and folders by their header."""
-    return file_headers(spark, paths, encoding).groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    found = file_headers if opened_by_tasks(spark, paths) else scanned_headers
+    return found(spark, paths, encoding).groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))

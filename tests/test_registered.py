@@ -9,7 +9,7 @@ from spendframe.plans import catalog
 MAY_BE_EMPTY_ON_SMALL_TABLES = {
     "A6_A8_spike_rule", "J2_A10_new_anomalies", "A10_purge", "Q12_anomaly_list", "Q13_status_changes", "Q16_anomaly_log",
     "Q21_anomaly_count", "A6_A8_model_detection", "A7_spike_and_drop_flags", "P13_forecast_filter", "P12_trend_filter",
-    "P11_cost_filter", "A1_detection_series", "W123_features", "A10_detect_and_store", "A10_store_batches",
+    "P11_cost_filter", "A1_detection_series", "W123_features", "A10_detect_and_store", "A10_store_batches", "A12_alerts_of_anomalies", "A1_series_of_stored_costs",
 }
 
 

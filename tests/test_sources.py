@@ -1,10 +1,12 @@
 import io
 import json
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from spendframe import session
 from spendframe.operators import features
 from spendframe.plans import ingesting
 from spendframe.sources import billing_exports as exports
@@ -114,6 +116,19 @@ def test_first_records():
         first(b"x" * (csv_headers.MAX_HEADER_BYTES + 1))
 
 
+def test_headers_by_scan(spark, tmp_path):
+    """Where tasks cannot open files, a scan of the lines finds the same headers."""
+    folder = tmp_path / "scanned"
+    folder.mkdir()
+    for name, text in (("a b.csv", "\ufeffx,y\n1,2\n"), ("c+d%.csv", "\ny,x\n1,2\n3,4\n"), ("e.csv", "x,y\n"), ("empty.csv", "")):
+        _write(folder / name, text)
+    rows = [sorted((r.file.rpartition("/")[2], r.header) for r in found(spark, str(folder)).collect()) for found in (csv_headers.file_headers, csv_headers.scanned_headers)]
+    assert rows[0] == rows[1] == [("a b.csv", "x,y"), ("c+d%.csv", "y,x"), ("e.csv", "x,y")]
+    latin = _write(tmp_path / "latin-header.csv", "größe,y\n1,2\n", "latin-1")
+    assert csv_headers.scanned_headers(spark, latin, "ISO-8859-1").first().header == "größe,y"
+    assert csv_headers.opened_by_tasks(spark, [str(folder), "s3a://bucket/x"]) and not csv_headers.opened_by_tasks(spark, "viewfs://store/x")
+
+
 def test_header_with_line_breaks(spark, tmp_path):
     folder = tmp_path / "broken"
     folder.mkdir()
@@ -166,6 +181,15 @@ def test_anomaly_batches_replace_themselves(spark, tmp_path):
     assert sent.count() == 3
 
 
+def test_intermediate_tables_go_with_their_job(spark):
+    with session.intermediate_tables(spark):
+        kept = session.cut_lineage(spark.range(5))
+        folder = Path(kept.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+        counted, seen = session.cut_counted(kept.where("id > 1"), rows=F.count(F.lit(1)))
+        assert folder.exists() and counted.count() == seen["rows"] == 3
+    assert not folder.exists()
+
+
 def test_landed_api_results(spark, tmp_path):
     azure = spark.createDataFrame([(1.5, 20240105, "VM", "x"), (2.0, 20240106, None, "Disk")], "totalCost double, UsageDate int, ServiceName string, MeterCategory string")
     assert [(r.date, r.service) for r in exports.map_azure_rows(azure).collect()] == [(datetime(2024, 1, 5), "VM"), (datetime(2024, 1, 6), "Disk")]
