@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import remember, shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word: anything between ASCII white space
 SPACES = " \t\n\x0b\f\r"
@@ -33,7 +33,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once into the shared folder and continue from its files, which outlive executors."""
-    path = new_folder(df.sparkSession, name)
+    path = remember(new_folder(df.sparkSession, name))
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -47,6 +47,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import remember
 from .common import file_system, groups_for, keep, new_folder, small_batches, text_of, write_file
 
 MAX_WORDS = 3
@@ -455,7 +456,7 @@ def frequent_runs(
     total = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
     bits = min(64, -(-(int(total).bit_length() + 18) // 8) * 8) if bits is None else bits
     part_bits = min(bits, (groups_for(total, part_bytes) - 1).bit_length(), FILTER_BITS - 6)
-    folder = new_folder(spark, "blocks")
+    folder = remember(new_folder(spark, "blocks"))
     blocks = write_blocks(docs, folder, block_bytes)
     tasks = min(max(1, blocks.count()), MAX_TASKS)
     words = _lang_words(blocks, folder).groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f"))
