@@ -16,9 +16,11 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     The optimizer inlines plain projections into every later use, filters
     included, which repeats costly parsing. A one-element generator is a
-    boundary it does not cross.
+    boundary it does not cross. The values are computed before it, in a projection
+    of their own, which is compiled; inside a generator they would be interpreted.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+    values = df.select("*", F.struct(*[value.alias(name) for name, value in columns.items()]).alias("__once"))
+    return values.select("*", F.inline(F.array("__once"))).drop("__once")
 
 
 def _naive(value: Column) -> Column:
@@ -105,15 +107,21 @@ def infer_provider(consumed_service: Column, service_name: Column) -> Column:
 def _last_wins(entries: Column) -> Column:
     """Map of key and value structs; of equal keys the last one stays.
 
-    Sorted by key and descending place, an entry stays where its key begins. The sorted
-    array is bound once by a one-element transform, so k entries cost one sort.
+    Sorted by key and descending place, an entry stays where its key begins. The entries and
+    the sorted array are bound once by one-element transforms, so k entries cost one sort.
     """
+    def bound(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), 0)
+
     def first_of_each(ranked: Column) -> Column:
         return F.filter(ranked, lambda entry, i: (i == 0) | (F.get(ranked, i - 1)["key"] != entry["key"]))
 
-    ranked = F.array_sort(F.transform(entries, lambda entry, i: F.struct(entry["key"].alias("key"), (-i).alias("place"), entry["value"].alias("value"))))
-    kept = F.transform(F.get(F.transform(F.array(ranked), first_of_each), 0), lambda entry: F.struct(entry["key"].alias("key"), entry["value"].alias("value")))
-    return F.map_from_entries(F.when(F.size(entries) < 2, entries).otherwise(kept))
+    def settled(given: Column) -> Column:
+        ranked = F.array_sort(F.transform(given, lambda entry, i: F.struct(entry["key"].alias("key"), (-i).alias("place"), entry["value"].alias("value"))))
+        kept = F.transform(bound(ranked, first_of_each), lambda entry: F.struct(entry["key"].alias("key"), entry["value"].alias("value")))
+        return F.when(F.size(given) < 2, given).otherwise(kept)
+
+    return F.map_from_entries(bound(entries, settled))
 
 
 def _pairs(text: Column) -> Column:

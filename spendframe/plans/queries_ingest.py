@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parsing
 from ..functions.category import CATEGORY_RULES, category_sql, with_category
@@ -254,11 +254,14 @@ def s11_summary(spark, sf_dir):
 
 # --- generic CSV, parsing ------------------------------------------------------
 
-def _generic_raw(spark, sf_dir) -> DataFrame:
+LANDED_ROWS = 500_000  # of one task that writes landed files
+
+
+def _generic_raw(lines: DataFrame, *more: Column) -> DataFrame:
     """Text rows with free headers and every kind of damage, by line number."""
     line = F.col("l_linenumber")
     start = F.col("usage_start_date")
-    return _lines(spark, sf_dir, ["user_id", "service_name", "cost", "usage_start_date", "resource_id", "tags"]).select(
+    return lines.select(
         F.col("cost_id").alias("row_id"),
         F.when(line % 2 == 0, F.lit(" AwS ")).alias("Cloud Provider"),
         F.when(line == 3, F.lit("Microsoft.Compute")).alias("ConsumedService"),
@@ -273,6 +276,7 @@ def _generic_raw(spark, sf_dir) -> DataFrame:
         F.when(line == 1, F.lit('{"environment": "production", "resource_group": "from-tags"}'))
         .otherwise(F.lit("environment: dev:1 ,owner:ops,owner:core")).alias("Labels"),
         F.col("resource_id").alias("Instance ID"),
+        *more,
     )
 
 
@@ -293,18 +297,27 @@ _GENERIC = f"""SELECT cost_id AS row_id,
 
 
 def _generic_files(spark, sf_dir) -> str:
-    """The damaged rows as CSV files, one for each line number; the later ones hold their columns in another order."""
-    rows = _generic_raw(spark, sf_dir).withColumn("line", F.split("row_id", "-")[1].cast("int"))
-    placed = rows.repartition("line").sortWithinPartitions("line", "row_id")
+    """The damaged rows as CSV files, one for each line number; the later ones hold their columns in another order.
+
+    A file is written in parts, whose names follow the order of the rows, by more tasks the
+    more rows there are.
+    """
+    costs = lineitem_costs(spark, sf_dir, ["cost_id", "user_id", "service_name", "cost", "usage_start_date", "resource_id", "tags"])
+    lines = costs.withColumn("l_linenumber", F.split("cost_id", "-")[1].cast("int"))
+    tasks = max(spark.sparkContext.defaultParallelism, table(spark, sf_dir, "lineitem").count() // LANDED_ROWS + 1)
     folder = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
-    for part in (placed.where("line < 5"), placed.where("line >= 5").select(*reversed(rows.columns))):
-        part.write.mode("append").partitionBy("line").option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    for some, turned in ((lines.where("l_linenumber < 5"), False), (lines.where("l_linenumber >= 5"), True)):
+        # rendered behind the shuffle, which so carries the short values
+        placed = some.repartitionByRange(tasks, "l_linenumber", "cost_id").sortWithinPartitions("l_linenumber", "cost_id")
+        rows = _generic_raw(placed, F.col("l_linenumber").alias("line"))  # the sorted column itself, else the writer sorts again
+        rows = rows.select(*reversed(rows.columns)) if turned else rows
+        rows.write.mode("append").partitionBy("line").option("header", True).option("quote", '"').option("escape", '"').csv(folder)
     return folder
 
 
-def _line_file(parsed: DataFrame) -> DataFrame:
-    """The part of a file's path that does not change from run to run."""
-    return parsed.withColumn("file", F.regexp_extract("file", "line=[0-9]+", 0))
+def _line_file(path: Column) -> Column:
+    """The part of a file's path that does not change from run to run; all parts of a file have it."""
+    return F.regexp_extract(path, "line=[0-9]+", 0)
 
 
 @query("S2_generic_csv", f"WITH {COSTS} {_GENERIC}")
@@ -327,14 +340,14 @@ _BAD = f"""r AS ({_GENERIC}), bad AS (SELECT *, 'line=' || split_part(row_id, '-
 @query("P8_reject_report", f"""WITH {COSTS}, {_BAD}
 SELECT file, row, error_field AS field, error, (SELECT count(*) FROM bad) AS dropped_rows FROM (SELECT * FROM bad ORDER BY file, row LIMIT 5)""")
 def p8_rejects(spark, sf_dir):
-    _, rejects = generic_csv.read_generic_csv(spark, _generic_files(spark, sf_dir))
-    return _line_file(generic_csv.reject_report(rejects))
+    _, rejects = generic_csv.read_generic_csv(spark, _generic_files(spark, sf_dir), whole=_line_file)
+    return generic_csv.reject_report(rejects)
 
 
 @query("P8_rejects_of_files", f"WITH {COSTS}, {_BAD} SELECT file, row AS row_id, service_name, error_field, error FROM bad")
 def p8_all_rejects(spark, sf_dir):
-    _, rejects = generic_csv.read_generic_csv(spark, _generic_files(spark, sf_dir))
-    return _line_file(rejects).select("file", "row_id", "service_name", "error_field", "error")
+    _, rejects = generic_csv.read_generic_csv(spark, _generic_files(spark, sf_dir), whole=_line_file)
+    return rejects.select("file", "row_id", "service_name", "error_field", "error")
 
 
 @query("S2_records_of_files", f"""WITH {COSTS}, r AS ({_GENERIC})

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.parsing import (
     computed_once, empty_tags, infer_provider, merge_tags, parse_date, parse_epoch, parse_money, parse_number, parse_tags,
 )
+from ..session import cut_lineage
 from .billing_exports import read_mixed_csv
 from .headers import quoted, resolve
 
@@ -65,22 +68,22 @@ def parse_records(raw: DataFrame) -> DataFrame:
             return parse_epoch(F.col(quoted(mapping[field])))
         return parse_date(text(field))
 
-    service, group = text("service_name"), text("resource_group")
-    values = {
-        "provider": F.lower(F.coalesce(text("provider"), infer_provider(text("consumed_service"), service))),
-        "service_name": service,
+    group = text("resource_group")
+    checked = {
+        "service_name": text("service_name"),
         "cost_text": text("cost"),
         "cost": parse_money(text("cost")),
         "usage_start_date": moment("usage_start_date"),
-        "end_date": moment("usage_end_date"),
-        "group_tag": F.when(group.isNotNull(), F.create_map(F.lit("resource_group"), group)).otherwise(empty_tags()),
-        "row_tags": parse_tags(text("tags")),
     }
-    staged = computed_once(raw, {f"__{name}": value for name, value in values.items()})
+    # what no check reads stays outside, so a reader that takes only rejects does not parse it
+    staged = computed_once(raw, {f"__{name}": value for name, value in checked.items()}).withColumns({
+        "__group_tag": F.when(group.isNotNull(), F.create_map(F.lit("resource_group"), group)).otherwise(empty_tags()),
+        "__row_tags": parse_tags(text("tags")),
+    })
     passthrough = [F.col(quoted(c)) for c in raw.columns if c in ("row_id", _FILE, _BLOCK, _ORDER)]
     parsed = staged.select(
         *passthrough,
-        F.col("__provider").alias("provider"),
+        F.lower(F.coalesce(text("provider"), infer_provider(text("consumed_service"), F.col("__service_name")))).alias("provider"),
         text("cloud_account_id").alias("cloud_account_id"),
         F.col("__service_name").alias("service_name"),
         text("resource_id").alias("resource_id"),
@@ -91,7 +94,7 @@ def parse_records(raw: DataFrame) -> DataFrame:
         F.col("__cost").alias("cost"),
         F.upper(text("currency")).alias("currency"),
         F.col("__usage_start_date").alias("usage_start_date"),
-        F.coalesce("__end_date", "__usage_start_date").alias("usage_end_date"),
+        F.coalesce(moment("usage_end_date"), "__usage_start_date").alias("usage_end_date"),
         merge_tags(F.col("__group_tag"), F.col("__row_tags")).alias("tags"),
     )
     checks = [
@@ -130,38 +133,48 @@ def parse_files(spark: SparkSession, path, encoding: str = "UTF-8", multiline: b
     return parsed, places
 
 
-def with_row_numbers(rows: DataFrame, places: DataFrame) -> DataFrame:
+def with_row_numbers(rows: DataFrame, places: DataFrame, whole: Callable[[Column], Column] | None = None) -> DataFrame:
     """``file`` and ``row_id``, counted from 1 within the file, of the given rows of ``parse_files``.
 
     Rows of a block are consecutive, so a row's number follows from its block's first row and
-    the sizes of the blocks before; the rows themselves are neither sorted nor counted.
+    the sizes of the blocks before; the rows themselves are neither sorted nor counted. Where a
+    file was written in parts, ``whole`` makes its name of a part's path; parts follow one
+    another by their paths.
     """
     blocks = places.groupBy(F.col(_FILE).alias("of_file"), F.col(_BLOCK).alias("of_block")).agg(
         F.min(_ORDER).alias("first"), F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy("of_file").orderBy("of_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("of_whole", whole(F.col("of_file")) if whole else F.col("of_file"))
+    before = Window.partitionBy("of_whole").orderBy("of_file", "of_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.withColumn("earlier", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     met = rows.join(starts, (F.col(_FILE) == F.col("of_file")) & (F.col(_BLOCK) == F.col("of_block")))
     kept = [c for c in rows.columns if c not in (_FILE, _BLOCK, _ORDER, "row_id")]
-    return met.select(*kept, F.col(_FILE).alias("file"), (F.col(_ORDER) - F.col("first") + F.col("earlier") + 1).alias("row_id"))
+    return met.select(*kept, F.col("of_whole").alias("file"), (F.col(_ORDER) - F.col("first") + F.col("earlier") + 1).alias("row_id"))
 
 
-def read_records(spark: SparkSession, path, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
+def read_records(
+    spark: SparkSession, path, encoding: str = "UTF-8", multiline: bool = False, whole: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Parsed rows of all files with their file and row number."""
-    return with_row_numbers(*parse_files(spark, path, encoding, multiline))
+    return with_row_numbers(*parse_files(spark, path, encoding, multiline), whole)
 
 
-def read_generic_csv(spark: SparkSession, path, encoding: str = "UTF-8", multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_generic_csv(
+    spark: SparkSession, path, encoding: str = "UTF-8", multiline: bool = False, whole: Callable[[Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of CSV files; rejects carry file and row number, records come straight from the scan."""
     parsed, places = parse_files(spark, path, encoding, multiline)
     good, rejects = split_records(parsed)
-    return good.drop(_FILE, _BLOCK, _ORDER, "row_id"), with_row_numbers(rejects, places)
+    return good.drop(_FILE, _BLOCK, _ORDER, "row_id"), with_row_numbers(rejects, places, whole)
 
 
 def reject_report(parsed: DataFrame, row_id: str = "row_id", sample: int = 5) -> DataFrame:
-    """First ``sample`` rejected rows by file and row number, each with the total number dropped."""
-    rejects = parsed.where(F.col("error").isNotNull())
+    """First ``sample`` rejected rows by file and row number, each with the total number dropped.
+
+    The rejects' places and errors are kept once, so the files are parsed once for both.
+    """
     place = [c for c in ("file",) if c in parsed.columns]
+    rejects = cut_lineage(parsed.where(F.col("error").isNotNull()).select(*place, F.col(row_id).alias("row"), F.col("error_field").alias("field"), "error"))
     total = rejects.agg(F.count(F.lit(1)).alias("dropped_rows"))
-    head = rejects.orderBy(*place, row_id).limit(sample).select(*place, F.col(row_id).alias("row"), F.col("error_field").alias("field"), "error")
+    head = rejects.orderBy(*place, "row").limit(sample)
     # a one-row aggregate next to at most ``sample`` rows
     return head.join(F.broadcast(total), F.lit(True), "inner")

@@ -295,3 +295,15 @@ def test_late_alerts_take_their_place(spark, tmp_path):
     everything = spark.createDataFrame([(1, "EC2", start + timedelta(minutes=m)) for b in batches[:-1] for m in b], schema)
     assert sent == sorted(r.alert_at for r in alerts.select_alerts(everything, users).collect())
     assert [int((at - start).total_seconds()) // 60 for at in sent] == [0, 25, 45, 85, 200, 260]
+
+
+def test_rejects_of_a_file_written_in_parts(spark, tmp_path):
+    folder = tmp_path / "parts" / "line=4"
+    folder.mkdir(parents=True)
+    (folder / "part-00000.csv").write_text("service,cost,date\nA,1,2024-01-01\nB,x,2024-01-01\n")
+    (folder / "part-00001.csv").write_text("service,cost,date\nC,1,2024-01-01\nD,,2024-01-01\n")
+    whole = lambda path: F.regexp_extract(path, "line=[0-9]+", 0)
+    _, rejects = generic_csv.read_generic_csv(spark, str(tmp_path / "parts"), whole=whole)
+    assert sorted((r.file, r.row_id) for r in rejects.collect()) == [("line=4", 2), ("line=4", 4)]
+    report = generic_csv.reject_report(rejects, sample=1).collect()
+    assert [(r.file, r.row, r.field, r.dropped_rows) for r in report] == [("line=4", 2, "cost", 2)]
