@@ -89,8 +89,11 @@ def lineitem_costs(
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """Rows of the given tables spread over all cores, for queries that work hard on each: a table may be one row group."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    """Rows of the given tables spread over all cores, for queries that work hard on each: a table may be one row group.
+
+    Adaptive execution sizes the partitions, so more rows make more of them and not larger ones.
+    """
+    return rows.hint("rebalance")
 
 
 def event_costs(spark: SparkSession, sf_dir: str) -> DataFrame:

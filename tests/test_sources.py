@@ -10,7 +10,7 @@ from spendframe import session
 from spendframe.operators import features
 from spendframe.plans import ingesting
 from spendframe.sources import billing_exports as exports
-from spendframe.sources import anomaly_store, csv_headers, generic_csv, headers, store
+from spendframe.sources import anomaly_store, csv_headers, generic_csv, headers, store, tables
 from spendframe.streaming import ingest
 
 
@@ -307,3 +307,8 @@ def test_rejects_of_a_file_written_in_parts(spark, tmp_path):
     assert sorted((r.file, r.row_id) for r in rejects.collect()) == [("line=4", 2), ("line=4", 4)]
     report = generic_csv.reject_report(rejects, sample=1).collect()
     assert [(r.file, r.row, r.field, r.dropped_rows) for r in report] == [("line=4", 2, "cost", 2)]
+
+
+def test_dealt_rows_are_sized_by_adaptive_execution(spark):
+    plan = tables.dealt(spark.range(10))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan
