@@ -39,7 +39,8 @@ def start_ingest(stream: DataFrame, cost_path: str, reject_path: str, checkpoint
 
     Each micro-batch goes to its own ``batch_id`` folders in overwrite mode, so a
     batch that is run again after a failure replaces itself instead of adding
-    its rows twice.
+    its rows twice. A month's rows of a batch meet in files of a bounded size, so
+    files do not multiply with the tasks that read.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # the files are read once for records and rejects
@@ -47,6 +48,7 @@ def start_ingest(stream: DataFrame, cost_path: str, reject_path: str, checkpoint
         # dynamic overwrite touches only the partitions this batch writes
         (
             cost_rows(good).withColumn("batch_id", F.lit(batch_id))
+            .hint("rebalance", "billing_period")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("billing_period", "batch_id").parquet(cost_path)
         )

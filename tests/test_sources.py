@@ -312,3 +312,59 @@ def test_rejects_of_a_file_written_in_parts(spark, tmp_path):
 def test_dealt_rows_are_sized_by_adaptive_execution(spark):
     plan = tables.dealt(spark.range(10))._jdf.queryExecution().optimizedPlan().toString()
     assert "RebalancePartitions" in plan
+
+
+def test_stream_ingest_writes_few_files_for_a_month(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    for n in range(12):
+        _write(landing / f"{n}.csv", f"{','.join(ingest.RAW_FIELDS)}\n{n},aws,a,EC2,,,,,5,USD,2024-01-01,2024-01-01\n")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task for each file
+    try:
+        folders = [str(tmp_path / n) for n in ("costs", "rejects", "check")]
+        ingest.start_ingest(ingest.stream_csv(spark, str(landing)), *folders).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ingest.read_streamed_costs(spark, folders[0]).count() == 12
+    assert len(list(Path(folders[0]).glob("*/*/part-*"))) < 12
+
+
+def test_cooldown_reads_and_writes_state_once_a_call():
+    import pandas as pd
+
+    from spendframe.streaming.cooldown import Cooldown
+
+    calls = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+        def deleteTimer(self, ms):
+            calls.append("no timer")
+
+        def getCurrentWatermarkInMs(self):
+            return 100
+
+    cooldown, handle = Cooldown(), Handle()
+    cooldown.init(handle)
+    key = (1, "EC2")
+    list(cooldown.handleInputRows(key, iter([pd.DataFrame({"us": [50_000, 20_000, 150_000, 21_000], "cooldown_us": [9_000] * 4})]), None))
+    assert calls == ["get", "timer", "update"]
+    calls.clear()
+    sent = pd.concat(cooldown.handleExpiredTimer(key, handle, None))
+    assert sent["us"].tolist() == [20_000, 50_000] and calls == ["get", "timer", "update"]
+    assert handle.value == (50_000, 151, [150_000], [9_000])
