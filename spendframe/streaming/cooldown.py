@@ -23,48 +23,43 @@ class Cooldown(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last_sent", "us bigint")
-        self._waiting = handle.getListState("waiting", "us bigint, cooldown_us bigint")
-        self._due = handle.getValueState("due", "ms bigint")
-
-    def _wait_for(self, us: int) -> None:
-        """A timer at the millisecond at which ``us`` is over, unless an earlier one is set."""
-        ms = us // 1000 + 1
-        due = self._due.get()[0] if self._due.exists() else None
-        if due is None or ms < due:
-            if due is not None:
-                self._handle.deleteTimer(due)
+        # one value, so a key costs one read and one write of state for each micro-batch and timer
+        self._state = handle.getValueState("state", "last bigint, due bigint, us array<bigint>, cooldown_us array<bigint>")
+
+    def _settle(self, last: int | None, due: int | None, us: list[int], pauses: list[int]) -> None:
+        """Store the key's state, with a timer at the millisecond at which the earliest waiting alert is over."""
+        ms = min(us) // 1000 + 1 if us else None
+        if due is not None and ms != due:
+            self._handle.deleteTimer(due)
+        if ms is not None and ms != due:
             self._handle.registerTimer(ms)
-            self._due.update((ms,))
+        self._state.update((last, ms, us, pauses))
+
+    def _known(self) -> tuple:
+        """Last sent time, timer, and the waiting alerts' times and cooldowns."""
+        last, due, us, pauses = self._state.get() or (None, None, [], [])
+        return last, due, list(us), list(pauses)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        last, due, us, pauses = self._known()
         for chunk in rows:
-            times = [int(us) for us in chunk["us"]]
-            self._waiting.appendList([(us, int(pause)) for us, pause in zip(times, chunk["cooldown_us"])])
-            first = min(times) if first is None else min(first, *times)
-        if first is not None:
-            self._wait_for(first)
+            us += chunk["us"].tolist()
+            pauses += chunk["cooldown_us"].tolist()
+        if us:
+            self._settle(last, due, us, pauses)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        last = self._last.get()[0] if self._last.exists() else None
-        waiting = sorted(self._waiting.get())
+        last, _, us, pauses = self._known()
         sent, left = [], []
-        for us, pause in waiting:
-            if us >= passed:
-                left.append((us, pause))
-            elif last is None or us - last >= pause:
-                last = us
-                sent.append(us)
-        if last is not None:
-            self._last.update((last,))
-        self._waiting.clear()
-        self._due.clear()
-        if left:
-            self._waiting.put(left)
-            self._wait_for(left[0][0])
+        for at, pause in sorted(zip(us, pauses)):
+            if at >= passed:
+                left.append((at, pause))
+            elif last is None or at - last >= pause:
+                last = at
+                sent.append(at)
+        self._settle(last, None, [at for at, _ in left], [pause for _, pause in left])
         if sent:
             yield pd.DataFrame({"user_id": [key[0]] * len(sent), "service_name": pd.Series([key[1]] * len(sent), dtype=object), "us": sent})
 
