@@ -14,7 +14,7 @@ from ..functions import parsing
 from ..functions.category import CATEGORY_RULES, category_sql, with_category
 from ..functions.numeric import exact_sum, fixed as fixed_col, money as money_col
 from ..operators import features, records, summaries
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 from ..sources import billing_exports as exports
 from ..sources import generic_csv
 from ..sources.tables import dealt, lineitem_costs, table
@@ -300,11 +300,13 @@ def _generic_files(spark, sf_dir) -> str:
     """The damaged rows as CSV files, one for each line number; the later ones hold their columns in another order.
 
     A file is written in parts, whose names follow the order of the rows, by more tasks the
-    more rows there are.
+    more rows there are. The tables are joined once: each write reads its rows twice, for the
+    bounds of the ranges and for the rows themselves.
     """
-    costs = lineitem_costs(spark, sf_dir, ["cost_id", "user_id", "service_name", "cost", "usage_start_date", "resource_id", "tags"])
-    lines = costs.withColumn("l_linenumber", F.split("cost_id", "-")[1].cast("int"))
-    tasks = max(spark.sparkContext.defaultParallelism, table(spark, sf_dir, "lineitem").count() // LANDED_ROWS + 1)
+    fields = ["cost_id", "user_id", "service_name", "cost", "usage_start_date", "resource_id", "tags"]
+    costs = lineitem_costs(spark, sf_dir, fields, sorted_joins=True).drop("user_id")
+    lines = cut_lineage(costs.withColumn("l_linenumber", F.split("cost_id", "-")[1].cast("int")))
+    tasks = max(spark.sparkContext.defaultParallelism, lines.count() // LANDED_ROWS + 1)
     folder = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
     for some, turned in ((lines.where("l_linenumber < 5"), False), (lines.where("l_linenumber >= 5"), True)):
         # rendered behind the shuffle, which so carries the short values
