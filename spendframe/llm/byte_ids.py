@@ -9,8 +9,8 @@ doc_id:
     control    1 bit an id (one or two bytes), or 2 bits where the vocabulary needs up to four
     data       the bytes of the ranks, lowest first
 
-Control bytes stand apart from the data, so a table of 256 rows tells the lengths of
-all ids of a control byte, and numpy decodes a file without a loop over ids. ``ranks``
+Control bytes stand apart from the data, so a table of 256 rows tells which bytes all
+ids of a control byte have, and numpy decodes a file without a loop over ids. ``ranks``
 in the same folder maps ranks back to ids.
 
 Nulls: a null text is empty, documents without doc_id come first. Empty texts hold the
@@ -44,35 +44,30 @@ def control_bits(vocabulary: int) -> int:
     return 1 if vocabulary <= 1 << 16 else 2
 
 
-def _length_tables(bits: int) -> np.ndarray:
-    """For each control byte the lengths of its ids, the first in the lowest bits."""
-    per = 8 // bits
-    return (np.arange(256)[:, None] >> (bits * np.arange(per)) & ((1 << bits) - 1)) + 1
+def _used_tables(bits: int) -> np.ndarray:
+    """For each control byte which bytes its ids have, the first id in the lowest bits."""
+    per, width = 8 // bits, 1 << bits
+    longest = np.arange(256)[:, None] >> (bits * np.arange(per)) & (width - 1)
+    return (np.arange(width) <= longest[:, :, None]).reshape(256, per * width)
 
 
 def encode_ranks(ranks: np.ndarray, bits: int) -> tuple[bytes, bytes]:
     """Control bytes and data bytes."""
-    per = 8 // bits
-    lengths = 1 + sum((ranks >= 1 << 8 * k).astype(np.int64) for k in range(1, 1 << bits))
-    padded = np.zeros(-(-len(ranks) // per) * per, np.uint8)
-    padded[:len(ranks)] = lengths - 1
-    control = np.bitwise_or.reduce(padded.reshape(-1, per) << (bits * np.arange(per)).astype(np.uint8), axis=1) if len(ranks) else padded
-    starts = np.cumsum(lengths) - lengths
-    data = np.zeros(int(lengths.sum()), np.uint8)
-    for k in range(1 << bits):
-        has = lengths > k
-        data[starts[has] + k] = ranks[has] >> (8 * k) & 255
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    width = 1 << bits  # a rank has as many bytes at most
+    ranks = np.ascontiguousarray(ranks, f"<u{width}")
+    used = np.ones((len(ranks), width), bool)
+    for k in range(1, width):
+        used[:, k] = ranks >= 1 << 8 * k
+    longest = used[:, 1:].sum(axis=1, dtype=np.uint8)
+    control = np.packbits(longest[:, None] >> np.arange(bits, dtype=np.uint8) & 1, bitorder="little")
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, width)[used].tobytes()
 
 
 def decode_ranks(control: np.ndarray, data: np.ndarray, count: int, bits: int) -> np.ndarray:
-    lengths = _length_tables(bits)[control].ravel()[:count]
-    starts = np.cumsum(lengths) - lengths
-    ranks = data[starts].astype(np.uint32)
-    for k in range(1, 1 << bits):
-        has = np.flatnonzero(lengths > k)
-        ranks[has] |= data[starts[has] + k].astype(np.uint32) << np.uint32(8 * k)
-    return ranks
+    width = 1 << bits
+    octets = np.zeros((count, width), np.uint8)
+    octets[_used_tables(bits)[control].reshape(-1, width)[:count]] = data
+    return octets.view(f"<u{width}").ravel()
 
 
 def encode_file(doc_ids: list[int | None], counts: np.ndarray, ranks: np.ndarray, bits: int) -> bytes:
@@ -128,12 +123,21 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, shard_bytes: int = SH
     return keep(ordered.mapInArrow(run, "shard int, place long, doc_id long, ids binary"), "tokens")
 
 
+def _joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows one after the other, read in place, and each row's number of ids."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset)
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data or b"", kind, int(ends[-1] - ends[0]) // size, int(ends[0])), np.diff(ends) // size
+
+
 def rank_ids(tokens: DataFrame, kind: str) -> np.ndarray:
     """Ids in descending frequency over all documents, then ascending; one entry for each id that occurs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(x.as_py() for x in batch.column("ids")), kind))
+            found = np.bincount(_joined(batch.column("ids"), kind)[0])
             total = np.pad(total, (0, max(0, len(found) - len(total))))
             total[:len(found)] += found
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["id", "n"])
@@ -164,9 +168,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> Data
             cuts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(place) != 1)) + 1).tolist(), len(shard)] if len(shard) else [0]
             rows = []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                raw = [x.as_py() for x in batch.column("ids").slice(a, b - a)]
-                ids = np.frombuffer(b"".join(raw), kind)
-                counts = np.array([len(x) for x in raw]) // ids.itemsize
+                ids, counts = _joined(batch.column("ids").slice(a, b - a), kind)
                 name = f"{shard[a]:08d}-{place[a]:012d}.ids"
                 write_file(folder, name, encode_file(batch.column("doc_id").slice(a, b - a).to_pylist(), counts, rank_of_id[ids], bits))
                 rows.append((int(shard[a]), int(place[a]), name, b - a, len(ids)))

@@ -61,6 +61,8 @@ class PieceEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word, or else that begin one
         for token, i in vocabulary.items():
             self.edge[i] = token.endswith(suffix) if suffix else token.startswith(_SPACE)
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else len(self.edge)  # else an id that never comes
         self._forget()
 
     def _forget(self) -> None:
@@ -175,30 +177,58 @@ class PieceEncoder:
 
     def _places(self, parts: list[str], letters: bool = False) -> np.ndarray:
         """Where each part's ids are kept. letters: each is a space and then only letters."""
-        place = self.place
-        fresh = list(dict.fromkeys(x for x in parts if x not in place))
-        if fresh:
-            step = _JOINED if letters else 1
-            groups = [fresh[at:at + step] for at in range(0, len(fresh), step)]
-            for at in range(0, len(groups), _CALL // step):  # the library's results are large
-                some = groups[at:at + _CALL // step]
-                coded = [x.ids for x in self.tokenizer.encode_batch_fast(["".join(x) for x in some], add_special_tokens=False)]
-                if letters:
-                    for group, ids in zip(some, coded, strict=True):
-                        self._keep_joined(group, np.array(ids, np.uint32))
-                else:
-                    self._keep(list(itertools.chain.from_iterable(some)), np.fromiter(itertools.chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)))
-        return np.fromiter(map(place.__getitem__, parts), np.int64, len(parts))
+        places = np.fromiter(map(self.place.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            wanted = [parts[i] for i in missing.tolist()]
+            self._encode_parts(list(dict.fromkeys(wanted)), letters)
+            places[missing] = np.fromiter(map(self.place.__getitem__, wanted), np.int64, len(wanted))
+        return places
+
+    def _encode_parts(self, fresh: list[str], letters: bool) -> None:
+        """Let the library encode parts; those whose ids can be told apart again go there together."""
+        spaced, fed, alone = (fresh, [], []) if letters else ([], [], fresh)
+        if not letters and not self.by_end:
+            alone = []
+            for x in fresh:
+                bare = x[1:] if x[:1] == " " else x
+                (alone if bare.split() != [bare] else spaced if x[:1] == " " else fed).append(x)
+        for some, between, keep in ((spaced, "", self._keep_joined), (fed, "\n", self._keep_fed)):
+            groups = [some[at:at + _JOINED] for at in range(0, len(some), _JOINED)]
+            for called, coded in self._coded(groups, _CALL // _JOINED, between):
+                for group, ids in zip(called, coded, strict=True):
+                    keep(group, np.array(ids, np.uint32))
+        for called, coded in self._coded([[x] for x in alone], _CALL):
+            self._keep(list(itertools.chain.from_iterable(called)), np.fromiter(itertools.chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)))
+
+    def _coded(self, groups: list[list[str]], at_once: int, between: str = ""):
+        """Some groups of parts at a time with the ids of each group; the library's results are large."""
+        for at in range(0, len(groups), at_once):
+            called = groups[at:at + at_once]
+            yield called, [x.ids for x in self.tokenizer.encode_batch_fast([between.join(x) for x in called], add_special_tokens=False)]
 
     def _keep_joined(self, group: list[str], ids: np.ndarray) -> None:
+        """Parts that each begin with a space and hold no other."""
         at = np.flatnonzero(self.edge[ids])
         lengths = np.diff(at, prepend=-1) if self.by_end else np.diff(at, append=len(ids))
         if len(at) == len(group) and lengths.sum() == len(ids):
             self._keep(group, ids, lengths)
         else:  # a part without an edge of its own
-            for x in group:
-                own = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32)
-                self._keep([x], own, np.array([len(own)]))
+            self._keep_alone(group)
+
+    def _keep_fed(self, group: list[str], ids: np.ndarray) -> None:
+        """Parts without white space, a line feed between them."""
+        feeds = np.flatnonzero(ids == self.feed)
+        lengths = np.diff(feeds, prepend=-1, append=len(ids)) - 1
+        if len(lengths) == len(group) and lengths.all():
+            self._keep(group, np.delete(ids, feeds), lengths)
+        else:
+            self._keep_alone(group)
+
+    def _keep_alone(self, group: list[str]) -> None:
+        for x in group:
+            own = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32)
+            self._keep([x], own, np.array([len(own)]))
 
     def _keep(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         base, have = len(self.place), self.used
@@ -226,8 +256,10 @@ class _Sequences:
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of values one after the other."""
     ends = np.cumsum(lengths)
-    at = np.arange(int(ends[-1]) if len(ends) else 0)
-    at += np.repeat(starts - (ends - lengths), lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.arange(total, dtype=kind)
+    at += np.repeat((starts - (ends - lengths)).astype(kind), lengths)
     return values[at], lengths
 
 

@@ -64,6 +64,46 @@ def test_added_tokens_in_texts(name):
     assert special > 500 and len(ids) == counts.sum()
 
 
+class CountingTokenizer:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode(self, text, **options):
+        self.texts += 1
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("name", TOKENIZERS)
+def test_distinct_parts_go_to_the_library_together(name):
+    # words with marks and digits, words at a text's or a line's beginning, and characters that may count as white space
+    odd = ["it's", "'s", "x\u00a0y", "\u00a0", "\u0085", "\u200b", "\x1c", "\u2028z", "\ufeff", "\x00", "e\u0301", "日本", "😀", "a\tb", "1.5e3", "..."]
+    plain = [f"open{i}$ {i}*** 'm{i} ({i * 7}) end." for i in range(2000)]
+    texts = plain + [f"fed{i}& {odd[i % 16]} x{i}&\nfed{i}& {odd[i % 7]}\n{odd[i % 16]} plain\nend." for i in range(500)]
+    coder = tokens.PieceEncoder(tokens.tokenizer_path(name))
+    coder.tokenizer = CountingTokenizer(coder.tokenizer)
+    coder.encode(pa.array(plain))
+    if not coder.by_end:
+        assert len(coder.place) > 9000 > 9 * coder.tokenizer.texts
+    ids, counts = coder.encode(pa.array(texts))
+    for text, n, end in zip(texts, counts, np.cumsum(counts), strict=True):
+        assert ids[end - n:end].tolist() == whole_ids(name, text), repr(text)
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_ids_of_rows_are_read_in_place(kind):
+    rows = [np.arange(n, dtype=kind).tobytes() for n in (3, 0, 5, 1, 0)]
+    column = pa.array([b"\x07\x07\x07\x07", *rows], pa.binary()).slice(1)
+    for part, lengths in ((column, [3, 0, 5, 1, 0]), (column.slice(2, 2), [5, 1]), (column.slice(4), [0]), (column.slice(5), [])):
+        ids, counts = byte_ids._joined(part, kind)
+        assert counts.tolist() == lengths and ids.tolist() == [i for n in lengths for i in range(n)]
+
+
 @pytest.mark.parametrize("bits", [1, 2])
 def test_coded_ranks_round_trip(bits):
     rng = np.random.default_rng(1)
