@@ -46,8 +46,8 @@ LETTER = 8
 BLOCK_STARTS = 40  # starts of a context that are ruled out together
 GROUP_BYTES = 4 << 20  # of texts around anchors in a task
 HOT_BYTES = GROUP_BYTES  # of texts around one anchor; beyond it strings are dealt one by one
-SORTED_BYTES = 1 << 20  # sorted at once
-STRETCH_BYTES = 4 << 20  # of texts whose anchors are found at once; a longer text is cut
+SORTED_BYTES = 1 << 18  # sorted at once, in some 180 times as much memory; more if one anchor has more
+STRETCH_BYTES = 1 << 18  # of texts whose anchors are found at once, in some 60 times as much memory; a longer text is cut
 DIGEST = 16
 BUCKET_BYTES = 6 << 20  # of documents in a task
 _BASE = 0x9E3779B97F4A7C15
@@ -226,19 +226,21 @@ def repeated_starts(texts: list[bytes], starts: list[int]) -> list[np.ndarray]:
 
 def find_anchors(texts: DataFrame) -> DataFrame:
     """doc_id, tag, anchor, first and last start of each run, of all texts."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text").cast(pa.large_binary())
-            ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(text)).astype(np.int64))])
-            for a, b in _stretches(ends):
-                data = np.frombuffer(b"".join(x.as_py() for x in text.slice(a, b - a)), np.uint8)
-                for anchor, owner, first, last in cut_runs(data, ends[a:b + 1] - ends[a]):
-                    owner = pa.array(owner + a)
-                    yield pa.RecordBatch.from_arrays(
-                        [pc.take(batch.column("doc_id"), owner), pc.take(batch.column("tag"), owner), pa.array(anchor), pa.array(first), pa.array(last)],
-                        names=["doc_id", "tag", "anchor", "first", "last"])
+    return keep(texts.mapInArrow(anchor_rows, "doc_id long, tag long, anchor long, first long, last long"), "anchors")
 
-    return keep(texts.mapInArrow(run, "doc_id long, tag long, anchor long, first long, last long"), "anchors")
+
+def anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the runs in batches of texts, a stretch at a time."""
+    for batch in batches:
+        text = batch.column("text").cast(pa.large_binary())
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(text)).astype(np.int64))])
+        for a, b in _stretches(ends):
+            data = np.frombuffer(b"".join(x.as_py() for x in text.slice(a, b - a)), np.uint8)
+            for anchor, owner, first, last in cut_runs(data, ends[a:b + 1] - ends[a]):
+                owner = pa.array(owner + a)
+                yield pa.RecordBatch.from_arrays(
+                    [pc.take(batch.column("doc_id"), owner), pc.take(batch.column("tag"), owner), pa.array(anchor), pa.array(first), pa.array(last)],
+                    names=["doc_id", "tag", "anchor", "first", "last"])
 
 
 def cut_runs(data: np.ndarray, bounds: np.ndarray, size: int = STRETCH_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
@@ -253,7 +255,7 @@ def cut_runs(data: np.ndarray, bounds: np.ndarray, size: int = STRETCH_BYTES) ->
 
 
 def _stretches(ends: np.ndarray, size: int = STRETCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of texts of a few million bytes; a longer text alone."""
+    """Runs of texts of about ``size`` bytes; a longer text alone."""
     a = 0
     while a < len(ends) - 1:
         b = max(a + 1, int(np.searchsorted(ends, ends[a] + size, side="right")) - 1)

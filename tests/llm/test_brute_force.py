@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -228,6 +229,41 @@ def test_long_texts_are_cut():
     assert listed(repeats.cut_runs(data, np.array([0, len(data)]), 4801)) == listed([whole])
 
 
+def most_held(work):
+    """What the work returns, and the most megabytes that it held at a time."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeats_hold_little_at_a_time():
+    """Neither the search for anchors nor the order of suffixes grows with the texts of a batch or a group."""
+    rng = np.random.default_rng(7)
+    letters = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    texts = []
+    for _ in range(1500):  # 300 bytes shared by two texts
+        shared = letters(300)
+        texts += [letters(150) + shared + letters(150), letters(150) + shared + letters(150)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["doc_id", "tag", "text"])
+    runs, held = most_held(lambda: pa.Table.from_batches(repeats.anchor_rows([batch])))
+    assert held < 40  # 88 with all texts at once
+    single = [repeats.anchor_runs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts]
+    assert list(zip(*(runs.column(c).to_pylist() for c in ("doc_id", "anchor", "first", "last")), strict=True)) == [
+        (i, *x) for i, (anchor, _, first, last) in enumerate(single) for x in zip(anchor.tolist(), first.tolist(), last.tolist(), strict=True)]
+
+    seen = Counter(runs.column("anchor").to_pylist())
+    again = runs.filter(pa.array([seen[a] > 1 for a in runs.column("anchor").to_pylist()]))
+    spans, held = most_held(lambda around=repeats._around(1)(pa.Table.from_batches([batch]), again): repeats._sort_group(around))
+    assert held < 80  # 142 with all texts at once
+    found = {i: set() for i in range(len(texts))}
+    for i, begin, stop in zip(*(spans.column(c).to_pylist() for c in ("doc_id", "begin", "stop")), strict=True):
+        found[i] |= set(range(begin, stop))
+    assert all(set(range(150, 450)) <= x and len(x) < 310 for x in found.values())
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_order_finds_all_repeats(seed):
     random.seed(seed)
